@@ -1 +1,377 @@
-"""placeholder"""
+"""Exact Jaccard self-join of word n-gram sets, by signature trees.
+
+Texts with equal sets are one node.  Two sets can only reach the threshold if
+they share one of their first tokens in a global order (common tokens last), so
+nodes meet by such prefix tokens.  A first round compares each node with the
+hub it shares most of them with, which links copies to each other without
+listing their pairs.  What is left of a token's group in different components
+goes through a signature tree: its nodes hold OR-combined bitmaps of hashed
+tokens and ranges of set sizes, and a dual traversal drops pairs of nodes whose
+largest possible overlap, or whose sizes, cannot reach the threshold.  Every
+pair that survives is verified on the whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+#: A token found in so many prefixes is common and ordered behind all others.
+COMMON = 64
+#: Bits of the table of common tokens that every task gets: 2 MB, whatever the corpus.
+TABLE_BITS = 1 << 24
+#: Words of 64 bits in a signature, and how many tokens it is meant for.
+SIG_WORDS, SIG_TOKENS = 8, 96
+#: Children of a tree node; rows of a token's group that one task compares at once.
+FANOUT, BLOCK = 8, 4096
+#: Ids broadcast at most (16 bytes each); beyond that a join shuffles.
+MAX_BROADCAST = 2_000_000
+
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[1])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[2])
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(raw: bytes, k: int, hashes: dict) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``k``-word shingles of a text (UTF-8, any case of A to Z).
+
+    A text of fewer words, but not none, is one shingle; a text without words has none.
+    """
+    words = raw.lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    w = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    width = min(k, len(w))
+    n = len(w) - width + 1
+    h = np.full(n, width, dtype=np.uint64)
+    for i in range(width):
+        h = _mixed(h * np.uint64(_MIX[0]) + w[i : i + n])
+    return np.unique(h)
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """First tokens of a set of ``n`` of which any set similar enough shares one."""
+    return n - -(-percent * n // 100) + 1
+
+
+def table_slot(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(8)) & np.uint64(TABLE_BITS - 1)
+
+
+def ordered_prefix(tokens: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """Prefix of a sorted set in the global order: rare tokens by hash, then common ones by hash."""
+    slots = table_slot(tokens)
+    is_common = (common[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1)
+    p = prefix_length(len(tokens), percent)
+    rare = tokens[is_common == 0]
+    return rare[:p] if len(rare) >= p else np.concatenate([rare, tokens[is_common == 1][: p - len(rare)]])
+
+
+def signature_class(n) -> np.ndarray:
+    """One token in so many goes into the signature of a set of size ``n``: a power of two."""
+    return np.left_shift(1, np.floor(np.log2(np.maximum(1, np.asarray(n) / SIG_TOKENS))).astype(np.int64))
+
+
+def signature(tokens: np.ndarray) -> bytes:
+    """Bitmap of the set's tokens, thinned by ``signature_class``."""
+    some = tokens[(tokens >> np.uint64(40)) % np.uint64(signature_class(len(tokens))) == 0]
+    bits = np.zeros(SIG_WORDS * 64, dtype=np.uint8)
+    bits[(some % np.uint64(SIG_WORDS * 64)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+class SignatureTree:
+    """Levels of nodes over the rows of one group; level 0 is the rows themselves."""
+
+    def __init__(self, sizes: np.ndarray, components: np.ndarray, sides: np.ndarray, signatures: np.ndarray) -> None:
+        self.order = np.lexsort((sizes, components))
+        n, c, s, sig = sizes[self.order], components[self.order], sides[self.order], signatures[self.order]
+        klass, pop = signature_class(n), np.bitwise_count(sig).sum(axis=1).astype(np.int64)
+        self.levels = [(sig, n, n, pop, klass, klass, c, c, s, s)]
+        while len(self.levels[-1][0]) > FANOUT:
+            bits, n0, n1, p, k0, k1, c0, c1, s0, s1 = self.levels[-1]
+            at = np.arange(0, len(n0), FANOUT)
+            low, high = np.minimum.reduceat, np.maximum.reduceat
+            self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), low(n0, at), high(n1, at), low(p, at), low(k0, at), high(k1, at), low(c0, at), high(c1, at), low(s0, at), high(s1, at)))
+
+    def may_link(self, level: int, i: np.ndarray, j: np.ndarray, percent: int, cross: bool) -> np.ndarray:
+        """Whether rows below nodes ``i`` and ``j`` could reach the threshold and are still apart."""
+        bits, n0, n1, pop, k0, k1, c0, c1, s0, s1 = self.levels[level]
+        keep = ~((c0[i] == c1[i]) & (c0[j] == c1[j]) & (c0[i] == c0[j]))
+        if cross:
+            keep &= ~((s0[i] == s1[i]) & (s0[j] == s1[j]) & (s0[i] == s0[j]))
+        keep &= (100 * n1[i] >= percent * n0[j]) & (100 * n1[j] >= percent * n0[i])
+        shared = np.bitwise_count(bits[i] & bits[j]).sum(axis=1).astype(np.int64)
+        # a set bit of one side that the other lacks is a token of one that the other lacks, if it could be there at all
+        most_i = n1[i] - np.where(k0[i] >= k1[j], np.maximum(0, pop[i] - shared), 0)
+        most_j = n1[j] - np.where(k0[j] >= k1[i], np.maximum(0, pop[j] - shared), 0)
+        most = np.minimum(most_i, most_j)
+        return keep & ((100 + percent) * most >= percent * (n0[i] + n0[j]))
+
+    def pairs(self, percent: int, cross: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows that no bound rules out; with ``cross`` only pairs of different sides."""
+        top = len(self.levels) - 1
+        i, j = np.triu_indices(len(self.levels[top][1]))
+        stack = [(top, i, j)]
+        while stack:
+            level, i, j = stack.pop()
+            if len(i) > 20_000:
+                stack += [(level, i[k : k + 20_000], j[k : k + 20_000]) for k in range(0, len(i), 20_000)]
+                continue
+            keep = self.may_link(level, i, j, percent, cross)
+            i, j = i[keep], j[keep]
+            if not len(i):
+                continue
+            if level == 0:
+                own = i < j
+                yield self.order[i[own]], self.order[j[own]]
+                continue
+            width = len(self.levels[level - 1][1])
+            child = np.arange(FANOUT)
+            a = (i[:, None] * FANOUT + np.repeat(child, FANOUT)[None, :]).ravel()
+            b = (j[:, None] * FANOUT + np.tile(child, FANOUT)[None, :]).ravel()
+            inside = (a <= b) & (a < width) & (b < width)
+            stack.append((level - 1, a[inside], b[inside]))
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    for text in batch.column(batch.schema.names.index("text")).cast(pa.binary()):
+        yield text.as_py() or b""
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
+
+
+def common_tokens(documents: DataFrame, shingle: int, percent: int, common: int = COMMON) -> np.ndarray:
+    """A table of ``TABLE_BITS`` bits of the tokens that stand in ``common`` or more prefixes, counted over all rows.
+
+    Tokens that share a slot are common together, which only changes the order.
+    What the driver gets has a fixed size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            parts, size = [], 0
+            for raw in _texts(batch):
+                tokens = shingle_set(raw, shingle, hashes)
+                if len(tokens):
+                    p = prefix_length(len(tokens), percent)
+                    parts.append(tokens[: p + p // 4 + 8])
+                    size += len(parts[-1])
+                if size > 500_000:
+                    yield counted(parts)
+                    parts, size = [], 0
+            if parts:
+                yield counted(parts)
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(_signed(tokens)), pa.array(n)], ["token", "n"])
+
+    rows = documents.select("text").mapInArrow(run, "token long, n long")
+    frequent = rows.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= common)
+    slot = F.shiftrightunsigned("token", 8).bitwiseAND(F.lit(TABLE_BITS - 1))
+    words = frequent.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(token, 8) & 63 as int))").alias("bit"))
+    table = np.zeros(TABLE_BITS // 64, dtype=np.uint64)
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return table
+
+
+def document_sets(documents: DataFrame, shingle: int, percent: int, common: np.ndarray) -> DataFrame:
+    """doc_id, n, set_id, prefix (array<long>) and sig (binary) of every row; n = 0 has no set."""
+    shared = documents.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, table = _WordHashes(), shared.value
+        for batch in batches:
+            n, ids, prefixes, sigs = [], [], [], []
+            for raw in _texts(batch):
+                tokens = shingle_set(raw, shingle, hashes)
+                n.append(len(tokens))
+                ids.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None)
+                prefixes.append(_signed(ordered_prefix(tokens, table, percent)) if len(tokens) else [])
+                sigs.append(signature(tokens) if len(tokens) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n", "set_id", "prefix", "sig"])
+
+    return documents.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id long, prefix array<long>, sig binary")
+
+
+def whole_sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """set_id and tokens (binary, sorted 64-bit hashes) of the sets in ``wanted`` (set_id, doc_id of one text that has it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            found = [shingle_set(raw, shingle, hashes) for raw in _texts(batch)]
+            same = [len(t) > 0 and xxhash.xxh3_64_intdigest(t.tobytes()) - (1 << 63) == s for t, s in zip(found, batch.column(0).to_pylist())]
+            keep = pa.array(same)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array([t.tobytes() for t, ok in zip(found, same) if ok], pa.binary())], ["set_id", "tokens"])
+
+    some = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
+    rows = documents.selectExpr("cast(doc_id as long) as doc_id", "text").join(some, "doc_id").select("set_id", "text")
+    return rows.mapInArrow(run, "set_id long, tokens binary").dropDuplicates(["set_id"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose whole sets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(left.as_py(), dtype=np.uint64), np.frombuffer(right.as_py(), dtype=np.uint64)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both = int(np.count_nonzero(y[at] == x))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("left"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("right"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and component (its smallest node) of every node in ``edges`` (a, b), by alternating large and small stars.
+
+    Each round joins edges with the smallest neighbour of a node; both are
+    written first, so that a node with very many edges is split over tasks.
+    """
+    both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    now, state = materialise(both, "edges"), None
+    while True:
+        either = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = materialise(either.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = either.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = materialise(large, "large-star")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        joined = large.join(least, "u")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+        now = materialise(small.filter("u <> v").distinct(), "small-star")
+        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if mark == state:
+            break
+        state = mark
+    roots = now.select(F.col("v").alias("node")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def tree_candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the signature trees of ``rows`` (token, i, j, side, set_id, n, component, sig) leave.
+
+    Each group of equal (token, i, j) has at most two blocks of rows; where
+    i < j only pairs of different blocks are meant.
+    """
+
+    def group_pairs(group: pa.Table) -> pa.RecordBatch | None:
+        ids, n, component, side = (group.column(c).to_numpy() for c in ("set_id", "n", "component", "side"))
+        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint64).reshape(len(ids), SIG_WORDS)
+        cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        found = list(SignatureTree(n, component, side, sigs).pairs(percent, cross))
+        if not found:
+            return None
+        a, b = (ids[np.concatenate(x)] for x in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("token", "i", "j")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                part = batch.slice(start, end - start)
+                if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("token", "i", "j")):
+                    if (found := group_pairs(pa.Table.from_batches(held))) is not None:
+                        yield found
+                    held = []
+                held.append(part)
+        if held and (found := group_pairs(pa.Table.from_batches(held))) is not None:
+            yield found
+
+    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every row of ``documents``.
+
+    Rows are linked where the Jaccard similarity of their shingle sets is at
+    least ``percent`` hundredths; ``component_id`` is the smallest doc_id that
+    links reach, and ``n_links`` counts the verified links of the row's set that
+    were needed to connect it (0 for a text alone; equal sets are linked without
+    one).  No pair of different sets at or above the threshold is left in two
+    components.  Null and empty texts have no set and are linked with nothing.
+    Rows of equal doc_id are rows like others; null doc_ids are ignored in
+    component_id unless a component has no other.
+    """
+    docs = materialise(document_sets(documents, shingle, percent, common_tokens(documents, shingle, percent)), "document-sets")
+    sets = docs.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"))
+    sets = materialise(sets, "distinct-sets")
+
+    # rows of prefix tokens that two or more sets share, with the smallest set as hub
+    order = Window.partitionBy("token").orderBy("set_id")
+    met = sets.select("set_id", F.explode("prefix").alias("token")).withColumns({"hub": F.first("set_id").over(order.rowsBetween(Window.unboundedPreceding, 0)), "after": F.lead("set_id").over(order)})
+    met = materialise(met.filter("hub <> set_id or after is not null").drop("after"), "shared-tokens")
+    wanted = sets.select("set_id", "doc_id", "n", "sig").join(met.select("set_id").distinct(), "set_id", "left_semi")
+    wanted = materialise(wanted, "wanted-sets")
+    tokens = materialise(whole_sets(documents, wanted.select("set_id", "doc_id"), shingle), "whole-sets")
+
+    # first round: each set against the hub it shares most prefix tokens with
+    hubs = met.filter("hub <> set_id").groupBy("set_id", "hub").agg(F.count("*").alias("n")).groupBy("set_id").agg(F.max_by("hub", F.struct("n", F.negative("hub"))).alias("hub"))
+    links = materialise(verified(hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), tokens, percent), "hub-links")
+    first = materialise(components(links), "first-components")
+
+    # second round: what shares a token and is still apart
+    known = materialise(wanted.join(first, F.col("set_id") == F.col("node"), "left").select("set_id", "n", "sig", F.coalesce("component", "set_id").alias("component")), "known-sets")
+    labelled = met.select("token", "set_id").join(known.select("set_id", "component"), "set_id")
+    open_tokens = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high").select("token", "size")
+    open_tokens = materialise(open_tokens, "open-tokens")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    side = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
+    apart = labelled.join(open_tokens, "token").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    apart = apart.select("token", "set_id", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "component")
+    apart = apart.join(known.select("set_id", "n", "sig"), "set_id")
+    candidates = materialise(tree_candidates(apart.select("token", "i", "j", "side", "set_id", "n", "component", "sig"), percent), "candidates")
+    more = verified(candidates, tokens, percent)
+    every = materialise(links.unionByName(more).distinct(), "links")
+    joined = materialise(components(every), "components")
+
+    ends = every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    groups = sets.select("set_id", "doc_id").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").join(ends.withColumnRenamed("node", "set_id"), "set_id", "left")
+    groups = groups.withColumn("component", F.coalesce("component", "set_id"))
+    smallest = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    labels = groups.join(smallest, "component").select("set_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return docs.select("doc_id", "n", "set_id").join(labels, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``documents``, with all their columns, whose doc_id is the smallest of its component.
+
+    Rows of null doc_id stay.  The ids to drop are counted: up to
+    ``MAX_BROADCAST`` they are broadcast, beyond that the anti-join shuffles.
+    """
+    found = near_duplicates(documents.select("doc_id", "text"), shingle, percent)
+    gone = materialise(found.filter("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
+    return documents.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone, "doc_id", "left_anti").select(*documents.columns)
