@@ -1,0 +1 @@
+"""Lodestone: analytics over collections of documents and their metadata, on Spark."""
