@@ -1,7 +1,7 @@
 """Registered queries with their DuckDB twins."""
 
-from . import metadata, search
+from . import graph, metadata, rules, search
 
-_MODULES = (metadata, search)
+_MODULES = (metadata, search, graph, rules)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
