@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +61,15 @@ def ascii_lower(text: Column) -> Column:
 def crc32_of(text: Column) -> Column:
     """Unsigned CRC-32 of a text's UTF-8 bytes; a null text counts as empty."""
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+
+
+def worker_state(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once in a Python worker and kept for its later tasks.
+
+    For models that take long to load and caches that only save work; results
+    must not depend on what is in them.
+    """
+    holder = sys.modules.setdefault("_lodestone_worker_state", types.ModuleType("_lodestone_worker_state"))
+    if key not in holder.__dict__:
+        holder.__dict__[key] = make()
+    return holder.__dict__[key]

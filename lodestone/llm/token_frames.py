@@ -11,8 +11,10 @@ document ends with the end id.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,14 +25,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import new_path
+from .common import new_path, worker_state
 
 #: Fixed values of the seekable format and of skippable frames.
 SEEK_MAGIC, SKIPPABLE, INDEX_SKIPPABLE = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 #: Ids gathered into one frame before it is closed; a longer document fills a frame of its own.
 FRAME_IDS = 65_536
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+#: A full stop or comma between a letter and white space.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 
 class FrameWriter:
@@ -119,35 +123,65 @@ class WordEncoder:
     """Encodes texts with a tokenizer of the tokenizers library whose pre-tokenizer drops white space.
 
     Such a tokenizer never looks across white space, so the library encodes
-    each distinct word once and documents are joined from the words' ids.
+    each distinct word once and documents are joined from the words' ids.  With
+    ``lower_case`` (the tokenizer lower-cases, and splits letters from other
+    characters) a full stop or comma behind a letter is a word of its own.
+    Words are remembered in two generations: when the younger is full, the
+    older, whose words were not met since, is forgotten.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, lower_case: bool = True) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = False
-        self.cache: dict[bytes, bytes] = {}
-        self.limit = cache_words
+        self.limit, self.lower_case = cache_words, lower_case
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab() if suffix else {}
+        self.word_ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool) if suffix else None
+        for piece, i in vocabulary.items():
+            self.word_ends[i] = piece.endswith(suffix)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _words(self, raw: bytes) -> list[bytes]:
+        if self.lower_case and b"<|" not in raw:  # markers of special tokens are case-sensitive
+            raw = _STOP.sub(rb" \1", raw.lower())
+        return raw.split()
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word.  Words of letters alone go to the library in lines of 50, cut up again behind each word's last piece."""
+        found = {}
+        plain = [w for w in words if self.word_ends is not None and w.isalpha()]
+        lines = [plain[k : k + 50] for k in range(0, len(plain), 50)]
+        for line, coded in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(coded.ids, dtype="<u4")
+            ends = (np.flatnonzero(self.word_ends[ids]) + 1).tolist()
+            if len(ends) == len(line):
+                raw = ids.tobytes()
+                found.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(line, [0, *ends], ends))
+        rest = [w for w in words if w not in found]
+        coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        found.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, coded))
+        return [found[w] for w in words]
 
     def encode(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
         """Ids as little-endian bytes of each text (UTF-8), and ``end`` behind each."""
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.cache) if split else set()
-        if new:
-            if len(self.cache) + len(new) > self.limit:
-                self.cache = {}
-                new = set().union(*split)
-            words = list(new)
-            for start in range(0, len(words), 20_000):
-                part = words[start : start + 20_000]
-                for word, found in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                    self.cache[word] = np.array(found.ids, dtype="<u4").tobytes()
-        get = self.cache.__getitem__
+        split = [self._words(t) for t in texts]
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        met = set().union(*split).difference(self.young) if split else set()
+        again = met.intersection(self.old)
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        new = list(met.difference(again))
+        for start in range(0, len(new), 5_000):
+            part = new[start : start + 5_000]
+            self.young.update(zip(part, self._encode_words([w.decode("utf-8", "replace") for w in part])))
+        get = self.young.__getitem__
         return [b"".join(map(get, words)) + end for words in split]
 
 
-def text_chunks(batch: pa.RecordBatch, limit: int = 8_000_000) -> Iterator[tuple[list, list[bytes]]]:
+def text_chunks(batch: pa.RecordBatch, limit: int = 2_000_000) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts (UTF-8, null as empty) of a batch, in runs of about ``limit`` bytes."""
     ids, texts, size = [], [], 0
     names = batch.schema.names
@@ -186,7 +220,7 @@ def write_token_frames(documents: DataFrame, path: str, tokenizer: str, end_id:
         context = TaskContext.get()
         final = f"{folder}/part-{context.partitionId():06d}.tokz"
         draft = f"{folder}/.{context.partitionId():06d}-{context.taskAttemptId()}"
-        encoder, end = WordEncoder(tokenizer), struct.pack("<I", end_id)
+        encoder, end = worker_state(("words", tokenizer), lambda: WordEncoder(tokenizer)), struct.pack("<I", end_id)
         docs = ids = 0
         store.create_dir(folder, recursive=True)
         with store.open_output_stream(draft) as sink:

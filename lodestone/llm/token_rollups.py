@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import worker_state
 from .token_frames import WordEncoder, text_chunks
 
 GROUP = ("source", "lang", "tokenizer")
@@ -46,7 +47,7 @@ def count_tokens(documents: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, source, lang, tokens and clean_tokens (without repeated lines) of every row, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Lengths(tokenizer)
+        encoder = worker_state(("lengths", tokenizer), lambda: _Lengths(tokenizer))
         for batch in batches:
             tokens, cleaned = [], []
             for _, texts in text_chunks(batch):
