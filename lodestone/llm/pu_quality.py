@@ -76,8 +76,9 @@ class Model:
     prior: float
 
     def expand(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.concatenate([z, z * z], axis=1)
+        """Distances from the trusted texts' mean, damped, and how far each lies outside of their usual range."""
+        z = (x - self.mean) / self.scale
+        return np.concatenate([0.3 * np.clip(z, -3, 3), np.log1p(np.maximum(0, np.abs(z) - 2))], axis=1)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.expand(x) @ self.weights + self.bias, -30, 30)))
@@ -115,11 +116,16 @@ def estimate_prior(p_scores: np.ndarray, u_scores: np.ndarray) -> float:
     return float(np.clip(((above_u / np.maximum(above_p, 1e-9)) * (1 + margin)).min(), 0.02, 0.98))
 
 
-def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Fit on two feature matrices; the prior is estimated unless it is given."""
-    both = np.concatenate([positives, unlabelled])
-    blank = Model(both.mean(axis=0), np.maximum(both.std(axis=0), 1e-6), np.zeros(2 * both.shape[1]), 0.0, 0.5)
+def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 600, rate: float = 0.05, decay: float = 10.0) -> Model:
+    """Fit on two feature matrices; the prior is estimated unless it is given.
+
+    ``decay`` is the weight decay of a single positive: the more there are, the
+    less the weights are held back.
+    """
+    spread = np.concatenate([positives, unlabelled]).std(axis=0)
+    blank = Model(positives.mean(axis=0), np.maximum(positives.std(axis=0), 0.1 * spread) + 1e-9, np.zeros(2 * positives.shape[1]), 0.0, 0.5)
     p, u = blank.expand(positives), blank.expand(unlabelled)
+    decay /= len(positives)
     if prior is None:
         w, b = _descend(p, u, 0.5, steps // 2, rate, decay)
         prior = estimate_prior(p @ w + b, u @ w + b)
