@@ -28,7 +28,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in [-1, 1]; 0 if either vector is zero."""
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(unit(a), unit(b)))), F.lit(0.0))
+    # greatest and least skip nulls, so a zero vector's null goes first
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(dot(unit(a), unit(b)), F.lit(0.0))))
 
 
 def similarity_of_distance(distance: Column) -> Column:
