@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: A token found in so many prefixes is common and ordered behind all others.
-COMMON = 64
+COMMON = 16
 #: Bits of the table of common tokens that every task gets: 2 MB, whatever the corpus.
 TABLE_BITS = 1 << 24
-#: Words of 64 bits in a signature, and how many tokens it is meant for.
-SIG_WORDS, SIG_TOKENS = 8, 96
 #: Children of a tree node; rows of a token's group that one task compares at once.
-FANOUT, BLOCK = 8, 4096
+FANOUT, BLOCK = 8, 2048
+#: Sets that share a token are compared pair by pair; groups above this size are compared by family.
+SMALL = 64
 #: Ids broadcast at most (16 bytes each); beyond that a join shuffles.
 MAX_BROADCAST = 2_000_000
 
@@ -86,52 +86,64 @@ def ordered_prefix(tokens: np.ndarray, common: np.ndarray, percent: int) -> np.n
     return rare[:p] if len(rare) >= p else np.concatenate([rare, tokens[is_common == 1][: p - len(rare)]])
 
 
-def signature_class(n) -> np.ndarray:
-    """One token in so many goes into the signature of a set of size ``n``: a power of two."""
-    return np.left_shift(1, np.floor(np.log2(np.maximum(1, np.asarray(n) / SIG_TOKENS))).astype(np.int64))
+def signature(tokens: np.ndarray, sharpness: int = 2) -> bytes:
+    """Bitmap of a set: a bit for each token's hash, in a power of two of bits, ``sharpness`` times the set's size or more."""
+    width = max(64, 1 << int(sharpness * len(tokens) - 1).bit_length())
+    bits = np.zeros(width, dtype=np.uint8)
+    bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def signature(tokens: np.ndarray) -> bytes:
-    """Bitmap of the set's tokens, thinned by ``signature_class``."""
-    some = tokens[(tokens >> np.uint64(40)) % np.uint64(signature_class(len(tokens))) == 0]
-    bits = np.zeros(SIG_WORDS * 64, dtype=np.uint8)
-    bits[(some % np.uint64(SIG_WORDS * 64)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+def folded(signatures: list[bytes], width: int) -> np.ndarray:
+    """Signatures as rows of ``width`` 64-bit words; wider ones are folded, which keeps every token's bit."""
+    out = np.zeros((len(signatures), width), dtype=np.uint64)
+    for row, raw in zip(out, signatures):
+        row[:] = np.bitwise_or.reduce(np.frombuffer(raw, dtype=np.uint64).reshape(-1, width), axis=0)
+    return out
+
+
+def most_overlap(n: np.ndarray, pop: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Most tokens that sets of at most ``n`` tokens and at least ``pop`` bits can share, with ``shared`` bits in common.
+
+    Each bit beyond those in common is a token that the other side lacks.
+    """
+    return n - np.maximum(0, pop - shared)
 
 
 class SignatureTree:
-    """Levels of nodes over the rows of one group; level 0 is the rows themselves."""
+    """Levels of nodes over some rows; level 0 is the rows themselves.
+
+    A node holds the OR of its rows' bitmaps, the least number of their bits,
+    and ranges of their set sizes, components and sides.  ``own`` marks rows of
+    which a pair needs at least one.
+    """
 
-    def __init__(self, sizes: np.ndarray, components: np.ndarray, sides: np.ndarray, signatures: np.ndarray) -> None:
+    def __init__(self, sizes: np.ndarray, components: np.ndarray, sides: np.ndarray, own: np.ndarray, signatures: np.ndarray) -> None:
         self.order = np.lexsort((sizes, components))
-        n, c, s, sig = sizes[self.order], components[self.order], sides[self.order], signatures[self.order]
-        klass, pop = signature_class(n), np.bitwise_count(sig).sum(axis=1).astype(np.int64)
-        self.levels = [(sig, n, n, pop, klass, klass, c, c, s, s)]
+        n, c, s, o, bits = sizes[self.order], components[self.order], sides[self.order], own[self.order], signatures[self.order]
+        self.levels = [(bits, np.bitwise_count(bits).sum(axis=1, dtype=np.int64), n, n, c, c, s, s, o)]
+        low, high = np.minimum.reduceat, np.maximum.reduceat
         while len(self.levels[-1][0]) > FANOUT:
-            bits, n0, n1, p, k0, k1, c0, c1, s0, s1 = self.levels[-1]
+            bits, pop, n0, n1, c0, c1, s0, s1, o = self.levels[-1]
             at = np.arange(0, len(n0), FANOUT)
-            low, high = np.minimum.reduceat, np.maximum.reduceat
-            self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), low(n0, at), high(n1, at), low(p, at), low(k0, at), high(k1, at), low(c0, at), high(c1, at), low(s0, at), high(s1, at)))
+            self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), low(pop, at), low(n0, at), high(n1, at), low(c0, at), high(c1, at), low(s0, at), high(s1, at), np.logical_or.reduceat(o, at)))
 
     def may_link(self, level: int, i: np.ndarray, j: np.ndarray, percent: int, cross: bool) -> np.ndarray:
         """Whether rows below nodes ``i`` and ``j`` could reach the threshold and are still apart."""
-        bits, n0, n1, pop, k0, k1, c0, c1, s0, s1 = self.levels[level]
-        keep = ~((c0[i] == c1[i]) & (c0[j] == c1[j]) & (c0[i] == c0[j]))
+        bits, pop, n0, n1, c0, c1, s0, s1, own = self.levels[level]
+        keep = (own[i] | own[j]) & ~((c0[i] == c1[j]) & (c1[i] == c0[j]))
         if cross:
-            keep &= ~((s0[i] == s1[i]) & (s0[j] == s1[j]) & (s0[i] == s0[j]))
+            keep &= ~((s0[i] == s1[j]) & (s1[i] == s0[j]))
         keep &= (100 * n1[i] >= percent * n0[j]) & (100 * n1[j] >= percent * n0[i])
-        shared = np.bitwise_count(bits[i] & bits[j]).sum(axis=1).astype(np.int64)
-        # a set bit of one side that the other lacks is a token of one that the other lacks, if it could be there at all
-        most_i = n1[i] - np.where(k0[i] >= k1[j], np.maximum(0, pop[i] - shared), 0)
-        most_j = n1[j] - np.where(k0[j] >= k1[i], np.maximum(0, pop[j] - shared), 0)
-        most = np.minimum(most_i, most_j)
+        shared = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(most_overlap(n1[i], pop[i], shared), most_overlap(n1[j], pop[j], shared))
         return keep & ((100 + percent) * most >= percent * (n0[i] + n0[j]))
 
     def pairs(self, percent: int, cross: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of rows that no bound rules out; with ``cross`` only pairs of different sides."""
         top = len(self.levels) - 1
-        i, j = np.triu_indices(len(self.levels[top][1]))
-        stack = [(top, i, j)]
+        stack = [(top, *np.triu_indices(len(self.levels[top][1])))]
+        child = np.arange(FANOUT)
         while stack:
             level, i, j = stack.pop()
             if len(i) > 20_000:
@@ -146,13 +158,28 @@ class SignatureTree:
                 yield self.order[i[own]], self.order[j[own]]
                 continue
             width = len(self.levels[level - 1][1])
-            child = np.arange(FANOUT)
             a = (i[:, None] * FANOUT + np.repeat(child, FANOUT)[None, :]).ravel()
             b = (j[:, None] * FANOUT + np.tile(child, FANOUT)[None, :]).ravel()
             inside = (a <= b) & (a < width) & (b < width)
             stack.append((level - 1, a[inside], b[inside]))
 
 
+def group_candidates(n: np.ndarray, components: np.ndarray, sides: np.ndarray, signatures: list[bytes], percent: int, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group that could link, by trees over signatures of one width.
+
+    Sets that can link differ in size by less than half, so their widths are
+    equal or next to each other: each width has a tree with its own rows and
+    the folded rows of the width above.
+    """
+    widths = np.array([len(x) // 8 for x in signatures])
+    for width in np.unique(widths).tolist():
+        at = np.flatnonzero((widths == width) | (widths == 2 * width))
+        if len(at) > 1:
+            tree = SignatureTree(n[at], components[at], sides[at], widths[at] == width, folded([signatures[k] for k in at], width))
+            for i, j in tree.pairs(percent, cross):
+                yield at[i], at[j]
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     for text in batch.column(batch.schema.names.index("text")).cast(pa.binary()):
         yield text.as_py() or b""
@@ -231,28 +258,66 @@ def whole_sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFra
 
     some = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
     rows = documents.selectExpr("cast(doc_id as long) as doc_id", "text").join(some, "doc_id").select("set_id", "text")
-    return rows.mapInArrow(run, "set_id long, tokens binary").dropDuplicates(["set_id"])
+    return rows.mapInArrow(run, "set_id long, tokens binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose whole sets reach the threshold."""
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set ids that sizes and signatures (of ``sets``) do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(left.as_py(), dtype=np.uint64), np.frombuffer(right.as_py(), dtype=np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int(np.count_nonzero(y[at] == x))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for m, x, n, y in zip(*(batch.column(c).to_pylist() for c in ("m", "x", "n", "y"))):
+                ok = 100 * m >= percent * n and 100 * n >= percent * m
+                if ok:
+                    a, b = folded([x, y], min(len(x), len(y)) // 8)
+                    pop, shared = np.bitwise_count(np.stack([a, b])).sum(axis=1, dtype=np.int64), np.bitwise_count(a & b).sum(dtype=np.int64)
+                    most = most_overlap(np.array([m, n]), pop, shared).min()
+                    ok = (100 + percent) * most >= percent * (m + n)
+                keep.append(bool(ok))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("m"), F.col("sig").alias("x"))
+    right = sets.select(F.col("set_id").alias("b"), "n", F.col("sig").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if 100 * len(x) < percent * len(y) or 100 * len(y) < percent * len(x):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int(np.count_nonzero(y[at] == x))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def verified(documents: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose whole sets reach the threshold.
+
+    Whole sets are made anew from one text of each set that stands in a pair;
+    only those travel.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(batch.column(2), batch.column(3))
+            keep = [similar(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64), percent) for x, y in sides]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("right"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    tokens = wanted_sets(documents, sets, ends, shingle)
+    left = tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("left"))
+    right = tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("right"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return joined.mapInArrow(run, "a long, b long")
 
 
+def wanted_sets(documents: DataFrame, sets: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """set_id and tokens of the sets named in ``ids``."""
+    wanted = materialise(sets.select("set_id", "doc_id").join(ids, "set_id", "left_semi"), "wanted-sets")
+    return materialise(whole_sets(documents, wanted, shingle), "whole-sets")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node in ``edges`` (a, b), by alternating large and small stars.
 
@@ -278,40 +343,66 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def tree_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the signature trees of ``rows`` (token, i, j, side, set_id, n, component, sig) leave.
-
-    Each group of equal (token, i, j) has at most two blocks of rows; where
-    i < j only pairs of different blocks are meant.
-    """
-
-    def group_pairs(group: pa.Table) -> pa.RecordBatch | None:
-        ids, n, component, side = (group.column(c).to_numpy() for c in ("set_id", "n", "component", "side"))
-        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint64).reshape(len(ids), SIG_WORDS)
-        cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-        found = list(SignatureTree(n, component, side, sigs).pairs(percent, cross))
-        if not found:
-            return None
-        a, b = (ids[np.concatenate(x)] for x in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def by_group(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """Deal ``rows`` out by ``keys`` and give each group, as a table, to ``work``, which returns a batch or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("token", "i", "j")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            values = np.stack([batch.column(c).to_numpy() for c in keys])
+            cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
             for start, end in zip(cuts, cuts[1:]):
                 part = batch.slice(start, end - start)
-                if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("token", "i", "j")):
-                    if (found := group_pairs(pa.Table.from_batches(held))) is not None:
+                if held and any(held[0].column(c)[0] != part.column(c)[0] for c in keys):
+                    if (found := work(pa.Table.from_batches(held))) is not None:
                         yield found
                     held = []
                 held.append(part)
-        if held and (found := group_pairs(pa.Table.from_batches(held))) is not None:
+        if held and (found := work(pa.Table.from_batches(held))) is not None:
             yield found
 
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def tree_candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the signature trees of small groups leave: rows are token, set_id, n, component, sig."""
+
+    def work(group: pa.Table) -> pa.RecordBatch | None:
+        ids, n, component = (group.column(c).to_numpy() for c in ("set_id", "n", "component"))
+        found = list(group_candidates(n, component, np.zeros(len(n), dtype=np.int64), group.column("sig").to_pylist(), percent, False))
+        if not found:
+            return None
+        a, b = (ids[np.concatenate(x)] for x in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return by_group(rows, ["token"], work, "a long, b long").distinct()
+
+
+def family_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join up what can be joined in each family: rows are family, i, j, side, set_id, component, tokens.
+
+    A group of equal (family, i, j) has at most two blocks of a family; where
+    i < j only pairs of different blocks are meant.  The group's signature tree
+    gives pairs that could link; each is verified on the whole sets unless
+    links found before connect its sets already, so a family of copies costs
+    about one verification a copy.
+    """
+
+    def work(group: pa.Table) -> pa.RecordBatch | None:
+        ids, component, side = (group.column(c).to_numpy() for c in ("set_id", "component", "side"))
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("tokens").to_pylist()]
+        cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        _, root = np.unique(component, return_inverse=True)
+        links = []
+        for i, j in group_candidates(np.array([len(s) for s in sets]), component, side, [signature(s, 16) for s in sets], percent, cross):
+            apart = root[i] != root[j]
+            for a, b in zip(i[apart].tolist(), j[apart].tolist()):
+                if root[a] != root[b] and similar(sets[a], sets[b], percent):
+                    root[root == root[b]] = root[a]
+                    links.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"]) if links else None
+
+    return by_group(rows, ["family", "i", "j"], work, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -326,6 +417,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     Rows of equal doc_id are rows like others; null doc_ids are ignored in
     component_id unless a component has no other.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is 50 to 100: sets of one pair may differ in size by no more than half")
     docs = materialise(document_sets(documents, shingle, percent, common_tokens(documents, shingle, percent)), "document-sets")
     sets = docs.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"))
     sets = materialise(sets, "distinct-sets")
@@ -334,27 +427,36 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     order = Window.partitionBy("token").orderBy("set_id")
     met = sets.select("set_id", F.explode("prefix").alias("token")).withColumns({"hub": F.first("set_id").over(order.rowsBetween(Window.unboundedPreceding, 0)), "after": F.lead("set_id").over(order)})
     met = materialise(met.filter("hub <> set_id or after is not null").drop("after"), "shared-tokens")
-    wanted = sets.select("set_id", "doc_id", "n", "sig").join(met.select("set_id").distinct(), "set_id", "left_semi")
-    wanted = materialise(wanted, "wanted-sets")
-    tokens = materialise(whole_sets(documents, wanted.select("set_id", "doc_id"), shingle), "whole-sets")
 
     # first round: each set against the hub it shares most prefix tokens with
     hubs = met.filter("hub <> set_id").groupBy("set_id", "hub").agg(F.count("*").alias("n")).groupBy("set_id").agg(F.max_by("hub", F.struct("n", F.negative("hub"))).alias("hub"))
-    links = materialise(verified(hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), tokens, percent), "hub-links")
+    pairs = materialise(plausible(hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), sets, percent), "hub-pairs")
+    links = materialise(verified(documents, pairs, sets, shingle, percent), "hub-links")
     first = materialise(components(links), "first-components")
 
     # second round: what shares a token and is still apart
-    known = materialise(wanted.join(first, F.col("set_id") == F.col("node"), "left").select("set_id", "n", "sig", F.coalesce("component", "set_id").alias("component")), "known-sets")
+    known = materialise(sets.join(met.select("set_id").distinct(), "set_id", "left_semi").join(first, F.col("set_id") == F.col("node"), "left").select("set_id", "n", "sig", F.coalesce("component", "set_id").alias("component")), "known-sets")
     labelled = met.select("token", "set_id").join(known.select("set_id", "component"), "set_id")
-    open_tokens = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high").select("token", "size")
-    open_tokens = materialise(open_tokens, "open-tokens")
+    # tokens that the very same sets share are one group: their members' hashes tell
+    mark = [F.bit_xor(F.xxhash64("set_id", F.lit(seed))).alias(f"mark{seed}") for seed in (1, 2)]
+    shared = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), *mark)
+    open_tokens = materialise(shared.filter("low <> high").groupBy("size", "mark1", "mark2").agg(F.min("token").alias("token")).select("token", "size"), "open-tokens")
+    apart = materialise(met.join(open_tokens, "token"), "open-groups")
+
+    # small groups: pairs that their trees leave, each verified once
+    few = apart.filter(F.col("size") <= SMALL).select("token", "set_id").join(known, "set_id").select("token", "set_id", "n", "component", "sig")
+    candidates = materialise(tree_candidates(few, percent), "candidates")
+    pair_links = materialise(verified(documents, candidates, sets, shingle, percent), "pair-links")
+
+    # large groups: families of sets that large groups chain together, each set sent once with its tokens
+    many = materialise(components(apart.filter(F.col("size") > SMALL).select(F.col("hub").alias("a"), F.col("set_id").alias("b"))), "families")
+    tokens = wanted_sets(documents, sets, many.select(F.col("node").alias("set_id")), shingle)
+    size = many.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("size"))
+    members = many.select(F.col("node").alias("set_id"), F.col("component").alias("family")).join(size, "family").join(known.select("set_id", "component"), "set_id")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    side = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
-    apart = labelled.join(open_tokens, "token").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    apart = apart.select("token", "set_id", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "component")
-    apart = apart.join(known.select("set_id", "n", "sig"), "set_id")
-    candidates = materialise(tree_candidates(apart.select("token", "i", "j", "side", "set_id", "n", "component", "sig"), percent), "candidates")
-    more = verified(candidates, tokens, percent)
+    placed = members.withColumn("side", F.pmod(F.xxhash64("set_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "set_id", "component").join(tokens, "set_id")
+    more = pair_links.unionByName(family_links(placed, percent))
     every = materialise(links.unionByName(more).distinct(), "links")
     joined = materialise(components(every), "components")
 
