@@ -80,3 +80,57 @@ def span_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     b = right.select("source_path", F.col("chunk_id").alias("right_id"), F.col("line_start").alias("rs"), F.col("line_end").alias("re"))
     shared = F.least("le", "re") - F.greatest("ls", "rs") + 1
     return a.join(b, "source_path").withColumn("overlap", shared).filter("overlap > 0").select("source_path", "left_id", "right_id", "overlap")
+
+
+def greedy_span_matches(ranked: DataFrame, judged: DataFrame) -> DataFrame:
+    """query_id, rank, target_id: each ranked span, in order, takes the free judged span it overlaps most.
+
+    ranked: query_id, rank, source_path, line_start, line_end.  judged:
+    query_id, target_id, source_path, line_start, line_end.  Of equal overlaps
+    the smallest target_id is taken.  A query's candidates are folded in order
+    of rank; their number is bounded by its own ranked and judged spans.
+    """
+    a = ranked.select("query_id", "rank", "source_path", F.col("line_start").alias("ls"), F.col("line_end").alias("le"))
+    b = judged.select("query_id", "target_id", "source_path", F.col("line_start").alias("rs"), F.col("line_end").alias("re"))
+    shared = F.least("le", "re") - F.greatest("ls", "rs") + 1
+    pairs = a.join(b, ["query_id", "source_path"]).withColumn("overlap", shared).filter("overlap > 0")
+    options = pairs.groupBy("query_id", "rank").agg(F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("less"), "target_id"))).alias("options"))
+    ordered = options.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "options"))).alias("rows"))
+    kind = dict(judged.dtypes)["target_id"]
+    start = F.array().cast(f"array<struct<rank:{dict(ranked.dtypes)['rank']},target_id:{kind}>>")
+
+    def take(done, row):
+        used = F.transform(done, lambda x: x["target_id"])
+        free = F.filter(row["options"], lambda o: ~F.array_contains(used, o["target_id"]))
+        first = F.try_element_at(free, F.lit(1))
+        return F.when(first.isNull(), done).otherwise(F.concat(done, F.array(F.struct(row["rank"].alias("rank"), first["target_id"].alias("target_id")))))
+
+    return ordered.select("query_id", F.explode(F.aggregate("rows", start, take)).alias("m")).select("query_id", "m.rank", "m.target_id")
+
+
+def answer_metrics(ranking: DataFrame, relevant: DataFrame, queries: DataFrame, k: int, *group: str) -> DataFrame:
+    """queries, answerable, top1, recall, mrr and unanswerable_hits by group.
+
+    A query without relevant ids is unanswerable; for those only the number of
+    queries that got candidates is counted.
+    """
+    hits = ranking.filter(F.col("rank") <= k)
+    first = hits.join(relevant, ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first"), F.count_distinct("id").alias("found"))
+    known = relevant.groupBy("query_id").agg(F.count_distinct("id").alias("relevant"))
+    got = hits.select("query_id").distinct().withColumn("got", F.lit(True))
+    rows = queries.join(known, "query_id", "left").join(first, "query_id", "left").join(got, "query_id", "left")
+    can = F.col("relevant").isNotNull()
+    mean = lambda x, name: F.round(F.avg(F.when(can, x)), 6).alias(name)
+    return (rows.groupBy(*group) if group else rows).agg(
+        F.count("*").alias("queries"),
+        F.count_if(can).alias("answerable"),
+        mean(F.when(F.col("first") == 1, 1.0).otherwise(0.0), "top1"),
+        mean(F.coalesce(F.col("found") / F.col("relevant"), F.lit(0.0)), "recall"),
+        mean(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), "mrr"),
+        F.count_if(~can & F.coalesce("got", F.lit(False))).alias("unanswerable_hits"),
+    )
+
+
+def unscorable(qrels: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Judgments of ids that no chunk has; an evaluation must refuse them."""
+    return qrels.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_anti")

@@ -125,3 +125,24 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
         ring = next_.join(reached, "node", "left_anti").withColumn("distance", F.lit(hop))
         reached = reached.unionByName(ring)
     return reached
+
+
+def numbered_nodes(edges: DataFrame, concepts: DataFrame) -> DataFrame:
+    """node and name (n0, n1 ...) of concepts (node) and of targets that are no concepts, for renderers of one graph."""
+    from pyspark.sql import Window
+
+    ends = edges.select(F.col("target").alias("node")).join(concepts, "node", "left_anti").distinct().withColumn("virtual", F.lit(True))
+    every = concepts.select("node").distinct().withColumn("virtual", F.lit(False)).unionByName(ends)
+    return every.withColumn("name", F.concat(F.lit("n"), (F.row_number().over(Window.orderBy("virtual", "node")) - 1).cast("string")))
+
+
+def render(edges: DataFrame, concepts: DataFrame, form: str = "dot") -> str:
+    """A graph of at most some thousand nodes as DOT or Mermaid text."""
+    if form not in ("dot", "mermaid"):
+        raise ValueError("form is dot or mermaid")
+    quote = lambda s: s.replace("\\", "\\\\").replace('"', '\\"' if form == "dot" else "#quot;").replace("\n", " ")
+    names = {r.node: r.name for r in numbered_nodes(edges, concepts).collect()}
+    links = sorted({(names[r.source], names[r.target]) for r in edges.select("source", "target").distinct().collect()}, key=lambda x: (int(x[0][1:]), int(x[1][1:])))
+    if form == "dot":
+        return "\n".join(["digraph {", *(f'  {n} [label="{quote(x)}"];' for x, n in names.items()), *(f"  {a} -> {b};" for a, b in links), "}"])
+    return "\n".join(["graph LR", *(f'  {n}["{quote(x)}"]' for x, n in names.items()), *(f"  {a} --> {b}" for a, b in links)])

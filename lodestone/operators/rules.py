@@ -191,3 +191,26 @@ def directory_index(concepts: DataFrame) -> DataFrame:
     line = F.concat(F.lit("* ["), F.coalesce("title", name), F.lit("]("), name, F.lit(")"))
     rows = concepts.groupBy(folder.alias("folder")).agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), line.alias("line")))).alias("lines"))
     return rows.select(F.concat("folder", F.lit("index.md")).alias("path"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"))
+
+
+def actors(documents: DataFrame) -> DataFrame:
+    """actor and path of everyone named in generated.by, verified[].by and sources[].author; blank names are left out."""
+    named = F.concat(F.array(F.col("generated")["by"]), F.transform(F.coalesce("verified", F.array()), lambda v: v["by"]), F.transform(F.coalesce("sources", F.array()), lambda s: s["author"]))
+    return documents.select("path", F.explode(F.filter(named, lambda x: F.trim(x) != "")).alias("actor"))
+
+
+def first_uses(uses: DataFrame) -> DataFrame:
+    """actor, first path and number of uses, from rows (actor, path, seq)."""
+    return uses.groupBy("actor").agg(F.min_by("path", F.struct("seq", "path")).alias("first_path"), F.count("*").alias("uses"))
+
+
+def broken_links(resolved: DataFrame) -> DataFrame:
+    """Findings for links that name nothing in the collection, once for each document and target."""
+    bad = resolved.filter(F.col("resolution").isin("unresolved", "invalid")).select("source", "raw_target").distinct()
+    return bad.select(F.lit("path-targets-exist").alias("rule_id"), F.lit("error").alias("severity"), F.col("source").alias("path"), F.col("raw_target").alias("failing"))
+
+
+def repeated_elements(facts: DataFrame, fact: str) -> DataFrame:
+    """path, value and n of elements that a list fact holds more than once."""
+    each = facts.select("path", F.explode(fact).alias("value"))
+    return each.groupBy("path", "value").agg(F.count("*").alias("n")).filter("n > 1")

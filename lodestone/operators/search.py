@@ -209,3 +209,38 @@ def expand_links(matches: DataFrame, edges: DataFrame, first_passages: DataFrame
     once = new.withColumn("__n", F.row_number().over(first)).filter("__n = 1")
     order = Window.partitionBy("query_id").orderBy("rank", "ordinal", "via", "document")
     return once.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k).select("query_id", "position", "via", "document", "passage_id")
+
+
+def governing_chains(governing: dict[str, str], known: set[str] | None = None) -> dict[str, list[str]]:
+    """For each document the documents that govern it, nearest first; cycles and unknown paths are refused."""
+    if known is not None and (lost := (set(governing) | set(governing.values())) - known):
+        raise ValueError(f"unknown paths: {sorted(lost)}")
+    chains = {}
+    for path in governing:
+        chain, at = [], path
+        while at in governing:
+            at = governing[at]
+            if at == path or at in chain:
+                raise ValueError(f"{path} governs itself")
+            chain.append(at)
+        chains[path] = chain
+    return chains
+
+
+def with_governors(matches: DataFrame, governing: dict[str, str]) -> DataFrame:
+    """Matches (query_id, document, rank) with the documents that govern them before them; each document once a query.
+
+    Returns query_id, document and place (from 1), in order of rank, a
+    governor before what it governs.
+    """
+    chains = governing_chains(governing)
+    rows = [(d, len(c) - k, g) for d, c in chains.items() for k, g in enumerate(c)]
+    steps = matches.sparkSession.createDataFrame(rows, "document string, up int, governor string") if rows else None
+    own = matches.select("query_id", "rank", F.lit(1_000_000).alias("up"), "document")
+    if steps is not None:
+        # the map is a driver-side setting, a few rows
+        above = matches.join(F.broadcast(steps), "document").select("query_id", "rank", "up", F.col("governor").alias("document"))
+        own = own.unionByName(above)
+    first = own.groupBy("query_id", "document").agg(F.min(F.struct("rank", "up")).alias("at"))
+    order = Window.partitionBy("query_id").orderBy("at.rank", "at.up", "document")
+    return first.withColumn("place", F.row_number().over(order)).select("query_id", "document", "place")

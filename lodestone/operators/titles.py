@@ -78,3 +78,35 @@ def directories(files: DataFrame) -> DataFrame:
     """
     above = files.select(F.explode(implied_directories(F.col("path"))).alias("directory"))
     return above.groupBy("directory").agg(F.count("*").alias("n_files")).withColumn("depth", F.size(F.split("directory", "/")) - 1)
+
+
+def letters_in_order(text: Column, needle: str) -> Column:
+    """Score of a text that holds the letters of ``needle`` in order: 300, less 4 a skipped letter and 6 a run; 0 for none.
+
+    Letters that lie too far apart do not count, nor does a single letter.
+    """
+    letters = [c for c in needle if c != " "]
+    if len(needle) < 2 or not letters:
+        return F.lit(0)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("gaps"), F.lit(0).alias("runs"), F.lit(True).alias("ok"))
+
+    def step(done: Column, letter: Column) -> Column:
+        found = F.call_function("instr", F.substring(text, done["at"] + 1, F.length(text)), letter)
+        return F.struct(
+            (done["at"] + found).alias("at"),
+            (done["gaps"] + F.greatest(found - 1, F.lit(0))).alias("gaps"),
+            (done["runs"] + F.when((found == 1) & (done["runs"] > 0), 0).otherwise(1)).alias("runs"),
+            (done["ok"] & (found > 0)).alias("ok"),
+        )
+
+    end = F.aggregate(F.array(*map(F.lit, letters)), start, step)
+    score = 300 - end["gaps"] * 4 - end["runs"] * 6
+    return F.when(text.isNotNull() & end["ok"] & (end["gaps"] <= len(needle) * 3 + 6) & (score > 0), score).otherwise(0)
+
+
+def loose_title_matches(concepts: DataFrame, query: str) -> DataFrame:
+    """``title_matches``, and titles that only hold the query's letters in order, with their lower scores."""
+    needle = " ".join(query.lower().split())
+    exact = title_matches(concepts, query)
+    loose = concepts.join(exact.select("id"), "id", "left_anti").select("id", "title", letters_in_order(F.lower("title"), needle).alias("score")).filter("score > 0")
+    return exact.unionByName(loose.withColumn("score", (F.col("score") + WHOLE_QUERY).cast("int")))

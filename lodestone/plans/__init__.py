@@ -1,7 +1,7 @@
 """Registered queries with their DuckDB twins."""
 
-from . import graph, metadata, passages, rules, search
+from . import graph, metadata, more, passages, rules, search
 
-_MODULES = (metadata, search, graph, rules, passages)
+_MODULES = (metadata, search, graph, rules, passages, more)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
