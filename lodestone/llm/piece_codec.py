@@ -18,9 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import worker_state
 from .token_frames import text_chunks
 
 MARK = "▁"
+#: New words that go through the library in one line.
+LINE = 64
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
@@ -79,7 +82,7 @@ class PieceCodec:
     with markers of their own are encoded whole.
     """
 
-    def __init__(self, model_path: str, threads: int = 2, cache_words: int = 300_000) -> None:
+    def __init__(self, model_path: str, threads: int = 2, cache_words: int = 150_000) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
@@ -89,10 +92,23 @@ class PieceCodec:
         self.threads, self.limit = threads, cache_words
         self.by_word = self.tokenizer.pre_tokenizer is not None
         self.cache: dict[str, bytes] = {}
+        self.starts = np.array([self.tokenizer.id_to_token(i).startswith(MARK) for i in range(self.tokenizer.get_vocab_size())])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode words in lines of ``LINE``, and cut the ids up again where a piece starts with the marker."""
+        lines = [words[k : k + LINE] for k in range(0, len(words), LINE)]
+        for line, raw in zip(lines, self._whole([" ".join(x) for x in lines])):
+            runs = self._runs(raw)
+            self.cache.update(zip(line, runs if runs and len(runs) == len(line) else self._whole(line)))
+
+    def _runs(self, raw: bytes) -> list[bytes] | None:
+        """Ids cut up before each piece that starts with the marker; None if the first does not."""
+        cuts = (4 * np.flatnonzero(self.starts[np.frombuffer(raw, dtype="<u4")])).tolist()
+        return [raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)])] if cuts[:1] == [0] else None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         single = [self.by_word and t != "" and "  " not in t and MARK not in t and t[0] != " " and t[-1] != " " for t in texts]
@@ -100,15 +116,16 @@ class PieceCodec:
         words = set().union(*split) if split else set()
         new = words.difference(self.cache)
         if len(self.cache) + len(new) > self.limit:
-            self.cache, new = {}, words
-        part = list(new)
-        self.cache.update(zip(part, self._whole(part)))
+            # only the words of this batch stay
+            self.cache = {w: self.cache[w] for w in words.intersection(self.cache)}
+        self._learn(list(new))
         get = self.cache.__getitem__
         joined = iter([b"".join(map(get, w)) for w in split])
         rest = iter(self._whole([t for t, ok in zip(texts, single) if not ok]))
         return [next(joined) if ok else next(rest) for ok in single]
 
     def decode(self, ids: list[bytes]) -> list[str]:
+        """Texts of ids, whole."""
         return self.tokenizer.decode_batch([np.frombuffer(x, dtype="<u4").tolist() for x in ids], skip_special_tokens=False)
 
     def expected(self, texts: list[str]) -> list[bytes]:
@@ -127,7 +144,7 @@ def encode_pieces(documents: DataFrame, model_path: str, with_ids: bool = False,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model_path, threads)
+        codec = worker_state(("pieces", model_path, threads), lambda: PieceCodec(model_path, threads))
         for batch in batches:
             for doc_ids, raw in text_chunks(batch, 2_000_000):
                 texts = [t.decode("utf-8", "replace") for t in raw]
