@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
 ``op2`` (keyed permutations), ``op4``, ``op7`` and ``op9`` (public tokenizers),
-``op5`` (transitive links), ``op6`` (a learnt model) and ``pipeline`` are beyond
+``op6`` (a learnt model) and ``pipeline`` are beyond
 it; tests hold them against brute force.
 """
 
@@ -78,6 +78,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(with_words - different AS BI
 FROM based LEFT JOIN loss USING (r)
 """
 
+OP5 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(words[i:i + 3], ' ') AS s
+  FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 4, 0) + 2)) AS i FROM d WHERE len(words) > 0)
+), sizes AS (
+  SELECT r, count(*) AS n FROM shingles GROUP BY 1
+), common AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common c JOIN sizes x ON c.a = x.r JOIN sizes y ON c.b = y.r WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)
+), ends AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT r AS a, r AS b FROM d
+  UNION
+  SELECT reach.a, ends.b FROM reach JOIN ends ON reach.b = ends.a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN sizes USING (r) JOIN (SELECT a, min(o.doc_id) AS component_id FROM reach JOIN d o ON reach.b = o.r GROUP BY 1) c ON d.r = c.a
+"""
+
 _OP8_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP8 = f"""
@@ -121,4 +146,4 @@ FROM whole w JOIN chats c ON w.conv_id = c.conv_id
 WHERE chain NOT IN (SELECT chain FROM prefixes WHERE k < n)
 """
 
-ORACLES = {"op1_histogram_shards": OP1, "op3_line_cleaning": OP3, "op8_decontamination": OP8, "op10_chat_snapshots": OP10}
+ORACLES = {"op1_histogram_shards": OP1, "op3_line_cleaning": OP3, "op5_signature_join": OP5, "op8_decontamination": OP8, "op10_chat_snapshots": OP10}
