@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,8 +12,14 @@ def input_hash(text: Column) -> Column:
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """``rows`` with ``is_first``: whether a row is the first of its key."""
-    return rows.withColumn("is_first", F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1)
+    """``rows`` with ``is_first``: whether a row has the smallest ``order`` of its key.
+
+    The smallest is found by a combined aggregate and joined back by key and
+    order, so that a key that very many rows share is not one task's work.
+    """
+    first = rows.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col(order) == F.col("__first"))
+    return rows.join(first, same, "left").withColumn("is_first", F.col("__first").isNotNull()).drop("__key", "__first")
 
 
 def conflicting_ids(rows: DataFrame, key: str, text: str) -> DataFrame:
