@@ -28,6 +28,11 @@ ANY = "|".join((EMAIL, SECRET, PHONE, IPV4, DATE, SSN, CARD))
 FIRST_DAY, DATE_RADIX = "1800-01-01", (189, 773)
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _mix(key: str, label: Column, round_: Column, half: Column) -> Column:
     """A keyed 60-bit number for one round."""
     said = F.concat_ws("|", F.lit(key), label, round_.cast("string"), half.cast("string"))
@@ -54,37 +59,46 @@ def feistel(key: str, label: Column, left: Column, right: Column, left_size: Col
 
 def permute_digits(key: str, label: str, digits: Column) -> Column:
     """Permute a string of 2 to 36 digits within the strings of its length."""
-    n = F.length(digits)
-    half = F.floor(n / 2).try_cast("int")
-    sizes = F.rpad(F.lit("1"), half + 1, "0").try_cast("long"), F.rpad(F.lit("1"), n - half + 1, "0").try_cast("long")
-    left, right = F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, n - half)
-    out = feistel(key, F.concat_ws("/", F.lit(label), n.cast("string")), left, right, *sizes)
-    return F.concat(F.lpad(out["l"].cast("string"), half, "0"), F.lpad(out["r"].cast("string"), n - half, "0"))
+
+    def run(d: Column) -> Column:
+        n = F.length(d)
+        half = F.floor(n / 2).try_cast("int")
+        sizes = F.rpad(F.lit("1"), half + 1, "0").try_cast("long"), F.rpad(F.lit("1"), n - half + 1, "0").try_cast("long")
+        pair = feistel(key, F.concat_ws("/", F.lit(label), n.cast("string")), F.substring(d, F.lit(1), half), F.substring(d, half + 1, n - half), *sizes)
+        return let(pair, lambda out: F.concat(F.lpad(out["l"].cast("string"), half, "0"), F.lpad(out["r"].cast("string"), n - half, "0")))
+
+    return let(digits, run)
 
 
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum of a digit string."""
-    n = F.length(digits)
-    places = F.sequence(F.lit(1), n)
 
-    def add(total: Column, place: Column) -> Column:
-        digit = F.substring(digits, place, F.lit(1)).try_cast("int")
-        twice = digit * 2 - F.when(digit > 4, 9).otherwise(0)
-        return total + F.when((n - place) % 2 == 1, twice).otherwise(digit)
+    def run(d: Column) -> Column:
+        n = F.length(d)
 
-    return F.aggregate(places, F.lit(0), add)
+        def add(total: Column, place: Column) -> Column:
+            digit = F.substring(d, place, F.lit(1)).try_cast("int")
+            twice = digit * 2 - F.when(digit > 4, 9).otherwise(0)
+            return total + F.when((n - place) % 2 == 1, twice).otherwise(digit)
+
+        return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+
+    return let(digits, run)
 
 
 def fill_digits(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced, one by one, by those of ``digits``."""
 
-    def put(done: Column, place: Column) -> Column:
-        char = F.substring(shape, place, F.lit(1))
-        is_digit = char.between("0", "9")
-        taken = done["used"] + F.when(is_digit, 1).otherwise(0)
-        return F.struct(F.concat(done["text"], F.when(is_digit, F.substring(digits, taken, F.lit(1))).otherwise(char)).alias("text"), taken.alias("used"))
+    def run(fresh: Column) -> Column:
+        def put(done: Column, place: Column) -> Column:
+            char = F.substring(shape, place, F.lit(1))
+            is_digit = char.between("0", "9")
+            taken = done["used"] + F.when(is_digit, 1).otherwise(0)
+            return F.struct(F.concat(done["text"], F.when(is_digit, F.substring(fresh, taken, F.lit(1))).otherwise(char)).alias("text"), taken.alias("used"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(shape)), F.struct(F.lit("").alias("text"), F.lit(0).alias("used")), put)["text"]
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(shape)), F.struct(F.lit("").alias("text"), F.lit(0).alias("used")), put)["text"]
+    return let(digits, run)
 
 
 def _kind(value: Column) -> Column:
@@ -110,8 +124,8 @@ def _pseudonym(key: str, value: Column, kind: Column) -> Column:
     n = F.length(digits)
     # card: the first digit stays, the check digit is made anew
     body = F.concat(F.substring(digits, 1, 1), permute_digits(key, "card", F.substring(digits, F.lit(2), n - 2)))
-    check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10))
-    card = fill_digits(value, F.concat(body, check.cast("string")))
+    check = lambda b: F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10))
+    card = let(body, lambda b: fill_digits(value, F.concat(b, check(b).cast("string"))))
     # phone: the country code stays, as far as a separator shows it, and the rest is permuted
     code = F.length(F.regexp_extract(value, r"^\+([0-9]{1,3})(?=[ .\-(])", 1))
     subscriber = F.substring(digits, code + 1, n - code)
@@ -119,14 +133,18 @@ def _pseudonym(key: str, value: Column, kind: Column) -> Column:
     # IPv4: 32 bits, as two halves of 16
     octet = F.transform(F.split(value, r"\."), lambda x: x.try_cast("long"))
     bits = feistel(key, F.lit("ipv4"), octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], F.lit(65536), F.lit(65536))
-    ipv4 = F.concat_ws(".", F.floor(bits["l"] / 256).cast("string"), (bits["l"] % 256).cast("string"), F.floor(bits["r"] / 256).cast("string"), (bits["r"] % 256).cast("string"))
+    ipv4 = let(bits, lambda x: F.concat_ws(".", F.floor(x["l"] / 256).cast("string"), (x["l"] % 256).cast("string"), F.floor(x["r"] / 256).cast("string"), (x["r"] % 256).cast("string")))
     # SSN: area 001-899 without 666 (898), group 01-99, serial 0001-9999
     area, group, serial = (F.substring(value, F.lit(a), F.lit(b)).try_cast("long") for a, b in ((1, 3), (5, 2), (8, 4)))
     rank = area - 1 - F.when(area > 666, 1).otherwise(0)
     ssn_pair = feistel(key, F.lit("ssn"), rank * 99 + group - 1, serial - 1, F.lit(898 * 99), F.lit(9999))
-    new_rank = F.floor(ssn_pair["l"] / 99)
-    new_area = new_rank + 1 + F.when(new_rank + 1 >= 666, 1).otherwise(0)
-    ssn = F.concat_ws("-", F.lpad(new_area.cast("string"), 3, "0"), F.lpad((ssn_pair["l"] % 99 + 1).cast("string"), 2, "0"), F.lpad((ssn_pair["r"] + 1).cast("string"), 4, "0"))
+
+    def ssn_of(x: Column) -> Column:
+        new_area = F.floor(x["l"] / 99) + 1
+        new_area += F.when(new_area >= 666, 1).otherwise(0)
+        return F.concat_ws("-", F.lpad(new_area.cast("string"), 3, "0"), F.lpad((x["l"] % 99 + 1).cast("string"), 2, "0"), F.lpad((x["r"] + 1).cast("string"), 4, "0"))
+
+    ssn = let(ssn_pair, ssn_of)
     # dates: the day's number in 400 years
     iso = value.rlike("^[0-9]{4}-")
     month_first = F.try_to_date(value, "MM/dd/yyyy")
@@ -134,8 +152,9 @@ def _pseudonym(key: str, value: Column, kind: Column) -> Column:
     number = F.datediff(day, F.lit(FIRST_DAY).try_cast("date")).try_cast("long")
     a, b = DATE_RADIX
     moved = feistel(key, F.lit("date"), F.floor(number / b), number % b, F.lit(a), F.lit(b))
-    new_day = F.date_add(F.lit(FIRST_DAY).try_cast("date"), (moved["l"] * b + moved["r"]).try_cast("int"))
-    date = F.when(iso, F.date_format(new_day, "yyyy-MM-dd")).when(month_first.isNotNull(), F.date_format(new_day, "MM/dd/yyyy")).otherwise(F.date_format(new_day, "dd/MM/yyyy"))
+    new_day = let(moved, lambda x: F.date_add(F.lit(FIRST_DAY).try_cast("date"), (x["l"] * b + x["r"]).try_cast("int")))
+    shown = lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(month_first.isNotNull(), F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
+    date = let(new_day, shown)
     # mail addresses and secrets have no counted domain: a keyed name of 60 bits, a keyed string of the same length
     local = F.substring_index(value, "@", 1)
     letters = F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(value)), 256), 1, 15), "0123456789", "ghijklmnop")
