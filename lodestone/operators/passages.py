@@ -16,7 +16,7 @@ from ..functions.vectors import unit_rows
 
 SCHEMA = (
     "source_path string, line_start int, line_end int, chunk_type string, content string, heading_path array<string>, "
-    "heading_level int, code_language string, table_header string"
+    "heading_level int, code_language string, table_header string, symbol string, parent_symbol string, truncated boolean"
 )
 #: Chunker by content type; ``register`` adds to it.
 CHUNKERS: dict[str, Callable[..., Iterator[chunking.Passage]]] = {
@@ -24,6 +24,7 @@ CHUNKERS: dict[str, Callable[..., Iterator[chunking.Passage]]] = {
     "lines": chunking.line_blocks,
     "sentences": lambda text, limit: chunking.paragraphs(text, limit, by_sentence=True),
     "markdown": chunking.markdown,
+    "typescript": chunking.typescript,
 }
 
 
@@ -41,11 +42,15 @@ def chunk(documents: DataFrame, limit: int = 1000) -> DataFrame:
     known = dict(CHUNKERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("source_path", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("chunk_type", pa.string()), ("content", pa.string()), ("heading_path", pa.list_(pa.string())), ("heading_level", pa.int32()), ("code_language", pa.string()), ("table_header", pa.string())])
+        text, number = pa.string(), pa.int32()
+        kinds = pa.schema({
+            "source_path": text, "line_start": number, "line_end": number, "chunk_type": text, "content": text, "heading_path": pa.list_(text),
+            "heading_level": number, "code_language": text, "table_header": text, "symbol": text, "parent_symbol": text, "truncated": pa.bool_(),
+        })
         for batch in batches:
             rows = []
-            for path, kind, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for start, end, what, content, more in known[kind](text or "", limit):
+            for path, kind, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                for start, end, what, content, more in known[kind](body or "", limit):
                     rows.append({"source_path": path, "line_start": start, "line_end": end, "chunk_type": what, "content": content, **more})
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_pylist(rows, kinds)

@@ -39,6 +39,16 @@ def q_markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ps.chunk(d).withColumn("heading_path", F.array_join("heading_path", " > ")).select("source_path", "line_start", "line_end", "chunk_type", "heading_path", "content", "chunk_id")
 
 
+def q_ts_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands written as TypeScript classes, with a method for each part."""
+    parts = table(spark, sf_dir, "part").withColumn("brand", F.replace("p_brand", F.lit("#"), F.lit("")))
+    method = F.concat(F.lit("  // "), F.col("p_name"), F.lit("\n  part"), F.col("p_partkey").cast("string"), F.lit("(n: number) {\n    return `}${n}`;\n  }\n"))
+    classes = parts.groupBy("brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", method.alias("m")))).alias("ms"))
+    text = F.concat(F.lit("export class "), F.col("brand"), F.lit(" {\n"), F.array_join(F.transform("ms", lambda x: x["m"]), ""), F.lit("}\n"))
+    d = classes.select(F.concat("brand", F.lit(".ts")).alias("source_path"), F.lit("typescript").alias("content_type"), text.alias("text"))
+    return ps.chunk(d, 1600).select("source_path", "line_start", "line_end", "chunk_type", "symbol", "parent_symbol", "truncated", "content", "chunk_id")
+
+
 def q_fit_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns cut to at most 64 words."""
     c = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"), F.col("text").alias("content"))
@@ -52,9 +62,22 @@ def q_word_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("chunk_id", F.size(F.filter("vector", lambda x: x > 0)).alias("filled"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length"))
 
 
-QUERIES = {f.__name__: f for f in (q_chunk_lines, q_chunk_sentences, q_chunk_paragraphs, q_markdown_chunks, q_fit_inputs, q_word_hash_embed)}
+QUERIES = {f.__name__: f for f in (q_chunk_lines, q_chunk_sentences, q_chunk_paragraphs, q_markdown_chunks, q_ts_chunks, q_fit_inputs, q_word_hash_embed)}
+
+_METHOD = "'  // ' || p_name || chr(10) || '  part' || p_partkey || '(n: number) {' || chr(10) || '    return `}${n}`;' || chr(10) || '  }'"
 
 ORACLES = {
+    "q_ts_chunks": f"""
+WITH m AS (
+  SELECT replace(p_brand, '#', '') AS brand, p_partkey, {_METHOD} AS content, 2 + 4 * (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) AS line_start FROM part
+), rows AS (
+  SELECT brand || '.ts' AS source_path, line_start, line_start + 3 AS line_end, 'method' AS chunk_type, 'part' || p_partkey AS symbol, brand AS parent_symbol, CAST(NULL AS BOOLEAN) AS truncated, content FROM m
+  UNION ALL
+  SELECT brand || '.ts', 1, CASE WHEN big THEN 1 ELSE n END, 'class', brand, NULL, CASE WHEN big THEN true END, CASE WHEN big THEN 'export class ' || brand ELSE body END
+  FROM (SELECT brand, 4 * count(*) + 2 AS n, 'export class ' || brand || ' {{' || chr(10) || string_agg(content, chr(10) ORDER BY p_partkey) || chr(10) || '}}' AS body, length(regexp_replace(body, '[ \t-\r]', '', 'g')) > 1600 AS big FROM m GROUP BY brand)
+)
+SELECT *, sha1(source_path || '|' || line_start || '|' || line_end || '|' || chunk_type || '|' || sha1(content)) AS chunk_id
+FROM (SELECT source_path, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, chunk_type, symbol, parent_symbol, truncated, content FROM rows)""",
     "q_chunk_paragraphs": r"""
 WITH p AS (
   SELECT source || '/d' || doc_id AS source_path, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents

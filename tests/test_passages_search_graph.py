@@ -161,3 +161,35 @@ def test_titles(spark):
     long = "word " * 60 + "target " + "tail " * 60
     cut = spark.createDataFrame([(long,), ("short",)], "t string").select(ti.snippet(F.col("t"), "target", 40)).collect()
     assert "target" in cut[0][0] and cut[0][0].startswith("…") and cut[0][0].endswith("…") and len(cut[0][0]) <= 43 and cut[1][0] == "short"
+
+
+def test_known_passage_ids(spark):
+    ts = "import { Calculator } from './calculator';\n\nexport const buildCalculator = () => {\n  const calculator = new Calculator();\n  return {\n    divideSafely: (a: number, b: number) => calculator.divide(a, b),\n  };\n};\n"
+    md = "# Table examples\n\n```markdown\n| Key | Value |\n| --- | ----- |\n| sample | literal |\n```\n\n| Key | Value |\n| --- | ----- |\n| sample | indexed |\n\nThe fenced example stays code. The following table is indexed once.\n"
+    txt = "This is a sample text file for demonstrating the knowledge_embeddings library.\n\nIt contains multiple paragraphs that will be chunked and indexed.\n\nThe dense searcher ranks chunks with compatible local embeddings.\n\nThen we'll search for content similar to a query.\n"
+    docs = spark.createDataFrame([("use_calculator.ts", "typescript", ts), ("tables.md", "markdown", md), ("search.txt", "text", txt)], "source_path string, content_type string, text string")
+    got = {(r.source_path, r.line_start, r.line_end, r.chunk_type): r.chunk_id for r in ps.chunk(docs).collect()}
+    assert got == {
+        ("use_calculator.ts", 3, 8, "function"): "dcdba0715bb04b0273757c80707e4afee10e9c46",
+        ("tables.md", 1, 1, "heading"): "10e2d88722cc8fca142427c3a4dd44e64a77f4a8",
+        ("tables.md", 3, 7, "code"): "934d569c632dbfb251ce2b6c94d394157aecf3b8",
+        ("tables.md", 9, 11, "table"): "2fe08428f99339746e6d1649a8d53c8728c2b3ea",
+        ("tables.md", 13, 13, "paragraph"): "9f41895f30b344a9573a1e0ed07495546f0f0f1f",
+        ("search.txt", 1, 1, "paragraph"): "5de64e7e3030b96ed3595c99e7a55bdae62b9bcf",
+        ("search.txt", 3, 3, "paragraph"): "59b9ea712f2453e2dc26dd37d560b22f4f63202c",
+        ("search.txt", 5, 5, "paragraph"): "e4d7069aac6117bd9f31ebdc7b852c0375afe474",
+        ("search.txt", 7, 8, "paragraph"): "534ca6541d990ce7f74c3bca6316b5e4f19cdad8",
+    }
+
+
+def test_typescript_passages():
+    text = "// doc } here\n@Deco()\nexport class A extends B {\n  private x = \"}\";\n  /** m */\n  async run(a: number): Promise<void> { if (a) { foo(); } }\n  handler = (e) => { return e; };\n  static make = async () => 1;\n}\ninterface I { a: string; }\nconst enum E { X }\ntype T = string | 'a;b';\nnamespace N.M { export function f() { return 1; } }\nexport default async function () { }\nlet z = 3;\n"
+    got = [(s, e, k, d["symbol"], d["parent_symbol"]) for s, e, k, _, d in chunking.typescript(text)]
+    assert got == [
+        (1, 9, "class", "A", None), (5, 6, "method", "run", "A"), (7, 7, "method", "handler", "A"), (8, 8, "method", "make", "A"), (10, 10, "interface", "I", None),
+        (11, 11, "enum", "E", None), (12, 12, "type", "T", None), (13, 13, "function", "f", "N.M"), (13, 13, "namespace", "N.M", None), (14, 14, "function", "default", None),
+    ]
+    big = "class Big {\n" + "  m() {\n    return 'xxxxxxxxxxxxxxxxxxxxxxxx';\n  }\n" * 9 + "}\n"
+    first = next(chunking.typescript(big, 60))
+    assert first[:4] == (1, 1, "class", "class Big") and first[4]["truncated"]
+    assert list(chunking.typescript("let a = 1\n")) == [(1, 2, "file", "let a = 1\n", {})] and list(chunking.typescript(" \n")) == []
