@@ -47,6 +47,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Writes tables as ``materialise`` does, into one folder that ``clear`` removes."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.folder = spark, new_path(spark, label)
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{self.folder}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        delete_path(self.spark, self.folder)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder through Hadoop's file system, whatever store it is in."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

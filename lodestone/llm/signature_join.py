@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch, materialise
 
 #: A token found in so many prefixes is common and ordered behind all others.
 COMMON = 16
 #: Bits of the table of common tokens that every task gets: 2 MB, whatever the corpus.
 TABLE_BITS = 1 << 24
-#: Children of a tree node; rows of a token's group that one task compares at once.
-FANOUT, BLOCK = 8, 2048
+#: Children of a tree node; sets, and tokens of sets (8 bytes each), in a block of a family, of which a task holds two.
+FANOUT, BLOCK, BLOCK_TOKENS = 8, 2048, 2_000_000
 #: Sets that share a token are compared pair by pair; groups above this size are compared by family.
 SMALL = 64
 #: Ids broadcast at most (16 bytes each); beyond that a join shuffles.
@@ -39,7 +39,7 @@ _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
@@ -204,7 +204,7 @@ def common_tokens(documents: DataFrame, shingle: int, percent: int, common: int
                 tokens = shingle_set(raw, shingle, hashes)
                 if len(tokens):
                     p = prefix_length(len(tokens), percent)
-                    parts.append(tokens[: p + p // 4 + 8])
+                    parts.append(tokens[: p + p // 4 + 8].copy())
                     size += len(parts[-1])
                 if size > 500_000:
                     yield counted(parts)
@@ -291,7 +291,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def verified(documents: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
+def verified(documents: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, percent: int, write=materialise) -> DataFrame:
     """The pairs (a, b) of set ids whose whole sets reach the threshold.
 
     Whole sets are made anew from one text of each set that stands in a pair;
@@ -305,36 +305,36 @@ def verified(documents: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: i
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    tokens = wanted_sets(documents, sets, ends, shingle)
+    tokens = wanted_sets(documents, sets, ends, shingle, write)
     left = tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("left"))
     right = tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("right"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return joined.mapInArrow(run, "a long, b long")
 
 
-def wanted_sets(documents: DataFrame, sets: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+def wanted_sets(documents: DataFrame, sets: DataFrame, ids: DataFrame, shingle: int, write=materialise) -> DataFrame:
     """set_id and tokens of the sets named in ``ids``."""
-    wanted = materialise(sets.select("set_id", "doc_id").join(ids, "set_id", "left_semi"), "wanted-sets")
-    return materialise(whole_sets(documents, wanted, shingle), "whole-sets")
+    wanted = write(sets.select("set_id", "doc_id").join(ids, "set_id", "left_semi"), "wanted-sets")
+    return write(whole_sets(documents, wanted, shingle), "whole-sets")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, write=materialise) -> DataFrame:
     """node and component (its smallest node) of every node in ``edges`` (a, b), by alternating large and small stars.
 
     Each round joins edges with the smallest neighbour of a node; both are
     written first, so that a node with very many edges is split over tasks.
     """
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    now, state = materialise(both, "edges"), None
+    now, state = write(both, "edges"), None
     while True:
         either = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(either.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        least = write(either.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = either.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialise(large, "large-star")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = write(large, "large-star")
+        least = write(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        now = materialise(small.filter("u <> v").distinct(), "small-star")
+        now = write(small.filter("u <> v").distinct(), "small-star")
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == state:
             break
@@ -405,20 +405,9 @@ def family_links(rows: DataFrame, percent: int) -> DataFrame:
     return by_group(rows, ["family", "i", "j"], work, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every row of ``documents``.
-
-    Rows are linked where the Jaccard similarity of their shingle sets is at
-    least ``percent`` hundredths; ``component_id`` is the smallest doc_id that
-    links reach, and ``n_links`` counts the verified links of the row's set that
-    were needed to connect it (0 for a text alone; equal sets are linked without
-    one).  No pair of different sets at or above the threshold is left in two
-    components.  Null and empty texts have no set and are linked with nothing.
-    Rows of equal doc_id are rows like others; null doc_ids are ignored in
-    component_id unless a component has no other.
-    """
-    if not 50 <= percent <= 100:
-        raise ValueError("percent is 50 to 100: sets of one pair may differ in size by no more than half")
+def _joined(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Written tables: rows with their sets, distinct sets, verified links, and the components of linked sets."""
+    work = Scratch(documents.sparkSession, "near-duplicates")
     docs = materialise(document_sets(documents, shingle, percent, common_tokens(documents, shingle, percent)), "document-sets")
     sets = docs.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"))
     sets = materialise(sets, "distinct-sets")
@@ -426,40 +415,58 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     # rows of prefix tokens that two or more sets share, with the smallest set as hub
     order = Window.partitionBy("token").orderBy("set_id")
     met = sets.select("set_id", F.explode("prefix").alias("token")).withColumns({"hub": F.first("set_id").over(order.rowsBetween(Window.unboundedPreceding, 0)), "after": F.lead("set_id").over(order)})
-    met = materialise(met.filter("hub <> set_id or after is not null").drop("after"), "shared-tokens")
+    met = work(met.filter("hub <> set_id or after is not null").drop("after"), "shared-tokens")
 
     # first round: each set against the hub it shares most prefix tokens with
     hubs = met.filter("hub <> set_id").groupBy("set_id", "hub").agg(F.count("*").alias("n")).groupBy("set_id").agg(F.max_by("hub", F.struct("n", F.negative("hub"))).alias("hub"))
-    pairs = materialise(plausible(hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), sets, percent), "hub-pairs")
-    links = materialise(verified(documents, pairs, sets, shingle, percent), "hub-links")
-    first = materialise(components(links), "first-components")
+    pairs = work(plausible(hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), sets, percent), "hub-pairs")
+    links = work(verified(documents, pairs, sets, shingle, percent, work), "hub-links")
+    first = work(components(links, work), "first-components")
 
     # second round: what shares a token and is still apart
-    known = materialise(sets.join(met.select("set_id").distinct(), "set_id", "left_semi").join(first, F.col("set_id") == F.col("node"), "left").select("set_id", "n", "sig", F.coalesce("component", "set_id").alias("component")), "known-sets")
+    known = work(sets.join(met.select("set_id").distinct(), "set_id", "left_semi").join(first, F.col("set_id") == F.col("node"), "left").select("set_id", "n", "sig", F.coalesce("component", "set_id").alias("component")), "known-sets")
     labelled = met.select("token", "set_id").join(known.select("set_id", "component"), "set_id")
     # tokens that the very same sets share are one group: their members' hashes tell
     mark = [F.bit_xor(F.xxhash64("set_id", F.lit(seed))).alias(f"mark{seed}") for seed in (1, 2)]
     shared = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), *mark)
-    open_tokens = materialise(shared.filter("low <> high").groupBy("size", "mark1", "mark2").agg(F.min("token").alias("token")).select("token", "size"), "open-tokens")
-    apart = materialise(met.join(open_tokens, "token"), "open-groups")
+    open_tokens = work(shared.filter("low <> high").groupBy("size", "mark1", "mark2").agg(F.min("token").alias("token")).select("token", "size"), "open-tokens")
+    apart = work(met.join(open_tokens, "token"), "open-groups")
 
     # small groups: pairs that their trees leave, each verified once
     few = apart.filter(F.col("size") <= SMALL).select("token", "set_id").join(known, "set_id").select("token", "set_id", "n", "component", "sig")
-    candidates = materialise(tree_candidates(few, percent), "candidates")
-    pair_links = materialise(verified(documents, candidates, sets, shingle, percent), "pair-links")
+    candidates = work(tree_candidates(few, percent), "candidates")
+    pair_links = work(verified(documents, candidates, sets, shingle, percent, work), "pair-links")
 
     # large groups: families of sets that large groups chain together, each set sent once with its tokens
-    many = materialise(components(apart.filter(F.col("size") > SMALL).select(F.col("hub").alias("a"), F.col("set_id").alias("b"))), "families")
-    tokens = wanted_sets(documents, sets, many.select(F.col("node").alias("set_id")), shingle)
-    size = many.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("size"))
-    members = many.select(F.col("node").alias("set_id"), F.col("component").alias("family")).join(size, "family").join(known.select("set_id", "component"), "set_id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    many = work(components(apart.filter(F.col("size") > SMALL).select(F.col("hub").alias("a"), F.col("set_id").alias("b")), work), "families")
+    tokens = wanted_sets(documents, sets, many.select(F.col("node").alias("set_id")), shingle, work)
+    members = many.select(F.col("node").alias("set_id"), F.col("component").alias("family")).join(known.select("set_id", "n", "component"), "set_id")
+    size = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    members, blocks = members.join(size, "family"), F.col("blocks")
     placed = members.withColumn("side", F.pmod(F.xxhash64("set_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "set_id", "component").join(tokens, "set_id")
     more = pair_links.unionByName(family_links(placed, percent))
     every = materialise(links.unionByName(more).distinct(), "links")
-    joined = materialise(components(every), "components")
+    joined = materialise(components(every, work), "components")
+    work.clear()
+    return docs, sets, every, joined
+
 
+def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every row of ``documents``.
+
+    Rows are linked where the Jaccard similarity of their shingle sets is at
+    least ``percent`` hundredths; ``component_id`` is the smallest doc_id that
+    links reach, and ``n_links`` counts the verified links of the row's set that
+    were needed to connect it (0 for a text alone; equal sets are linked without
+    one).  No pair of different sets at or above the threshold is left in two
+    components.  Null and empty texts have no set and are linked with nothing.
+    Rows of equal doc_id are rows like others; null doc_ids are ignored in
+    component_id unless a component has no other.
+    """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is 50 to 100: sets of one pair may differ in size by no more than half")
+    docs, sets, every, joined = _joined(documents, shingle, percent)
     ends = every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     groups = sets.select("set_id", "doc_id").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").join(ends.withColumnRenamed("node", "set_id"), "set_id", "left")
     groups = groups.withColumn("component", F.coalesce("component", "set_id"))
