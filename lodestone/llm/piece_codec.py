@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,14 +76,15 @@ def build_tokenizer(model_path: str):
 
 
 class PieceCodec:
-    """Encodes and decodes batches with the rebuilt tokenizer, and checks both.
+    """Encodes and decodes batches with the rebuilt tokenizer, and holds its ids against the sentencepiece library's.
 
-    Where no piece crosses a marker, the library encodes each distinct word
-    once and texts are joined from the words' ids; texts with runs of spaces or
-    with markers of their own are encoded whole.
+    Where no piece crosses a marker, neither library looks across one: each
+    distinct word is then encoded, and compared, once, and texts are joined
+    from the words' ids.  Texts with runs of spaces or with markers of their
+    own, and all texts of other models, are encoded and compared whole.
     """
 
-    def __init__(self, model_path: str, threads: int = 2, cache_words: int = 150_000) -> None:
+    def __init__(self, model_path: str, threads: int = 2, cache_words: int = 300_000) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
@@ -92,37 +94,53 @@ class PieceCodec:
         self.threads, self.limit = threads, cache_words
         self.by_word = self.tokenizer.pre_tokenizer is not None
         self.cache: dict[str, bytes] = {}
+        self.unequal: set[str] = set()
         self.starts = np.array([self.tokenizer.id_to_token(i).startswith(MARK) for i in range(self.tokenizer.get_vocab_size())])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words in lines of ``LINE``, and cut the ids up again where a piece starts with the marker."""
+    def _lines(self, words: list[str]) -> list[bytes]:
+        """Ids of words, encoded in lines of ``LINE`` and cut up again where a piece starts with the marker."""
+        out: list[bytes] = []
         lines = [words[k : k + LINE] for k in range(0, len(words), LINE)]
         for line, raw in zip(lines, self._whole([" ".join(x) for x in lines])):
-            runs = self._runs(raw)
-            self.cache.update(zip(line, runs if runs and len(runs) == len(line) else self._whole(line)))
+            cuts = (4 * np.flatnonzero(self.starts[np.frombuffer(raw, dtype="<u4")])).tolist()
+            whole = len(cuts) == len(line) and cuts[0] == 0
+            out += [raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)])] if whole else self._whole(line)
+        return out
 
-    def _runs(self, raw: bytes) -> list[bytes] | None:
-        """Ids cut up before each piece that starts with the marker; None if the first does not."""
-        cuts = (4 * np.flatnonzero(self.starts[np.frombuffer(raw, dtype="<u4")])).tolist()
-        return [raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)])] if cuts[:1] == [0] else None
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text, as little-endian unsigned 32-bit integers, and whether the two libraries agree on them.
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        Where they do not, the ids are the sentencepiece library's.
+        """
         single = [self.by_word and t != "" and "  " not in t and MARK not in t and t[0] != " " and t[-1] != " " for t in texts]
         split = [t.split(" ") for t, ok in zip(texts, single) if ok]
         words = set().union(*split) if split else set()
-        new = words.difference(self.cache)
-        if len(self.cache) + len(new) > self.limit:
+        if len(self.cache) + len(words) > self.limit:
             # only the words of this batch stay
             self.cache = {w: self.cache[w] for w in words.intersection(self.cache)}
-        self._learn(list(new))
-        get = self.cache.__getitem__
-        joined = iter([b"".join(map(get, w)) for w in split])
-        rest = iter(self._whole([t for t, ok in zip(texts, single) if not ok]))
-        return [next(joined) if ok else next(rest) for ok in single]
+            self.unequal &= words
+        new = list(words.difference(self.cache))
+        self._compare(new, self._lines(new), self.cache, self.unequal)
+        rest = [t for t, ok in zip(texts, single) if not ok]
+        whole: dict[str, bytes] = {}
+        odd: set[str] = set()
+        self._compare(rest, self._whole(rest), whole, odd)
+        get, parts = self.cache.__getitem__, iter(split)
+        ids, agree = [], []
+        for text, ok in zip(texts, single):
+            part = next(parts) if ok else None
+            ids.append(b"".join(map(get, part)) if ok else whole[text])
+            agree.append(not self.unequal or self.unequal.isdisjoint(part) if ok else text not in odd)
+        return ids, agree
+
+    def _compare(self, texts: list[str], ids: list[bytes], into: dict[str, bytes], unequal: set[str]) -> None:
+        for text, own, other in zip(texts, ids, self.expected(texts)):
+            into[text] = other
+            if own != other:
+                unequal.add(text)
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """Texts of ids, whole."""
@@ -130,7 +148,7 @@ class PieceCodec:
 
     def expected(self, texts: list[str]) -> list[bytes]:
         """What the sentencepiece library makes of the texts."""
-        return [np.array(x, dtype="<u4").tobytes() for x in self.truth.encode(texts, num_threads=self.threads)]
+        return [array("I", x).tobytes() for x in self.truth.encode(texts, num_threads=self.threads)] if texts else []
 
 
 def encode_pieces(documents: DataFrame, model_path: str, with_ids: bool = False, threads: int = 2) -> DataFrame:
@@ -148,9 +166,7 @@ def encode_pieces(documents: DataFrame, model_path: str, with_ids: bool = False,
         for batch in batches:
             for doc_ids, raw in text_chunks(batch, 2_000_000):
                 texts = [t.decode("utf-8", "replace") for t in raw]
-                ids, truth = codec.encode(texts), codec.expected(texts)
-                parity = [a == b for a, b in zip(ids, truth)]
-                ids = [a if ok else b for a, b, ok in zip(ids, truth, parity)]
+                ids, parity = codec.encode(texts)
                 back = codec.decode(ids)
                 columns = [
                     pa.array(doc_ids, pa.int64()),

@@ -488,10 +488,23 @@ def test_pieces_of_any_text(text):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     codec = _codec(path)
-    got = np.frombuffer(codec.encode([text])[0], dtype="<u4").tolist()
-    assert got == sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
+    ids, agree = codec.encode([text, text + "  x"])
+    truth = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in ids] == truth.encode([text, text + "  x"]) and agree == [True, True]
     if "▁" not in text:
-        assert codec.decode(codec.encode([text])) == [text]
+        assert codec.decode(ids) == [text, text + "  x"]
+
+
+def test_a_difference_between_the_libraries_is_seen():
+    codec = piece_codec.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    true, codec._whole = codec._whole, lambda texts: [b"\x01\x00\x00\x00" if "wrong" in t else x for t, x in zip(texts, PieceTruth.whole(texts))]
+    PieceTruth.whole = true
+    ids, agree = codec.encode(["all is right", "one wrong word", "  wrong  ", "right"])
+    assert agree == [True, False, False, True] and ids == codec.expected(["all is right", "one wrong word", "  wrong  ", "right"])
+
+
+class PieceTruth:
+    whole = None
 
 
 def _codec(path, made={}):
@@ -512,7 +525,8 @@ def test_a_unigram_model_is_rebuilt(tmp_path):
     path.write_bytes(model.SerializeToString())
     codec = piece_codec.PieceCodec(str(path))
     rows = ["ab abc", "c b a", "", "abcabc z é", "  ab"]
-    assert codec.encode(rows) == codec.expected(rows)
+    assert codec.encode(rows) == (codec.expected(rows), [True] * 5)
+    assert codec._whole(rows) == codec.expected(rows)
 
 
 def test_pieces_of_odd_input(spark):
