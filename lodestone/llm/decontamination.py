@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialise
 
 #: Fixed value: what the words of texts and items are.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,7 +72,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     repeat a doc_id and its text are one result row with ``n_rows`` above 1;
     null doc_ids are a value like others.  An empty benchmark hits nothing.
     """
-    keys = prefix_keys(item_windows(benchmark, window)).cache()
+    keys = materialise(prefix_keys(item_windows(benchmark, window)), "window-keys")
     sizes = {r.width: r["count"] for r in keys.groupBy("width").count().collect()}
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
     # place -1 stands for the document itself and goes through every join once
@@ -121,8 +121,6 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
     is counted: up to ``max_broadcast`` they are broadcast, beyond that the
     anti-join shuffles.
     """
-    from .common import materialise
-
     bad = materialise(find_contamination(documents, benchmark, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "contaminated")
     named = F.broadcast(bad) if bad.count() <= max_broadcast else bad
     return documents.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
