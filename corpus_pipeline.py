@@ -14,16 +14,25 @@ from lodestone.llm.common import materialise, table
 from lodestone.llm.queries import PII_KEY, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows that a Python worker is handed at once: some 3 MB of text.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what travels between Spark and Python at once, for all stages of this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the positive-unlabelled classifier takes for good."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     return pu_quality.keep_good(docs, pu_quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words a shingle, similarity of 0.8 or more."""
+    small_batches(spark)
     return signature_join.keep_one(docs.select(*COLUMNS), shingle=5, percent=80)
 
 
@@ -42,6 +51,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, SentencePiece ids and the checks on them."""
+    small_batches(spark)
     return piece_codec.encode_pieces(docs.select(*COLUMNS), vocabulary("piece_bpe_32k.model"), with_ids=True)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,3 +91,32 @@ def worker_state(key: tuple, make: Callable[[], Any]) -> Any:
     if key not in holder.__dict__:
         holder.__dict__[key] = make()
     return holder.__dict__[key]
+
+
+def release_worker_state() -> None:
+    """Drop what earlier tasks left in this Python worker."""
+    holder = sys.modules.pop("_lodestone_worker_state", None)
+    if holder is not None:
+        holder.__dict__.clear()
+        trim_memory()
+
+
+def trim_memory() -> None:
+    """Give free memory of this Python worker back to the system; an idle worker keeps its process."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Hand Python workers at most ``rows`` rows at once, for what runs inside the block."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

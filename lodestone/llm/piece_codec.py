@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import worker_state
+from .common import trim_memory, worker_state
 from .token_frames import text_chunks
 
 MARK = "▁"
@@ -84,7 +84,7 @@ class PieceCodec:
     own, and all texts of other models, are encoded and compared whole.
     """
 
-    def __init__(self, model_path: str, threads: int = 2, cache_words: int = 300_000) -> None:
+    def __init__(self, model_path: str, threads: int = 2, cache_words: int = 80_000) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
@@ -164,7 +164,7 @@ def encode_pieces(documents: DataFrame, model_path: str, with_ids: bool = False,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_state(("pieces", model_path, threads), lambda: PieceCodec(model_path, threads))
         for batch in batches:
-            for doc_ids, raw in text_chunks(batch, 2_000_000):
+            for doc_ids, raw in text_chunks(batch, 1_000_000):
                 texts = [t.decode("utf-8", "replace") for t in raw]
                 ids, parity = codec.encode(texts)
                 back = codec.decode(ids)
@@ -180,6 +180,7 @@ def encode_pieces(documents: DataFrame, model_path: str, with_ids: bool = False,
                     columns.append(pa.array([np.frombuffer(x, dtype="<i4") for x in ids], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+            trim_memory()
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, parity boolean" + ", ids array<int>" * with_ids
     return documents.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_worker_state, trim_memory
 from .line_cleaning import repeated_words
 
 FEATURES = (
@@ -142,6 +143,7 @@ def _sample_matrix(documents: DataFrame, ids: DataFrame) -> np.ndarray:
     """Features of the documents named in ``ids``, whose number a parameter bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_matrix(batch).tolist(), pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -191,11 +193,13 @@ def keep_good(documents: DataFrame, model: Model | None, threshold: float = 0.3)
     names, schema = documents.columns, documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
         for batch in batches:
             if model is None:
                 yield batch
                 continue
             good = model.scores(_matrix(batch)) >= threshold
             yield batch.filter(pa.array(good))
+        trim_memory()
 
     return documents.mapInArrow(run, schema).select(*names)

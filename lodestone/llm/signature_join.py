@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialise
+from .common import Scratch, arrow_rows, materialise, release_worker_state, trim_memory
 
 #: A token found in so many prefixes is common and ordered behind all others.
 COMMON = 16
@@ -33,6 +33,8 @@ FANOUT, BLOCK, BLOCK_TOKENS = 8, 2048, 2_000_000
 SMALL = 64
 #: Ids broadcast at most (16 bytes each); beyond that a join shuffles.
 MAX_BROADCAST = 2_000_000
+#: Rows that a Python worker is handed at once.
+BATCH_ROWS = 1000
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -197,6 +199,7 @@ def common_tokens(documents: DataFrame, shingle: int, percent: int, common: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
         hashes = _WordHashes()
         for batch in batches:
             parts, size = [], 0
@@ -211,6 +214,8 @@ def common_tokens(documents: DataFrame, shingle: int, percent: int, common: int
                     parts, size = [], 0
             if parts:
                 yield counted(parts)
+        hashes.clear()
+        trim_memory()
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
         tokens, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -231,6 +236,7 @@ def document_sets(documents: DataFrame, shingle: int, percent: int, common: np.n
     shared = documents.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
         hashes, table = _WordHashes(), shared.value
         for batch in batches:
             n, ids, prefixes, sigs = [], [], [], []
@@ -241,6 +247,8 @@ def document_sets(documents: DataFrame, shingle: int, percent: int, common: np.n
                 prefixes.append(_signed(ordered_prefix(tokens, table, percent)) if len(tokens) else [])
                 sigs.append(signature(tokens) if len(tokens) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n", "set_id", "prefix", "sig"])
+        hashes.clear()
+        trim_memory()
 
     return documents.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id long, prefix array<long>, sig binary")
 
@@ -249,12 +257,15 @@ def whole_sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFra
     """set_id and tokens (binary, sorted 64-bit hashes) of the sets in ``wanted`` (set_id, doc_id of one text that has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
         hashes = _WordHashes()
         for batch in batches:
             found = [shingle_set(raw, shingle, hashes) for raw in _texts(batch)]
             same = [len(t) > 0 and xxhash.xxh3_64_intdigest(t.tobytes()) - (1 << 63) == s for t, s in zip(found, batch.column(0).to_pylist())]
             keep = pa.array(same)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array([t.tobytes() for t, ok in zip(found, same) if ok], pa.binary())], ["set_id", "tokens"])
+        hashes.clear()
+        trim_memory()
 
     some = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
     rows = documents.selectExpr("cast(doc_id as long) as doc_id", "text").join(some, "doc_id").select("set_id", "text")
@@ -360,6 +371,8 @@ def by_group(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
                 held.append(part)
         if held and (found := work(pa.Table.from_batches(held))) is not None:
             yield found
+        held.clear()
+        trim_memory()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
@@ -466,7 +479,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent is 50 to 100: sets of one pair may differ in size by no more than half")
-    docs, sets, every, joined = _joined(documents, shingle, percent)
+    with arrow_rows(documents.sparkSession, BATCH_ROWS):
+        docs, sets, every, joined = _joined(documents, shingle, percent)
     ends = every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     groups = sets.select("set_id", "doc_id").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").join(ends.withColumnRenamed("node", "set_id"), "set_id", "left")
     groups = groups.withColumn("component", F.coalesce("component", "set_id"))
