@@ -16,7 +16,8 @@ CONCEPT_FIELDS = "struct<type:string,title:string,description:string,status:stri
 def read_files(spark: SparkSession, root: str, bundle: str, max_bytes: int | None = None) -> DataFrame:
     """Files of a bundle: bundle, path, kind, digest, n_bytes and, for Markdown, text.
 
-    Files over ``max_bytes`` are listed without digest and text.  A byte order
+    Files over ``max_bytes`` are listed without digest and text; hidden lock
+    files are left out.  A byte order
     mark is dropped.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -25,7 +26,7 @@ def read_files(spark: SparkSession, root: str, bundle: str, max_bytes: int | Non
     path = F.substring(path, F.length(prefix) + 1, F.length(path))
     wanted = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     kind = file_kind(F.col("path"))
-    files = raw.select(path.alias("path"), F.col("length").alias("n_bytes"), F.when(wanted, F.col("content")).alias("content")).filter("path <> '.okf.lock'")
+    files = raw.select(path.alias("path"), F.col("length").alias("n_bytes"), F.when(wanted, F.col("content")).alias("content")).filter(~F.col("path").rlike(r"(^|/)\.[^/]*\.lock$"))
     text = F.when(kind != "asset", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""))
     return files.select(F.lit(bundle).alias("bundle"), "path", kind.alias("kind"), F.sha2("content", 256).alias("digest"), "n_bytes", text.alias("text"))
 
