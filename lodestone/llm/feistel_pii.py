@@ -17,12 +17,32 @@ ROUNDS = 8
 # Formats, as they are looked for.  Fixed values; Java regular expressions.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
 SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])"
-PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,3}(?![0-9A-Za-z])|(?<![0-9A-Za-z(])\(?[2-9][0-9]{2}\)?[ .\-][2-9][0-9]{2}[.\-][0-9]{4}(?![0-9A-Za-z])"
 IPV4 = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z])(?!\.[0-9])"
 DATE = r"(?<![0-9A-Za-z\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/])(?!-[0-9])"
 SSN = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z])(?!-[0-9])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){11,18}(?![0-9A-Za-z])"
-ANY = "|".join((EMAIL, SECRET, PHONE, IPV4, DATE, SSN, CARD))
+LOCAL_PHONE = r"(?<![0-9A-Za-z(])\(?[2-9][0-9]{2}\)?[ .\-][2-9][0-9]{2}[.\-][0-9]{4}(?![0-9A-Za-z])"
+#: How the digits of a card are grouped: at once, or in groups with a separator.
+GROUPED = r"[0-9]{4}(?:[ \-][0-9]{4}){3}(?:[ \-][0-9]{1,3})?|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4,5}|[0-9]{4}(?:[ \-][0-9]{3}){3}|[0-9]{6}[ \-][0-9]{13}"
+LAYOUT = rf"[0-9]{{12,19}}|{GROUPED}"
+WHOLE = r"[0-9](?:[ \-]?[0-9]){11,18}(?![ \-]?[0-9])"
+#: Values that stand for themselves behind a space and are no more groups of the number before it.
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+NEXT_IPV4 = rf"(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z])(?!\.[0-9])"
+_MONTH, _DAY = "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])"
+NEXT_DATE = rf"(?:[0-9]{{4}}-{_MONTH}-{_DAY}|(?:{_MONTH}/{_DAY}|{_DAY}/{_MONTH})/[0-9]{{4}})(?![0-9A-Za-z/])(?!-[0-9])"
+NEXT = "|".join((EMAIL, NEXT_IPV4, NEXT_DATE, SSN, LOCAL_PHONE))
+#: Sixteen digits, written out: look-behind takes no repeated group.
+TOO_LONG = r"[0-9][ .\-()]{0,2}" * 15 + "[0-9]"
+#: +1 has ten digits more.  Elsewhere groups go on while no other value starts, up to 15 digits.
+PHONE = (
+    r"(?<![0-9A-Za-z+])\+(?:1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9A-Za-z])"
+    rf"|[0-9]{{1,3}}[ .\-]?\(?[0-9]{{2,4}}\)?(?: (?!{NEXT_IPV4})|[.\-]|)[0-9]{{2,4}}(?: (?!{NEXT})|[.\-]|)[0-9]{{2,4}}"
+    rf"(?:(?: (?!{NEXT}|(?:{GROUPED}|{WHOLE})(?![0-9A-Za-z]))|[.\-]|)[0-9]{{2,4}})?(?![0-9A-Za-z])(?<!{TOO_LONG}))"
+    rf"|{LOCAL_PHONE}"
+)
+#: A run of digit groups from 12 digits on: which of them are a card is told by layout and Luhn.
+RUN = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ \-]?[0-9]){{11}})[0-9]++(?![A-Za-z])(?:(?: (?!{NEXT})|-)[0-9]++(?![A-Za-z]))*+"
+ANY = "|".join((EMAIL, SECRET, PHONE, IPV4, DATE, SSN, RUN))
 
 #: Days from 1800-01-01 to 2199-12-31: one turn of the Gregorian calendar, 189 * 773.
 FIRST_DAY, DATE_RADIX = "1800-01-01", (189, 773)
@@ -102,7 +122,7 @@ def fill_digits(shape: Column, digits: Column) -> Column:
 
 
 def _kind(value: Column) -> Column:
-    """The format a found value is valid in, or null."""
+    """The format a found value is valid in, "run" for a run of digit groups, or null."""
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
     digits = F.regexp_replace(value, "[^0-9]", "")
     octets = F.transform(F.split(value, r"\."), lambda x: x.try_cast("int"))
@@ -114,10 +134,60 @@ def _kind(value: Column) -> Column:
         .when(whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), F.when(~value.rlike(r"^(?:000|666|9)") & ~value.rlike(r"-00-|-0000$"), "ssn"))
         .when(whole(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"), F.when(F.forall(octets, lambda x: x <= 255), "ipv4"))
         .when(value.rlike(r"^[+(]") | whole(r"[2-9][0-9]{2}[ .\-][2-9][0-9]{2}[.\-][0-9]{4}"), F.when(F.length(digits).between(8, 15), "phone"))
-        .when(F.length(digits).between(12, 19), F.when(luhn_sum(digits) % 10 == 0, "card"))
+        .when(whole(r"[0-9][0-9 \-]+"), "run")
     )
 
 
+def _cards(run: Column) -> Column:
+    """A run of digit groups as array<struct<value, kind>> that joins to the run: cards, and what is between them.
+
+    Cards begin and end with a group, have 12 to 19 digits and pass Luhn.
+    Spans in a layout of cards come first.  Spans in other groups count from the
+    start of the run or behind a card, or up to the end of the run.
+    """
+
+    def split(parts: Column) -> Column:
+        n = F.size(parts)
+        joined = lambda first, last: F.array_join(F.slice(parts, first, last - first + 1), "")
+
+        def spans(first: Column) -> Column:
+            def of(last: Column) -> Column:
+                span = F.regexp_replace(joined(first, last), r"^[ \-]", "")
+                digits = F.regexp_replace(span, "[^0-9]", "")
+                size = F.length(digits)
+                known = span.rlike(f"^(?:{LAYOUT})$")
+                # sixteen digits before others, then the longest
+                rank = F.when(known & (size == 16), 0).otherwise(20 - size)
+                return F.struct(F.when(known, 0).otherwise(1).alias("other"), first.alias("first"), rank.alias("rank"), last.alias("last"), digits.alias("digits"))
+
+            ends = F.transform(F.sequence(first, F.least(first + 18, n)), of)
+            good = F.filter(ends, lambda x: F.length(x["digits"]).between(12, 19) & (luhn_sum(x["digits"]) % 10 == 0))
+            return F.transform(good, lambda x: F.struct(x["other"].alias("other"), x["first"].alias("first"), x["rank"].alias("rank"), x["last"].alias("last")))
+
+        def choose(chosen: Column, x: Column) -> Column:
+            free = ~F.exists(chosen, lambda c: (c["first"] <= x["last"]) & (x["first"] <= c["last"]))
+            edge = (x["other"] == 0) | (x["first"] == 1) | (x["last"] == n) | F.exists(chosen, lambda c: c["last"] + 1 == x["first"])
+            return F.when(free & edge, F.concat(chosen, F.array(F.struct(x["first"].alias("first"), x["last"].alias("last"))))).otherwise(chosen)
+
+        found = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), n), spans)))
+        chosen = F.array_sort(F.aggregate(found, F.array().cast("array<struct<first:int,last:int>>"), choose))
+        piece = lambda value, kind: F.struct(value.alias("value"), F.lit(kind).cast("string").alias("kind"))
+
+        def cut(taken: Column) -> Column:
+            def one(c: Column, at: Column) -> Column:
+                before = F.when(at > 0, F.get(taken, at - 1)["last"]).otherwise(0)
+                span = joined(c["first"], c["last"])
+                mark = F.regexp_extract(span, r"^[ \-]?", 0)
+                return F.array(piece(F.concat(joined(before + 1, c["first"] - 1), mark), None), piece(F.substring(span, F.length(mark) + 1, F.length(span)), "card"))
+
+            done = F.coalesce(F.get(taken, F.size(taken) - 1)["last"], F.lit(0))
+            return F.concat(F.flatten(F.transform(taken, one)), F.array(piece(joined(done + 1, n), None)))
+
+        return let(chosen, cut)
+
+    return let(F.regexp_extract_all(run, F.lit(r"[ \-]?[0-9]+"), 0), split)
+
+
 def _pseudonym(key: str, value: Column, kind: Column) -> Column:
     """The pseudonym of one found value; values without a valid format stay."""
     digits = F.regexp_replace(value, "[^0-9]", "")
@@ -179,12 +249,15 @@ def pseudonymise(documents: DataFrame, key: str, text: str = "text", counts: boo
     source = F.coalesce(F.col(text), F.lit(""))
     found = F.when(source.rlike("[0-9@]"), F.regexp_extract_all(source, F.lit(f"({ANY})"), 1)).otherwise(F.array().cast("array<string>"))
     out = documents.withColumn("__found", found)
-    out = out.withColumn("__found", F.transform("__found", lambda v: F.struct(v.alias("value"), _kind(v).alias("kind"))))
+    parts = lambda x: F.when(x["kind"] == "run", _cards(x["value"])).otherwise(F.array(x))
+    out = out.withColumn("__found", F.transform("__found", lambda v: let(F.struct(v.alias("value"), _kind(v).alias("kind")), parts)))
     rest = F.split(F.col(text), ANY, -1)
-    fresh = F.concat(F.transform("__found", lambda x: _pseudonym(key, x["value"], x["kind"])), F.array(F.lit("")))
-    new_text = F.when(F.exists("__found", lambda x: x["kind"].isNotNull()), F.array_join(F.zip_with(rest, fresh, lambda a, b: F.concat(a, b)), "")).otherwise(F.col(text))
+    renewed = lambda found: F.array_join(F.transform(found, lambda x: _pseudonym(key, x["value"], x["kind"])), "")
+    fresh = F.concat(F.transform("__found", renewed), F.array(F.lit("")))
+    private = F.filter(F.flatten("__found"), lambda x: x["kind"].isNotNull())
+    new_text = F.when(F.size(private) > 0, F.array_join(F.zip_with(rest, fresh, lambda a, b: F.concat(a, b)), "")).otherwise(F.col(text))
     out = out.withColumn("__new", new_text)
     if counts:
-        of = lambda k: F.size(F.filter("__found", lambda x: x["kind"].eqNullSafe(F.lit(k)))).try_cast("int")
-        out = out.withColumns({f"n_{k}": of(k) for k in KINDS} | {"n_private": F.size(F.filter("__found", lambda x: x["kind"].isNotNull())).try_cast("int")})
+        of = lambda k: F.size(F.filter(private, lambda x: x["kind"] == k)).try_cast("int")
+        out = out.withColumns({f"n_{k}": of(k) for k in KINDS} | {"n_private": F.size(private).try_cast("int")})
     return out.withColumn(text, F.col("__new")).drop("__found", "__new")

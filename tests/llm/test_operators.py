@@ -123,6 +123,34 @@ def test_invalid_values_stay(spark):
     assert {r.text for r in feistel_pii.pseudonymise(odd(spark), "k").collect()} == {t for _, t, *_ in ODD}
 
 
+VALUES = [
+    ("4994226020900891", "card"), ("4994 2260 2090 0891", "card"), ("3782 822463 10005", "card"), ("49 94 22 60 20 90 08 91", "card"), ("+1 (826) 555-4081", "phone"), ("+44 20 7946 0958", "phone"),
+    ("+49 171 1234 5678", "phone"), ("826-555-4081", "phone"), ("190.137.223.204", "ipv4"), ("123-45-6789", "ssn"), ("1990-02-28", "date"), ("12/31/1999", "date"), ("12.ab@mail.example.com", "email"),
+    ("12ab3e61083db5dbdf4bd2369d2f8017", "secret"),
+]
+
+
+def test_values_directly_behind_each_other(spark):
+    pairs = [(a, b) for a in VALUES for b in VALUES]
+    rows = [f"{a} {b}" for (a, _), (b, _) in pairs] + [a for a, _ in VALUES]
+    out = [r for r in feistel_pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    alone = {a: r.text for (a, _), r in zip(VALUES, out[len(pairs) :])}
+    assert all(alone[a] != a for a, _ in VALUES)
+    for ((a, kind), (b, other)), r in zip(pairs, out):
+        assert r.text == f"{alone[a]} {alone[b]}" and r.n_private == 2 and r[f"n_{kind}"] == 1 + (kind == other), (a, b, r.text)
+
+
+def test_numbers_beside_a_value_stay(spark):
+    beside = ["4994226020900891 190", "4994 2260 2090 0891 12", "12 4994226020900891", "12 4994 2260 2090 0891", "49 94 22 60 20 90 08 91 12", "+1 (826) 555-4081 190", "+1 826 555 4081 19", "+44 7911 1234 5678 2024"]
+    rows = feistel_pii.pseudonymise(spark.createDataFrame(list(enumerate(beside)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    extra = [" 190", " 12", "12 ", "12 ", " 12", " 190", " 19", " 2024"]
+    for old, part, r in zip(beside, extra, rows):
+        value = old.removesuffix(part) if part[0] == " " else old.removeprefix(part)
+        assert r.n_private == 1 and value not in r.text and (r.text.endswith(part) if part[0] == " " else r.text.startswith(part)), (old, r.text)
+    rows = feistel_pii.pseudonymise(spark.createDataFrame([(1, " ".join(["12"] * 5000) + " 4994 2260 2090 0891 x")], "doc_id long, text string"), "k").collect()
+    assert rows[0].n_card >= 1 and "4994 2260 2090 0891" not in rows[0].text
+
+
 def feistel(key, label, pair, sizes):
     pair = list(pair)
     for k in range(feistel_pii.ROUNDS):
