@@ -39,6 +39,11 @@ def counted(number: Column, noun: str) -> Column:
     return F.concat(number.cast("string"), F.lit(f" {noun}"), F.when(number == 1, "").otherwise("s"))
 
 
+def normalised_heading(text: Column) -> Column:
+    """A heading as headings are compared: without spaces around it, in lower case."""
+    return F.lower(F.trim(text))
+
+
 def concept_id(path: Column) -> Column:
     """A document's id: its path without ``.md``."""
     return F.regexp_replace(path, r"\.md$", "")

@@ -11,12 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import glob_regex, normalise_path, normalised_path
 from ..functions.vectors import unit_rows
 
-#: Query vectors that travel to every task at once; more are searched block by block.
+#: Query vectors that travel to every task at once, and that a block of more queries has.
 QUERY_BLOCK = 4096
+#: Rows of a block where queries come in blocks, and rows that are multiplied at once.
+ROW_BLOCK, ROW_TILE = 50_000, 2048
 
 
 @dataclass(frozen=True)
@@ -55,6 +58,26 @@ class SearchOptions:
         return F.coalesce(reduce(and_, parts, F.lit(True)), F.lit(False))
 
 
+def check_vectors(*tables: DataFrame) -> int | None:
+    """The one length of all vectors (column ``vector``) of the tables; None if there are no rows.
+
+    Null and empty vectors, null or non-finite entries and unequal lengths are
+    refused: a similarity of such vectors would be a number without meaning.
+    """
+    sizes = set()
+    for table in tables:
+        odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        row = table.agg(F.min(F.size("vector")), F.max(F.size("vector")), F.count_if(F.col("vector").isNull() | odd)).first()
+        if row[2]:
+            raise ValueError(f"{row[2]} vectors are null or have entries that are null or not finite")
+        sizes |= {row[0], row[1]} - {None}
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(sizes)}")
+    if 0 in sizes:
+        raise ValueError("a vector is empty")
+    return sizes.pop() if sizes else None
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = True, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, id, sim and rank of the ``k`` most similar rows of ``vectors`` to each query.
 
@@ -62,41 +85,97 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = Tr
     is scored; similarities are rounded to ``digits`` and ties go to the smaller
     id.  Each task multiplies its rows with a block of queries and passes on its
     own best ``k`` for each query, so what is shuffled grows with tasks and
-    queries, not with pairs.  Zero vectors have similarity 0 with everything.
+    queries, not with pairs.  Zero vectors have similarity 0 with everything;
+    vectors that ``check_vectors`` refuses raise ValueError.
     """
-    ids = queries.select("id", "vector").orderBy("id").toLocalIterator()
-    found = None
-    for part in _blocks(ids, block):
-        q_ids = np.array([r.id for r in part], dtype=np.int64)
-        q = unit_rows(np.array([r.vector for r in part], dtype=np.float64))
-        one = vectors.select("id", "vector").mapInArrow(_best_of_batches(q_ids, q, k, skip_self, digits), "query_id long, id long, sim double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, sim double, rank int")
-    return top_k(found, k)
-
-
-def _blocks(rows: Iterator, size: int) -> Iterator[list]:
-    part: list = []
-    for row in rows:
-        part.append(row)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part
-
-
-def _best_of_batches(q_ids: np.ndarray, q: np.ndarray, k: int, skip_self: bool, digits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[np.ndarray] = []
+
+    def best(q_ids: np.ndarray, q: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _best_of_batches(q_ids, q, k, skip_self, digits, batches)
+
+    return top_k(_scored_blocks(vectors.select("id", "vector"), queries, best, "query_id long, id long, sim double", block), k)
+
+
+def nearest_per_document(vectors: DataFrame, queries: DataFrame, document: str, skip_self: bool = True, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, ``document``, id and sim: the most similar passage of every document to each query, then the smallest id.
+
+    Every passage is scored before any is dropped, so no document is missing
+    whose best passage ranks low.  Each batch passes on its best of each
+    document; the rest is a combined aggregate.
+    """
+    kind = dict(vectors.dtypes)[document]
+
+    def best(q_ids: np.ndarray, q: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
+            for start in range(0, batch.num_rows, ROW_TILE):
+                yield from _best_of_documents(q_ids, q, skip_self, digits, batch.slice(start, ROW_TILE))
+
+    rows = vectors.select("id", "vector", F.col(document).alias("document"))
+    found = _scored_blocks(rows, queries, best, f"query_id long, document {kind}, id long, sim double", block)
+    best_row = F.max(F.struct("sim", (-F.col("id")).alias("less"))).alias("b")
+    return found.groupBy("query_id", "document").agg(best_row).select("query_id", F.col("document").alias(document), (-F.col("b.less")).alias("id"), F.col("b.sim").alias("sim"))
+
+
+def _scored_blocks(rows: DataFrame, queries: DataFrame, best, schema: str, block: int) -> DataFrame:
+    """``best(query ids, unit query vectors, batches of rows)`` for every block of queries and every row.
+
+    Up to ``block`` queries, counted first, travel to every task.  More of them
+    are dealt into blocks, as the rows are, and each pair of blocks is a group.
+    """
+    size = check_vectors(rows, queries)
+    n = queries.count()
+    if not n or size is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    if n <= block:
+        found = queries.select(F.col("id").cast("long"), "vector").orderBy("id").toArrow()
+        q_ids, q = found.column(0).to_numpy(), _unit_matrix(found.column(1).combine_chunks(), n)
+        return rows.mapInArrow(lambda batches: best(q_ids, q, (b for b in batches if b.num_rows)), schema)
+    parts = -(-n // block)
+    tiles = -(-rows.count() // ROW_BLOCK)
+    left = rows.withColumns({"__tile": F.pmod(F.xxhash64("id"), F.lit(tiles)), "__block": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    right = queries.select("id", "vector").withColumns({"__block": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), "__tile": F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))})
+    right = right.withColumn("__tile", F.col("__tile").cast("long"))
+    names = rows.columns
+
+    def pair(some: pa.Table, asked: pa.Table) -> pa.Table:
+        empty = pa.Table.from_batches([], schema=arrow)
+        if not some.num_rows or not asked.num_rows:
+            return empty
+        q = _unit_matrix(asked.column("vector").combine_chunks(), asked.num_rows)
+        out = list(best(asked.column("id").to_numpy(), q, iter(some.select(names).to_batches(max_chunksize=ROW_TILE))))
+        return pa.Table.from_batches([b.cast(arrow) for b in out]) if out else empty
+
+    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+    return left.groupBy("__tile", "__block").cogroup(right.groupBy("__tile", "__block")).applyInArrow(pair, schema)
+
+
+def _unit_matrix(vectors: pa.Array, n: int) -> np.ndarray:
+    return unit_rows(np.asarray(vectors.flatten(), dtype=np.float64).reshape(n, -1))
+
+
+def _best_of_documents(q_ids: np.ndarray, q: np.ndarray, skip_self: bool, digits: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    coded = batch.column(2).dictionary_encode("encode")
+    order = np.lexsort((batch.column(0).to_numpy(), coded.indices.to_numpy()))
+    ids, codes = batch.column(0).to_numpy()[order], coded.indices.to_numpy()[order]
+    sims = np.round(np.clip(_unit_matrix(batch.column(1), batch.num_rows)[order] @ q.T, -1.0, 1.0), digits) + 0.0
+    if skip_self:
+        sims[ids[:, None] == q_ids[None, :]] = -np.inf
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    top = np.maximum.reduceat(sims, starts, axis=0)
+    lengths = np.diff(np.r_[starts, len(ids)])
+    at = np.where(sims == np.repeat(top, lengths, axis=0), ids[:, None], np.iinfo(np.int64).max)
+    first = np.minimum.reduceat(at, starts, axis=0)
+    doc, query = np.nonzero(top > -np.inf)
+    documents = coded.dictionary.take(pa.array(codes[starts][doc]))
+    yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), documents, pa.array(first[doc, query]), pa.array(top[doc, query])], ["query_id", "document", "id", "sim"])
+
+
+def _best_of_batches(q_ids: np.ndarray, q: np.ndarray, k: int, skip_self: bool, digits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    best: list[np.ndarray] = []
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROW_TILE):
+            batch = whole.slice(start, ROW_TILE)
             ids = batch.column(0).to_numpy()
-            flat = batch.column(1)
-            rows = np.asarray(flat.flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            sims = np.round(np.clip(unit_rows(rows) @ q.T, -1.0, 1.0), digits) + 0.0
+            sims = np.round(np.clip(_unit_matrix(batch.column(1), batch.num_rows) @ q.T, -1.0, 1.0), digits) + 0.0
             for at, query in enumerate(q_ids):
                 s, i = sims[:, at], ids
                 if skip_self:
@@ -111,11 +190,9 @@ def _best_of_batches(q_ids: np.ndarray, q: np.ndarray, k: int, skip_self: bool,
                 best.append(i)
             if len(best) > 2 * len(q_ids):
                 best = _merge_best(best, k)
-        if best:
-            at, s, i = _flat(best)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(i), pa.array(s)], ["query_id", "id", "sim"])
-
-    return run
+    if best:
+        at, s, i = _flat(best)
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(i), pa.array(s)], ["query_id", "id", "sim"])
 
 
 def _flat(best: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -16,9 +16,9 @@ def q_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of pages, resolved against an inventory of the first words of documents."""
+    """Links of pages, resolved against an inventory of the words of documents."""
     links = q_links(spark, sf_dir).select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("/index.html")).alias("source"), "page_id", "ordinal", F.when(F.col("ordinal") % 5 == 4, F.concat(F.lit("https://example.com"), F.col("raw_target"))).when(F.col("ordinal") % 5 == 3, F.concat(F.lit("../.."), F.col("raw_target"))).otherwise(F.col("raw_target")).alias("raw_target"))
-    words = table(spark, sf_dir, "documents").select(F.split("text", "[ \n]")[0].alias("path")).filter("path <> ''").distinct()
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("path")).filter("path <> ''").distinct()
     inventory = words.select("path", F.when(F.length("path") % 2 == 0, "concept").otherwise("asset").alias("kind"))
     return gr.resolve(links, inventory).select("page_id", "ordinal", "raw_target", "resolution", "resolved_path")
 
@@ -26,11 +26,11 @@ def q_link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between suppliers: a supplier of a line item links to the one 1, 2 or 3 numbers on, by the item's line."""
     n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
-    items = table(spark, sf_dir, "lineitem").filter("l_quantity < 3").select("l_suppkey", "l_linenumber", "l_orderkey")
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_orderkey")
     return items.crossJoin(F.broadcast(n)).select(F.col("l_suppkey").alias("source"), ((F.col("l_suppkey") + F.col("l_orderkey") % 4) % F.col("n")).alias("target"))
 
 
-_SUPPLY_SQL = "SELECT l_suppkey AS source, (l_suppkey + l_orderkey % 4) % (SELECT count(*) FROM supplier) AS target FROM lineitem WHERE l_quantity < 3"
+_SUPPLY_SQL = "SELECT l_suppkey AS source, (l_suppkey + l_orderkey % 4) % (SELECT count(*) FROM supplier) AS target FROM lineitem"
 
 
 def q_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ ORACLES = {
     "q_link_resolution": f"""
 WITH l AS (
   SELECT page_id, ordinal, CASE ordinal % 5 WHEN 4 THEN 'https://example.com' || raw_target WHEN 3 THEN '../..' || raw_target ELSE raw_target END AS raw_target, substr(raw_target, 2) AS path FROM ({_LINKS_SQL})
-), inventory AS (SELECT DISTINCT regexp_split_to_array(text, '[ \n]')[1] AS path FROM documents)
+), inventory AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \n]')) AS path FROM documents)
 SELECT page_id, ordinal, raw_target, CASE WHEN ordinal % 5 = 4 THEN 'external' WHEN ordinal % 5 = 3 THEN 'invalid' WHEN i.path IS NULL THEN 'unresolved' WHEN length(i.path) % 2 = 0 THEN 'resolvedConcept' ELSE 'resolvedAsset' END AS resolution,
   CASE WHEN ordinal % 5 < 3 THEN i.path END AS resolved_path
 FROM l LEFT JOIN inventory i ON l.path = i.path AND i.path <> ''""",

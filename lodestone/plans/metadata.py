@@ -93,7 +93,6 @@ def q_current_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = document_files(spark, sf_dir)
-    first = F.split("text", "\n")[0]
     name = F.concat_ws("-", "lang", F.col("bundle"))
     cited = tx.citation(F.col("path"), F.lit(3), F.lit(9))
     return d.select(
@@ -105,7 +104,7 @@ def q_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx.counted(F.col("doc_id") % 3, "file").alias("files"),
         cited.alias("citation"),
         tx.parse_citation(cited)["end"].alias("cited_end"),
-        F.lower(F.trim(first)).alias("heading"),
+        tx.normalised_heading(F.col("text")).alias("heading"),
         tx.scoped_id(F.col("bundle"), F.col("path")).alias("scoped_id"),
         F.sha2("text", 256).alias("input_hash"),
         F.round(F.log2(F.col("doc_id") % 50 + 2.0), 6).alias("discount"),
@@ -113,7 +112,7 @@ def q_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(F.greatest(F.col("doc_id") % 7, F.lit(1)), F.lit(3)).alias("depth"),
         F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int")), "d MMM yyyy").alias("shown_date"),
         tx.concept_id(F.col("path")).alias("concept_id"),
-        tx.escape_cell(F.substring(F.col("text"), 1, 60)).alias("cell"),
+        tx.escape_cell(F.col("text")).alias("cell"),
     )
 
 
@@ -155,10 +154,10 @@ WHERE status IS DISTINCT FROM 'deprecated' AND NOT coalesce(TIMESTAMP '{AS_OF}'
 SELECT doc_id, CAST(length(regexp_replace(text, '[ \t-\r]', '', 'g')) AS INTEGER) AS budget, contains(lower(text), 'license') AS has_license, path,
   upper(lang[1]) || lang[2:] || ' ' || bundle AS label,
   (doc_id % 3) || ' file' || CASE WHEN doc_id % 3 = 1 THEN '' ELSE 's' END AS files,
-  path || ':3-9' AS citation, CAST(9 AS INTEGER) AS cited_end, lower(trim(string_split(text, chr(10))[1])) AS heading,
+  path || ':3-9' AS citation, CAST(9 AS INTEGER) AS cited_end, lower(trim(text)) AS heading,
   sha256('["' || bundle || '","' || path || '"]') AS scoped_id, sha256(text) AS input_hash, round(log2(doc_id % 50 + 2.0), 6) AS discount,
   CAST(len(string_split(text, chr(10))) AS INTEGER) AS last_line, least(greatest(doc_id % 7, 1), 3) AS depth,
   strftime(DATE '2020-01-01' + CAST(doc_id % 1000 AS INTEGER), '%-d %b %Y') AS shown_date, regexp_replace(path, '\.md$', '') AS concept_id,
-  regexp_replace(regexp_replace(substr(text, 1, 60), '([\\|])', '\\\1', 'g'), '[\r\n]+', ' ', 'g') AS cell
+  regexp_replace(regexp_replace(text, '([\\|])', '\\\1', 'g'), '[\r\n]+', ' ', 'g') AS cell
 FROM ({FILES_SQL})""",
 }

@@ -29,9 +29,10 @@ def q_broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_repeated_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that stand twice in a line of a document."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.split(F.split("text", "\n")[0], " ").alias("tags"))
-    return ru.repeated_elements(d, "tags")
+    """Words that stand twice in a line of a document, with the number of the line."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    facts = lines.select(F.concat_ws(":", F.col("doc_id").cast("string"), (F.col("line") + 1).cast("string")).alias("path"), F.split("content", " ").alias("tags"))
+    return ru.repeated_elements(facts, "tags")
 
 
 def q_answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,11 @@ QUERIES = {
 ORACLES = {
     "q_actors_first_use": "SELECT 'bot:' || l_suppkey AS actor, arg_min('o' || l_orderkey, (l_shipdate, 'o' || l_orderkey)) AS first_path, count(*) AS uses FROM lineitem GROUP BY 1",
     "q_broken_links": f"SELECT DISTINCT 'path-targets-exist' AS rule_id, 'error' AS severity, CAST(page_id AS VARCHAR) AS path, raw_target AS failing FROM ({graph_plans.ORACLES['q_link_resolution']}) WHERE resolution IN ('unresolved', 'invalid')",
-    "q_repeated_tags": "SELECT doc_id AS path, value, count(*) AS n FROM (SELECT doc_id, unnest(string_split(string_split(text, chr(10))[1], ' ')) AS value FROM documents) GROUP BY ALL HAVING count(*) > 1",
+    "q_repeated_tags": """
+SELECT path, value, count(*) AS n FROM (
+  SELECT doc_id || ':' || line AS path, unnest(string_split(content, ' ')) AS value
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents))
+GROUP BY ALL HAVING count(*) > 1""",
     "q_answer_metrics": f"""
 WITH rel AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0 AND v.label % 2 = 0),
 hits AS ({search_plans._knn_sql(5)}),

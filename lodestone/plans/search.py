@@ -41,25 +41,29 @@ def q_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(before, "id").select("id", F.round(cosine(F.col("vector"), F.col("other")), 6).alias("sim"))
 
 
-def _scored(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
+def _per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return se.nearest(v, _queries(v), k).join(v.select("id", "label"), "id")
+    return se.nearest_per_document(v, _queries(v), "label")
 
 
 def q_best_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the 50 nearest, the best one of each label, taken as its document."""
-    return se.best_passages(_scored(spark, sf_dir), "label").select("query_id", "label", "id", "sim")
+    """The best passage of each label, taken as its document, over the whole ranking."""
+    return _per_label(spark, sf_dir).select("query_id", "label", "id", "sim")
 
 
 def q_cross_bundle_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundles = _scored(spark, sf_dir).withColumns({"bundle": F.concat(F.lit("b"), (F.col("label") % 3).cast("string")), "source_path": F.concat(F.lit("d"), F.col("label").cast("string"))})
-    return se.merge_bundles(bundles, 10).select("query_id", "rank", "bundle", "source_path", "id", "sim")
+    """Ten best of three bundles, of which each is searched for its own ten."""
+    v = _vectors(spark, sf_dir)
+    found = [se.nearest(v.filter(F.col("label") % 3 == b), _queries(v), 10).withColumn("bundle", F.lit(f"b{b}")) for b in range(3)]
+    hits = found[0].unionByName(found[1]).unionByName(found[2]).join(v.select("id", F.concat(F.lit("d"), F.col("label").cast("string")).alias("source_path")), "id")
+    return se.merge_bundles(hits, 10).select("query_id", "rank", "bundle", "source_path", "id", "sim")
 
 
 def q_rerank_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rerank 50 candidates by whether their label is the query's, and keep five."""
-    v = _vectors(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("label").alias("query_label"))
-    scored = _scored(spark, sf_dir).join(v, "query_id")
+    v = _vectors(spark, sf_dir)
+    asked = v.select(F.col("id").alias("query_id"), F.col("label").alias("query_label"))
+    scored = se.nearest(v, _queries(v), 50).join(v.select("id", "label"), "id").join(asked, "query_id")
     return se.rerank(scored, (F.col("label") == F.col("query_label")).cast("int"), 5).select("query_id", "id", "score", "new_rank")
 
 
@@ -70,10 +74,10 @@ def q_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per conversation: single turns, pairs of turns from every third turn, and the whole."""
+    """Per conversation: single turns, each turn with the next, and the whole."""
     turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("source_path"), "turn").distinct()
     one = turns.select("source_path", F.col("turn").alias("line_start"), F.col("turn").alias("line_end"), F.lit("t").alias("k"))
-    two = turns.filter("turn % 3 = 0").select("source_path", F.col("turn").alias("line_start"), (F.col("turn") + 1).alias("line_end"), F.lit("p").alias("k"))
+    two = turns.select("source_path", F.col("turn").alias("line_start"), (F.col("turn") + 1).alias("line_end"), F.lit("p").alias("k"))
     all_ = turns.groupBy("source_path").agg(F.min("turn").alias("line_start"), F.max("turn").alias("line_end")).withColumn("k", F.lit("w"))
     spans = one.unionByName(two).unionByName(all_)
     return spans.withColumn("chunk_id", F.concat_ws(":", "source_path", "k", F.col("line_start").cast("string"), F.col("line_end").cast("string")))
@@ -82,7 +86,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPANS_SQL = """
 SELECT *, source_path || ':' || k || ':' || line_start || ':' || line_end AS chunk_id FROM (
   SELECT DISTINCT 'c' || conv_id AS source_path, turn AS line_start, turn AS line_end, 't' AS k FROM conversations
-  UNION ALL SELECT DISTINCT 'c' || conv_id, turn, turn + 1, 'p' FROM conversations WHERE turn % 3 = 0
+  UNION ALL SELECT DISTINCT 'c' || conv_id, turn, turn + 1, 'p' FROM conversations
   UNION ALL SELECT 'c' || conv_id, min(turn), max(turn), 'w' FROM conversations GROUP BY 1)
 """
 
@@ -110,7 +114,7 @@ def q_parent_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_context_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three best labels of each query, and up to two passages of labels that those link to."""
     order = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id")
-    best = se.best_passages(_scored(spark, sf_dir), "label").withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("query_id", F.col("label").alias("document"), "rank")
+    best = _per_label(spark, sf_dir).withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("query_id", F.col("label").alias("document"), "rank")
     labels = _vectors(spark, sf_dir).groupBy("label").agg(F.min("id").alias("passage_id"))
     edges = labels.select(F.col("label").alias("source"), F.explode(F.array(F.lit(1), F.lit(4))).alias("ordinal")).withColumn("target", (F.col("source") + F.col("ordinal")) % 10)
     return se.expand_links(best, edges, labels.select(F.col("label").alias("document"), "passage_id"), 2)
@@ -225,6 +229,13 @@ WHERE rank <= {k}"""
 
 
 _SCORED_SQL = f"SELECT s.*, e.label FROM ({_knn_sql(50)}) s JOIN embeddings e ON s.id = e.vec_id"
+_BUNDLES_SQL = " UNION ALL ".join(f"SELECT s.*, 'b{b}' AS bundle, 'd' || e.label AS source_path FROM ({_knn_sql(10, f'v.label % 3 = {b}')}) s JOIN embeddings e ON s.id = e.vec_id" for b in range(3))
+_BEST_SQL = """
+SELECT query_id, label, id, sim FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY sim DESC, id) AS n FROM (
+    SELECT q.vec_id AS query_id, v.label, v.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS sim
+    FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id))
+WHERE n = 1"""
 _GEN_SQL = """
 old AS (SELECT doc_id, sha256(text) AS input_hash, source AS meta FROM documents WHERE doc_id % 10 <> 0),
 new AS (SELECT doc_id, sha256(text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS input_hash, CASE WHEN doc_id % 5 = 0 THEN 'moved' ELSE source END AS meta FROM documents WHERE doc_id % 11 <> 0)"""
@@ -269,8 +280,8 @@ ORACLES = {
     "q_knn_topk": _knn_sql(5),
     "q_knn_filtered": _knn_sql(5, "v.label % 2 = 0"),
     "q_cosine_pairs": "SELECT a.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1",
-    "q_best_passage": f"SELECT query_id, label, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY sim DESC, id) AS n FROM ({_SCORED_SQL})) WHERE n = 1",
-    "q_cross_bundle_topk": f"SELECT query_id, CAST(n AS INTEGER) AS rank, bundle, source_path, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, bundle, source_path, id) AS n FROM (SELECT *, 'b' || (label % 3) AS bundle, 'd' || label AS source_path FROM ({_SCORED_SQL}))) WHERE n <= 10",
+    "q_best_passage": _BEST_SQL,
+    "q_cross_bundle_topk": f"SELECT query_id, CAST(n AS INTEGER) AS rank, bundle, source_path, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, bundle, source_path, id) AS n FROM ({_BUNDLES_SQL})) WHERE n <= 10",
     "q_rerank_window": f"SELECT query_id, id, score, CAST(n AS INTEGER) AS new_rank FROM (SELECT s.query_id, s.id, CAST(s.label = q.label AS INTEGER) AS score, row_number() OVER (PARTITION BY s.query_id ORDER BY (s.label = q.label) DESC, rank) AS n FROM ({_SCORED_SQL}) s JOIN embeddings q ON s.query_id = q.vec_id) WHERE n <= 5",
     "q_uncovered": "SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "q_parent_range": _PARENT_SQL,
@@ -287,9 +298,7 @@ SELECT chunk_id, parent_id FROM (
   SELECT chunk_id, 'o' || o_orderkey AS parent_id, row_number() OVER (PARTITION BY chunk_id ORDER BY o_orderkey > s, abs(o_orderkey - s), o_orderkey % 5, 'o' || o_orderkey) AS n
   FROM children JOIN orders ON o_custkey = f AND o_orderkey % 9 = symbol) WHERE n = 1""",
     "q_context_expansion": f"""
-WITH best AS (
-  SELECT query_id, label, sim, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY sim DESC, id) AS n FROM ({_SCORED_SQL})) WHERE n = 1
-), matched AS (
+WITH best AS ({_BEST_SQL}), matched AS (
   SELECT query_id, label AS document, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM best) WHERE rank <= 3
 ), labels AS (SELECT label, min(vec_id) AS passage_id FROM embeddings GROUP BY 1),
 hop AS (

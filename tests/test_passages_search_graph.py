@@ -193,3 +193,42 @@ def test_typescript_passages():
     first = next(chunking.typescript(big, 60))
     assert first[:4] == (1, 1, "class", "class Big") and first[4]["truncated"]
     assert list(chunking.typescript("let a = 1\n")) == [(1, 2, "file", "let a = 1\n", {})] and list(chunking.typescript(" \n")) == []
+
+
+def _some_vectors(spark, n=60, size=5, seed=4):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, size)], f"d{i % 7}" if i % 11 else None) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, vector array<float>, doc string")
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_search_in_blocks_matches_all_pairs(spark, block):
+    import numpy as np
+
+    rows, v = _some_vectors(spark)
+    unit = lambda x: np.array(x) / (np.linalg.norm(x) or 1)
+    sims = {(q, i): round(float(np.clip(unit(a) @ unit(b), -1, 1)), 6) + 0.0 for q, a, _ in rows if q % 3 == 0 for i, b, _ in rows if i != q}
+    asked = v.filter("id % 3 = 0")
+    got = {(r.query_id, r["rank"]): (r.id, r.sim) for r in se.nearest(v, asked, 4, block=block).collect()}
+    best = {(r.query_id, r.doc): (r.id, r.sim) for r in se.nearest_per_document(v, asked, "doc", block=block).collect()}
+    for q in range(0, len(rows), 3):
+        order = sorted((i for i, _, _ in rows if i != q), key=lambda i: (-sims[q, i], i))
+        assert [got[q, k] for k in range(1, 5)] == [(i, sims[q, i]) for i in order[:4]]
+        for doc in {d for _, _, d in rows}:
+            first = next(i for i in order if rows[i][2] == doc)
+            assert best[q, doc] == (first, sims[q, first])
+
+
+def test_vectors_without_a_similarity_are_refused(spark):
+    schema = "id long, vector array<float>"
+    good = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], schema)
+    for bad in ([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0])], [(1, None)], [(1, [])], [(1, [1.0, None, 0.0])], [(1, [float("nan"), 0.0, 1.0])], [(1, [float("inf"), 0.0, 1.0])]):
+        odd = spark.createDataFrame(bad, schema)
+        with pytest.raises(ValueError):
+            se.nearest(odd, good, 2)
+        with pytest.raises(ValueError):
+            se.nearest(good, odd, 2)
+    none = good.limit(0)
+    assert se.nearest(none, good, 2).collect() == [] and se.nearest(good, none, 2).collect() == []
