@@ -2,18 +2,20 @@
 
 Texts with equal sets are one node.  Two sets can only reach the threshold if
 they share one of their first tokens in a global order (common tokens last), so
-nodes meet by such prefix tokens.  A first round compares each node with the
-hub it shares most of them with, which links copies to each other without
-listing their pairs.  What is left of a token's group in different components
-goes through a signature tree: its nodes hold OR-combined bitmaps of hashed
-tokens and ranges of set sizes, and a dual traversal drops pairs of nodes whose
-largest possible overlap, or whose sizes, cannot reach the threshold.  Every
-pair that survives is verified on the whole sets.
+nodes meet in groups, by such prefix tokens.  Each group goes through a
+signature tree: the tree's nodes hold OR-combined bitmaps of hashed tokens and
+ranges of set sizes, and a dual traversal drops pairs of nodes whose largest
+possible overlap, or whose sizes, cannot reach the threshold.  Every pair that
+survives is verified on the whole sets.  Groups of more than ``SMALL`` sets are
+first thinned by links to the set that a member shares most groups with; what
+is still apart is joined into families, whose trees take blocks of one size
+band and verify inside the task, so that copies are not listed pair by pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,12 @@ COMMON = 16
 TABLE_BITS = 1 << 24
 #: Children of a tree node; sets, and tokens of sets (8 bytes each), in a block of a family, of which a task holds two.
 FANOUT, BLOCK, BLOCK_TOKENS = 8, 2048, 2_000_000
+#: Sets of a component from which on it fills blocks of its own, which need no comparing with each other.
+PURE = 256
 #: Sets that share a token are compared pair by pair; groups above this size are compared by family.
-SMALL = 64
-#: Ids broadcast at most (16 bytes each); beyond that a join shuffles.
-MAX_BROADCAST = 2_000_000
+SMALL = 32
+#: Keys broadcast at most (some 50 bytes each); beyond that a join shuffles.
+MAX_BROADCAST = 1_000_000
 #: Rows that a Python worker is handed at once.
 BATCH_ROWS = 1000
 
@@ -231,8 +235,29 @@ def common_tokens(documents: DataFrame, shingle: int, percent: int, common: int
     return table
 
 
+#: What names a row: its doc_id, which may be null or repeated, and 128 bits of hash of its text.
+ROW_KEY = ("doc_id", "k1", "k2")
+
+
+def row_keys(documents: DataFrame) -> DataFrame:
+    """``documents`` with the hashes ``__k1`` and ``__k2`` of its texts."""
+    return documents.withColumns({"__k1": F.xxhash64("text"), "__k2": F.xxhash64(F.lit(1), "text")})
+
+
+def _slim(documents: DataFrame) -> DataFrame:
+    return row_keys(documents.selectExpr("cast(doc_id as long) as doc_id", "text")).select("doc_id", F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text")
+
+
+def _set_hashes(tokens: np.ndarray) -> tuple[int | None, int | None]:
+    """128 bits of hash of a set, as two signed longs; none of an empty set."""
+    if not len(tokens):
+        return None, None
+    raw = tokens.tobytes()
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh64_intdigest(raw, 1) - (1 << 63)
+
+
 def document_sets(documents: DataFrame, shingle: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, set_id, prefix (array<long>) and sig (binary) of every row; n = 0 has no set."""
+    """Row key, n, h1, h2 (hashes of the set), prefix (array<long>) and sig (binary) of every row; n = 0 has no set."""
     shared = documents.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,33 +268,57 @@ def document_sets(documents: DataFrame, shingle: int, percent: int, common: np.n
             for raw in _texts(batch):
                 tokens = shingle_set(raw, shingle, hashes)
                 n.append(len(tokens))
-                ids.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None)
+                ids.append(_set_hashes(tokens))
                 prefixes.append(_signed(ordered_prefix(tokens, table, percent)) if len(tokens) else [])
                 sigs.append(signature(tokens) if len(tokens) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n", "set_id", "prefix", "sig"])
+            h1, h2 = zip(*ids) if ids else ((), ())
+            new = [pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *new], [*ROW_KEY, "n", "h1", "h2", "prefix", "sig"])
         hashes.clear()
         trim_memory()
 
-    return documents.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id long, prefix array<long>, sig binary")
+    return _slim(documents).mapInArrow(run, "doc_id long, k1 long, k2 long, n long, h1 long, h2 long, prefix array<long>, sig binary")
+
+
+def distinct_sets(docs: DataFrame) -> DataFrame:
+    """set_id (a number of its own), h1, h2, the smallest row key, n, prefix and sig of every distinct set; write it before use."""
+    named = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *ROW_KEY)).alias("row")
+    sets = docs.filter("n > 0").groupBy("h1", "h2").agg(named, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"))
+    return sets.select(F.monotonically_increasing_id().alias("set_id"), "h1", "h2", "row.doc_id", "row.k1", "row.k2", "n", "prefix", "sig")
 
 
-def whole_sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """set_id and tokens (binary, sorted 64-bit hashes) of the sets in ``wanted`` (set_id, doc_id of one text that has it)."""
+def same_row(left: DataFrame, right: DataFrame):
+    """Join condition: ``left``'s doc_id, __k1, __k2 are ``right``'s row key, null ids included."""
+    return left["doc_id"].cast("long").eqNullSafe(right["__id"]) & (left["__k1"] == right["k1"]) & (left["__k2"] == right["k2"])
+
+
+def whole_sets(documents: DataFrame, wanted: DataFrame, shingle: int, write=materialise) -> DataFrame:
+    """set_id and tokens (binary, sorted 64-bit hashes) of the sets in ``wanted`` (set_id and the key of one row that has it).
+
+    Rows that repeat a key give their set once: once a task, and where that
+    leaves repeats, once in all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker_state()
-        hashes = _WordHashes()
+        hashes, seen = _WordHashes(), set()
         for batch in batches:
-            found = [shingle_set(raw, shingle, hashes) for raw in _texts(batch)]
-            same = [len(t) > 0 and xxhash.xxh3_64_intdigest(t.tobytes()) - (1 << 63) == s for t, s in zip(found, batch.column(0).to_pylist())]
-            keep = pa.array(same)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array([t.tobytes() for t, ok in zip(found, same) if ok], pa.binary())], ["set_id", "tokens"])
+            ids, sets = [], []
+            for set_id, raw in zip(batch.column(0).to_pylist(), _texts(batch)):
+                if set_id not in seen:
+                    seen.add(set_id)
+                    ids.append(set_id)
+                    sets.append(shingle_set(raw, shingle, hashes).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["set_id", "tokens"])
         hashes.clear()
         trim_memory()
 
-    some = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
-    rows = documents.selectExpr("cast(doc_id as long) as doc_id", "text").join(some, "doc_id").select("set_id", "text")
-    return rows.mapInArrow(run, "set_id long, tokens binary")
+    asked = wanted.count()
+    rows = row_keys(documents.selectExpr("cast(doc_id as long) as doc_id", "text"))
+    some = wanted.select("set_id", F.col("doc_id").alias("__id"), "k1", "k2")
+    rows = rows.join(F.broadcast(some) if asked <= MAX_BROADCAST else some, same_row(rows, some)).select("set_id", "text")
+    found = write(rows.mapInArrow(run, "set_id long, tokens binary"), "whole-sets")
+    return found if found.select("set_id").count() == asked else write(found.dropDuplicates(["set_id"]), "whole-sets")
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -325,8 +374,8 @@ def verified(documents: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: i
 
 def wanted_sets(documents: DataFrame, sets: DataFrame, ids: DataFrame, shingle: int, write=materialise) -> DataFrame:
     """set_id and tokens of the sets named in ``ids``."""
-    wanted = write(sets.select("set_id", "doc_id").join(ids, "set_id", "left_semi"), "wanted-sets")
-    return write(whole_sets(documents, wanted, shingle), "whole-sets")
+    wanted = write(sets.select("set_id", *ROW_KEY).join(ids, "set_id", "left_semi"), "wanted-sets")
+    return whole_sets(documents, wanted, shingle, write)
 
 
 def components(edges: DataFrame, write=materialise) -> DataFrame:
@@ -377,12 +426,25 @@ def by_group(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def shared_groups(rows: DataFrame) -> DataFrame:
+    """token, hub, size and weight of the groups that prefix rows (token, set_id) form: sets that share a token.
+
+    Tokens that the very same sets share are one group, under the smallest of
+    them; ``weight`` is their number.  ``hub`` is the smallest member.  Members
+    are counted and hashed by combined aggregates, so a token that very many
+    sets share is not one task's work.
+    """
+    mark = [F.bit_xor(F.xxhash64("set_id", F.lit(seed))).alias(f"mark{seed}") for seed in (1, 2)]
+    shared = rows.groupBy("token").agg(F.min("set_id").alias("hub"), F.count("*").alias("size"), *mark).filter("size > 1")
+    return shared.groupBy("hub", "size", "mark1", "mark2").agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "hub", "size", "weight")
+
+
 def tree_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the signature trees of small groups leave: rows are token, set_id, n, component, sig."""
+    """Pairs (a, b) that the signature trees of small groups leave: rows are token, set_id, n, sig."""
 
     def work(group: pa.Table) -> pa.RecordBatch | None:
-        ids, n, component = (group.column(c).to_numpy() for c in ("set_id", "n", "component"))
-        found = list(group_candidates(n, component, np.zeros(len(n), dtype=np.int64), group.column("sig").to_pylist(), percent, False))
+        ids, n = (group.column(c).to_numpy() for c in ("set_id", "n"))
+        found = list(group_candidates(n, ids, np.zeros(len(n), dtype=np.int64), group.column("sig").to_pylist(), percent, False))
         if not found:
             return None
         a, b = (ids[np.concatenate(x)] for x in zip(*found))
@@ -391,11 +453,38 @@ def tree_candidates(rows: DataFrame, percent: int) -> DataFrame:
     return by_group(rows, ["token"], work, "a long, b long").distinct()
 
 
+def family_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """family, i, j, side, set_id and component: the pairs of blocks of each family that may hold a link.
+
+    ``members`` are family, set_id, n and component.  A block has members of
+    one band of set sizes, and sets that can link are of one band or of
+    neighbouring ones.  Components of ``PURE`` sets or more fill blocks of their
+    own; two blocks of one component are no pair.
+    """
+    band = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
+    large = members.groupBy("family", "component").agg(F.count("*").alias("c")).filter(F.col("c") >= PURE)
+    pure = F.coalesce("pure", F.lit(-1)).alias("pure")  # -1: of no component alone
+    own = members.join(large.select("family", "component", F.col("component").alias("pure")), ["family", "component"], "left")
+    own = own.select("family", "set_id", "component", "n", pure, band.cast("long").alias("band"))
+    key = ["family", "pure", "band"]
+    sizes = own.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("parts"))
+    number = F.row_number().over(Window.partitionBy("family").orderBy("band", "pure", "part"))
+    blocks = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", number)
+    left = blocks.select("family", F.col("pure").alias("p"), F.col("block").alias("i"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    right = blocks.select("family", "pure", F.col("block").alias("j"), "band")
+    met = left.join(right, ["family", "band"]).filter("not (p = pure and p >= 0)")
+    met = met.select("family", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    sides = met.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("side"))
+    placed = own.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")).drop("parts")
+    placed = placed.join(blocks.select(*key, "part", F.col("block").alias("side")), [*key, "part"]).select("family", "side", "set_id", "component")
+    return placed.join(sides, ["family", "side"]).select("family", "i", "j", "side", "set_id", "component")
+
+
 def family_links(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join up what can be joined in each family: rows are family, i, j, side, set_id, component, tokens.
 
     A group of equal (family, i, j) has at most two blocks of a family; where
-    i < j only pairs of different blocks are meant.  The group's signature tree
+    i < j only pairs of different sides are meant.  The group's signature tree
     gives pairs that could link; each is verified on the whole sets unless
     links found before connect its sets already, so a family of copies costs
     about one verification a copy.
@@ -418,51 +507,61 @@ def family_links(rows: DataFrame, percent: int) -> DataFrame:
     return by_group(rows, ["family", "i", "j"], work, "a long, b long")
 
 
-def _joined(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+@dataclass
+class Joined:
     """Written tables: rows with their sets, distinct sets, verified links, and the components of linked sets."""
+
+    docs: DataFrame
+    sets: DataFrame
+    links: DataFrame
+    components: DataFrame
+
+
+def _joined(documents: DataFrame, shingle: int, percent: int) -> Joined:
     work = Scratch(documents.sparkSession, "near-duplicates")
     docs = materialise(document_sets(documents, shingle, percent, common_tokens(documents, shingle, percent)), "document-sets")
-    sets = docs.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"))
-    sets = materialise(sets, "distinct-sets")
-
-    # rows of prefix tokens that two or more sets share, with the smallest set as hub
-    order = Window.partitionBy("token").orderBy("set_id")
-    met = sets.select("set_id", F.explode("prefix").alias("token")).withColumns({"hub": F.first("set_id").over(order.rowsBetween(Window.unboundedPreceding, 0)), "after": F.lead("set_id").over(order)})
-    met = work(met.filter("hub <> set_id or after is not null").drop("after"), "shared-tokens")
-
-    # first round: each set against the hub it shares most prefix tokens with
-    hubs = met.filter("hub <> set_id").groupBy("set_id", "hub").agg(F.count("*").alias("n")).groupBy("set_id").agg(F.max_by("hub", F.struct("n", F.negative("hub"))).alias("hub"))
-    pairs = work(plausible(hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), sets, percent), "hub-pairs")
-    links = work(verified(documents, pairs, sets, shingle, percent, work), "hub-links")
-    first = work(components(links, work), "first-components")
-
-    # second round: what shares a token and is still apart
-    known = work(sets.join(met.select("set_id").distinct(), "set_id", "left_semi").join(first, F.col("set_id") == F.col("node"), "left").select("set_id", "n", "sig", F.coalesce("component", "set_id").alias("component")), "known-sets")
-    labelled = met.select("token", "set_id").join(known.select("set_id", "component"), "set_id")
-    # tokens that the very same sets share are one group: their members' hashes tell
-    mark = [F.bit_xor(F.xxhash64("set_id", F.lit(seed))).alias(f"mark{seed}") for seed in (1, 2)]
-    shared = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), *mark)
-    open_tokens = work(shared.filter("low <> high").groupBy("size", "mark1", "mark2").agg(F.min("token").alias("token")).select("token", "size"), "open-tokens")
-    apart = work(met.join(open_tokens, "token"), "open-groups")
-
-    # small groups: pairs that their trees leave, each verified once
-    few = apart.filter(F.col("size") <= SMALL).select("token", "set_id").join(known, "set_id").select("token", "set_id", "n", "component", "sig")
+    sets = materialise(distinct_sets(docs), "distinct-sets")
+    rows = sets.select("set_id", F.explode("prefix").alias("token"))
+    groups = work(shared_groups(rows), "groups")
+    members = work(rows.join(groups, "token"), "members")
+    slim = sets.select("set_id", "n", "sig")
+
+    # small groups: what their trees leave, each pair verified once
+    few = members.filter(F.col("size") <= SMALL).select("token", "set_id").join(slim, "set_id").select("token", "set_id", "n", "sig")
     candidates = work(tree_candidates(few, percent), "candidates")
-    pair_links = work(verified(documents, candidates, sets, shingle, percent, work), "pair-links")
-
-    # large groups: families of sets that large groups chain together, each set sent once with its tokens
-    many = work(components(apart.filter(F.col("size") > SMALL).select(F.col("hub").alias("a"), F.col("set_id").alias("b")), work), "families")
-    tokens = wanted_sets(documents, sets, many.select(F.col("node").alias("set_id")), shingle, work)
-    members = many.select(F.col("node").alias("set_id"), F.col("component").alias("family")).join(known.select("set_id", "n", "component"), "set_id")
-    size = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    members, blocks = members.join(size, "family"), F.col("blocks")
-    placed = members.withColumn("side", F.pmod(F.xxhash64("set_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "set_id", "component").join(tokens, "set_id")
-    more = pair_links.unionByName(family_links(placed, percent))
-    every = materialise(links.unionByName(more).distinct(), "links")
+    tree_links = work(verified(documents, candidates, sets, shingle, percent, work), "tree-links")
+
+    # large groups: each set against the hub it shares most tokens with
+    crowd = members.filter(F.col("size") > SMALL)
+    hubs = crowd.filter("hub <> set_id").groupBy("set_id", "hub").agg(F.sum("weight").alias("n")).groupBy("set_id").agg(F.max_by("hub", F.struct("n", F.negative("hub"))).alias("hub"))
+    pairs = hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).join(tree_links, ["a", "b"], "left_anti")
+    hub_links = work(verified(documents, work(plausible(pairs, sets, percent), "hub-pairs"), sets, shingle, percent, work), "hub-links")
+    first = work(components(tree_links.unionByName(hub_links), work), "first-components")
+
+    # what is apart in them: families of sets that large groups chain together
+    known = crowd.select("token", "set_id", "hub").join(first, F.col("set_id") == F.col("node"), "left").select("token", "set_id", "hub", F.coalesce("component", "set_id").alias("component"))
+    known = work(known, "known-sets")
+    open_tokens = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+    apart = work(known.join(open_tokens, "token", "left_semi"), "open-groups")
+    family = work(components(apart.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), work), "families")
+    chained = apart.select("set_id", "component").distinct().join(family.select(F.col("node").alias("set_id"), F.col("component").alias("family")), "set_id").join(sets.select("set_id", "n"), "set_id")
+    placed = work(family_blocks(work(chained, "family-members"), percent), "family-blocks")
+    tokens = wanted_sets(documents, sets, placed.select("set_id").distinct(), shingle, work)
+    more = family_links(placed.join(tokens, "set_id"), percent)
+    every = materialise(tree_links.unionByName(hub_links).unionByName(more).distinct(), "links")
     joined = materialise(components(every, work), "components")
     work.clear()
-    return docs, sets, every, joined
+    return Joined(docs, sets, every, joined)
+
+
+def _labelled(documents: DataFrame, shingle: int, percent: int) -> tuple[Joined, DataFrame]:
+    """The join's tables, and set_id, h1, h2, row key and component (a set_id) of every distinct set."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is 50 to 100: sets of one pair may differ in size by no more than half")
+    with arrow_rows(documents.sparkSession, BATCH_ROWS):
+        found = _joined(documents, shingle, percent)
+    known = found.components.withColumnRenamed("node", "set_id")
+    return found, found.sets.select("set_id", "h1", "h2", *ROW_KEY).join(known, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -470,31 +569,48 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
 
     Rows are linked where the Jaccard similarity of their shingle sets is at
     least ``percent`` hundredths; ``component_id`` is the smallest doc_id that
-    links reach, and ``n_links`` counts the verified links of the row's set that
-    were needed to connect it (0 for a text alone; equal sets are linked without
-    one).  No pair of different sets at or above the threshold is left in two
-    components.  Null and empty texts have no set and are linked with nothing.
-    Rows of equal doc_id are rows like others; null doc_ids are ignored in
-    component_id unless a component has no other.
+    links reach, and ``n_links`` counts the verified links of the row's set
+    that connect it: all of them in groups of up to ``SMALL`` sets, in larger
+    ones those that were needed (0 for a text alone; equal sets are linked
+    without one).  No pair of different sets at or above the threshold is left
+    in two components.  Null and empty texts have no set and are linked with
+    nothing.  Rows of equal doc_id are rows like others, and so are rows of null
+    doc_id; null doc_ids are ignored in component_id unless a component has no
+    other.  Other columns are not read.
     """
-    if not 50 <= percent <= 100:
-        raise ValueError("percent is 50 to 100: sets of one pair may differ in size by no more than half")
-    with arrow_rows(documents.sparkSession, BATCH_ROWS):
-        docs, sets, every, joined = _joined(documents, shingle, percent)
-    ends = every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    groups = sets.select("set_id", "doc_id").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").join(ends.withColumnRenamed("node", "set_id"), "set_id", "left")
-    groups = groups.withColumn("component", F.coalesce("component", "set_id"))
+    found, groups = _labelled(documents, shingle, percent)
+    ends = found.links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
     smallest = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = groups.join(smallest, "component").select("set_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return docs.select("doc_id", "n", "set_id").join(labels, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    labels = groups.join(ends, "set_id", "left").join(smallest, "component").select("h1", "h2", "component_id", "n_links")
+    out = found.docs.select("doc_id", "n", "h1", "h2").join(labels, ["h1", "h2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents``, with all their columns, whose doc_id is the smallest of its component.
+    """One row of each component of ``near_duplicates``, with all its columns: that of the smallest doc_id, null last.
 
-    Rows of null doc_id stay.  The ids to drop are counted: up to
-    ``MAX_BROADCAST`` they are broadcast, beyond that the anti-join shuffles.
+    Rows that repeat a doc_id stay or go each by its own text; of rows with
+    equal doc_id and text one stays.  Rows without a set (null or empty texts)
+    all stay.  The rows to drop are counted: up to ``MAX_BROADCAST`` keys are
+    broadcast, beyond that the anti-join shuffles.
     """
-    found = near_duplicates(documents.select("doc_id", "text"), shingle, percent)
-    gone = materialise(found.filter("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
-    return documents.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone, "doc_id", "left_anti").select(*documents.columns)
+    found, groups = _labelled(documents.select("doc_id", "text"), shingle, percent)
+    rows = found.docs.filter("n > 0").groupBy(*ROW_KEY, "h1", "h2").agg(F.count("*").alias("copies"))
+    rows = rows.join(groups.select("h1", "h2", "component"), ["h1", "h2"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *ROW_KEY)).alias("first")
+    best = rows.groupBy("component").agg(first, F.sum("copies").alias("total")).filter("total > 1")
+    is_first = F.col("first").eqNullSafe(F.struct(F.col("doc_id").isNull().alias("none"), *ROW_KEY))
+    marked = materialise(rows.join(best, "component").select(F.col("doc_id").alias("__id"), "k1", "k2", is_first.alias("stays"), "copies").filter("not stays or copies > 1"), "near-duplicates")
+    n = marked.count()
+    if not n:
+        return documents
+    named = F.broadcast(marked) if n <= MAX_BROADCAST else marked
+    keyed = row_keys(documents)
+    kept = keyed.join(named, same_row(keyed, marked), "left_anti").select(*documents.columns)
+    again = marked.filter("stays")
+    if not again.limit(1).count():
+        return kept
+    some = F.broadcast(again) if n <= MAX_BROADCAST else again
+    repeated = keyed.join(some, same_row(keyed, again), "left_semi")
+    one = repeated.groupBy("doc_id", "__k1", "__k2").agg(F.first(F.struct(*documents.columns)).alias("row"))
+    return kept.unionByName(one.select("row.*"))

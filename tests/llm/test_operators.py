@@ -348,6 +348,34 @@ def test_small_blocks_find_the_same(spark, monkeypatch):
     test_components_of_families_and_common_passages(spark)
 
 
+def test_pure_blocks_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(signature_join, "BLOCK", 9)
+    monkeypatch.setattr(signature_join, "PURE", 5)
+    monkeypatch.setattr(signature_join, "SMALL", 3)
+    test_components_of_families_and_common_passages(spark)
+
+
+def _near(seed, changed=()):
+    words = [f"{seed}{k}" for k in range(200)]
+    for at in changed:
+        words[at] = "other"
+    return " ".join(words)
+
+
+def test_rows_of_null_and_repeated_ids_are_rows(spark):
+    rows = [
+        (None, _near("a")), (2, _near("a", [199])), (None, _near("b")), (None, _near("b", [0])), (6, _near("c")), (7, _near("c", [5])), (7, _near("d")),
+        (9, _near("e")), (9, _near("e")), (11, None), (11, None), (None, ""), (12, _near("F")), (13, _near("f")),
+    ]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, component long")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in signature_join.near_duplicates(df, 4, 85).collect()), key=str)
+    ids = {0: 2, 1: 2, 2: None, 3: None, 4: 6, 5: 6, 6: 7, 7: 9, 8: 9, 9: 11, 10: 11, 11: None, 12: 12, 13: 12}
+    assert got == sorted(((d, 197 if t else 0, ids[k]) for k, (d, t) in enumerate(rows)), key=str)
+    kept = sorted((r.component, r.doc_id) for r in signature_join.keep_one(df, 4, 85).collect())
+    assert {k for k, _ in kept} - {2, 3, 7, 8} == {1, 4, 6, 9, 10, 11, 12}
+    assert len(kept) == 9 and len({k for k, _ in kept} & {2, 3}) == 1 and len({k for k, _ in kept} & {7, 8}) == 1
+
+
 # quality
 
 
