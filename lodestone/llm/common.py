@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The setting is read from the session.  Only where it is unset, as in local
-    tests, a temporary folder of this machine takes its place.
+    The setting is read from the session.  Only where it is unset and Spark runs
+    in this process alone, as in tests, a temporary folder of this machine takes
+    its place; on a cluster that would lose what executors write.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -81,6 +85,22 @@ def crc32_of(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
+def text_chunks(batch: pa.RecordBatch, limit: int = 2_000_000) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts (UTF-8, null as empty) of a batch, in runs of about ``limit`` bytes."""
+    ids, texts, size = [], [], 0
+    names = batch.schema.names
+    for doc_id, text in zip(batch.column(names.index("doc_id")), batch.column(names.index("text")).cast(pa.binary())):
+        raw = text.as_py() or b""
+        ids.append(doc_id.as_py())
+        texts.append(raw)
+        size += len(raw)
+        if size > limit:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def worker_state(key: tuple, make: Callable[[], Any]) -> Any:
     """What ``make`` returns, made once in a Python worker and kept for its later tasks.
 

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import text_chunks
+
 #: Phrases that mark a line as boilerplate wherever it stands.
 BOILERPLATE = (
     "all rights reserved",
@@ -133,21 +135,18 @@ def base_counts(raw: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _judge(batches: Iterator[pa.RecordBatch], rules: LineRules, with_text: bool) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.int64()] + [pa.string()] * with_text
+    labels = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_bytes"] + ["cleaned"] * with_text
     for batch in batches:
-        names = batch.schema.names
-        ids = batch.column(names.index("doc_id"))
-        rows = []
-        for raw in batch.column(names.index("text")).cast(pa.binary()).to_pylist():
-            raw = raw or b""
-            n_words, chars, symbols, dup, repeat = base_counts(raw)
-            failed = n_words < rules.min_doc_words or 100 * repeat > rules.max_repeat_percent * n_words
-            cleaned, before, after = clean_lines(raw, rules)
-            kept = not failed and after >= rules.min_kept * before
-            rows.append((n_words, chars, symbols, dup, repeat, failed, kept, before - after, *((cleaned.decode("utf-8", "replace"),) if with_text else ())))
-        columns = list(zip(*rows)) or [()] * (8 + with_text)
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.string()] * with_text
-        labels = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_bytes"] + ["cleaned"] * with_text
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", *labels])
+        for ids, texts in text_chunks(batch):
+            rows = []
+            for doc_id, raw in zip(ids, texts):
+                n_words, chars, symbols, dup, repeat = base_counts(raw)
+                failed = n_words < rules.min_doc_words or 100 * repeat > rules.max_repeat_percent * n_words
+                cleaned, before, after = clean_lines(raw, rules)
+                kept = not failed and after >= rules.min_kept * before
+                rows.append((doc_id, n_words, chars, symbols, dup, repeat, failed, kept, before - after, *((cleaned.decode("utf-8", "replace"),) if with_text else ())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], labels)
 
 
 def line_first_cleaning(documents: DataFrame, rules: LineRules = LineRules(), with_text: bool = True) -> DataFrame:
