@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of, materialise
 
-#: Characters of the key that one round of probes tells apart (16**3 intervals).
-PROBE_CHARS = 3
+#: Characters of the key that one round of probes tells apart (16**3 intervals), and intervals of a round that the driver gets at most.
+PROBE_CHARS, MAX_PROBES = 3, 1 << 20
+#: Rows that a task sorts, as far as ``MAX_PARTS`` allows; parts of a shard at least.
+PART_ROWS, MAX_PARTS, MIN_PARTS = 2_000_000, 1024, 8
 
 
 @dataclass(frozen=True)
@@ -41,22 +43,23 @@ def _pick(splitters: list[str], key: Column, low: int, high: int) -> Column:
     return F.when(key < splitters[mid], _pick(splitters, key, low, mid)).otherwise(_pick(splitters, key, mid + 1, high))
 
 
-def find_cuts(sized: DataFrame, n_parts: int, tolerance: float = 0.0, probe_chars: int = PROBE_CHARS) -> Cuts:
+def find_cuts(sized: DataFrame, n_parts: int, tolerance: float = 0.0, probe_chars: int = PROBE_CHARS, totals: tuple | None = None) -> Cuts:
     """Splitters of ``sized`` (key string, size long) into ``n_parts`` parts of equal bytes.
 
     A splitter for target ``t`` is the smallest key with at least ``t`` bytes
     before it; with ``tolerance`` above 0, any probe whose bytes are within
     ``tolerance`` times a part's size of ``t`` is taken.  What reaches the
-    driver is one row per interval between probes, at most
-    ``16**probe_chars * n_parts`` a round, whatever the size of the table.
+    driver is one row per interval between probes: of keys in hexadecimal at
+    most ``16**probe_chars * n_parts`` a round, whatever the size of the table.
+    ``totals`` are ``totals_of(sized)``, where they are known.
     """
-    total_rows, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    total_rows, total, greatest = totals or totals_of(sized)
     keys, rows, below = [""] * (n_parts - 1), [0] * (n_parts - 1), [0] * (n_parts - 1)
     if not total:
         return Cuts([], [], [], 0, 0)
     slack = tolerance * total / n_parts
     # An open interval: first key, last key, rows and bytes before it, what follows it.
-    whole = ("", "￿", 0, 0, None, 0)
+    whole = ("", greatest, 0, 0, None, 0)
     open_by: dict[tuple, list[int]] = {whole: list(range(1, n_parts))}
     while open_by:
         intervals = sorted(open_by, key=lambda x: x[0])
@@ -96,8 +99,18 @@ def find_cuts(sized: DataFrame, n_parts: int, tolerance: float = 0.0, probe_char
                     continue
                 keys[j - 1], rows[j - 1], below[j - 1] = firsts[close], row_starts[close], starts[close]
         open_by = found
-    # A splitter behind the last key cuts nothing off.
-    return Cuts([k if k is not None else "￿" for k in keys], rows, below, total_rows, total)
+    # A splitter behind the greatest key cuts nothing off.
+    return Cuts([k if k is not None else _behind(greatest) for k in keys], rows, below, total_rows, total)
+
+
+def totals_of(sized: DataFrame) -> tuple[int, int, str | None]:
+    """Rows, bytes and the greatest key of ``sized``."""
+    return tuple(sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.max("key")).first())
+
+
+def _behind(key: str | None) -> str:
+    """The least string that is greater than ``key``."""
+    return (key or "") + "\0"
 
 
 def histogram_shards(
@@ -105,26 +118,37 @@ def histogram_shards(
     key: Column,
     size: Column,
     n_shards: int = 8,
-    parts_per_shard: int = 8,
+    parts_per_shard: int | None = None,
     tolerance: float = 0.0,
+    hex_key: bool = False,
 ) -> DataFrame:
     """Add ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in each shard) to ``df``.
 
     Shards hold consecutive keys and near equal sums of ``size``.  Each shard is
-    made of ``parts_per_shard`` parts with splitters of their own, so no task
-    sorts a whole shard.  The exchange deals out the rows by part once.
-
-    * ``key``: string; nulls order first, equal keys stay together.
+    made of ``parts_per_shard`` parts with splitters of their own, by default so
+    many that a task sorts some ``PART_ROWS`` rows, so no task sorts a whole
+    shard.  The exchange deals out the rows by part once.
+
+    * ``key``: string of any characters; nulls order first, equal keys stay
+      together.  Probes tell keys apart by the hexadecimal digits of their
+      UTF-8 bytes, which keep the order; ``hex_key`` says that keys are
+      hexadecimal already.
     * ``size``: long, not negative; null counts as 0.
     * Empty table: no rows.  Fewer rows than shards: some shards stay empty.
     * Columns named ``shard`` or ``slot`` in ``df`` are replaced.
     """
     df = df.drop("shard", "slot")
-    keyed = df.withColumns({"__key": F.coalesce(key, F.lit("")), "__size": F.coalesce(size, F.lit(0)).cast("long")})
+    plain = F.coalesce(key, F.lit(""))
+    keyed = df.withColumns({"__key": plain if hex_key else F.hex(F.encode(plain, "UTF-8")), "__size": F.coalesce(size, F.lit(0)).cast("long")})
+    sized = keyed.select(F.col("__key").alias("key"), F.col("__size").alias("size"))
+    totals = totals_of(sized)
+    if parts_per_shard is None:
+        parts_per_shard = max(MIN_PARTS, min(MAX_PARTS // n_shards, -(-totals[0] // (n_shards * PART_ROWS))))
     parts = n_shards * parts_per_shard
-    cuts = find_cuts(keyed.select(F.col("__key").alias("key"), F.col("__size").alias("size")), parts, tolerance)
+    probe_chars = next(c for c in (PROBE_CHARS, 2, 1) if c == 1 or 16**c * parts <= MAX_PROBES)
+    cuts = find_cuts(sized, parts, tolerance, probe_chars, totals)
     if not cuts.total_bytes:
-        cuts = Cuts(["￿"] * (parts - 1), [0] * (parts - 1), [0] * (parts - 1), 0, 0)
+        cuts = Cuts([_behind(totals[2])] * (parts - 1), [0] * (parts - 1), [0] * (parts - 1), 0, 0)
     starts = [0, *cuts.rows]
     first_slot = [starts[p] - starts[p - p % parts_per_shard] for p in range(parts)]
     placed = keyed.withColumn("__part", _pick(cuts.keys, F.col("__key"), 0, parts - 1).cast("int"))
@@ -155,5 +179,5 @@ def shard_documents(documents: DataFrame, n_shards: int = 8, tolerance: float =
         document_key(F.col("doc_id"), F.col("text")).alias("order_key"),
     )
     slim = materialise(slim, "shard-keys")
-    out = histogram_shards(slim, F.col("order_key"), F.col("size"), n_shards, tolerance=tolerance)
+    out = histogram_shards(slim, F.col("order_key"), F.col("size"), n_shards, tolerance=tolerance, hex_key=True)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
