@@ -4,6 +4,8 @@ Validated values are permuted within their own format by a keyed Feistel
 network: a card number becomes another valid card number, a date another date.
 The permutation depends on the key and the value alone, so equal values stay
 equal in every document and different values of one format stay different.
+Dates have two formats: those that can be read month first (and ISO dates, which
+share their permutation), and day-first dates whose day is past 12.
 Everything is DataFrame expressions; no row leaves its partition.
 """
 
@@ -46,6 +48,8 @@ ANY = "|".join((EMAIL, SECRET, PHONE, IPV4, DATE, SSN, RUN))
 
 #: Days from 1800-01-01 to 2199-12-31: one turn of the Gregorian calendar, 189 * 773.
 FIRST_DAY, DATE_RADIX = "1800-01-01", (189, 773)
+#: Of these the days past the 12th of a month: 9 * 9833.
+LATE_RADIX = (9, 9833)
 
 
 def let(value: Column, use) -> Column:
@@ -121,6 +125,33 @@ def fill_digits(shape: Column, digits: Column) -> Column:
     return let(digits, run)
 
 
+def late_rank(day: Column) -> Column:
+    """How many days past the 12th of a month lie between ``FIRST_DAY`` and such a day."""
+    months = (F.year(day) - 1800) * 12 + F.month(day)
+    return F.datediff(day, F.lit(FIRST_DAY).try_cast("date")).try_cast("long") - 12 * months
+
+
+def late_day(rank: Column) -> Column:
+    """The day of a ``late_rank``, as dd/MM/yyyy."""
+    # a year has 221 such days or, in leap years, 222
+    before = lambda y: F.datediff(F.try_to_date(F.concat((y + 1800).try_cast("string"), F.lit("-01-01"))), F.lit(FIRST_DAY).try_cast("date")) - 144 * y
+    lengths = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+
+    def of_year(x: Column) -> Column:
+        year, rest = x["y"], x["rest"]
+        leap = F.when(before(year + 1) - before(year) == 222, 1).otherwise(0)
+        starts = F.array(*[F.lit(sum(lengths[:m]) - 12 * m) + (leap if m > 1 else F.lit(0)) for m in range(12)])
+        month = F.size(F.filter(starts, lambda s: s <= rest))
+        return F.concat_ws("/", F.lpad((rest - F.get(starts, month - 1) + 13).try_cast("string"), 2, "0"), F.lpad(month.try_cast("string"), 2, "0"), (year + 1800).try_cast("string"))
+
+    def of(r: Column) -> Column:
+        guess = F.floor(r * 400 / (LATE_RADIX[0] * LATE_RADIX[1])).try_cast("int")
+        year = guess + F.when(r >= before(guess + 1), 1).when(r < before(guess), -1).otherwise(0)
+        return let(year, lambda y: let(F.struct(y.alias("y"), (r - before(y)).alias("rest")), of_year))
+
+    return let(rank, of)
+
+
 def _kind(value: Column) -> Column:
     """The format a found value is valid in, "run" for a run of digit groups, or null."""
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
@@ -215,16 +246,18 @@ def _pseudonym(key: str, value: Column, kind: Column) -> Column:
         return F.concat_ws("-", F.lpad(new_area.cast("string"), 3, "0"), F.lpad((x["l"] % 99 + 1).cast("string"), 2, "0"), F.lpad((x["r"] + 1).cast("string"), 4, "0"))
 
     ssn = let(ssn_pair, ssn_of)
-    # dates: the day's number in 400 years
+    # dates: the day's number in 400 years; day-first dates, whose day is past 12, are counted by themselves
     iso = value.rlike("^[0-9]{4}-")
     month_first = F.try_to_date(value, "MM/dd/yyyy")
     day = F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), month_first, F.try_to_date(value, "dd/MM/yyyy"))
-    number = F.datediff(day, F.lit(FIRST_DAY).try_cast("date")).try_cast("long")
-    a, b = DATE_RADIX
-    moved = feistel(key, F.lit("date"), F.floor(number / b), number % b, F.lit(a), F.lit(b))
-    new_day = let(moved, lambda x: F.date_add(F.lit(FIRST_DAY).try_cast("date"), (x["l"] * b + x["r"]).try_cast("int")))
-    shown = lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(month_first.isNotNull(), F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
-    date = let(new_day, shown)
+    number = lambda d: F.datediff(d, F.lit(FIRST_DAY).try_cast("date")).try_cast("long")
+    move = lambda label, n, a, b: let(feistel(key, F.lit(label), F.floor(n / b), n % b, F.lit(a), F.lit(b)), lambda x: x["l"] * b + x["r"])
+    new_day = F.date_add(F.lit(FIRST_DAY).try_cast("date"), move("date", number(day), *DATE_RADIX).try_cast("int"))
+    date = (
+        F.when(iso, F.date_format(new_day, "yyyy-MM-dd"))
+        .when(month_first.isNotNull(), F.date_format(new_day, "MM/dd/yyyy"))
+        .otherwise(late_day(move("late day", late_rank(day), *LATE_RADIX)))
+    )
     # mail addresses and secrets have no counted domain: a keyed name of 60 bits, a keyed string of the same length
     local = F.substring_index(value, "@", 1)
     letters = F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(value)), 256), 1, 15), "0123456789", "ghijklmnop")

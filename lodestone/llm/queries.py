@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_snapshots, decontamination, feistel_pii, histogram_shards, line_cleaning, piece_codec, pu_quality, signature_join, token_frames, token_rollups
 from .common import materialise, new_path, table
 
-#: Demonstration key; a deployment passes its own secret.
+#: Demonstration key: anyone can turn its pseudonyms back.
 PII_KEY = "lodestone-demo-key"
+#: The session's setting that names a deployment's own secret.
+PII_KEY_SETTING = "spark.lodestone.pii.key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the session's setting; where it is unset the demonstration key, with a warning."""
+    found = spark.conf.get(PII_KEY_SETTING, None)
+    if not found:
+        warnings.warn(f"{PII_KEY_SETTING} is unset: pseudonyms of the demonstration key can be turned back", stacklevel=2)
+    return found or PII_KEY
 
 
 def vocabulary(name: str) -> str:
