@@ -2,22 +2,27 @@
 
 Batches of document events (insert, delete, revise) are turned into signed rows
 of documents and tokens, against what the ledger says of each document so far.
-The rows of a batch are written once, under the batch's name; totals by source,
-language and tokenizer version are sums of the batches' deltas.  A batch that is
-committed already is left alone, so replays change nothing.
+The rows of a batch are written once; totals by source, language and tokenizer
+version are sums of the batches' deltas.  A log of numbered entries says which
+batches are committed: an entry's number can be taken once, so a writer that
+another one overtook works its deltas out again.  A batch that is committed
+already is left alone, so replays change nothing.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import worker_state
-from .token_frames import WordEncoder, text_chunks
+from .common import delete_path, text_chunks, worker_state
+from .token_frames import WordEncoder
 
 GROUP = ("source", "lang", "tokenizer")
 LEDGER = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
@@ -44,7 +49,11 @@ class _Lengths(WordEncoder):
 
 
 def count_tokens(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, source, lang, tokens and clean_tokens (without repeated lines) of every row, in one pass."""
+    """doc_id, source, lang, tokens and clean_tokens (without repeated lines) of every row, in one pass.
+
+    Null and empty texts have no tokens; null ids, sources and languages stay
+    null; repeated rows are counted each for itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_state(("lengths", tokenizer), lambda: _Lengths(tokenizer))
@@ -68,11 +77,12 @@ class TokenRollups:
     """A ledger of signed counts below ``root``, and the totals that it adds up to.
 
     Events are rows of doc_id, source, lang, tokenizer, op (``insert``,
-    ``delete`` or ``revise``) and tokens, optionally with seq.  Of several events of one
-    (doc_id, tokenizer) in a batch the last counts: by seq, else by op and
-    tokens.  An insert of a document that is there, and a revision of one that
-    is not, both set its count; deleting one that is not there does nothing.
-    Null keys are values like others; null tokens count as 0.
+    ``delete`` or ``revise``) and tokens, optionally with seq; other columns are
+    not read.  Of several events of one (doc_id, tokenizer) in a batch the last
+    counts: by seq, else by op and tokens.  An insert of a document that is
+    there, and a revision of one that is not, both set its count; deleting one
+    that is not there does nothing.  Null keys are values like others; null
+    tokens count as 0.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -82,62 +92,109 @@ class TokenRollups:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
+    def _log(self) -> list[dict]:
+        """The log's entries in order: each has batches, folder and full (whether it stands for all before it)."""
+        fs, at = self._fs()
+        folder = at(f"{self.root}/log")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
+        return [self._entry(fs, at(f"{self.root}/log/{n}")) for n in names if not n.startswith(".")]
+
+    def _entry(self, fs, path) -> dict:
+        for _ in range(50):
+            stream = fs.open(path)
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            if text.endswith("\n"):
+                return json.loads(text)
+            time.sleep(0.1)  # another writer has taken the number and is about to fill the entry
+        raise RuntimeError(f"{path.toString()} was left unfinished by a lost writer; remove it to go on")
+
+    def _take(self, number: int, entry: dict) -> bool:
+        """Make ``entry`` the log's number ``number``; False if another writer has it."""
+        fs, at = self._fs()
+        try:
+            stream = fs.create(at(f"{self.root}/log/{number:08d}"), False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        stream.write(bytearray((json.dumps(entry) + "\n").encode()))
+        stream.close()
+        return True
+
     def batches(self) -> list[str]:
         """Names of the committed batches."""
-        fs, at = self._fs()
-        folder = at(f"{self.root}/batches")
-        return sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
+        return sorted(b for e in self._log() for b in e["batches"])
 
-    def _read(self, part: str, schema: str) -> DataFrame:
-        names = self.batches()
-        if not names:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/batches/{b}/{part}" for b in names])
+    def _read(self, log: list[dict], part: str, schema: str) -> DataFrame:
+        start = max((k for k, e in enumerate(log) if e["full"]), default=0)
+        folders = [f"{self.root}/{e['folder']}/{part}" for e in log[start:]]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def ledger(self) -> DataFrame:
         """Signed rows of all committed batches."""
-        return self._read("ledger", LEDGER)
+        return self._read(self._log(), "ledger", LEDGER)
 
     def current(self) -> DataFrame:
         """What the ledger says of each document: one row for each (doc_id, tokenizer) that is there."""
-        net = self.ledger().groupBy("doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return net.filter("docs > 0")
+        return _net(self.ledger()).filter("docs > 0")
 
-    def signed(self, events: DataFrame) -> DataFrame:
-        """The ledger rows that a batch of events amounts to: minus what was, plus what is."""
+    def _signed(self, log: list[dict], events: DataFrame) -> DataFrame:
+        """The ledger rows that a batch of events amounts to: minus what was, plus what is.
+
+        Of the ledger only rows of the documents in the batch are added up.
+        """
         seq = F.col("seq") if "seq" in events.columns else F.lit(0)
-        order = Window.partitionBy("doc_id", "tokenizer").orderBy(seq.desc(), F.col("op").desc(), F.coalesce("tokens", F.lit(0)).desc(), F.col("source"), F.col("lang"))
+        events = events.select("doc_id", *GROUP, "op", "tokens", seq.alias("seq"))
+        order = Window.partitionBy("doc_id", "tokenizer").orderBy(F.col("seq").desc(), F.col("op").desc(), F.coalesce("tokens", F.lit(0)).desc(), F.col("source"), F.col("lang"))
         last = events.withColumn("__n", F.row_number().over(order)).filter("__n = 1")
         new = last.filter("op <> 'delete'").select("doc_id", *GROUP, F.lit(1).cast("long").alias("docs"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
-        if not self.batches():
+        if not log:
             return new
         touched = last.select(F.col("doc_id").alias("__id"), F.col("tokenizer").alias("__tokenizer"))
-        old = self.current().join(touched, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("tokenizer").eqNullSafe(F.col("__tokenizer")), "left_semi")
+        ledger = self._read(log, "ledger", LEDGER)
+        old = _net(ledger.join(touched, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("tokenizer").eqNullSafe(F.col("__tokenizer")), "left_semi")).filter("docs > 0")
         both = old.select("doc_id", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")).unionByName(new)
-        net = both.groupBy("doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return net.filter("docs <> 0 or tokens <> 0")
+        return _net(both).filter("docs <> 0 or tokens <> 0")
+
+    def _write(self, label: str, rows: DataFrame) -> str:
+        """Ledger and totals of ``rows`` in a folder of their own, which no reader knows yet."""
+        folder = f"data/{label}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{folder}/ledger")
+        written = self.spark.read.schema(LEDGER).parquet(f"{self.root}/{folder}/ledger")
+        written.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.root}/{folder}/totals")
+        return folder
 
     def commit(self, batch: str, events: DataFrame) -> bool:
         """Apply a batch of events; False, and no work, if a batch of this name is committed.
 
-        Ledger and totals are written to a draft folder whose rename is the
-        commit.  A driver lost before it leaves a draft that no reader looks at.
+        The commit is the log entry.  Whoever finds its number taken by another
+        batch starts again from the ledger as it is then.  A driver lost before
+        its entry leaves a folder that no reader looks at.
         """
-        fs, at = self._fs()
-        final = at(f"{self.root}/batches/{batch}")
-        if fs.exists(final):
-            return False
-        draft = f"{self.root}/drafts/{batch}-{uuid.uuid4().hex}"
-        self.signed(events).write.parquet(f"{draft}/ledger")
-        rows = self.spark.read.schema(LEDGER).parquet(f"{draft}/ledger")
-        rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{draft}/totals")
-        fs.mkdirs(final.getParent())
-        # two writers of one batch: the rename of the second finds the first's folder
-        if fs.exists(final) or not fs.rename(at(draft), final):
-            fs.delete(at(draft), True)
-            return False
-        return True
+        while True:
+            log = self._log()
+            if any(batch in e["batches"] for e in log):
+                return False
+            folder = self._write("batch", self._signed(log, events))
+            if self._take(len(log), {"batches": [batch], "folder": folder, "full": False}):
+                return True
+            delete_path(self.spark, f"{self.root}/{folder}")
+
+    def compact(self) -> bool:
+        """Write what the ledger adds up to as one entry that stands for all before it; False if another writer came first."""
+        log = self._log()
+        folder = self._write("full", _net(self._read(log, "ledger", LEDGER)).filter("docs <> 0 or tokens <> 0"))
+        if self._take(len(log), {"batches": [], "folder": folder, "full": True}):
+            return True
+        delete_path(self.spark, f"{self.root}/{folder}")
+        return False
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs and n_tokens, summed over the committed batches' deltas."""
-        return self._read("totals", TOTALS).groupBy(*GROUP).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")
+        sums = self._read(self._log(), "totals", TOTALS).groupBy(*GROUP).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
+        return sums.filter("n_docs <> 0 or n_tokens <> 0")
+
+
+def _net(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
