@@ -140,15 +140,16 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _sample_matrix(documents: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the documents named in ``ids``, whose number a parameter bounds."""
+    """Features of one row (of least hash of the text) of each document named in ``ids``, whose number a parameter bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker_state()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_matrix(batch).tolist(), pa.list_(pa.float64()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_matrix(batch).tolist(), pa.list_(pa.float64()))], ["doc_id", "hash", "x"])
 
-    chosen = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = chosen.mapInArrow(run, "doc_id long, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    chosen = documents.selectExpr("doc_id", "xxhash64(text) as hash", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    found = chosen.mapInArrow(run, "doc_id long, hash long, x array<double>")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("hash", "x")).alias("row")).select("doc_id", "row.x").toPandas().sort_values("doc_id", kind="stable")
     return np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
 
 
@@ -161,14 +162,16 @@ def train(documents: DataFrame, labels: DataFrame, max_positives: int = 20_000,
     """Fit on bounded samples: trusted positives and texts taken without their labels.
 
     Positives are documents outside the held-out fold that all their label rows
-    call good.  Samples are the rows of least hash of the doc_id, so the same
-    tables give the same model.  Without positives or texts there is no model.
+    call good.  Samples are the documents of least hash of the doc_id, each with
+    one row however often its id is repeated, so the same tables give the same
+    model and the driver gets ``max_positives + max_unlabelled`` rows at most.
+    Without positives or texts there is no model.
     """
     learnable = ~held_out(F.col("doc_id"))
     good = labels.filter(learnable).groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1 and doc_id is not null")
     drawn = lambda ids, seed, n: ids.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
     p = _sample_matrix(documents, drawn(good, 1, max_positives))
-    u = _sample_matrix(documents, drawn(documents.filter(learnable), 2, max_unlabelled))
+    u = _sample_matrix(documents, drawn(documents.filter(learnable).select("doc_id").distinct(), 2, max_unlabelled))
     return fit(p, u) if len(p) and len(u) else None
 
 
@@ -189,7 +192,11 @@ def score_documents(documents: DataFrame, model: Model | None, threshold: float
 
 
 def keep_good(documents: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``documents``, with all their columns, whose text scores at least ``threshold``."""
+    """The rows of ``documents``, with all their columns, whose text scores at least ``threshold``.
+
+    Null and empty texts are scored as texts without words; repeated rows each
+    for itself; without a model every row stays.
+    """
     names, schema = documents.columns, documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
