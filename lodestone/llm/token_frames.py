@@ -5,17 +5,20 @@ skippable frames: the index of documents, and the seek table of the public
 zstandard seekable format (compressed size, decompressed size and checksum of
 each frame).  A reader fetches the tail, then only the frames that hold the
 documents it wants.  Ids are little-endian unsigned 32-bit integers; every
-document ends with the end id.
+document ends with the end id.  A document of null doc_id has a mark of its own
+in the index.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import new_path, worker_state
+from .common import new_path, text_chunks, worker_state
 
 #: Fixed values of the seekable format and of skippable frames.
 SEEK_MAGIC, SKIPPABLE, INDEX_SKIPPABLE = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 #: Ids gathered into one frame before it is closed; a longer document fills a frame of its own.
 FRAME_IDS = 65_536
+#: Documents that a reader hands on at once.
+READ_ROWS = 2_000
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 250_000
 #: A full stop or comma between a letter and white space.
@@ -43,14 +48,14 @@ class FrameWriter:
     def __init__(self, sink, frame_ids: int = FRAME_IDS, level: int = 3) -> None:
         self.sink, self.limit, self.level = sink, 4 * frame_ids, level
         self.frames: list[tuple[int, int, int]] = []
-        self.docs: list[tuple[int, int, int]] = []
+        self.docs: list[tuple[int, int, int, int]] = []
         self.pending: list[bytes] = []
         self.size = 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         if self.size and self.size + len(ids) > self.limit:
             self._close_frame()
-        self.docs.append((doc_id, len(self.frames), len(ids) // 4))
+        self.docs.append((doc_id or 0, len(self.frames), len(ids) // 4, doc_id is None))
         self.pending.append(ids)
         self.size += len(ids)
 
@@ -64,7 +69,7 @@ class FrameWriter:
     def finish(self) -> None:
         if self.pending:
             self._close_frame()
-        docs = zstandard.ZstdCompressor().compress(np.array(self.docs, dtype="<i8").reshape(-1, 3).T.tobytes())
+        docs = zstandard.ZstdCompressor().compress(np.array(self.docs, dtype="<i8").reshape(-1, 4).T.tobytes())
         self.sink.write(struct.pack("<II", INDEX_SKIPPABLE, len(docs)) + docs)
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, SEEK_MAGIC)
         self.sink.write(struct.pack("<II", SKIPPABLE, len(table)) + table)
@@ -85,7 +90,7 @@ class FrameReader:
         magic, length = struct.unpack("<II", self._at(self.starts[-1], 8))
         if magic != INDEX_SKIPPABLE:
             raise ValueError("no index of documents behind the frames")
-        self.doc_ids, self.frame_of, self.n_ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._at(self.starts[-1] + 8, length)), dtype="<i8").reshape(3, -1)
+        self.doc_ids, self.frame_of, self.n_ids, self.no_id = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._at(self.starts[-1] + 8, length)), dtype="<i8").reshape(4, -1)
         first = np.searchsorted(self.frame_of, self.frame_of)
         ends = np.concatenate([[0], np.cumsum(self.n_ids)])
         self.offset = ends[:-1] - ends[first]
@@ -105,37 +110,66 @@ class FrameReader:
             raise ValueError(f"frame {k} is damaged")
         return raw
 
-    def document(self, doc_id: int) -> list[np.ndarray]:
+    def document(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of each document of this id; decompresses no other frames."""
-        rows = np.flatnonzero(self.doc_ids == doc_id)
+        rows = np.flatnonzero(self.no_id == 1 if doc_id is None else (self.doc_ids == doc_id) & (self.no_id == 0))
         return [np.frombuffer(self.frame(int(self.frame_of[r])), dtype="<u4")[self.offset[r] : self.offset[r] + self.n_ids[r]] for r in rows]
 
-    def __iter__(self) -> Iterator[tuple[int, bytes]]:
+    def __iter__(self) -> Iterator[tuple[int | None, bytes]]:
         """Every document in order, with one frame in memory at a time."""
         at, raw = -1, b""
-        for doc_id, k, start, n in zip(self.doc_ids.tolist(), self.frame_of.tolist(), self.offset.tolist(), self.n_ids.tolist()):
+        for doc_id, k, start, n, none in zip(self.doc_ids.tolist(), self.frame_of.tolist(), self.offset.tolist(), self.n_ids.tolist(), self.no_id.tolist()):
             if k != at:
                 at, raw = k, self.frame(k)
-            yield doc_id, raw[4 * start : 4 * (start + n)]
+            yield None if none else doc_id, raw[4 * start : 4 * (start + n)]
+
+
+#: Patterns of words by which pre-tokenizers keep words and drop the rest; the first keeps letters apart from stops.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE_RUNS = r"\s+"
+
+
+def _flat(part: dict | None, inner: str) -> list[dict]:
+    return [] if part is None else [x for p in part[inner] for x in _flat(p, inner)] if part["type"] == "Sequence" else [part]
+
+
+def word_rules(path: str) -> tuple[bool, bool]:
+    """Whether a tokenizer's file says that texts may be encoded word by word, and that words are lower-cased and parted from stops.
+
+    The first needs a normaliser that works on each word by itself, a
+    pre-tokenizer that drops white space, and special tokens that the encoder
+    can tell (``<|``) from words.  What is not known for sure is encoded whole.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps, cuts = _flat(spec.get("normalizer"), "normalizers"), _flat(spec.get("pre_tokenizer"), "pretokenizers")
+    blank = lambda s: s["type"] == "Replace" and s["pattern"] == {"Regex": SPACE_RUNS} and s["content"] == " "
+    runs = bool(cuts) and cuts[0]["type"] == "Split" and cuts[0]["pattern"] == {"Regex": LETTER_RUNS} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+    known = [x.get("add_prefix_space") is False and x.get("use_regex") is False for x in cuts[1:] if x["type"] == "ByteLevel"]
+    rest = len(known) == len(cuts) - 1 and all(known)
+    apart = all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
+    by_word = runs and rest and apart and spec.get("truncation") is None and all(s["type"] in ("NFC", "NFD", "Lowercase") or blank(s) for s in steps)
+    return bool(by_word), bool(by_word and any(s["type"] == "Lowercase" for s in steps))
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer of the tokenizers library whose pre-tokenizer drops white space.
+    """Encodes texts with a tokenizer of the tokenizers library.
 
-    Such a tokenizer never looks across white space, so the library encodes
-    each distinct word once and documents are joined from the words' ids.  With
-    ``lower_case`` (the tokenizer lower-cases, and splits letters from other
-    characters) a full stop or comma behind a letter is a word of its own.
+    Where ``word_rules`` allow it the tokenizer never looks across white space,
+    so the library encodes each distinct word once and documents are joined
+    from the words' ids; where it lower-cases, a full stop or comma behind a
+    letter is a word of its own.  Other tokenizers encode whole texts.
     Words are remembered in two generations: when the younger is full, the
     older, whose words were not met since, is forgotten.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS, lower_case: bool = True) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.lower_case = cache_words, lower_case
+        self.by_word, self.lower_case = word_rules(path)
+        self.limit = cache_words
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab() if suffix else {}
         self.word_ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool) if suffix else None
@@ -167,6 +201,9 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
         """Ids as little-endian bytes of each text (UTF-8), and ``end`` behind each."""
+        if not self.by_word:
+            coded = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [array("I", e.ids).tobytes() + end for e in coded]
         split = [self._words(t) for t in texts]
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
@@ -181,22 +218,6 @@ class WordEncoder:
         return [b"".join(map(get, words)) + end for words in split]
 
 
-def text_chunks(batch: pa.RecordBatch, limit: int = 2_000_000) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts (UTF-8, null as empty) of a batch, in runs of about ``limit`` bytes."""
-    ids, texts, size = [], [], 0
-    names = batch.schema.names
-    for doc_id, text in zip(batch.column(names.index("doc_id")), batch.column(names.index("text")).cast(pa.binary())):
-        raw = text.as_py() or b""
-        ids.append(doc_id.as_py())
-        texts.append(raw)
-        size += len(raw)
-        if size > limit:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it."""
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path))
@@ -207,13 +228,14 @@ def write_token_frames(documents: DataFrame, path: str, tokenizer: str, end_id:
 
     Rows are range-partitioned by doc_id once, as text; each task encodes and
     writes one file under a name of its own attempt, then renames it, so a
-    repeated task replaces its file.  Null doc_ids are written as the smallest
-    long; rows of equal doc_id keep an order by text.  Returns (file, documents,
-    ids) of each file in order: one small row a file reaches the driver.
+    repeated task replaces its file.  Null doc_ids come first and stay null.
+    Rows of equal doc_id, null among them, are ordered by a hash of the text and
+    then by text, and may be split between files.  Null texts are empty.  Returns
+    (file, documents, ids) of each file in order: one small row a file reaches
+    the driver.  Of an empty table there are no files.
     """
-    spark = documents.sparkSession
-    rows = documents.selectExpr("coalesce(cast(doc_id as long), -9223372036854775808L) as doc_id", "text")
-    ranged = rows.repartitionByRange(n_files, "doc_id") if n_files else rows.repartitionByRange("doc_id")
+    rows = documents.selectExpr("cast(doc_id as long) as doc_id", "text", "xxhash64(text) as hash")
+    ranged = rows.repartitionByRange(n_files, "doc_id", "hash") if n_files else rows.repartitionByRange("doc_id", "hash")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = open_store(path)
@@ -234,7 +256,7 @@ def write_token_frames(documents: DataFrame, path: str, tokenizer: str, end_id:
         store.move(draft, final)
         yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "docs": [docs], "ids": [ids]}, pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    done = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(write, "part int, docs long, ids long").collect()
+    done = ranged.sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text").mapInArrow(write, "part int, docs long, ids long").collect()
     return [(f"{path}/part-{r.part:06d}.tokz", r.docs, r.ids) for r in sorted(done) if r.docs]
 
 
@@ -252,12 +274,14 @@ def read_token_frames(spark: SparkSession, files: list[tuple[str, int, int]]) ->
         for batch in batches:
             for name, start in zip(*(c.to_pylist() for c in batch.columns)):
                 store, path = open_store(name)
-                rows: list[tuple[int, int, int, int]] = []
                 with store.open_input_file(path) as source:
-                    for doc_id, raw in FrameReader(source, source.size()):
-                        rows.append((doc_id, start, len(raw) // 4, zlib.crc32(raw)))
-                        start += len(raw) // 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    documents = iter(FrameReader(source, source.size()))
+                    while some := list(islice(documents, READ_ROWS)):
+                        rows = []
+                        for doc_id, raw in some:
+                            rows.append((doc_id, start, len(raw) // 4, zlib.crc32(raw)))
+                            start += len(raw) // 4
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not starts:
@@ -267,6 +291,11 @@ def read_token_frames(spark: SparkSession, files: list[tuple[str, int, int]]) ->
 
 
 def token_frames(documents: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
-    """Write ``documents`` as frame files and return what a reader finds in them."""
+    """Write ``documents`` as frame files and return what a reader finds in them.
+
+    One row for each row of ``documents``, repeated ones too; a null doc_id
+    stays null, a null or empty text has the end id alone, other columns are
+    not read.  Empty table: no rows.
+    """
     spark = documents.sparkSession
     return read_token_frames(spark, write_token_frames(documents, path or new_path(spark, "token-frames"), tokenizer, end_id))
