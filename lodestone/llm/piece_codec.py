@@ -3,8 +3,8 @@
 The model's protobuf is parsed and its parts are built anew: the normaliser,
 the metaspace marker, the scores (unigram scores, or the merge order that BPE
 scores stand for) and the byte fallback.  Batches are encoded and decoded on
-several threads, and the ids are held against those of the sentencepiece
-library.
+several threads, and the rebuilt tokenizer's ids, which are what is returned,
+are held against those of the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import trim_memory, worker_state
-from .token_frames import text_chunks
+from .common import text_chunks, trim_memory, worker_state
 
 MARK = "▁"
 #: New words that go through the library in one line.
@@ -78,10 +77,13 @@ def build_tokenizer(model_path: str):
 class PieceCodec:
     """Encodes and decodes batches with the rebuilt tokenizer, and holds its ids against the sentencepiece library's.
 
-    Where no piece crosses a marker, neither library looks across one: each
-    distinct word is then encoded, and compared, once, and texts are joined
-    from the words' ids.  Texts with runs of spaces or with markers of their
-    own, and all texts of other models, are encoded and compared whole.
+    Where no piece has a marker behind another character, neither library can
+    merge across one: a merge makes a piece, and one across a word's start would
+    have the next word's marker inside.  The ids of a text are then those of its
+    words, one after the other, in both libraries, so that holding each
+    distinct word's ids against the other library's compares every text that is
+    joined from them.  Texts with runs of spaces or with markers of their own,
+    and all texts of other models, are encoded and compared whole.
     """
 
     def __init__(self, model_path: str, threads: int = 2, cache_words: int = 80_000) -> None:
@@ -111,10 +113,7 @@ class PieceCodec:
         return out
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids of each text, as little-endian unsigned 32-bit integers, and whether the two libraries agree on them.
-
-        Where they do not, the ids are the sentencepiece library's.
-        """
+        """Ids of each text, as little-endian unsigned 32-bit integers, and whether the sentencepiece library has the same."""
         single = [self.by_word and t != "" and "  " not in t and MARK not in t and t[0] != " " and t[-1] != " " for t in texts]
         split = [t.split(" ") for t, ok in zip(texts, single) if ok]
         words = set().union(*split) if split else set()
@@ -138,7 +137,7 @@ class PieceCodec:
 
     def _compare(self, texts: list[str], ids: list[bytes], into: dict[str, bytes], unequal: set[str]) -> None:
         for text, own, other in zip(texts, ids, self.expected(texts)):
-            into[text] = other
+            into[text] = own
             if own != other:
                 unequal.add(text)
 
@@ -156,9 +155,10 @@ def encode_pieces(documents: DataFrame, model_path: str, with_ids: bool = False,
 
     Returns doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids),
     round_trip (the decoded text equals the text) and parity (the ids equal the
-    sentencepiece library's), and with ``with_ids`` the ids.  Null texts count
-    as empty; an empty text has no pieces.  Where parity fails the ids returned
-    are the sentencepiece library's.  Repeated rows are encoded each for itself.
+    sentencepiece library's), and with ``with_ids`` the ids.  All ids are the
+    rebuilt tokenizer's, also where ``parity`` is false.  Null texts count as
+    empty; an empty text has no pieces.  Repeated rows are encoded each for
+    itself; a null doc_id stays null; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
