@@ -30,7 +30,7 @@ COMMON = 16
 #: Bits of the table of common tokens that every task gets: 2 MB, whatever the corpus.
 TABLE_BITS = 1 << 24
 #: Children of a tree node; sets, and tokens of sets (8 bytes each), in a block of a family, of which a task holds two.
-FANOUT, BLOCK, BLOCK_TOKENS = 8, 2048, 2_000_000
+FANOUT, BLOCK, BLOCK_TOKENS = 8, 1024, 1_000_000
 #: Sets of a component from which on it fills blocks of its own, which need no comparing with each other.
 PURE = 256
 #: Sets that share a token are compared pair by pair; groups above this size are compared by family.
