@@ -39,7 +39,8 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
     ``chain`` is the rolling hash of the whole conversation.  Of equal
     conversations the one of smallest conv_id stays (null is smallest).
     Conversations are compared by role and text alone, so a shift of turn
-    numbers does not hide a prefix.  Empty table: no rows.
+    numbers does not hide a prefix.  A null turn comes first, null roles and
+    texts are empty ones, other columns are not read.  Empty table: no rows.
     """
     hashed = with_hashes(turn_arrays(conversations)).withColumn("n_turns", F.size("turns"))
     slim = hashed.select("conv_id", "n_turns", F.element_at("prefixes", -1).alias("chain"))

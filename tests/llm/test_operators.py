@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from datetime import date, timedelta
 
 import numpy as np
 import public_tokenizers
@@ -83,6 +84,20 @@ def test_a_hot_key_is_cut_by_doc_id(spark):
     assert sorted(shards.values()) == [100] * 8
 
 
+def test_keys_of_any_characters_are_balanced(spark):
+    keys = [chr(0x1F600 + k % 80) + chr(0xFFFF) * (k % 3) + str(k) for k in range(400)]
+    df = spark.createDataFrame([(key, n % 7 + 1, 5) for n, key in enumerate(keys)], "key string, size long, shard int")
+    rows = histogram_shards.histogram_shards(df, F.col("key"), F.col("size"), 8).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r["size"]
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 14
+    order = [r.key for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(keys)
+    empty_sizes = histogram_shards.histogram_shards(df.withColumn("size", F.lit(None).cast("long")), F.col("key"), F.col("size"), 8).collect()
+    assert {r.shard for r in empty_sizes} == {0} and sorted(r.slot for r in empty_sizes) == list(range(400))
+
+
 # pseudonyms
 
 PERMUTED = [
@@ -169,6 +184,54 @@ def test_permutation_is_a_bijection_and_matches_plain_python(spark):
         assert r.p == f"{a}{b:02d}"
 
 
+def _days():
+    day = date(1800, 1, 1)
+    while day.year < 2200:
+        yield day
+        day += timedelta(1)
+
+
+def test_dates_are_permuted_within_their_format(spark):
+    forms = {"%Y-%m-%d": list(_days()), "%m/%d/%Y": list(_days()), "%d/%m/%Y": [d for d in _days() if d.day > 12]}
+    late = {d: k for k, d in enumerate(forms["%d/%m/%Y"])}
+    for form, days in forms.items():
+        values = [d.strftime(form) for d in days]
+        rows = feistel_pii.pseudonymise(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string"), "k").select("doc_id", "text", "n_date").collect()
+        assert all(r.n_date == 1 for r in rows) and {r.text for r in rows} == set(values)
+        for r in rows[:: len(rows) // 50]:
+            if form == "%d/%m/%Y":
+                a, b = feistel("k", "late day", divmod(late[days[r.doc_id]], 9833), (9, 9833))
+                want = forms[form][a * 9833 + b]
+            else:
+                a, b = feistel("k", "date", divmod((days[r.doc_id] - date(1800, 1, 1)).days, 773), (189, 773))
+                want = date(1800, 1, 1) + timedelta(a * 773 + b)
+            assert r.text == want.strftime(form)
+
+
+def test_numbers_against_plain_python(spark):
+    rng = np.random.default_rng(8)
+    ssn = sorted({f"{a:03d}-{g:02d}-{n:04d}" for a, g, n in zip(rng.integers(1, 900, 3000), rng.integers(1, 100, 3000), rng.integers(1, 10000, 3000)) if a != 666})
+    ip = sorted({".".join(map(str, x)) for x in rng.integers(0, 256, (3000, 4))})
+    phone = sorted({f"+1 ({a}) {b}-{c}" for a, b, c in zip(rng.integers(200, 1000, 2000), rng.integers(200, 1000, 2000), rng.integers(1000, 10000, 2000))})
+    values = ssn + ip + phone
+    new = [r.text for r in feistel_pii.pseudonymise(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert len(set(new)) == len(set(values))
+    for old, got in zip(values, new):
+        if "." in old:
+            a, b, c, d = map(int, old.split("."))
+            x, y = feistel("k", "ipv4", (a * 256 + b, c * 256 + d), (65536, 65536))
+            assert got == f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+        elif old[0] == "+":
+            digits = re.sub(r"\D", "", old)[1:]
+            x, y = feistel("k", "phone/10", (int(digits[:5]), int(digits[5:])), (10**5, 10**5))
+            assert re.sub(r"\D", "", got) == f"1{x:05d}{y:05d}" and got[:4] == "+1 (" and got[7:9] == ") "
+        else:
+            area, group, serial = map(int, old.split("-"))
+            x, y = feistel("k", "ssn", ((area - 1 - (area > 666)) * 99 + group - 1, serial - 1), (898 * 99, 9999))
+            area = x // 99 + 1
+            assert got == f"{area + (area >= 666):03d}-{x % 99 + 1:02d}-{y + 1:04d}"
+
+
 def test_pii_of_documents_against_a_plain_search(spark, sf):
     new = {r.doc_id: r.text for r in QUERIES["op2_feistel_pii"](spark, sf).collect()}
     private = re.compile(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\d)(?:\d{1,3}\.){3}\d{1,3}(?!\d)")
@@ -248,6 +311,28 @@ def test_rollups_match_a_replay_in_plain_python(spark, tmp_path):
     assert rollups.batches() == ["a", "b", "c", "d"]
 
 
+def test_an_overtaken_batch_is_worked_out_again(spark, tmp_path):
+    schema = "doc_id long, source string, lang string, tokenizer string, op string, tokens long, docs long"
+    rollups = token_rollups.TokenRollups(spark, f"file://{tmp_path}/r")
+    rows = lambda *events: spark.createDataFrame([(d, "s", "en", "t", op, n, 99) for d, op, n in events], schema)
+    rollups.commit("a", rows((1, "insert", 10)))
+    write, met = rollups._write, []
+
+    def slow(label, signed):
+        folder = write(label, signed)
+        if not met:
+            met.append(folder)
+            assert token_rollups.TokenRollups(spark, rollups.root).commit("other", rows((1, "revise", 7), (2, "insert", 1)))
+        return folder
+
+    rollups._write = slow
+    assert rollups.commit("late", rows((1, "revise", 5), (2, "delete", None)))
+    assert [(r.n_docs, r.n_tokens) for r in rollups.totals().collect()] == [(1, 5)] and rollups.batches() == ["a", "late", "other"]
+    assert rollups.compact() and [(r.n_docs, r.n_tokens) for r in rollups.totals().collect()] == [(1, 5)] and rollups.ledger().count() == 1
+    assert not rollups.commit("a", rows((1, "insert", 10))) and rollups.commit("last", rows((1, "delete", None), (3, "insert", 2)))
+    assert [(r.n_docs, r.n_tokens) for r in rollups.totals().collect()] == [(1, 2)]
+
+
 def test_token_rollup_query(spark, sf):
     from tokenizers import Tokenizer
 
@@ -467,6 +552,37 @@ def test_token_frames_of_odd_input(spark):
     assert token_frames.token_frames(empty(spark), public_tokenizers.path("word_bpe_49k.json")).collect() == []
 
 
+def test_frames_keep_null_ids_apart(spark):
+    low = -(2**63)
+    rows = [(None, "no id"), (low, "lowest id"), (None, "no id"), (0, "zero"), (None, None), (0, "nought")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start long")
+    for n in (1, 3):
+        files = token_frames.write_token_frames(df, token_frames.new_path(spark, "frames"), public_tokenizers.path("word_bpe_49k.json"), 2, n_files=n)
+        got = token_frames.read_token_frames(spark, files).orderBy("start").collect()
+        assert [r.doc_id for r in got] == [None, None, None, low, 0, 0]
+        assert sorted(r.n_tokens for r in got if r.doc_id is None) == [1, 3, 3]
+    store, path = token_frames.open_store(token_frames.write_token_frames(df, token_frames.new_path(spark, "frames"), public_tokenizers.path("word_bpe_49k.json"), 2, n_files=1)[0][0])
+    with store.open_input_file(path) as source:
+        reader = token_frames.FrameReader(source, source.size())
+        assert len(reader.document(None)) == 3 and len(reader.document(low)) == 1 and len(reader.document(0)) == 2
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert token_frames.word_rules(path) == (True, True)
+    keeps_case = Tokenizer(models.WordLevel({"A": 0, "a": 1, ".": 2, "?": 3, " ": 4}, unk_token="?"))
+    keeps_case.pre_tokenizer = pre_tokenizers.Split(" ", "isolated")
+    joined = Tokenizer(models.WordLevel({"a": 0, "?": 1}, unk_token="?"))
+    joined.normalizer, joined.pre_tokenizer = normalizers.Prepend("x"), pre_tokenizers.Whitespace()
+    for k, made in enumerate((keeps_case, joined, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))):
+        made.save(str(tmp_path / f"{k}.json"))
+        encoder = token_frames.WordEncoder(str(tmp_path / f"{k}.json"))
+        rows = ["A a. A", "a  b", "", "x. y, z"]
+        assert not encoder.by_word and encoder.encode([t.encode() for t in rows]) == [np.array(made.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in rows]
+
+
 def test_word_encoder_is_the_library(sf):
     from tokenizers import Tokenizer
 
@@ -556,7 +672,22 @@ def test_a_difference_between_the_libraries_is_seen():
     true, codec._whole = codec._whole, lambda texts: [b"\x01\x00\x00\x00" if "wrong" in t else x for t, x in zip(texts, PieceTruth.whole(texts))]
     PieceTruth.whole = true
     ids, agree = codec.encode(["all is right", "one wrong word", "  wrong  ", "right"])
-    assert agree == [True, False, False, True] and ids == codec.expected(["all is right", "one wrong word", "  wrong  ", "right"])
+    assert agree == [True, False, False, True]
+    right = codec.expected(["all is right", "one wrong word", "  wrong  ", "right"])
+    assert ids[0] == right[0] and ids[3] == right[3] and ids[1] != right[1] and ids[2] == b"\x01\x00\x00\x00"  # the rebuilt tokenizer's own
+
+
+SPACES = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x2581]))
+
+
+def test_pieces_around_every_white_space():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    truth, codec = sentencepiece.SentencePieceProcessor(model_file=path), _codec(path)
+    rows = [f(s) for s in SPACES for f in (lambda s: f"one{s}two", lambda s: f"{s}one two", lambda s: f"one two{s}", lambda s: f"one {s} two", lambda s: f"one {s}two", lambda s: s, lambda s: s * 3, lambda s: f"a b{s}{s}c. d")]
+    ids, agree = codec.encode(rows)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in ids] == truth.encode(rows) and all(agree)
 
 
 class PieceTruth:
