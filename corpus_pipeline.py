@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept.  ``run`` writes what a stage returns to the shared folder and
 reads it back as the next one's input.
+
+All stages but the last return the columns of ``documents`` and leave others
+out.  Null doc_ids, null and empty texts, repeated rows and empty tables go
+through: the classifier scores a text without words like any other, rows without
+words have no near duplicates and no benchmark passages, and nothing in them is
+private.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontamination, feistel_pii, piece_codec, pu_quality, signature_join
 from lodestone.llm.common import materialise, table
-from lodestone.llm.queries import PII_KEY, vocabulary
+from lodestone.llm.queries import pii_key, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows that a Python worker is handed at once: some 3 MB of text.
@@ -19,7 +25,11 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what travels between Spark and Python at once, for all stages of this session."""
+    """Bound what travels between Spark and Python at once.
+
+    Spark reads the setting when a stage's result is written, so it stays set in
+    the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -31,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words a shingle, similarity of 0.8 or more."""
+    """One row of each group of near duplicates: five words a shingle, similarity of 0.8 or more."""
     small_batches(spark)
     return signature_join.keep_one(docs.select(*COLUMNS), shingle=5, percent=80)
 
@@ -42,10 +52,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal values replaced; n_chars is that of the new text."""
+    """Documents with personal values replaced under the session's key; n_chars is that of the new text (null stays null)."""
     from pyspark.sql import functions as F
 
-    out = feistel_pii.pseudonymise(docs.select(*COLUMNS), PII_KEY, counts=False)
+    out = feistel_pii.pseudonymise(docs.select(*COLUMNS), pii_key(spark), counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
