@@ -16,7 +16,7 @@ from ..functions.vectors import unit_rows
 
 SCHEMA = (
     "source_path string, line_start int, line_end int, chunk_type string, content string, heading_path array<string>, "
-    "heading_level int, code_language string, table_header string, symbol string, parent_symbol string, truncated boolean"
+    "parent_line int, heading_level int, code_language string, table_header string, symbol string, parent_symbol string, truncated boolean"
 )
 #: Chunker by content type; ``register`` adds to it.
 CHUNKERS: dict[str, Callable[..., Iterator[chunking.Passage]]] = {
@@ -33,10 +33,11 @@ def register(content_type: str, chunker: Callable[[str, int], Iterator[chunking.
     CHUNKERS[content_type.lower()] = chunker
 
 
-def chunk(documents: DataFrame, limit: int = 1000) -> DataFrame:
-    """Passages of documents (source_path, content_type, text), with their ids.
+def chunk(documents: DataFrame, limit: int = 1000, leave_out: tuple[str, ...] = ()) -> DataFrame:
+    """Passages of documents (source_path, content_type, text), with their ids and that of the heading above them.
 
-    One document is one row of work and nothing is shuffled.  Documents of a
+    Passages of the types ``leave_out`` (heading, code, table and so on) are not
+    returned.  One document is one row of work and nothing is shuffled.  Documents of a
     content type without a chunker give none; ``unsupported`` lists them.
     """
     known = dict(CHUNKERS)
@@ -44,7 +45,7 @@ def chunk(documents: DataFrame, limit: int = 1000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, number = pa.string(), pa.int32()
         kinds = pa.schema({
-            "source_path": text, "line_start": number, "line_end": number, "chunk_type": text, "content": text, "heading_path": pa.list_(text),
+            "source_path": text, "line_start": number, "line_end": number, "chunk_type": text, "content": text, "heading_path": pa.list_(text), "parent_line": number,
             "heading_level": number, "code_language": text, "table_header": text, "symbol": text, "parent_symbol": text, "truncated": pa.bool_(),
         })
         for batch in batches:
@@ -59,7 +60,11 @@ def chunk(documents: DataFrame, limit: int = 1000) -> DataFrame:
 
     chosen = documents.select("source_path", F.lower("content_type").alias("content_type"), "text").filter(F.col("content_type").isin(*known))
     parts = chosen.mapInArrow(run, SCHEMA)
-    return parts.withColumn("chunk_id", chunk_id(*map(F.col, ("source_path", "line_start", "line_end", "chunk_type", "content"))))
+    if leave_out:
+        parts = parts.filter(~F.col("chunk_type").isin(*leave_out))
+    above = F.try_element_at("heading_path", F.when(F.col("chunk_type") == "heading", -2).otherwise(-1))
+    parent = F.when(F.col("parent_line").isNotNull(), chunk_id(F.col("source_path"), F.col("parent_line"), F.col("parent_line"), F.lit("heading"), above))
+    return parts.withColumns({"chunk_id": chunk_id(*map(F.col, ("source_path", "line_start", "line_end", "chunk_type", "content"))), "parent_id": parent})
 
 
 def unsupported(documents: DataFrame) -> DataFrame:

@@ -40,8 +40,9 @@ def q_markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_ts_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands written as TypeScript classes, with a method for each part."""
-    parts = table(spark, sf_dir, "part").withColumn("brand", F.replace("p_brand", F.lit("#"), F.lit("")))
+    """Brands written as TypeScript classes, with a method for each part; a file has up to 1000 part numbers."""
+    file = F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("_"), F.floor(F.col("p_partkey") / 1000).cast("string"))
+    parts = table(spark, sf_dir, "part").withColumn("brand", file)
     method = F.concat(F.lit("  // "), F.col("p_name"), F.lit("\n  part"), F.col("p_partkey").cast("string"), F.lit("(n: number) {\n    return `}${n}`;\n  }\n"))
     classes = parts.groupBy("brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", method.alias("m")))).alias("ms"))
     text = F.concat(F.lit("export class "), F.col("brand"), F.lit(" {\n"), F.array_join(F.transform("ms", lambda x: x["m"]), ""), F.lit("}\n"))
@@ -69,7 +70,7 @@ _METHOD = "'  // ' || p_name || chr(10) || '  part' || p_partkey || '(n: number)
 ORACLES = {
     "q_ts_chunks": f"""
 WITH m AS (
-  SELECT replace(p_brand, '#', '') AS brand, p_partkey, {_METHOD} AS content, 2 + 4 * (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) AS line_start FROM part
+  SELECT replace(p_brand, '#', '') || '_' || (p_partkey // 1000) AS brand, p_partkey, {_METHOD} AS content, 2 + 4 * (row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey) - 1) AS line_start FROM part
 ), rows AS (
   SELECT brand || '.ts' AS source_path, line_start, line_start + 3 AS line_end, 'method' AS chunk_type, 'part' || p_partkey AS symbol, brand AS parent_symbol, CAST(NULL AS BOOLEAN) AS truncated, content FROM m
   UNION ALL
