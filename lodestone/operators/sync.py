@@ -61,10 +61,12 @@ def index_state(changes: DataFrame, exists: bool, same_configuration: bool) -> D
 def fingerprints(files: DataFrame, group: str, key: str, digest: str) -> DataFrame:
     """group, n_files and fingerprint: SHA-256 over a group's ``key:digest`` lines in order of key.
 
-    Lines are hashed in buckets of the key first and the buckets' hashes are
-    hashed together, so that no task holds a whole large group.
+    Lines are hashed in buckets of the key first, buckets of buckets next, and
+    those hashes together, so that a task holds a 65536th of a large group.
     """
     line = F.concat(F.col(key).cast("string"), F.lit(":"), F.col(digest))
-    bucket = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2)
-    lines = files.groupBy(group, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"))
-    return lines.groupBy(group).agg(F.sum("n").alias("n_files"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("bucket", F.lit(":"), "h"))), "\n"), 256).alias("fingerprint"))
+    joined = lambda x: F.sha2(F.array_join(F.array_sort(F.collect_list(x)), "\n"), 256)
+    bucket = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 4)
+    lines = files.groupBy(group, bucket.alias("bucket")).agg(F.count("*").alias("n"), joined(line).alias("h"))
+    upper = lines.groupBy(group, F.substring("bucket", 1, 2).alias("top")).agg(F.sum("n").alias("n"), joined(F.concat("bucket", F.lit(":"), "h")).alias("h"))
+    return upper.groupBy(group).agg(F.sum("n").alias("n_files"), joined(F.concat("top", F.lit(":"), "h")).alias("fingerprint"))

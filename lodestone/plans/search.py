@@ -316,9 +316,9 @@ SELECT query_id, CAST(position AS INTEGER) AS position, via, target AS document,
     "q_index_state": f"SELECT count(*) AS changed, CASE WHEN count(*) > 0 THEN 'stale' ELSE 'current' END AS state FROM ({_FRESH_SQL})",
     "q_manifest_fingerprint": """
 WITH lines AS (
-  SELECT source, sha256(CAST(doc_id AS VARCHAR))[1:2] AS bucket, count(*) AS n, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id || ':' || sha256(text))) AS h FROM documents GROUP BY 1, 2
-)
-SELECT source, CAST(sum(n) AS BIGINT) AS n_files, sha256(string_agg(bucket || ':' || h, chr(10) ORDER BY bucket)) AS fingerprint FROM lines GROUP BY 1""",
+  SELECT source, sha256(CAST(doc_id AS VARCHAR))[1:4] AS bucket, count(*) AS n, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id || ':' || sha256(text))) AS h FROM documents GROUP BY 1, 2
+), upper AS (SELECT source, bucket[1:2] AS top, sum(n) AS n, sha256(string_agg(bucket || ':' || h, chr(10) ORDER BY bucket)) AS h FROM lines GROUP BY 1, 2)
+SELECT source, CAST(sum(n) AS BIGINT) AS n_files, sha256(string_agg(top || ':' || h, chr(10) ORDER BY top)) AS fingerprint FROM upper GROUP BY 1""",
     "q_chunk_ids": f"SELECT sha1(source_path || '|' || line_start || '|' || line_end || '|line|' || sha1(content)) AS chunk_id, source_path, CAST(line_start AS INTEGER) AS line_start FROM ({LINES_SQL})",
     "q_retrieval_metrics": _metrics_sql(10),
     "q_metric_groups": f"SELECT label AS query_group, count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr FROM ({_metrics_sql(10)}) JOIN embeddings ON vec_id = query_id GROUP BY 1",

@@ -5,22 +5,24 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_kind
+from ..operators.sync import fingerprints
 
 CONCEPT_FIELDS = "struct<type:string,title:string,description:string,status:string,tags:array<string>,resource:string,stale_after:string>"
 
 
-def read_files(spark: SparkSession, root: str, bundle: str, max_bytes: int | None = None) -> DataFrame:
+def read_files(spark: SparkSession, root: str, bundle: str, max_bytes: int | None = None, pattern: str | None = None) -> DataFrame:
     """Files of a bundle: bundle, path, kind, digest, n_bytes and, for Markdown, text.
 
     Files over ``max_bytes`` are listed without digest and text; hidden lock
-    files are left out.  A byte order
-    mark is dropped.
+    files are left out.  ``pattern`` is a glob of file names, as ``*.{ts,md}``.
+    A byte order mark is dropped.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    raw = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(root)
     prefix = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/")
     path = F.regexp_replace(F.col("path"), r"^[A-Za-z]+:/*", "")
     path = F.substring(path, F.length(prefix) + 1, F.length(path))
@@ -89,3 +91,55 @@ def log_entries(files: DataFrame) -> DataFrame:
     blocks = logs.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?ms)^##\s+(\d{4}-\d{2}-\d{2}[^#]*)"), 1)).alias("block"))
     day = F.to_date(F.substring("block", 1, 10))
     return blocks.select("path", day.alias("day"), F.explode(F.regexp_extract_all("block", F.lit(r"(?m)^\s*[*-]\s+(.+)$"), 1)).alias("action"))
+
+
+def within_budget(files: DataFrame, max_total: int) -> DataFrame:
+    """Files with ``fits``: whether they are among the first, by path, that hold ``max_total`` bytes together.
+
+    Bytes are added up by directory first, so that no task orders all files.
+    """
+    folder = F.regexp_extract("path", r"^(?:.*/)?", 0)
+    sizes = files.groupBy(folder.alias("__folder")).agg(F.sum("n_bytes").alias("bytes"))
+    before = F.coalesce(F.sum("bytes").over(Window.orderBy("__folder").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a directory
+    inside = F.sum("n_bytes").over(Window.partitionBy("__folder").orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
+    placed = files.withColumn("__folder", folder).join(sizes.select("__folder", before.alias("__before")), "__folder")
+    return placed.withColumn("fits", F.col("__before") + inside <= max_total).drop("__folder", "__before")
+
+
+def reserved_file_faults(files: DataFrame) -> DataFrame:
+    """bundle, path and reason of index and log files whose structure does not conform.
+
+    An index below the root has no frontmatter; a log has dated level-two
+    headings only, newest first.
+    """
+    index = files.filter("kind = 'index' and path like '%/%'").filter(split_frontmatter(F.col("text"))["yaml"].isNotNull())
+    dates = F.regexp_extract_all("text", F.lit(r"(?m)^##[ \t]+(.*?)[ \t]*$"), 1)
+    logs = files.filter("kind = 'log'").withColumn("dates", dates)
+    bad = F.exists("dates", lambda x: F.try_to_date(x, "yyyy-MM-dd").isNull())
+    late = ~F.coalesce(F.array_sort("dates") == F.reverse("dates"), F.lit(True))
+    said = F.when(bad, "a log heading is no date").when(late, "the newest log entry is not first")
+    return index.select("bundle", "path", F.lit("an index below the root has frontmatter").alias("reason")).unionByName(logs.withColumn("reason", said).filter("reason is not null").select("bundle", "path", "reason"))
+
+
+def live_concepts(spark: SparkSession, root: str, bundle: str) -> tuple[DataFrame, str]:
+    """Documents of a collection as it is now, with the fingerprint of its files; a collection that does not conform is refused.
+
+    ``still`` tells afterwards whether the files are the same.
+    """
+    files = read_files(spark, root, bundle)
+    concepts = read_concepts(files)
+    faults = unreadable(concepts).unionByName(reserved_file_faults(files)).limit(5).collect()
+    if faults:
+        raise ValueError(f"the collection does not conform: {[(r.path, r.reason) for r in faults]}")
+    return concepts, fingerprint_of(files)
+
+
+def fingerprint_of(files: DataFrame) -> str:
+    """One digest of all paths and contents, in any order of the files."""
+    row = fingerprints(files.select(F.lit(1).alias("all"), "path", "digest"), "all", "path", "digest").first()
+    return row.fingerprint if row else ""
+
+
+def still(spark: SparkSession, root: str, bundle: str, fingerprint: str) -> bool:
+    """Whether the files of a collection are those of a fingerprint."""
+    return fingerprint_of(read_files(spark, root, bundle)) == fingerprint

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from ..operators.metadata import Query, QueryError
+from ..operators.metadata import MAX_PAGE, Query, QueryError
 
 MAX_BYTES = 65_536
 _SLUG = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
@@ -35,10 +35,44 @@ def parse_saved_query(id_: str, raw: bytes) -> Query:
     return Query.parse({k: v for k, v in spec.items() if k != "format"})
 
 
+#: Nodes, depth and UTF-16 units of a page's JSON at most.
+MAX_NODES, MAX_DEPTH, MAX_UNITS = 100_000, 64, 4 * 1024 * 1024
+
+
+def _rows(page: DataFrame) -> list:
+    """The rows of a page; a larger frame is refused instead of gathered."""
+    rows = page.limit(MAX_PAGE + 1).collect()
+    if len(rows) > MAX_PAGE:
+        raise QueryError(f"a page has at most {MAX_PAGE} rows")
+    return rows
+
+
+def check_size(value: object) -> None:
+    """Refuse a value with too many nodes, too deep nesting or too much text for a page."""
+    nodes = units = 0
+    todo = [(value, 1)]
+    while todo:
+        part, depth = todo.pop()
+        nodes += 1
+        if depth > MAX_DEPTH:
+            raise QueryError(f"the page is nested deeper than {MAX_DEPTH}")
+        if isinstance(part, dict):
+            units += sum(len(k.encode("utf-16-le")) // 2 for k in part)
+            todo += [(x, depth + 1) for x in part.values()]
+        elif isinstance(part, (list, tuple)):
+            todo += [(x, depth + 1) for x in part]
+        elif isinstance(part, str):
+            units += len(part.encode("utf-16-le")) // 2
+        if nodes > MAX_NODES or units > MAX_UNITS:
+            raise QueryError("the page is too large")
+
+
 def page_json(page: DataFrame, summary: DataFrame) -> str:
     """A page of at most a thousand rows and its summary as one JSON object."""
     head = summary.first().asDict()
-    return json.dumps({"schema_version": 1, **{k: v for k, v in head.items() if v is not None}, "rows": [r.asDict(recursive=True) for r in page.collect()]}, ensure_ascii=False)
+    out = {"schema_version": 1, **{k: v for k, v in head.items() if v is not None}, "rows": [r.asDict(recursive=True) for r in _rows(page)]}
+    check_size(out)
+    return json.dumps(out, ensure_ascii=False)
 
 
 def _cell(value: object) -> str:
@@ -49,5 +83,5 @@ def _cell(value: object) -> str:
 
 def page_markdown(page: DataFrame) -> str:
     """A page of at most a thousand rows as a Markdown table; bars, line breaks and control characters are escaped."""
-    rows = [page.columns, ["---"] * len(page.columns), *([_cell(v) for v in r] for r in page.collect())]
+    rows = [page.columns, ["---"] * len(page.columns), *([_cell(v) for v in r] for r in _rows(page))]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
