@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,26 @@ def mean_metrics(metrics: DataFrame, *group: str) -> DataFrame:
     return (metrics.groupBy(*group) if group else metrics).agg(F.count("*").alias("queries"), *mean)
 
 
+def weighted_means(groups: DataFrame, *group: str) -> DataFrame:
+    """Means of group means, each weighed by its number of queries: queries, recall, ndcg and mrr."""
+    n = F.sum("queries")
+    mean = [F.round(F.sum(F.col(m) * F.col("queries")) / n, 6).alias(m) for m in ("recall", "ndcg", "mrr")]
+    return (groups.groupBy(*group) if group else groups).agg(n.alias("queries"), *mean)
+
+
+def report_json(k: int, runs: dict[str, tuple[DataFrame, DataFrame]]) -> str:
+    """An evaluation's report: for each run its metrics at ``k`` over all queries and by group, from (query metrics, query_id and query_group)."""
+    out = []
+    for name, (metrics, groups) in runs.items():
+        whole = mean_metrics(metrics).first().asDict()
+        grouped = mean_metrics(metrics.join(groups, "query_id"), "query_group").orderBy("query_group").limit(1001).collect()
+        if len(grouped) > 1000:
+            raise ValueError("a report has at most 1000 groups")
+        shape = lambda r: {"k": k, "recall": r["recall"], "ndcg": r["ndcg"], "mrr": r["mrr"]}
+        out.append({"name": name, "queryCount": whole["queries"], "metrics": shape(whole), "queryGroups": [{"name": str(r.query_group), "queryCount": r.queries, "metrics": shape(r)} for r in grouped]})
+    return json.dumps({"k": k, "runs": out}, sort_keys=True, ensure_ascii=False, indent=2)
+
+
 def regressions(baseline: DataFrame, current: DataFrame, max_recall_drop: float = 0.05, max_ndcg_drop: float = 0.03, max_mrr_drop: float | None = None) -> DataFrame:
     """name, metric, baseline, current, drop and passed for each run and gated metric.
 
@@ -74,12 +96,20 @@ def percentiles(rows: DataFrame, group: str, value: str, shares: tuple[float, ..
     return placed.groupBy(group).agg(*out)
 
 
-def span_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of spans of one file that share lines: left_id, right_id and overlap (lines)."""
-    a = left.select("source_path", F.col("chunk_id").alias("left_id"), F.col("line_start").alias("ls"), F.col("line_end").alias("le"))
-    b = right.select("source_path", F.col("chunk_id").alias("right_id"), F.col("line_start").alias("rs"), F.col("line_end").alias("re"))
+def span_overlaps(left: DataFrame, right: DataFrame, lines: int = 256) -> DataFrame:
+    """Pairs of spans of one file that share lines: left_id, right_id and overlap (lines).
+
+    Spans meet by file and by blocks of ``lines`` lines that both touch, so spans
+    of a large file that are far apart do not meet; a pair counts in the first
+    block that it shares.
+    """
+    block = lambda at: F.floor(F.col(at) / lines)
+    touched = lambda df, s, e: df.withColumn("__block", F.explode(F.sequence(block(s), block(e))))
+    a = touched(left.select("source_path", F.col("chunk_id").alias("left_id"), F.col("line_start").alias("ls"), F.col("line_end").alias("le")).filter("ls <= le"), "ls", "le")
+    b = touched(right.select("source_path", F.col("chunk_id").alias("right_id"), F.col("line_start").alias("rs"), F.col("line_end").alias("re")).filter("rs <= re"), "rs", "re")
     shared = F.least("le", "re") - F.greatest("ls", "rs") + 1
-    return a.join(b, "source_path").withColumn("overlap", shared).filter("overlap > 0").select("source_path", "left_id", "right_id", "overlap")
+    first = F.col("__block") == F.greatest(block("ls"), block("rs"))
+    return a.join(b, ["source_path", "__block"]).withColumn("overlap", shared).filter(first & (F.col("overlap") > 0)).select("source_path", "left_id", "right_id", "overlap")
 
 
 def greedy_span_matches(ranked: DataFrame, judged: DataFrame) -> DataFrame:

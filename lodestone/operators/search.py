@@ -9,6 +9,7 @@ from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -99,10 +100,11 @@ def nearest_per_document(vectors: DataFrame, queries: DataFrame, document: str,
     """query_id, ``document``, id and sim: the most similar passage of every document to each query, then the smallest id.
 
     Every passage is scored before any is dropped, so no document is missing
-    whose best passage ranks low.  Each batch passes on its best of each
+    whose best passage ranks low.  Passages may have ids of any type that can
+    be ordered; ``skip_self`` needs numbers.  Each batch passes on its best of each
     document; the rest is a combined aggregate.
     """
-    kind = dict(vectors.dtypes)[document]
+    kind, named = dict(vectors.dtypes)[document], dict(vectors.dtypes)["id"]
 
     def best(q_ids: np.ndarray, q: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +112,9 @@ def nearest_per_document(vectors: DataFrame, queries: DataFrame, document: str,
                 yield from _best_of_documents(q_ids, q, skip_self, digits, batch.slice(start, ROW_TILE))
 
     rows = vectors.select("id", "vector", F.col(document).alias("document"))
-    found = _scored_blocks(rows, queries, best, f"query_id long, document {kind}, id long, sim double", block)
-    best_row = F.max(F.struct("sim", (-F.col("id")).alias("less"))).alias("b")
-    return found.groupBy("query_id", "document").agg(best_row).select("query_id", F.col("document").alias(document), (-F.col("b.less")).alias("id"), F.col("b.sim").alias("sim"))
+    found = _scored_blocks(rows, queries, best, f"query_id long, document {kind}, id {named}, sim double", block)
+    best_row = F.min(F.struct((-F.col("sim")).alias("less"), "id")).alias("b")
+    return found.groupBy("query_id", "document").agg(best_row).select("query_id", F.col("document").alias(document), F.col("b.id").alias("id"), (F.lit(0.0) - F.col("b.less")).alias("sim"))
 
 
 def _scored_blocks(rows: DataFrame, queries: DataFrame, best, schema: str, block: int) -> DataFrame:
@@ -154,19 +156,19 @@ def _unit_matrix(vectors: pa.Array, n: int) -> np.ndarray:
 
 def _best_of_documents(q_ids: np.ndarray, q: np.ndarray, skip_self: bool, digits: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     coded = batch.column(2).dictionary_encode("encode")
-    order = np.lexsort((batch.column(0).to_numpy(), coded.indices.to_numpy()))
-    ids, codes = batch.column(0).to_numpy()[order], coded.indices.to_numpy()[order]
-    sims = np.round(np.clip(_unit_matrix(batch.column(1), batch.num_rows)[order] @ q.T, -1.0, 1.0), digits) + 0.0
+    order = pc.sort_indices(pa.table({"code": coded.indices, "id": batch.column(0)}), sort_keys=[("code", "ascending"), ("id", "ascending")])
+    ids, codes = batch.column(0).take(order), coded.indices.take(order).to_numpy()
+    sims = np.round(np.clip(_unit_matrix(batch.column(1), batch.num_rows)[order.to_numpy()] @ q.T, -1.0, 1.0), digits) + 0.0
     if skip_self:
-        sims[ids[:, None] == q_ids[None, :]] = -np.inf
+        sims[ids.to_numpy()[:, None] == q_ids[None, :]] = -np.inf
     starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
     top = np.maximum.reduceat(sims, starts, axis=0)
-    lengths = np.diff(np.r_[starts, len(ids)])
-    at = np.where(sims == np.repeat(top, lengths, axis=0), ids[:, None], np.iinfo(np.int64).max)
+    lengths = np.diff(np.r_[starts, len(codes)])
+    at = np.where(sims == np.repeat(top, lengths, axis=0), np.arange(len(codes))[:, None], len(codes))
     first = np.minimum.reduceat(at, starts, axis=0)
     doc, query = np.nonzero(top > -np.inf)
     documents = coded.dictionary.take(pa.array(codes[starts][doc]))
-    yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), documents, pa.array(first[doc, query]), pa.array(top[doc, query])], ["query_id", "document", "id", "sim"])
+    yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), documents, ids.take(pa.array(first[doc, query])), pa.array(top[doc, query])], ["query_id", "document", "id", "sim"])
 
 
 def _best_of_batches(q_ids: np.ndarray, q: np.ndarray, k: int, skip_self: bool, digits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,28 +244,59 @@ def uncovered(eligible: DataFrame, stored: DataFrame, key: str = "chunk_id") ->
 def enclosing_parents(chunks: DataFrame) -> DataFrame:
     """chunk_id and parent_id: the smallest passage of the same file that strictly encloses it.
 
-    A range join within a file: equal path, then line bounds.  Of equal spans
-    the later start, then the smaller id is the parent.
+    Passages of a file are swept in order of their lines; what is remembered are
+    the passages that are open at a line, so a large file costs its length and
+    not its square.  Of equal spans the later start, then the smaller id is the
+    parent.
     """
-    child = chunks.select("source_path", "chunk_id", F.col("line_start").alias("s"), F.col("line_end").alias("e"))
-    parent = chunks.select("source_path", F.col("chunk_id").alias("parent_id"), F.col("line_start").alias("ps"), F.col("line_end").alias("pe"))
-    around = (F.col("ps") <= F.col("s")) & (F.col("pe") >= F.col("e")) & (F.col("pe") - F.col("ps") > F.col("e") - F.col("s"))
-    found = child.join(parent, "source_path").filter(around)
-    best = F.min(F.struct((F.col("pe") - F.col("ps")).alias("span"), (-F.col("ps")).alias("later"), F.col("parent_id").alias("parent_id")))
-    return found.groupBy("chunk_id").agg(best.alias("b")).select("chunk_id", F.col("b.parent_id").alias("parent_id"))
+    kind = dict(chunks.dtypes)["chunk_id"]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, open_ = None, []
+        for batch in batches:
+            found = []
+            for path, key, s, e in zip(*(c.to_pylist() for c in batch.columns)):
+                if path != file:
+                    file, open_ = path, []
+                open_ = [x for x in open_ if x[1] >= s]
+                around = [(pe - ps, -ps, parent) for ps, pe, parent in open_ if pe >= e and pe - ps > e - s]
+                if around:
+                    found.append((key, *min(around)))
+                open_.append((s, e, key))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], ["chunk_id", "span", "later", "parent_id"])
+
+    spans = chunks.select("source_path", "chunk_id", "line_start", "line_end").filter("source_path is not null")
+    ordered = spans.repartition("source_path").sortWithinPartitions("source_path", "line_start", F.col("line_end").desc())
+    best = F.min(F.struct("span", "later", "parent_id")).alias("b")  # an id may stand in several rows
+    return ordered.mapInArrow(sweep, f"chunk_id {kind}, span long, later long, parent_id {kind}").groupBy("chunk_id").agg(best).select("chunk_id", F.col("b.parent_id").alias("parent_id"))
 
 
 def symbol_parents(chunks: DataFrame) -> DataFrame:
     """chunk_id and parent_id by symbol: same file, the child's ``parent_symbol`` is the parent's ``symbol``.
 
     Parents that start before the child come first, then the nearest start, the
-    smallest span and the smallest id.
+    smallest span and the smallest id.  Parents of one symbol are ordered by
+    their start, and a child looks at its neighbours in that order, so no child
+    meets all parents of its symbol.
     """
-    child = chunks.filter("parent_symbol is not null").select("source_path", F.col("parent_symbol").alias("symbol"), "chunk_id", F.col("line_start").alias("s"))
-    parent = chunks.select("source_path", "symbol", F.col("chunk_id").alias("parent_id"), F.col("line_start").alias("ps"), F.col("line_end").alias("pe"))
-    found = child.join(parent, ["source_path", "symbol"]).filter("chunk_id <> parent_id")
-    rank = F.struct((F.col("ps") > F.col("s")).alias("behind"), F.abs(F.col("ps") - F.col("s")).alias("far"), (F.col("pe") - F.col("ps")).alias("span"), F.col("parent_id").alias("parent_id"))
-    return found.groupBy("chunk_id").agg(F.min(rank).alias("b")).select("chunk_id", F.col("b.parent_id").alias("parent_id"))
+    keys = ["source_path", "symbol"]
+    each = F.struct((F.col("line_end") - F.col("line_start")).alias("span"), F.col("chunk_id").alias("id"))
+    # two of each start are enough: one may be the child itself
+    starts = chunks.filter("symbol is not null").groupBy(*keys, F.col("line_start").alias("at")).agg(F.collect_set(each).alias("every"))
+    starts = starts.withColumn("two", F.slice(F.array_sort("every"), 1, 2)).select(*keys, "at", F.transform("two", lambda x: F.struct(F.col("at").alias("ps"), x["span"].alias("span"), x["id"].alias("id"))).alias("near"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    none = F.array().cast(starts.schema["near"].dataType)
+    beside = [F.coalesce(f("near", k).over(order), none) for f, k in ((F.lag, 1), (F.lead, 1), (F.lead, 2))]
+    parents = starts.select(*keys, "at", F.concat("near", *beside).alias("near"), F.lit(None).cast(dict(chunks.dtypes)["chunk_id"]).alias("chunk_id"))
+    children = chunks.filter("parent_symbol is not null").select("source_path", F.col("parent_symbol").alias("symbol"), F.col("line_start").alias("at"), F.lit(None).cast(parents.schema["near"].dataType).alias("near"), "chunk_id")
+    order = Window.partitionBy(*keys).orderBy("at", F.col("chunk_id").isNotNull())
+    before = F.last("near", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.first("near", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    met = parents.unionByName(children).withColumn("near", F.coalesce(before, behind)).filter("chunk_id is not null and near is not null")
+    rank = lambda x: F.struct((x["ps"] > F.col("at")).alias("behind"), F.abs(x["ps"] - F.col("at")).alias("far"), x["span"].alias("span"), x["id"].alias("id"))
+    best = F.array_min(F.transform(F.filter("near", lambda x: x["id"] != F.col("chunk_id")), rank))
+    return met.select("chunk_id", best.alias("b")).filter("b is not null").groupBy("chunk_id").agg(F.min("b").alias("b")).select("chunk_id", F.col("b.id").alias("parent_id"))
 
 
 def expand_to_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
