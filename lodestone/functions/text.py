@@ -127,3 +127,54 @@ def context_text(title: Column, description: Column, section: Column, language:
 def escape_cell(text: Column) -> Column:
     """A text for one cell of a Markdown table: bars and backslashes escaped, line breaks as spaces."""
     return F.regexp_replace(F.regexp_replace(text, r"([\\|])", r"\\$1"), r"[\r\n]+", " ")
+
+
+#: Fixed value: a resource that pins a commit, and perhaps a path in it.
+GIT_RESOURCE = r"^git:([0-9a-fA-F]{7,64})(?::(.*))?$"
+
+
+def is_git_resource(resource: Column) -> Column:
+    return F.trim(resource).rlike(GIT_RESOURCE)
+
+
+def last_segment(path: Column) -> Column:
+    """The last part of a path that is not empty; null if there is none."""
+    return F.nullif(F.regexp_extract(path, r"([^/]+)/*$", 1), F.lit(""))
+
+
+def resource_label(resource: Column) -> Column:
+    """A resource for people: a pinned commit in short with its file's name, anything else as written."""
+    pin = F.trim(resource)
+    commit = F.lower(F.substring(F.regexp_extract(pin, GIT_RESOURCE, 1), 1, 7))
+    label = F.concat_ws(" · ", F.lit("git"), commit, last_segment(F.trim(F.regexp_extract(pin, GIT_RESOURCE, 2))))
+    return F.when(is_git_resource(resource), label).otherwise(resource)
+
+
+def short_target(target: Column) -> Column:
+    """A short name of a link's target that is no document: a pin's label, an address's host and last segment, a path's last segment."""
+    rest = F.regexp_replace(target, r"^https?://|[?#].*$", "")
+    host = F.lower(F.regexp_extract(rest, r"^(?:[^/@]*@)?([^/:]*)", 1))
+    tail = last_segment(F.regexp_extract(rest, r"^[^/]*(/.*)?$", 1))
+    address = F.concat_ws("/", host, F.coalesce(F.try_url_decode(F.replace(tail, F.lit("+"), F.lit("%2B"))), tail))
+    return F.when(is_git_resource(target), resource_label(target)).when(target.rlike("^https?://"), address).otherwise(F.coalesce(last_segment(target), target))
+
+
+def shown_date(day: Column) -> Column:
+    """``26 Aug 2026``."""
+    return F.date_format(day, "d MMM yyyy")
+
+
+def last_verified(verified: Column) -> Column:
+    """The latest time of an array of verifications (by, at); unreadable times count for nothing."""
+    return F.array_max(F.transform(verified, lambda v: F.try_to_timestamp(v["at"])))
+
+
+def escaped_controls(text: Column) -> Column:
+    """A text without control and format characters other than tab and line feed, for output in a terminal."""
+    return F.regexp_replace(text, r"[\p{Cc}\p{Cf}&&[^\t\n]]", "\uFFFD")
+
+
+def fragment_id(parent: Column, start: Column, end: Column) -> Column:
+    """Id of a part of a passage: its parent's id and its range, hashed as a JSON list."""
+    quoted = F.regexp_replace(F.regexp_replace(parent, r"\\", r"\\\\"), '"', r'\\"')
+    return F.sha2(F.concat(F.lit('["'), quoted, F.lit('",'), start.cast("string"), F.lit(","), end.cast("string"), F.lit("]")), 256)

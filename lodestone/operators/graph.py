@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How a link can resolve.
+from ..session import written
+
+#: Nodes, and links, of a graph that is rendered as text.
+MAX_RENDERED = 5000
+#: The origin of links in texts; how a link can resolve.
+BODY = "bodyLink"
 RESOLUTIONS = ("resolvedConcept", "resolvedAsset", "external", "descriptor", "unresolved", "invalid")
 
 
@@ -78,13 +85,22 @@ def resolve(links: DataFrame, inventory: DataFrame, concept_kind: str = "concept
     return joined.withColumn("resolution", kind).withColumn("resolved_path", F.when(F.col("__kind").isNotNull(), F.col("__path"))).drop("__path", "__kind")
 
 
-def backlinks(edges: DataFrame) -> DataFrame:
+def backlink_rows(edges: DataFrame) -> DataFrame:
+    """target, source and n_links of every linked pair, without links to oneself: backlinks as rows, however many a target has."""
+    return edges.filter("source <> target").groupBy("target", "source").agg(F.count("*").alias("n_links"))
+
+
+def backlinks(edges: DataFrame, most: int = 1000) -> DataFrame:
     """target, n_links, n_sources and sources (sorted) of edges (source, target), without links to oneself.
 
-    Distinct pairs are made first, so a much-linked target gathers each source once.
+    Counts are of all links.  ``sources`` is for pages that show a document: it
+    is null for targets with more than ``most`` sources, whose sources are rows
+    of ``backlink_rows``.
     """
-    pairs = edges.filter("source <> target").groupBy("target", "source").agg(F.count("*").alias("n"))
-    return pairs.groupBy("target").agg(F.sum("n").alias("n_links"), F.count("*").alias("n_sources"), F.array_sort(F.collect_list("source")).alias("sources"))
+    pairs = backlink_rows(edges)
+    counts = pairs.groupBy("target").agg(F.sum("n_links").alias("n_links"), F.count("*").alias("n_sources"))
+    few = pairs.join(counts.filter(F.col("n_sources") <= most).select("target"), "target").groupBy("target").agg(F.array_sort(F.collect_list("source")).alias("sources"))
+    return counts.join(few, "target", "left")
 
 
 def inbound_counts(edges: DataFrame) -> DataFrame:
@@ -98,13 +114,38 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def merged_pairs(edges: DataFrame) -> DataFrame:
-    """One row for each linked pair: a, b, forward, backward and n_links."""
+    """One row for each linked pair: a, b, forward, backward and n_links.
+
+    Edges with a column ``origin`` (bodyLink for a link in a text) and
+    ``relationship`` also give typed, labels (of named relationships) and
+    origins (of the rest), as sorted sets.
+    """
     a, b = F.least("source", "target"), F.greatest("source", "target")
+    more = []
+    if {"origin", "relationship"} <= set(edges.columns):
+        labels = F.array_sort(F.collect_set("relationship")).alias("labels")
+        origins = F.array_sort(F.collect_set(F.when(F.col("relationship").isNull(), F.col("origin")))).alias("origins")
+        more = [F.bool_or(F.col("origin") != BODY).alias("typed"), labels, origins]
     return edges.filter("source <> target").groupBy(a.alias("a"), b.alias("b")).agg(
-        F.bool_or(F.col("source") <= F.col("target")).alias("forward"), F.bool_or(F.col("source") > F.col("target")).alias("backward"), F.count("*").alias("n_links")
+        F.bool_or(F.col("source") <= F.col("target")).alias("forward"), F.bool_or(F.col("source") > F.col("target")).alias("backward"), F.count("*").alias("n_links"), *more
     )
 
 
+def layers(resolved: DataFrame, shown: tuple[str, ...] = ("concepts",)) -> DataFrame:
+    """Resolved links (source, raw_target, resolution, resolved_path) of the layers that are shown, with their target's node id.
+
+    Layers are concepts, attachments, external and unresolved; descriptions are
+    in none.  A target that is no document is a node of its own, named by its
+    layer and path or text.
+    """
+    layer = (
+        F.when(F.col("resolution") == "resolvedConcept", "concepts").when(F.col("resolution") == "resolvedAsset", "attachments")
+        .when(F.col("resolution") == "external", "external").when(F.col("resolution").isin("unresolved", "invalid"), "unresolved")
+    )
+    target = F.when(layer == "concepts", F.col("resolved_path")).otherwise(F.concat(F.lit("/"), layer, F.lit(":"), F.coalesce("resolved_path", "raw_target")))
+    return resolved.withColumns({"layer": layer, "target": target}).filter(F.col("layer").isin(*shown))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """node and degree: ends of edges at each node."""
     ends = edges.select(F.explode(F.array("source", "target")).alias("node"))
@@ -128,18 +169,34 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def numbered_nodes(edges: DataFrame, concepts: DataFrame) -> DataFrame:
-    """node and name (n0, n1 ...) of concepts (node) and of targets that are no concepts, for renderers of one graph."""
-    from pyspark.sql import Window
+    """node and name (n0, n1 ...) of concepts (node) and of targets that are no concepts, for renderers of one graph.
 
+    Nodes are sorted over all tasks; each numbers its own, from how many nodes
+    the tasks before it have.
+    """
     ends = edges.select(F.col("target").alias("node")).join(concepts, "node", "left_anti").distinct().withColumn("virtual", F.lit(True))
     every = concepts.select("node").distinct().withColumn("virtual", F.lit(False)).unionByName(ends)
-    return every.withColumn("name", F.concat(F.lit("n"), (F.row_number().over(Window.orderBy("virtual", "node")) - 1).cast("string")))
+    # an id's upper bits number the task, the lower 33 the row in it
+    placed = written(every.orderBy("virtual", "node").withColumn("__at", F.monotonically_increasing_id()), "node-numbers")
+    task = F.shiftright("__at", 33)
+    sizes = placed.groupBy(task.alias("__task")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a task
+    starts = sizes.select("__task", before.alias("before"))
+    number = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before")
+    return placed.withColumn("__task", task).join(F.broadcast(starts), "__task").select("node", "virtual", F.concat(F.lit("n"), number.cast("string")).alias("name"))
 
 
 def render(edges: DataFrame, concepts: DataFrame, form: str = "dot") -> str:
-    """A graph of at most some thousand nodes as DOT or Mermaid text."""
-    if form not in ("dot", "mermaid"):
-        raise ValueError("form is dot or mermaid")
+    """A graph of at most ``MAX_RENDERED`` nodes and links as DOT, Mermaid or JSON text; larger ones are refused."""
+    if form not in ("dot", "mermaid", "json"):
+        raise ValueError("form is dot, mermaid or json")
+    if numbered_nodes(edges, concepts).limit(MAX_RENDERED + 1).count() > MAX_RENDERED or edges.select("source", "target").distinct().limit(MAX_RENDERED + 1).count() > MAX_RENDERED:
+        raise ValueError(f"a rendered graph has at most {MAX_RENDERED} nodes and links")
+    if form == "json":
+        nodes = [{"id": r.name, "node": r.node, "virtual": r.virtual} for r in numbered_nodes(edges, concepts).collect()]
+        names = {n["node"]: n["id"] for n in nodes}
+        pairs = sorted({(names[r.source], names[r.target]) for r in edges.select("source", "target").distinct().collect()}, key=lambda x: (int(x[0][1:]), int(x[1][1:])))
+        return json.dumps({"schema_version": 1, "nodes": sorted(nodes, key=lambda n: int(n["id"][1:])), "edges": [{"source": a, "target": b} for a, b in pairs]}, ensure_ascii=False)
     quote = lambda s: s.replace("\\", "\\\\").replace('"', '\\"' if form == "dot" else "#quot;").replace("\n", " ")
     names = {r.node: r.name for r in numbered_nodes(edges, concepts).collect()}
     links = sorted({(names[r.source], names[r.target]) for r in edges.select("source", "target").distinct().collect()}, key=lambda x: (int(x[0][1:]), int(x[1][1:])))

@@ -184,13 +184,22 @@ def finding_groups(findings: DataFrame, by: str) -> DataFrame:
     return findings.groupBy(F.col(by).alias("key")).agg(worst.alias("worst"), F.count("*").alias("size"), F.count_distinct("path").alias("documents"))
 
 
-def directory_index(concepts: DataFrame) -> DataFrame:
-    """path and content of the ``index.md`` that lists each directory's documents by path."""
+def directory_lines(concepts: DataFrame) -> DataFrame:
+    """path (of the directory's ``index.md``), name and line of each document: a directory's list as rows, however long it is."""
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
     name = F.element_at(F.split("path", "/"), -1)
     line = F.concat(F.lit("* ["), F.coalesce("title", name), F.lit("]("), name, F.lit(")"))
-    rows = concepts.groupBy(folder.alias("folder")).agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), line.alias("line")))).alias("lines"))
-    return rows.select(F.concat("folder", F.lit("index.md")).alias("path"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"))
+    return concepts.select(F.concat(folder, F.lit("index.md")).alias("path"), name.alias("name"), line.alias("line"))
+
+
+def directory_index(concepts: DataFrame) -> DataFrame:
+    """path and content of the ``index.md`` that lists each directory's documents by path.
+
+    A content is one file's text and is as long as its directory; to compare
+    lists without making them, use ``directory_lines``.
+    """
+    rows = directory_lines(concepts).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("name", "line"))).alias("lines"))
+    return rows.select("path", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"))
 
 
 def actors(documents: DataFrame) -> DataFrame:

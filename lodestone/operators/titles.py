@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import implied_directories
+from ..functions.text import contains_text, implied_directories
 
 #: Scores of how a text matches, and what a whole-query match adds.
 EXACT, PREFIX, WORD_START, INSIDE, WHOLE_QUERY = 1000, 900, 700, 500, 200
@@ -110,3 +110,33 @@ def loose_title_matches(concepts: DataFrame, query: str) -> DataFrame:
     exact = title_matches(concepts, query)
     loose = concepts.join(exact.select("id"), "id", "left_anti").select("id", "title", letters_in_order(F.lower("title"), needle).alias("score")).filter("score > 0")
     return exact.unionByName(loose.withColumn("score", (F.col("score") + WHOLE_QUERY).cast("int")))
+
+
+def tree_filter(files: DataFrame, query: str, keep: str | None = None) -> DataFrame:
+    """node and is_file of the tree rows that a query leaves: files that match it and all directories above them.
+
+    ``files`` has path, label, type and tags.  A file matches by label, path,
+    type or tag, in any case; ``keep``, the open file, always stays.
+    """
+    needle = query.strip()
+    has = lambda c: contains_text(c, needle)
+    matches = F.lit(True) if not needle else has(F.col("label")) | has(F.col("path")) | has(F.col("type")) | F.exists(F.coalesce("tags", F.array().cast("array<string>")), has)
+    if keep is not None:
+        matches = matches | (F.col("path") == keep)
+    found = files.filter(matches)
+    above = found.select(F.explode(implied_directories(F.col("path"))).alias("node")).distinct()
+    return found.select(F.col("path").alias("node"), F.lit(True).alias("is_file")).unionByName(above.withColumn("is_file", F.lit(False)))
+
+
+def type_order(name: Column) -> list[Column]:
+    """Sort keys of type names: in any case, blank ones last, then as written."""
+    blank = F.coalesce(F.trim(name), F.lit("")) == ""
+    return [blank.asc(), F.lower(name).asc(), name.asc()]
+
+
+def type_tree(files: DataFrame) -> DataFrame:
+    """type, n_files and position of the groups of a tree by type."""
+    from pyspark.sql import Window
+
+    counted = files.groupBy(F.coalesce("type", F.lit("")).alias("type")).agg(F.count("*").alias("n_files"))
+    return counted.withColumn("position", F.row_number().over(Window.orderBy(*type_order(F.col("type")))))  # one row a type
