@@ -36,7 +36,7 @@ PURE = 256
 #: Sets that share a token are compared pair by pair; groups above this size are compared by family.
 SMALL = 32
 #: Keys broadcast at most (some 50 bytes each); beyond that a join shuffles.
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 500_000
 #: Rows that a Python worker is handed at once.
 BATCH_ROWS = 1000
 
@@ -598,7 +598,9 @@ def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     rows = found.docs.filter("n > 0").groupBy(*ROW_KEY, "h1", "h2").agg(F.count("*").alias("copies"))
     rows = rows.join(groups.select("h1", "h2", "component"), ["h1", "h2"])
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *ROW_KEY)).alias("first")
-    best = rows.groupBy("component").agg(first, F.sum("copies").alias("total")).filter("total > 1")
+    best = materialise(rows.groupBy("component").agg(first, F.sum("copies").alias("total")).filter("total > 1"), "first-rows")
+    if best.count() <= MAX_BROADCAST:
+        best = F.broadcast(best)  # a component that very many rows share is then not one task's
     is_first = F.col("first").eqNullSafe(F.struct(F.col("doc_id").isNull().alias("none"), *ROW_KEY))
     marked = materialise(rows.join(best, "component").select(F.col("doc_id").alias("__id"), "k1", "k2", is_first.alias("stays"), "copies").filter("not stays or copies > 1"), "near-duplicates")
     n = marked.count()
