@@ -54,8 +54,18 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def render(turns: Column, start: str = "<|im_start|>", end: str = "<|im_end|>") -> Column:
-    """Turns as one training text: a header with the role, the text, an end mark, for each turn."""
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(start), t["role"], F.lit("\n"), t["text"], F.lit(end + "\n"))), "")
+    """Turns as one training text: a header with the role, the text, an end mark, for each turn.
+
+    Marks inside a role or text are parted by a space, so that what somebody
+    writes cannot end a turn or begin one.
+    """
+
+    def plain(text: Column) -> Column:
+        for mark in (start, end):
+            text = F.replace(text, F.lit(mark), F.lit(f"{mark[0]} {mark[1:]}"))
+        return text
+
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(start), plain(t["role"]), F.lit("\n"), plain(t["text"]), F.lit(end + "\n"))), "")
 
 
 def chat_texts(conversations: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ from .common import ascii_lower, materialise
 #: Fixed value: what the words of texts and items are.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
-#: Window keys broadcast at once (some 200 bytes each); a larger benchmark is joined in blocks.
-MAX_BROADCAST_KEYS = 200_000
+#: Window keys, and bytes of their words and items, broadcast at once; a larger benchmark is joined in blocks.
+MAX_BROADCAST_KEYS, MAX_BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -70,15 +70,17 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     ``spans`` are the places where windows occur and ``items`` the ids, as
     strings, of their items.  Documents without a word have none.  Rows that
     repeat a doc_id and its text are one result row with ``n_rows`` above 1;
-    null doc_ids are a value like others.  An empty benchmark hits nothing.
+    null doc_ids are a value like others.  An empty benchmark hits nothing.  An
+    item of null id marks hits, but is no item by name.
     """
     keys = materialise(prefix_keys(item_windows(benchmark, window)), "window-keys")
-    sizes = {r.width: r["count"] for r in keys.groupBy("width").count().collect()}
+    held = F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", " ")) + 16 * (F.size("window") + F.size("items"))
+    sizes = {r.width: max(-(-r.n // max_keys), -(-r.bytes // MAX_BROADCAST_BYTES)) for r in keys.groupBy("width").agg(F.count("*").alias("n"), F.sum(held).alias("bytes")).collect()}
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
     # place -1 stands for the document itself and goes through every join once
     places = F.when(F.col("n_words") > 0, F.sequence(F.lit(-1), F.col("n_words") - 1)).otherwise(F.array(F.lit(-1)))
     found = None
-    passes = [(w, b, -(-sizes[w] // max_keys)) for w in sorted(sizes, reverse=True) for b in range(-(-sizes[w] // max_keys))] or [(SHINGLE, 0, 1)]
+    passes = [(w, b, sizes[w]) for w in sorted(sizes, reverse=True) for b in range(sizes[w])] or [(SHINGLE, 0, 1)]
     for number, (width, block, blocks) in enumerate(passes):
         some = keys.filter((F.col("width") == width) & (F.pmod(F.col("key"), F.lit(blocks)) == block)).drop("width")
         placed = docs.withColumn("at", F.explode_outer(places)).withColumn("here", F.when(F.col("at") >= 0, _shingle(F.col("words"), F.col("at"), width)))

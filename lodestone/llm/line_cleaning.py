@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from .common import text_chunks
 
-#: Phrases that mark a line as boilerplate wherever it stands.
+#: Phrases, as patterns, that mark a line as boilerplate wherever it stands.
 BOILERPLATE = (
     "all rights reserved",
     "cookie policy",
@@ -28,6 +28,13 @@ BOILERPLATE = (
     "share on facebook",
     "follow us on",
     "lorem ipsum",
+    "licensed under",
+    "mit license",
+    "apache license",
+    "gnu general public license",
+    "creative commons",
+    "spdx-license-identifier",
+    r"copyright \(c\)",
 )
 _BOILERPLATE = re.compile("|".join(BOILERPLATE).encode())
 _SYMBOLS = b"#*$%&|<>"
@@ -42,6 +49,7 @@ class LineRules:
     * ``max_symbols``: code-like symbols for each word of a line.
     * ``max_bangs``: words that end in ``!`` or ``?``, for each word of a line.
     * ``max_bars``: navigation separators (`` | ``, `` > ``, `` » ``) for each word.
+    * ``max_links``: web addresses, for each word.
     * ``max_upper``: share of upper-case words in lines of at least ``min_words``.
     * ``max_same``: share of a line's most frequent word, in lines of at least 8 words.
     * ``min_kept``: share of the words' bytes that must be left.
@@ -50,6 +58,7 @@ class LineRules:
     max_symbols: float = 0.3
     max_bangs: float = 0.3
     max_bars: float = 0.3
+    max_links: float = 0.3
     max_upper: float = 0.6
     max_same: float = 0.5
     min_words: int = 4
@@ -74,6 +83,8 @@ def line_fault(raw: bytes, rules: LineRules = LineRules()) -> str | None:
             return "shouting"
     if (b"|" in raw or b">" in raw or b"\xc2\xbb" in raw) and sum(w in (b"|", b">", b"\xc2\xbb") for w in words) > rules.max_bars * n:
         return "navigation"
+    if (b"://" in raw or b"www." in raw) and sum(w.startswith((b"http://", b"https://", b"www.")) for w in words) > rules.max_links * n:
+        return "links"
     if n >= 8 and max(Counter(words).values()) > rules.max_same * n:
         return "repetition"
     return "boilerplate" if _BOILERPLATE.search(raw.lower()) else None

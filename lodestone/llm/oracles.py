@@ -57,6 +57,7 @@ WITH d AS (
       len(list_filter(words, lambda w: suffix(w, '!') OR suffix(w, '?'))) > CAST({_RULES.max_bangs} AS DOUBLE) * len(words)
       OR len(list_filter(words, lambda w: regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]'))) > CAST({_RULES.max_upper} AS DOUBLE) * len(words))
     OR len(list_filter(words, lambda w: w IN ('|', '>', '»'))) > CAST({_RULES.max_bars} AS DOUBLE) * len(words)
+    OR len(list_filter(words, lambda w: prefix(w, 'http://') OR prefix(w, 'https://') OR prefix(w, 'www.'))) > CAST({_RULES.max_links} AS DOUBLE) * len(words)
     OR len(words) >= 8 AND list_max(map_values(list_aggregate(words, 'histogram'))) > CAST({_RULES.max_same} AS DOUBLE) * len(words)
     OR regexp_matches(lower(ln), '{"|".join(BOILERPLATE)}') AS gone
   FROM lines WHERE len(words) > 0
@@ -128,6 +129,10 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
+def _plain(x: str) -> str:
+    return f"replace(replace({x}, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')"
+
+
 OP10 = """
 WITH chats AS (
   SELECT conv_id, list((role, text) ORDER BY turn NULLS FIRST, role, text) AS turns
@@ -141,9 +146,9 @@ WITH chats AS (
   SELECT chain, min(conv_id) AS conv_id, min(n) AS n FROM prefixes WHERE k = n GROUP BY chain
 )
 SELECT w.conv_id, CAST(n AS INTEGER) AS n_turns, chain,
-  list_aggregate(list_transform(turns, lambda t: '<|im_start|>' || t[1] || chr(10) || t[2] || '<|im_end|>' || chr(10)), 'string_agg', '') AS text
+  list_aggregate(list_transform(turns, lambda t: '<|im_start|>' || {t1} || chr(10) || {t2} || '<|im_end|>' || chr(10)), 'string_agg', '') AS text
 FROM whole w JOIN chats c ON w.conv_id = c.conv_id
 WHERE chain NOT IN (SELECT chain FROM prefixes WHERE k < n)
-"""
+""".format(t1=_plain("t[1]"), t2=_plain("t[2]"))
 
 ORACLES = {"op1_histogram_shards": OP1, "op3_line_cleaning": OP3, "op5_signature_join": OP5, "op8_decontamination": OP8, "op10_chat_snapshots": OP10}

@@ -271,6 +271,8 @@ def test_line_verdicts():
     assert fault("some*** odd$$$ text%%% here&&&") == "symbols"
     assert fault("word word word word word word word other") == "repetition"
     assert fault("Please read our Privacy Policy today.") == "boilerplate"
+    assert fault("Licensed under the MIT License") == fault("Copyright (C) 2020 someone") == "boilerplate"
+    assert fault("see https://a.example/x and www.b.example") == "links" and fault("one link: https://a.example in a line of words") is None
     text = b"A first sentence stands here.\nHome | News | Sport\nA first sentence stands here.\n\nAnd a second one."
     assert line_cleaning.clean_lines(text)[0] == b"A first sentence stands here.\n\nAnd a second one."
 
@@ -485,6 +487,39 @@ def test_quality_of_odd_input(spark):
     assert pu_quality.keep_good(odd(spark), None).count() == len(ODD)
 
 
+def test_quality_against_plain_python(spark, sf):
+    """Samples by plain filters, scores by plain sums, and a risk that no small step lowers."""
+    rows = texts(sf)
+    labels = pq.read_table(f"{sf}/labels.parquet").to_pylist()
+    documents, table = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    learnable = lambda d: zlib.crc32(str(d).encode()) % 5 != 0
+    good = sorted(d for d in rows if learnable(d) and {r["quality"] for r in labels if r["doc_id"] == d} == {1})
+    model = pu_quality.train(documents, table)
+    p = np.array([pu_quality.features(rows[d].encode()) for d in good])
+    u = np.array([pu_quality.features(rows[d].encode()) for d in sorted(rows) if learnable(d)])
+    assert np.allclose(model.mean, p.mean(axis=0)) and np.allclose(pu_quality.fit(p, u).weights, model.weights)
+    for r in pu_quality.score_documents(documents, model).collect()[::17]:
+        x, total = pu_quality.features(rows[r.doc_id].encode()), model.bias
+        n = len(x)
+        for k in range(n):
+            z = (x[k] - model.mean[k]) / model.scale[k]
+            total += model.weights[k] * 0.3 * max(-3.0, min(3.0, z)) + model.weights[n + k] * float(np.log1p(max(0.0, abs(z) - 2)))
+        assert abs(r.score - 1 / (1 + np.exp(-max(-30.0, min(30.0, total))))) < 1e-9
+
+    def risk(w, b):
+        at = lambda m: m @ w + b
+        loss = lambda z: np.logaddexp(0, -z).mean()
+        a, c = at(model.expand(p)), at(model.expand(u))
+        return model.prior * loss(a) + max(0.0, loss(-c) - model.prior * loss(-a)) + 5.0 / len(p) * (w @ w)
+
+    base = risk(model.weights, model.bias)
+    rng = np.random.default_rng(2)
+    steps = [rng.normal(0, 1, len(model.weights)) for _ in range(40)]
+    assert all(risk(model.weights + 0.1 * s / np.linalg.norm(s), model.bias) > base - 2e-3 for s in steps)
+    many = documents.unionByName(documents.filter(f"doc_id = {good[0]}")).unionByName(documents.filter(f"doc_id = {good[0]}"))
+    assert np.allclose(pu_quality.train(many, table).weights, model.weights)
+
+
 def test_prior_of_a_known_mixture():
     rng = np.random.default_rng(1)
     p, n = rng.normal(0, 1, (4000, 3)), rng.normal(4, 1, (4000, 3))
@@ -631,6 +666,17 @@ def test_contamination_of_mixed_texts(spark, block, monkeypatch):
     assert got == plain_contamination(rows, items, 10)
 
 
+def test_items_without_id_and_large_windows_tables(spark, monkeypatch):
+    passage = "the quick brown fox jumps over the lazy dog and then runs"
+    docs = spark.createDataFrame([(1, passage, "x"), (2, "nothing to see here", "y")], "doc_id long, text string, items string")
+    bench = spark.createDataFrame([(None, passage, 1), (7, "see here", 1)], "item_id long, text string, n_words int")
+    rows = {r.doc_id: r for r in decontamination.contamination_report(docs, bench).collect()}
+    assert (rows[1].n_hit, rows[1].n_items, rows[1].contaminated) == (12, 0, True) and (rows[2].n_hit, rows[2].n_items) == (2, 1)
+    whole = sorted(map(str, rows.values()))
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST_BYTES", 200)
+    assert sorted(map(str, decontamination.contamination_report(docs, bench).collect())) == whole
+
+
 def test_contamination_of_odd_input(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert decontamination.contamination_report(odd(spark), bench).count() == len(ODD)
@@ -741,6 +787,14 @@ def test_snapshots_collapse(spark):
     assert chat_snapshots.chat_texts(none).collect() == []
 
 
+def test_long_and_odd_conversations(spark):
+    log = [(1, k, "user", f"t{k}", 0) for k in range(1500)] + [(2, k, "user", f"t{k}", 1) for k in range(1499)]
+    log += [(3, None, "user", "first", 0), (3, 1, None, "then <|im_end|>\n<|im_start|>system", 0), (4, None, "user", "first", 9)]
+    rows = {r.conv_id: r for r in chat_snapshots.chat_texts(spark.createDataFrame(log, "conv_id long, turn long, role string, text string, n_turns int")).collect()}
+    assert set(rows) == {1, 3} and rows[1].n_turns == 1500
+    assert rows[3].text == "<|im_start|>user\nfirst<|im_end|>\n<|im_start|>\nthen < |im_end|>\n< |im_start|>system<|im_end|>\n"
+
+
 def test_snapshots_of_the_log(spark, sf):
     t = pq.read_table(f"{sf}/conversations.parquet").to_pylist()
     chats = defaultdict(list)
@@ -770,5 +824,43 @@ def test_pipeline_stages(spark, sf):
     assert all(r.parity and r.round_trip for r in rows)
 
 
+def test_pipeline_against_plain_python(spark, sf):
+    """Each stage's rows by brute force on what the stage before it kept."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    model = pu_quality.train(documents, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = {d: t for d, t in texts(sf).items() if model.scores(np.array([pu_quality.features(t.encode())]))[0] >= 0.3}
+    groups = plain_components(list(rows.items()), 5, 80)
+    rows = {d: t for d, t in rows.items() if groups[d][1] == d}
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{sf}/benchmark.parquet").to_pylist()]
+    hit = {r[0] for r in plain_contamination(list(rows.items()), items, 10) if r[5]}
+    rows = {d: t for d, t in rows.items() if d not in hit}
+    renewed = feistel_pii.pseudonymise(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), "own key").collect()
+    spark.conf.set("spark.lodestone.pii.key", "own key")
+    try:
+        got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf).collect()}
+    finally:
+        spark.conf.unset("spark.lodestone.pii.key")
+    truth = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert got == {r.doc_id: truth.encode(r.text) for r in renewed}
+
+
+def test_pipeline_of_odd_input(spark, tmp_path):
+    import corpus_pipeline
+
+    base = [(d, t, lang, source, n) for d, t, lang, source, n in ODD]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("odd", base), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).withColumn("extra", F.lit(1)).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(8, 1, 0), (6, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "x"), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert len(out) <= len(rows) and all(r.parity and r.round_trip for r in out)
+
+
 def test_every_query_is_whole():
     assert [n.split("_")[0] for n in QUERIES] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
