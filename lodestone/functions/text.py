@@ -178,3 +178,9 @@ def fragment_id(parent: Column, start: Column, end: Column) -> Column:
     """Id of a part of a passage: its parent's id and its range, hashed as a JSON list."""
     quoted = F.regexp_replace(F.regexp_replace(parent, r"\\", r"\\\\"), '"', r'\\"')
     return F.sha2(F.concat(F.lit('["'), quoted, F.lit('",'), start.cast("string"), F.lit(","), end.cast("string"), F.lit("]")), 256)
+
+
+def link_class(raw_target: Column) -> Column:
+    """What a link in a text leads to: anchor, web, other (any other address) or file."""
+    raw = F.trim(raw_target)
+    return F.when(raw.startswith("#"), "anchor").when(raw.rlike("(?i)^https?://"), "web").when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | raw.startswith("//") | (raw == ""), "other").otherwise("file")

@@ -32,6 +32,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(dot(unit(a), unit(b)), F.lit(0.0))))
 
 
+def checked_cosine(a: Column, b: Column) -> Column:
+    """``cosine``, which fails the job on vectors that are null, empty, of different lengths or not finite."""
+    odd = lambda v: v.isNull() | (F.size(v) == 0) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    refused = odd(a) | odd(b) | (F.size(a) != F.size(b))
+    return F.when(refused, F.raise_error(F.lit("vectors without a similarity")).cast("double")).otherwise(cosine(a, b))
+
+
 def similarity_of_distance(distance: Column) -> Column:
     """Similarity of a cosine distance, clamped to [-1, 1]."""
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - distance))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import citation
 from .metadata import Query, current, effective_status, predicate, within
-from .search import governing_chains, nearest_per_document, uncovered
+from .passages import Embedder, embed_queries
+from .search import SearchOptions, governing_chains, nearest, nearest_per_document, uncovered
 
 #: Rows that a page for people may have.
 MAX_PAGE = 100
@@ -133,6 +134,19 @@ def notices(lost: DataFrame) -> DataFrame:
     return one.withColumn("position", F.row_number().over(order)).select("query_id", "position", "message", "paths")
 
 
+def search_texts(passages: DataFrame, vectors: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), limit: int = 5, embedder: Embedder = Embedder()) -> DataFrame:
+    """query_id, rank, id and sim of the ``limit`` best passages that ``options`` allow, for queries in words (id, text).
+
+    Blank queries find nothing.  Where passages are allowed but none of them has
+    a vector, the index and the passages are not of one making: ValueError.
+    """
+    allowed = passages.filter(options.column()).select("id")
+    stored = vectors.join(allowed, "id", "left_semi").select("id", "vector")
+    if not stored.limit(1).count() and allowed.limit(1).count():
+        raise ValueError("no allowed passage has a vector")
+    return nearest(stored, embed_queries(queries, embedder), max(limit, 0), skip_self=False).select("query_id", "rank", "id", "sim")
+
+
 def policy_variants(policy: Policy) -> dict[str, Policy]:
     """The policies that an evaluation compares with the full one: parts of it alone, and none."""
     bare = Policy(as_of=policy.as_of)

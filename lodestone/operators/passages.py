@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -134,4 +135,19 @@ def embed(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]], np
             vectors = [v for k in range(0, len(texts), batch) for v in encode(texts[k : k + batch]).astype(np.float32)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float32()))], [key, "vector"])
 
-    return rows.select(key, text).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, vector array<float>")
+    kind = dict(rows.dtypes)[key]
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"{key} {kind}, vector array<float>")
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """An encoder of documents and one of queries; models that mark queries have two different ones."""
+
+    documents: Callable[[list[str]], np.ndarray] = hash_vectors
+    queries: Callable[[list[str]], np.ndarray] = hash_vectors
+
+
+def embed_queries(queries: DataFrame, embedder: Embedder = Embedder()) -> DataFrame:
+    """id and vector of queries (id, text): trimmed, each text encoded once; blank ones are left out."""
+    asked = queries.select("id", F.trim("text").alias("text")).filter("text <> ''")
+    return asked.join(embed(asked.select("text").distinct(), "text", "text", embedder.queries), "text").select("id", "vector")

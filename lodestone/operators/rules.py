@@ -160,6 +160,12 @@ def generated_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "extra").otherwise("stale").alias("state"))
 
 
+def generated_fixes(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """path and content of the generated files that are missing or stale, as they should be."""
+    wanted = generated_differences(expected, actual).filter("state <> 'extra'").select("path")
+    return expected.join(wanted, "path", "left_semi").select("path", "content")
+
+
 def gate(findings: DataFrame, incomplete: bool = False) -> DataFrame:
     """errors, warnings, suggestions and gate (FAIL, INCOMPLETE or PASS) in one row."""
     counts = [F.count_if(F.col("severity") == s).alias(f"{s}s") for s in SEVERITIES]

@@ -82,7 +82,8 @@ def check_vectors(*tables: DataFrame) -> int | None:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = True, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, id, sim and rank of the ``k`` most similar rows of ``vectors`` to each query.
 
-    Both inputs have ``id`` (long) and ``vector`` (array of float).  Every pair
+    Both inputs have ``id`` and ``vector`` (array of float); ids of queries are
+    numbers, those of ``vectors`` numbers or, without ``skip_self``, text.  Every pair
     is scored; similarities are rounded to ``digits`` and ties go to the smaller
     id.  Each task multiplies its rows with a block of queries and passes on its
     own best ``k`` for each query, so what is shuffled grows with tasks and
@@ -93,7 +94,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = Tr
     def best(q_ids: np.ndarray, q: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _best_of_batches(q_ids, q, k, skip_self, digits, batches)
 
-    return top_k(_scored_blocks(vectors.select("id", "vector"), queries, best, "query_id long, id long, sim double", block), k)
+    named = dict(vectors.dtypes)["id"]
+    return top_k(_scored_blocks(vectors.select("id", "vector"), queries, best, f"query_id long, id {named}, sim double", block), k)
 
 
 def nearest_per_document(vectors: DataFrame, queries: DataFrame, document: str, skip_self: bool = True, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
@@ -176,7 +178,8 @@ def _best_of_batches(q_ids: np.ndarray, q: np.ndarray, k: int, skip_self: bool,
     for whole in batches:
         for start in range(0, whole.num_rows, ROW_TILE):
             batch = whole.slice(start, ROW_TILE)
-            ids = batch.column(0).to_numpy()
+            column = batch.column(0)
+            ids = np.array(column.to_pylist(), dtype=str) if pa.types.is_string(column.type) else column.to_numpy()
             sims = np.round(np.clip(_unit_matrix(batch.column(1), batch.num_rows) @ q.T, -1.0, 1.0), digits) + 0.0
             for at, query in enumerate(q_ids):
                 s, i = sims[:, at], ids

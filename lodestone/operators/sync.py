@@ -27,6 +27,20 @@ def conflicting_ids(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count_distinct(F.sha2(text, 256)).alias("n_texts")).filter("n_texts > 1")
 
 
+def refuse_conflicts(rows: DataFrame, key: str, text: str) -> None:
+    """Raise ValueError if a key comes with more than one text."""
+    found = conflicting_ids(rows, key, text).limit(5).collect()
+    if found:
+        raise ValueError(f"ids with several texts: {[r[key] for r in found]}")
+
+
+def refuse_repeats(rows: DataFrame, key: str) -> None:
+    """Raise ValueError if a key stands in more than one row, as no id of a bundle, passage or run may."""
+    found = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").limit(5).collect()
+    if found:
+        raise ValueError(f"ids that repeat: {[r[key] for r in found]}")
+
+
 def plan_update(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """key and action to bring an index from ``old`` to ``new`` (key, input_hash, meta_hash).
 
@@ -51,10 +65,10 @@ def changed_paths(saved: DataFrame, live: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("modified").alias("change"))
 
 
-def index_state(changes: DataFrame, exists: bool, same_configuration: bool) -> DataFrame:
-    """One row: missing, incompatible, stale or current, and the number of changed paths."""
+def index_state(changes: DataFrame, exists: bool, same_configuration: bool, refreshing: bool = False) -> DataFrame:
+    """One row: refreshing, missing, incompatible, stale or current, and the number of changed paths."""
     n = F.count("*")
-    state = F.lit("missing") if not exists else F.lit("incompatible") if not same_configuration else F.when(n > 0, "stale").otherwise("current")
+    state = F.lit("refreshing") if refreshing else F.lit("missing") if not exists else F.lit("incompatible") if not same_configuration else F.when(n > 0, "stale").otherwise("current")
     return changes.agg(n.alias("changed"), state.alias("state"))
 
 

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import chunking
 from lodestone.functions import text as tx
+from lodestone.functions.vectors import checked_cosine
 from lodestone.operators import evaluation as ev
 from lodestone.operators import facts as fa
 from lodestone.operators import graph as gr
 from lodestone.operators import index_search as ix
+from lodestone.operators import passages as ps
+from lodestone.operators import rules as ru
 from lodestone.operators import search as se
 from lodestone.operators import snapshot as sn
+from lodestone.operators import sync as sy
 from lodestone.operators import titles as ti
 from lodestone.operators.metadata import QueryError
 from lodestone.sources import bundles, saved_queries
@@ -103,6 +107,37 @@ def test_index_search_with_context(spark):
     assert variants == set(ix.policy_variants(policy))
 
 
+def test_search_in_words(spark):
+    passages = spark.createDataFrame([("p1", "a.md", "text", "red ring gear"), ("p2", "b.md", "code", "blue bolt"), ("p3", "c.md", "text", "red bolt")], "id string, source_path string, chunk_type string, content string").withColumn("metadata", F.create_map(F.lit("k"), F.lit("v")))
+    vectors = ps.embed(passages, "id", "content")
+    asked = spark.createDataFrame([(1, " red ring "), (2, "   "), (3, "bolt"), (4, "red ring")], "id long, text string")
+    rows = {(r.query_id, r["rank"]): r.id for r in ix.search_texts(passages, vectors, asked, limit=2).collect()}
+    assert rows == {(1, 1): "p1", (1, 2): "p3", (3, 1): "p2", (3, 2): "p3", (4, 1): "p1", (4, 2): "p3"}
+    only = ix.search_texts(passages, vectors, asked, se.SearchOptions(chunk_types=("code",)), limit=2).collect()
+    assert {r.id for r in only} == {"p2"} and ix.search_texts(passages, vectors, asked, limit=0).collect() == []
+    with pytest.raises(ValueError, match="no allowed passage"):
+        ix.search_texts(passages, vectors.limit(0), asked)
+    marked = ps.Embedder(queries=lambda texts: ps.hash_vectors([t.replace("red", "blue") for t in texts]))
+    assert ix.search_texts(passages, vectors, asked.filter("id = 1"), limit=1, embedder=marked).first().id in ("p1", "p2")
+
+
+def test_refusals(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "id string, text string")
+    for refuse in (lambda: sy.refuse_conflicts(rows, "id", "text"), lambda: sy.refuse_repeats(rows, "id")):
+        with pytest.raises(ValueError, match="'a'"):
+            refuse()
+    sy.refuse_repeats(rows.filter("id = 'b'"), "id")
+    assert sy.index_state(rows.limit(0), True, True, refreshing=True).first().state == "refreshing"
+    pair = lambda a, b: spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(checked_cosine(F.col("a"), F.col("b")).alias("v")).first().v
+    assert pair([1.0, 0.0], [1.0, 1.0]) == pytest.approx(0.70710678) and pair([0.0], [1.0]) == 0.0
+    for a, b in (([1.0], [1.0, 2.0]), ([], []), (None, [1.0]), ([float("nan")], [1.0])):
+        with pytest.raises(Exception, match="without a similarity"):
+            pair(a, b)
+    expected = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, content string")
+    actual = spark.createDataFrame([("b", "2"), ("c", "x"), ("d", "9")], "path string, content string")
+    assert {tuple(r) for r in ru.generated_fixes(expected, actual).collect()} == {("a", "1"), ("c", "3")}
+
+
 def test_facts_of_a_collection(spark):
     files = spark.createDataFrame([("index.md", "---\nokf_version: '0.2'\n---\n[a](./x/../a.md#s) [w](https://e.org/) `[no](c.md)` [up](../b) [](?q)"), ("a.md", ""), ("a/more.txt", ""), ("b/c.md", ""), ("b/index.md", "")], "path string, text string")
     concept = "path string, type string, status string, keys array<string>, tags array<string>, source_ids array<string>, body string"
@@ -232,6 +267,7 @@ def test_small_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first().v
     assert one(tx.resource_label(F.lit(" git:3023A6DFF:docs/guide.md "))) == "git · 3023a6d · guide.md" and one(tx.resource_label(F.lit("git:3023a6d"))) == "git · 3023a6d" and one(tx.resource_label(F.lit("git:xyz"))) == "git:xyz"
     assert one(tx.short_target(F.lit("https://E.org/a/b%20c/?q#f"))) == "e.org/b c" and one(tx.short_target(F.lit("http://e.org"))) == "e.org" and one(tx.short_target(F.lit("a/b/"))) == "b" and one(tx.short_target(F.lit("/"))) == "/"
+    assert [one(tx.link_class(F.lit(x))) for x in ("#a", "https://e.org", "mailto:x@y", "//e.org", "a/b.md", "")] == ["anchor", "web", "other", "other", "file", "other"]
     verified = F.array(F.struct(F.lit("2024-01-02T00:00:00Z").alias("at")), F.struct(F.lit("soon").alias("at")))
     assert str(one(tx.last_verified(verified).cast("string"))) == "2024-01-02 00:00:00" and one(tx.escaped_controls(F.lit("a\x1bb\u202e\tc"))) == "a\ufffdb\ufffd\tc"
     means = spark.createDataFrame([("a", 3, 1.0, 0.5, 0.0), ("b", 1, 0.0, 0.5, 1.0)], "g string, queries long, recall double, ndcg double, mrr double")
