@@ -89,8 +89,7 @@ def chunk_id(path: Column, start: Column, end: Column, kind: Column, content: Co
 
 def scoped_id(namespace: Column, raw_id: Column) -> Column:
     """Id of a passage within a namespace; both parts as a JSON list, hashed."""
-    quoted = [F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\"), '"', r'\\"') for x in (namespace, raw_id)]
-    return F.sha2(F.concat(F.lit('["'), quoted[0], F.lit('","'), quoted[1], F.lit('"]')), 256)
+    return F.sha2(F.to_json(F.array(namespace, raw_id)), 256)
 
 
 def citation(path: Column, start: Column, end: Column) -> Column:
@@ -175,9 +174,9 @@ def escaped_controls(text: Column) -> Column:
 
 
 def fragment_id(parent: Column, start: Column, end: Column) -> Column:
-    """Id of a part of a passage: its parent's id and its range, hashed as a JSON list."""
-    quoted = F.regexp_replace(F.regexp_replace(parent, r"\\", r"\\\\"), '"', r'\\"')
-    return F.sha2(F.concat(F.lit('["'), quoted, F.lit('",'), start.cast("string"), F.lit(","), end.cast("string"), F.lit("]")), 256)
+    """Id of a part of a passage: its parent's id and its range as a JSON list, hashed."""
+    head = F.regexp_replace(F.to_json(F.array(parent)), r"\]$", "")
+    return F.sha2(F.concat(head, F.lit(","), start.cast("string"), F.lit(","), end.cast("string"), F.lit("]")), 256)
 
 
 def link_class(raw_target: Column) -> Column:

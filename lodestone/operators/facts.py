@@ -295,6 +295,13 @@ def united_vocabularies(chain: list[dict[str, list[str]]]) -> dict[str, list[str
     return out
 
 
+def at_least(findings: DataFrame, severity: str) -> DataFrame:
+    """Findings of a severity and of worse ones."""
+    if severity not in SEVERITIES:
+        raise ValueError(f"a severity is one of {SEVERITIES}")
+    return findings.filter(severity_rank(F.col("severity")) <= SEVERITIES.index(severity) + 1)
+
+
 def in_order(findings: DataFrame) -> DataFrame:
     """Findings in their order for reports: path, rule and message by UTF-16 units."""
     return findings.orderBy(utf16_key(F.col("path")), utf16_key(F.col("rule_id")), utf16_key(F.col("message")))

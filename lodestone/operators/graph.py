@@ -168,6 +168,32 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
+def filtered(edges: DataFrame, nodes: DataFrame | None = None, origins: tuple[str, ...] = (), resolutions: tuple[str, ...] = (), relationships: tuple[str, ...] = ()) -> DataFrame:
+    """Edges of the given origins, resolutions and relationships, with both ends in ``nodes`` (node) where that is given."""
+    for name, wanted in (("origin", origins), ("resolution", resolutions), ("relationship", relationships)):
+        if wanted:
+            edges = edges.filter(F.col(name).isin(*wanted))
+    return edges if nodes is None else induced(edges, nodes)
+
+
+def local_scene(resolved: DataFrame, seeds: DataFrame, hops: int, shown: tuple[str, ...] = ("concepts",)) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, distance) and edges (source, target, layer) around seeds (node), up to ``hops`` links (at most 3).
+
+    Documents are reached over links between documents.  Edges run between one
+    ring and the next, not within a ring.  Targets of other layers stand one
+    link beyond the documents that are nearer than ``hops``.
+    """
+    hops = min(max(hops, 1), 3)
+    every = layers(resolved, tuple({*shown, "concepts"}))
+    between = every.filter("layer = 'concepts' and source <> target").select("source", "target", "layer")
+    near = neighbourhood(between, seeds, hops)
+    at = lambda name: near.select(F.col("node").alias(name), F.col("distance").alias(f"{name}_at"))
+    rings = between.join(at("source"), "source").join(at("target"), "target").filter(F.abs(F.col("source_at") - F.col("target_at")) == 1)
+    beyond = every.filter("layer <> 'concepts'").select("source", "target", "layer").join(at("source"), "source").filter(F.col("source_at") < hops)
+    outer = beyond.groupBy(F.col("target").alias("node")).agg((F.min("source_at") + 1).cast("int").alias("distance"))
+    return near.unionByName(outer), rings.select("source", "target", "layer").unionByName(beyond.select("source", "target", "layer"))
+
+
 def numbered_nodes(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     """node and name (n0, n1 ...) of concepts (node) and of targets that are no concepts, for renderers of one graph.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
@@ -239,6 +239,23 @@ def rerank(scored: DataFrame, score: Column, k: int, candidates: int = 50) -> Da
     return window.withColumn("new_rank", F.row_number().over(order)).filter(F.col("new_rank") <= k)
 
 
+def rerank_with(scored: DataFrame, judge: Callable[[list[str], list[str]], np.ndarray], k: int, candidates: int = 50) -> DataFrame:
+    """``rerank`` by a model: ``judge`` gets the columns query_text and content of the candidates, in batches, and returns their scores."""
+    window = scored.filter(F.col("rank") <= max(k, candidates))
+    names = window.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [[x or "" for x in batch.column(names.index(n)).to_pylist()] for n in ("query_text", "content")]
+            found = np.asarray(judge(*said), dtype=np.float64) if batch.num_rows else np.empty(0)
+            if len(found) != batch.num_rows or not np.isfinite(found).all():
+                raise ValueError("a reranker returns one finite score for each candidate")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*names, "judged"])
+
+    judged = window.mapInArrow(run, window.schema.add("judged", "double"))
+    return rerank(judged, F.col("judged"), k, candidates).drop("judged")
+
+
 def uncovered(eligible: DataFrame, stored: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Eligible passages without a stored vector; a search over them would be incomplete."""
     return eligible.join(stored.select(key), key, "left_anti")

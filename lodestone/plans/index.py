@@ -188,6 +188,26 @@ def q_link_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.groupBy("layer", "target").agg(F.count("*").alias("n"))
 
 
+def _scene(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers around those of nation 3, with the parts that their line items of return flag R name as attachments."""
+    items = table(spark, sf_dir, "lineitem")
+    n = table(spark, sf_dir, "supplier").count()
+    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    part = F.col("l_returnflag") == "R"
+    target = F.when(part, F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).otherwise(name((F.col("l_suppkey") + F.col("l_orderkey") % 4) % n))
+    links = items.select(name(F.col("l_suppkey")).alias("source"), target.alias("raw_target"), F.when(part, "resolvedAsset").otherwise("resolvedConcept").alias("resolution"), target.alias("resolved_path"))
+    seeds = table(spark, sf_dir, "supplier").filter("s_nationkey = 3").select(name(F.col("s_suppkey")).alias("node"))
+    return gr.local_scene(links, seeds, 2, ("concepts", "attachments"))
+
+
+def q_scene_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scene(spark, sf_dir)[0]
+
+
+def q_scene_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scene(spark, sf_dir)[1].groupBy("source", "target", "layer").agg(F.count("*").alias("n"))
+
+
 RULES = [
     fa.Rule("plain-tags", "concept", {"type": "object", "properties": {"value": {"pattern": "^[a-z]+$"}}}, "{path} has odd tags: {failing}", "warning", each="tags", failing_field="value"),
     fa.Rule("tags-once", "concept", {"type": "object", "properties": {"count": {"const": 1}}}, "repeated: {failing}", "error", each="tags", failing_field="value"),
@@ -236,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         q_snapshot, q_fit_snapshot, q_fit_diagnostics, q_index_search, q_index_context, q_index_notices, q_policy_variants, q_directory_facts, q_file_facts, q_footnotes, q_concept_facts,
-        q_link_facts, q_inbound_facts, q_typed_pairs, q_link_layers, q_rule_loop, q_findings_in_groups, q_weighted_means, q_tree_filter, q_type_tree, q_resource_labels,
+        q_link_facts, q_inbound_facts, q_typed_pairs, q_link_layers, q_scene_nodes, q_scene_edges, q_rule_loop, q_findings_in_groups, q_weighted_means, q_tree_filter, q_type_tree, q_resource_labels,
     )
 }
 
@@ -306,7 +326,23 @@ UNION ALL SELECT 'known-notes', 'suggestion', path, string_agg(value, ', ' ORDER
   FROM ({_NOTES_SQL}) WHERE value <> 'a' AND value <> 's' || (p_size % 9) GROUP BY path
 UNION ALL SELECT 'has-index', 'warning', "index", NULL, 'add ' || "index" FROM ({_DIRECTORY_SQL}) WHERE NOT has_index"""
 
+_SCENE_SQL = """
+WITH n AS (SELECT count(*) AS n FROM supplier),
+link AS (SELECT 's' || l_suppkey AS source, CASE WHEN l_returnflag = 'R' THEN '/attachments:p' || l_partkey ELSE 's' || ((l_suppkey + l_orderkey % 4) % (SELECT n FROM n)) END AS target, l_returnflag = 'R' AS asset FROM lineitem),
+e AS (SELECT DISTINCT * FROM (SELECT source AS a, target AS b FROM link WHERE NOT asset AND source <> target UNION ALL SELECT target, source FROM link WHERE NOT asset AND source <> target)),
+s AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_nationkey = 3),
+one AS (SELECT DISTINCT b AS node FROM e WHERE a IN (SELECT * FROM s)),
+two AS (SELECT DISTINCT b AS node FROM e WHERE a IN (SELECT * FROM one)),
+near AS (SELECT node, min(d) AS distance FROM (SELECT node, 0 AS d FROM s UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two) GROUP BY 1)
+"""
+
 ORACLES = {
+    "q_scene_nodes": _SCENE_SQL + """
+SELECT node, CAST(distance AS INTEGER) AS distance FROM near
+UNION ALL SELECT target, CAST(min(distance) + 1 AS INTEGER) FROM link JOIN near ON source = node WHERE asset AND distance < 2 GROUP BY 1""",
+    "q_scene_edges": _SCENE_SQL + """
+SELECT source, target, 'concepts' AS layer, count(*) AS n FROM link JOIN near x ON source = x.node JOIN near y ON target = y.node WHERE NOT asset AND abs(x.distance - y.distance) = 1 GROUP BY ALL
+UNION ALL SELECT source, target, 'attachments', count(*) FROM link JOIN near ON source = node WHERE asset AND distance < 2 GROUP BY ALL""",
     "q_snapshot": _SNAPSHOT_SQL,
     "q_index_search": f"SELECT query_id, rank, source_path, id, sim FROM ({_BEST_SQL})",
     "q_index_context": _CONTEXT_SQL,

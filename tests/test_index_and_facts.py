@@ -199,6 +199,21 @@ def test_trees_pairs_and_renderers(spark):
         gr.render(edges, spark.range(6000).select(F.col("id").cast("string").alias("node")))
 
 
+def test_filters_and_rerankers(spark):
+    edges = spark.createDataFrame([("a", "b", "bodyLink", "x"), ("b", "c", "sources", None)], "source string, target string, origin string, relationship string")
+    assert gr.filtered(edges, origins=("sources",)).count() == 1 and gr.filtered(edges, relationships=("x",)).count() == 1
+    assert gr.filtered(edges, nodes=spark.createDataFrame([("a",), ("b",)], "node string")).count() == 1
+    findings = spark.createDataFrame([("error",), ("warning",), ("suggestion",)], "severity string")
+    assert [fa.at_least(findings, s).count() for s in ("error", "warning", "suggestion")] == [1, 2, 3]
+    with pytest.raises(ValueError):
+        fa.at_least(findings, "fatal")
+    scored = spark.createDataFrame([(1, 1, "q", "one"), (1, 2, "q", "three"), (1, 3, "q", "five5"), (2, 1, "q", None)], "query_id long, rank int, query_text string, content string")
+    rows = se.rerank_with(scored, lambda q, c: [len(x) for x in c], 2).orderBy("query_id", "new_rank").collect()
+    assert [(r.query_id, r["rank"], r.score) for r in rows] == [(1, 2, 5.0), (1, 3, 5.0), (2, 1, 0.0)]
+    with pytest.raises(Exception, match="one finite score"):
+        se.rerank_with(scored, lambda q, c: [float("nan")] * len(c), 2).collect()
+
+
 def test_spans_of_many_lines(spark):
     import random
 
