@@ -386,6 +386,8 @@ def components(edges: DataFrame, write=materialise) -> DataFrame:
     """
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     now, state = write(both, "edges"), None
+    if not now.limit(1).count():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         either = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = write(either.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
@@ -531,14 +533,24 @@ def _joined(documents: DataFrame, shingle: int, percent: int) -> Joined:
     candidates = work(tree_candidates(few, percent), "candidates")
     tree_links = work(verified(documents, candidates, sets, shingle, percent, work), "tree-links")
 
-    # large groups: each set against the hub it shares most tokens with
-    crowd = members.filter(F.col("size") > SMALL)
+    links = tree_links
+    if groups.filter(F.col("size") > SMALL).limit(1).count():
+        links = links.unionByName(_large_group_links(documents, members.filter(F.col("size") > SMALL), tree_links, sets, shingle, percent, work))
+    every = materialise(links.distinct(), "links")
+    joined = materialise(components(every, work), "components")
+    work.clear()
+    return Joined(docs, sets, every, joined)
+
+
+def _large_group_links(documents: DataFrame, crowd: DataFrame, tree_links: DataFrame, sets: DataFrame, shingle: int, percent: int, work: Scratch) -> DataFrame:
+    """Links (a, b) that join up what can be joined in large groups (``crowd``: token, set_id, hub, weight), beyond ``tree_links``."""
+    # each set against the hub that it shares most tokens with
     hubs = crowd.filter("hub <> set_id").groupBy("set_id", "hub").agg(F.sum("weight").alias("n")).groupBy("set_id").agg(F.max_by("hub", F.struct("n", F.negative("hub"))).alias("hub"))
     pairs = hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).join(tree_links, ["a", "b"], "left_anti")
     hub_links = work(verified(documents, work(plausible(pairs, sets, percent), "hub-pairs"), sets, shingle, percent, work), "hub-links")
     first = work(components(tree_links.unionByName(hub_links), work), "first-components")
 
-    # what is apart in them: families of sets that large groups chain together
+    # what is apart: families of sets that large groups chain together
     known = crowd.select("token", "set_id", "hub").join(first, F.col("set_id") == F.col("node"), "left").select("token", "set_id", "hub", F.coalesce("component", "set_id").alias("component"))
     known = work(known, "known-sets")
     open_tokens = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
@@ -547,11 +559,7 @@ def _joined(documents: DataFrame, shingle: int, percent: int) -> Joined:
     chained = apart.select("set_id", "component").distinct().join(family.select(F.col("node").alias("set_id"), F.col("component").alias("family")), "set_id").join(sets.select("set_id", "n"), "set_id")
     placed = work(family_blocks(work(chained, "family-members"), percent), "family-blocks")
     tokens = wanted_sets(documents, sets, placed.select("set_id").distinct(), shingle, work)
-    more = family_links(placed.join(tokens, "set_id"), percent)
-    every = materialise(tree_links.unionByName(hub_links).unionByName(more).distinct(), "links")
-    joined = materialise(components(every, work), "components")
-    work.clear()
-    return Joined(docs, sets, every, joined)
+    return hub_links.unionByName(family_links(placed.join(tokens, "set_id"), percent))
 
 
 def _labelled(documents: DataFrame, shingle: int, percent: int) -> tuple[Joined, DataFrame]:
