@@ -75,18 +75,16 @@ def build_tokenizer(model_path: str):
 
 
 class PieceCodec:
-    """Encodes and decodes batches with the rebuilt tokenizer, and holds its ids against the sentencepiece library's.
-
-    Where no piece has a marker behind another character, neither library can
-    merge across one: a merge makes a piece, and one across a word's start would
-    have the next word's marker inside.  The ids of a text are then those of its
-    words, one after the other, in both libraries, so that holding each
-    distinct word's ids against the other library's compares every text that is
-    joined from them.  Texts with runs of spaces or with markers of their own,
-    and all texts of other models, are encoded and compared whole.
+    """Encodes and decodes batches with the rebuilt tokenizer, and holds every text's ids against the sentencepiece library's.
+
+    Where no piece has a marker behind another character no merge goes across
+    the start of a word: each distinct word is encoded once, and texts are
+    joined from the words' ids.  Texts with runs of spaces or with markers of
+    their own, and all texts of other models, are encoded whole.  The other
+    library encodes all texts whole.
     """
 
-    def __init__(self, model_path: str, threads: int = 2, cache_words: int = 80_000) -> None:
+    def __init__(self, model_path: str, threads: int = 2, cache_words: int = 200_000) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
@@ -96,7 +94,9 @@ class PieceCodec:
         self.threads, self.limit = threads, cache_words
         self.by_word = self.tokenizer.pre_tokenizer is not None
         self.cache: dict[str, bytes] = {}
-        self.unequal: set[str] = set()
+        self.leading = bool(self.truth.encode("a") and self.truth.id_to_piece(self.truth.encode("a")[0]).startswith(MARK))
+        pieces = [(self.truth.is_byte(i), self.truth.id_to_piece(i)) for i in range(self.truth.get_piece_size())]
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if is_byte else p.replace(MARK, " ").encode() for is_byte, p in pieces]
         self.starts = np.array([self.tokenizer.id_to_token(i).startswith(MARK) for i in range(self.tokenizer.get_vocab_size())])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -120,30 +120,24 @@ class PieceCodec:
         if len(self.cache) + len(words) > self.limit:
             # only the words of this batch stay
             self.cache = {w: self.cache[w] for w in words.intersection(self.cache)}
-            self.unequal &= words
         new = list(words.difference(self.cache))
-        self._compare(new, self._lines(new), self.cache, self.unequal)
-        rest = [t for t, ok in zip(texts, single) if not ok]
-        whole: dict[str, bytes] = {}
-        odd: set[str] = set()
-        self._compare(rest, self._whole(rest), whole, odd)
+        self.cache.update(zip(new, self._lines(new)))
+        whole = iter(self._whole([t for t, ok in zip(texts, single) if not ok]))
         get, parts = self.cache.__getitem__, iter(split)
-        ids, agree = [], []
-        for text, ok in zip(texts, single):
-            part = next(parts) if ok else None
-            ids.append(b"".join(map(get, part)) if ok else whole[text])
-            agree.append(not self.unequal or self.unequal.isdisjoint(part) if ok else text not in odd)
-        return ids, agree
-
-    def _compare(self, texts: list[str], ids: list[bytes], into: dict[str, bytes], unequal: set[str]) -> None:
-        for text, own, other in zip(texts, ids, self.expected(texts)):
-            into[text] = own
-            if own != other:
-                unequal.add(text)
+        ids = [b"".join(map(get, next(parts))) if ok else next(whole) for ok in single]
+        return ids, [a == b for a, b in zip(ids, self.expected(texts))]
 
     def decode(self, ids: list[bytes]) -> list[str]:
-        """Texts of ids, whole."""
-        return self.tokenizer.decode_batch([np.frombuffer(x, dtype="<u4").tolist() for x in ids], skip_special_tokens=False)
+        """Texts of ids, whole: the pieces' bytes in a row.  What is no UTF-8 then is left to the library, which marks each odd byte."""
+        table, out = self.bytes_of.__getitem__, []
+        for raw in ids:
+            each = np.frombuffer(raw, dtype="<u4").tolist()
+            try:
+                text = b"".join(map(table, each)).decode("utf-8")
+                out.append(text[1:] if self.leading and text.startswith(" ") else text)
+            except UnicodeDecodeError:
+                out.append(self.tokenizer.decode(each, skip_special_tokens=False))
+        return out
 
     def expected(self, texts: list[str]) -> list[bytes]:
         """What the sentencepiece library makes of the texts."""

@@ -726,6 +726,13 @@ def test_a_difference_between_the_libraries_is_seen():
 SPACES = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x2581]))
 
 
+def test_decoding_is_the_librarys(sf):
+    codec = _codec(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [*list(texts(sf).values())[::5], "", " ", "  a", "a\nb\t🙂 é", "\x00", *("x" + c for c in SPACES)]
+    ids = codec.encode(rows)[0] + [np.array(x, dtype="<u4").tobytes() for x in ([3 + 0xE2, 3 + 0x96], [3 + 0xFF, 400], [0, 1, 2, 300], [3 + 0xC3, 3 + 0xA9, 500])]
+    assert codec.decode(ids) == codec.tokenizer.decode_batch([np.frombuffer(x, dtype="<u4").tolist() for x in ids], skip_special_tokens=False)
+
+
 def test_pieces_around_every_white_space():
     import sentencepiece
 
