@@ -871,3 +871,8 @@ def test_pipeline_of_odd_input(spark, tmp_path):
 
 def test_every_query_is_whole():
     assert [n.split("_")[0] for n in QUERIES] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+
+
+@pytest.mark.parametrize("name", ["op1_histogram_shards", "op2_feistel_pii", "op3_line_cleaning", "op5_signature_join", "op6_pu_quality", "op7_token_frames", "op8_decontamination", "op9_piece_codec"])
+def test_queries_return_a_row_for_each_document(spark, sf, name):
+    assert sorted(r.doc_id for r in QUERIES[name](spark, sf).select("doc_id").collect()) == sorted(pq.read_table(f"{sf}/documents.parquet").column("doc_id").to_pylist())
