@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths of the tables that this driver wrote.
+_written: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the data directory ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,13 +51,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: what follows survives the loss of executors without
-    running the steps before it again.
+    running the steps before it again.  Results read such tables; once they are
+    stored, ``remove_written`` clears the tables away.
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Delete the tables that ``materialise`` wrote in this driver, and return their number.  Results not stored yet are lost."""
+    n = len(_written)
+    while _written:
+        delete_path(spark, _written.pop())
+    return n
+
+
 class Scratch:
     """Writes tables as ``materialise`` does, into one folder that ``clear`` removes."""
 

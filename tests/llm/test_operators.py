@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_snapshots, decontamination, feistel_pii, histogram_shards, line_cleaning, piece_codec, pu_quality, signature_join, token_frames, token_rollups
+from lodestone.llm import chat_snapshots, common, decontamination, feistel_pii, histogram_shards, line_cleaning, piece_codec, pu_quality, signature_join, token_frames, token_rollups
 from lodestone.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, tokens string"
@@ -39,6 +39,14 @@ def texts(sf):
     return dict(zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist()))
 
 
+def test_written_tables_are_removed(spark):
+    df = common.materialise(spark.range(3), "kept-for-now")
+    path = common._written[-1]
+    assert df.count() == 3 and common.remove_written(spark) >= 1 and common._written == []
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
 # sharding
 
 
