@@ -199,6 +199,8 @@ class Rule:
     ``failing_field`` is what of a failing element is named; ``at`` the column
     that says where.  A rule whose facts come from links ``needs_links``.
     ``valid`` and ``invalid`` are example values that the schema must tell apart.
+    With ``wrapped`` elements that are no objects are checked as objects with
+    the one property ``value``.
     """
 
     id: str
@@ -213,6 +215,14 @@ class Rule:
     valid: tuple = ()
     invalid: tuple = ()
     kind: str | None = field(default=None)
+    wrapped: bool = False
+
+
+def _accepts(rule: Rule, value: Column, kind: T.DataType) -> Column:
+    """Whether a rule's schema accepts an element."""
+    if rule.wrapped and not isinstance(kind, T.StructType):
+        return compile_schema(rule.schema, F.struct(value.alias("value")), T.StructType([T.StructField("value", kind)]))
+    return compile_schema(rule.schema, value, kind)
 
 
 def rule_findings(rule: Rule, facts: DataFrame) -> DataFrame:
@@ -224,13 +234,13 @@ def rule_findings(rule: Rule, facts: DataFrame) -> DataFrame:
     else:
         kind = facts.schema[rule.each].dataType
         if isinstance(kind, T.ArrayType):
-            failed = F.filter(rule.each, lambda x: ~compile_schema(rule.schema, x, kind.elementType))
+            failed = F.filter(rule.each, lambda x: ~_accepts(rule, x, kind.elementType))
             named = F.transform(failed, lambda x: x[rule.failing_field] if rule.failing_field else x)
             inner = kind.elementType[rule.failing_field].dataType if rule.failing_field else kind.elementType
             bad = facts.withColumn("__failing", F.array_distinct(F.transform(named, lambda x: shown(x, inner)))).filter(F.size("__failing") > 0)
             failing = F.array_join("__failing", ", ")
         else:
-            bad = facts.filter(~compile_schema(rule.schema, F.col(rule.each), kind))
+            bad = facts.filter(~_accepts(rule, F.col(rule.each), kind))
             failing = F.coalesce(shown(F.col(rule.each), kind), F.lit("null"))
     text = message_of(rule.message, facts, failing)
     return bad.select(F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.col(rule.at).cast("string").alias("path"), F.nullif(failing, F.lit("")).alias("failing"), text.alias("message"))

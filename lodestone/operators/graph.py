@@ -65,6 +65,24 @@ def target_path(source: Column, raw: Column) -> Column:
     return F.when(walked["inside"] & (F.size(walked["stack"]) > 0), F.array_join(walked["stack"], "/"))
 
 
+def outside_path(source: Column, raw: Column) -> Column:
+    """Path, beginning with ``../``, of a target that leaves the bundle, seen from its root; null for others."""
+    plain = F.regexp_replace(F.trim(raw), r"[#?].*$", "")
+    here = F.when(plain.startswith("/"), F.lit("")).otherwise(F.regexp_replace(source, r"[^/]*$", ""))
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(0).alias("ups"))
+
+    def step(done: Column, part: Column) -> Column:
+        stack, up = done["stack"], part == ".."
+        return F.struct(
+            F.when((part == "") | (part == "."), stack).when(up, F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.concat(stack, F.array(part))).alias("stack"),
+            (done["ups"] + F.when(up & (F.size(stack) == 0), 1).otherwise(0)).alias("ups"),
+        )
+
+    walked = F.aggregate(F.split(F.concat(here, F.regexp_replace(plain, "^/+", "")), "/"), start, step)
+    address = plain.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | plain.startswith("//")
+    return F.when(~address & (walked["ups"] > 0), F.concat(F.repeat(F.lit("../"), walked["ups"]), F.array_join(walked["stack"], "/")))
+
+
 def resolve(links: DataFrame, inventory: DataFrame, concept_kind: str = "concept") -> DataFrame:
     """Add resolution and resolved_path to links (source, raw_target), against an inventory (path, kind)."""
     raw = F.trim("raw_target")

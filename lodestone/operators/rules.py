@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import outside_path
+
 #: Keywords that the compiler knows, and severities, worst first.
 ASSERTIONS = (
     "type", "pattern", "minLength", "maxLength", "uniqueItems", "minItems", "maxItems", "format", "enum", "const", "minProperties", "required",
@@ -219,9 +221,16 @@ def first_uses(uses: DataFrame) -> DataFrame:
     return uses.groupBy("actor").agg(F.min_by("path", F.struct("seq", "path")).alias("first_path"), F.count("*").alias("uses"))
 
 
-def broken_links(resolved: DataFrame) -> DataFrame:
-    """Findings for links that name nothing in the collection, once for each document and target."""
+def broken_links(resolved: DataFrame, outside: DataFrame | None = None) -> DataFrame:
+    """Findings for links that name nothing in the collection, once for each document and target.
+
+    ``outside`` (path, beginning with ``../``) lists what is there beside the
+    collection: links that lead to it are no findings.
+    """
     bad = resolved.filter(F.col("resolution").isin("unresolved", "invalid")).select("source", "raw_target").distinct()
+    if outside is not None:
+        there = outside.select(F.col("path").alias("__outside")).distinct()
+        bad = bad.withColumn("__outside", outside_path(F.col("source"), F.col("raw_target"))).join(there, "__outside", "left_anti")
     return bad.select(F.lit("path-targets-exist").alias("rule_id"), F.lit("error").alias("severity"), F.col("source").alias("path"), F.col("raw_target").alias("failing"))
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import glob_regex, normalise_path, normalised_path
@@ -252,7 +253,7 @@ def rerank_with(scored: DataFrame, judge: Callable[[list[str], list[str]], np.nd
                 raise ValueError("a reranker returns one finite score for each candidate")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*names, "judged"])
 
-    judged = window.mapInArrow(run, window.schema.add("judged", "double"))
+    judged = window.mapInArrow(run, T.StructType([*window.schema.fields, T.StructField("judged", T.DoubleType())]))
     return rerank(judged, F.col("judged"), k, candidates).drop("judged")
 
 

@@ -19,7 +19,7 @@ from lodestone.operators import snapshot as sn
 from lodestone.operators import sync as sy
 from lodestone.operators import titles as ti
 from lodestone.operators.metadata import QueryError
-from lodestone.sources import bundles, saved_queries
+from lodestone.sources import bundles, rule_packages, saved_queries
 from lodestone.sources.generations import GenerationStore, prune
 
 CONCEPT = "path string, type string, title string, description string, body string, body_line int"
@@ -182,6 +182,35 @@ def test_rules_as_data(spark):
             fa.united_vocabularies(bad)
 
 
+def test_rule_packages(spark):
+    package = {
+        "format": 1,
+        "$defs": {"text": {"type": "string", "pattern": r"\S"}, "key": {"enum": ["type", "title"]}},
+        "rules": [
+            {"id": "keys", "severity": "warning", "message": "only known keys; found {failing}", "check": {"subject": "concept", "each": "keys", "schema": {"properties": {"value": {"$ref": "#/$defs/key"}}}}, "tests": {"valid": [{"value": "type"}], "invalid": [{"value": "x"}]}},
+            {"id": "typed", "message": "{path} has no type", "check": {"subject": "concept", "schema": {"required": ["type"], "properties": {"type": {"$ref": "#/$defs/text"}}}}},
+            {"id": "linked", "message": "no links", "check": {"subject": "concept", "schema": {"properties": {"edges": {"minItems": 1}}}}},
+            {"id": "files", "message": "missing", "check": {"builtin": "files-present", "params": {"files": ["a.md"]}}},
+        ],
+    }
+    read = rule_packages.parse_package(json.dumps(package).encode())
+    assert [(r.id, r.needs_links) for r in read.rules] == [("keys", False), ("typed", False), ("linked", True)] and read.builtins[0][3:] == ("files-present", {"files": ["a.md"]})
+    facts = {"concept": spark.createDataFrame([("a", "T", ["type", "odd", "odd"]), ("b", " ", ["title"]), ("c", None, [])], "path string, type string, keys array<string>")}
+    found = sorted((r.rule_id, r.path, r.message) for r in fa.evaluate(read.rules, facts, links=False).collect())
+    assert found == [("keys", "a", "only known keys; found odd"), ("typed", "b", "b has no type"), ("typed", "c", "c has no type")]
+    for change in ({"format": 2}, {"rules": [{"id": "x"}]}, {"rules": [package["rules"][0]] * 2}, {"rules": [{**package["rules"][0], "severity": "fatal"}]}):
+        with pytest.raises(ValueError):
+            rule_packages.parse_package(json.dumps({**package, **change}).encode())
+
+
+def test_links_that_leave_the_collection(spark):
+    links = spark.createDataFrame([("a/b.md", "../../docs/x.md"), ("a/b.md", "/../y.md#s"), ("a/b.md", "../../docs/none.md"), ("a/b.md", "gone.md"), ("a/b.md", "https://e.org/../x")], "source string, raw_target string")
+    assert [r.p for r in links.select(gr.outside_path(F.col("source"), F.col("raw_target")).alias("p")).collect()] == ["../docs/x.md", "../y.md", "../docs/none.md", None, None]
+    resolved = gr.resolve(links, spark.createDataFrame([("a/b.md", "concept")], "path string, kind string"))
+    outside = spark.createDataFrame([("../docs/x.md",), ("../y.md",)], "path string")
+    assert {r.failing for r in ru.broken_links(resolved, outside).collect()} == {"../../docs/none.md", "gone.md"} and ru.broken_links(resolved).count() == 4
+
+
 def test_trees_pairs_and_renderers(spark):
     files = spark.createDataFrame([("x/y/a.md", "Alpha", "Guide", ["Gear"]), ("x/b.md", "Beta", "", None)], "path string, label string, type string, tags array<string>")
     assert {(r.node, r.is_file) for r in ti.tree_filter(files, "gear").collect()} == {("x/y/a.md", True), ("x", False), ("x/y", False)}
