@@ -52,8 +52,13 @@ def chunk(documents: DataFrame, limit: int = 1000, leave_out: tuple[str, ...] =
         for batch in batches:
             rows = []
             for path, kind, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                above: list[tuple[int, int]] = []  # levels and lines of the headings around
                 for start, end, what, content, more in known[kind](body or "", limit):
-                    rows.append({"source_path": path, "line_start": start, "line_end": end, "chunk_type": what, "content": content, **more})
+                    level = more.get("heading_level")
+                    above = [x for x in above if level is None or x[0] < level]
+                    rows.append({"source_path": path, "line_start": start, "line_end": end, "chunk_type": what, "content": content, "parent_line": above[-1][1] if above else None, **more})
+                    if level is not None:
+                        above.append((level, start))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
                     rows = []
