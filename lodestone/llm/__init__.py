@@ -15,6 +15,8 @@ _WORKER_MODULES = (
     "line_cleaning",
     "token_rollups",
     "signature_join",
+    "bayes_minhash",
+    "source_divergence",
     "pu_quality",
     "token_frames",
     "piece_codec",

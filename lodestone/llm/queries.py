@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_snapshots, decontamination, feistel_pii, histogram_shards, line_cleaning, piece_codec, pu_quality, signature_join, token_frames, token_rollups
+from . import bayes_minhash, chat_snapshots, decontamination, feistel_pii, histogram_shards, line_cleaning, merkle_manifest, piece_codec, pu_quality, signature_join, source_divergence, token_frames, token_rollups
 from .common import materialise, new_path, table
 
 #: Demonstration key: anyone can turn its pseudonyms back.
@@ -85,6 +85,21 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.chat_texts(table(spark, sf_dir, "conversations"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, and what tampering with some of them shows."""
+    return merkle_manifest.audited(table(spark, sf_dir, "documents"), fanout=2)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source of each language against the other sources and the language."""
+    return source_divergence.divergences(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+def op13_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents by two-word shingles at 0.8."""
+    return bayes_minhash.minhash_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline.py`` at the top of the repository."""
     import corpus_pipeline
@@ -96,6 +111,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_histogram_shards, op2_feistel_pii, op3_line_cleaning, op4_token_rollups, op5_signature_join,
-        op6_pu_quality, op7_token_frames, op8_decontamination, op9_piece_codec, op10_chat_snapshots, pipeline,
+        op6_pu_quality, op7_token_frames, op8_decontamination, op9_piece_codec, op10_chat_snapshots,
+        op11_merkle_manifest, op12_source_divergence, op13_bayes_minhash, pipeline,
     )
 }
