@@ -171,8 +171,8 @@ def _distances(cells: DataFrame, groups: DataFrame) -> DataFrame:
     numbers = F.xxhash64("lang")  # a group's key must be numeric; languages of one number are told apart below
 
     def work(group: pa.Table) -> pa.RecordBatch | None:
-        out = [distances(group.filter(pc.equal(group.column("lang"), lang)), lang) for lang in pc.unique(group.column("lang"))]
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+        out = pa.Table.from_batches([distances(group.filter(pc.equal(group.column("lang"), lang)), lang) for lang in pc.unique(group.column("lang"))])
+        return out.combine_chunks().to_batches()[0] if out.num_rows else None
 
     def distances(group: pa.Table, lang: pa.Scalar) -> pa.RecordBatch:
         group = group.sort_by([("source", "ascending")])

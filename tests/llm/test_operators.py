@@ -878,7 +878,7 @@ def test_pipeline_of_odd_input(spark, tmp_path):
 
 
 def test_every_query_is_whole():
-    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{k}" for k in range(1, 14)), "pipeline"]
 
 
 @pytest.mark.parametrize("name", ["op1_histogram_shards", "op2_feistel_pii", "op3_line_cleaning", "op5_signature_join", "op6_pu_quality", "op7_token_frames", "op8_decontamination", "op9_piece_codec"])
