@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 # Formats, as they are looked for.  Fixed values; Java regular expressions.
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
+#: Begins where a run of its letters does, or right behind another value, and gives nothing back: linear in any text.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+\-]))[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++){1,126}+"
 SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])"
 IPV4 = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z])(?!\.[0-9])"
 DATE = r"(?<![0-9A-Za-z\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/])(?!-[0-9])"
@@ -26,6 +27,12 @@ LOCAL_PHONE = r"(?<![0-9A-Za-z(])\(?[2-9][0-9]{2}\)?[ .\-][2-9][0-9]{2}[.\-][0-9
 #: How the digits of a card are grouped: at once, or in groups with a separator.
 GROUPED = r"[0-9]{4}(?:[ \-][0-9]{4}){3}(?:[ \-][0-9]{1,3})?|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4,5}|[0-9]{4}(?:[ \-][0-9]{3}){3}|[0-9]{6}[ \-][0-9]{13}"
 LAYOUT = rf"[0-9]{{12,19}}|{GROUPED}"
+#: First digits and lengths that issuers of cards use.
+ISSUED = (
+    r"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}"
+    r"|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11}|35(?:2[89]|[3-8][0-9])[0-9]{12,15}|(?:6011|64[4-9][0-9]|65[0-9]{2}|62[0-9]{2})[0-9]{12,15}"
+    r"|(?:50(?:18|20|38)|5893|6304|6759|676[1-3])[0-9]{8,15}"
+)
 WHOLE = r"[0-9](?:[ \-]?[0-9]){11,18}(?![ \-]?[0-9])"
 #: Values that stand for themselves behind a space and are no more groups of the number before it.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
@@ -172,9 +179,12 @@ def _kind(value: Column) -> Column:
 def _cards(run: Column) -> Column:
     """A run of digit groups as array<struct<value, kind>> that joins to the run: cards, and what is between them.
 
-    Cards begin and end with a group, have 12 to 19 digits and pass Luhn.
-    Spans in a layout of cards come first.  Spans in other groups count from the
-    start of the run or behind a card, or up to the end of the run.
+    Cards begin and end with a group, have first digits and a length that
+    issuers use, one separator throughout, and pass Luhn.  Spans in a layout of
+    cards come first.  Spans in other groups count from the start of the run or
+    behind a card, or up to the end of the run.  Where two or more groups that
+    no card takes are as wide as groups of a span, the run is a series of
+    numbers or a table, and the span is no card.
     """
 
     def split(parts: Column) -> Column:
@@ -189,10 +199,10 @@ def _cards(run: Column) -> Column:
                 known = span.rlike(f"^(?:{LAYOUT})$")
                 # sixteen digits before others, then the longest
                 rank = F.when(known & (size == 16), 0).otherwise(20 - size)
-                return F.struct(F.when(known, 0).otherwise(1).alias("other"), first.alias("first"), rank.alias("rank"), last.alias("last"), digits.alias("digits"))
+                return F.struct(F.when(known, 0).otherwise(1).alias("other"), first.alias("first"), rank.alias("rank"), last.alias("last"), digits.alias("digits"), span.rlike("^(?:[0-9]| (?!.*-)|-(?!.* ))*$").alias("alike"))
 
             ends = F.transform(F.sequence(first, F.least(first + 18, n)), of)
-            good = F.filter(ends, lambda x: F.length(x["digits"]).between(12, 19) & (luhn_sum(x["digits"]) % 10 == 0))
+            good = F.filter(ends, lambda x: x["alike"] & x["digits"].rlike(f"^(?:{ISSUED})$") & (luhn_sum(x["digits"]) % 10 == 0))
             return F.transform(good, lambda x: F.struct(x["other"].alias("other"), x["first"].alias("first"), x["rank"].alias("rank"), x["last"].alias("last")))
 
         def choose(chosen: Column, x: Column) -> Column:
@@ -202,6 +212,16 @@ def _cards(run: Column) -> Column:
 
         found = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), n), spans)))
         chosen = F.array_sort(F.aggregate(found, F.array().cast("array<struct<first:int,last:int>>"), choose))
+
+        def in_no_series(taken: Column) -> Column:
+            # widths of the groups that no card takes, as letters between the cards
+            letters = F.transform(parts, lambda p: F.substring(F.lit("abcdefghijklmnopqrs"), F.least(F.length(F.regexp_replace(p, "[^0-9]", "")), F.lit(19)), F.lit(1)))
+            free = F.array_join(F.filter(F.transform(letters, lambda x, at: F.when(~F.exists(taken, lambda c: (c["first"] <= at + 1) & (at < c["last"])), x)), lambda x: x.isNotNull()), "")
+            twice = let(free, lambda text: F.filter(F.split(F.lit("a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p,q,r,s"), ","), lambda w: F.length(text) - F.length(F.replace(text, w, F.lit(""))) > 1))
+            own = lambda c: F.slice(letters, c["first"], c["last"] - c["first"] + 1)
+            return let(twice, lambda wide: F.filter(taken, lambda c: (c["first"] == c["last"]) | ~F.arrays_overlap(own(c), wide)))
+
+        chosen = let(chosen, lambda taken: F.when(F.size(taken) > 0, in_no_series(taken)).otherwise(taken))
         piece = lambda value, kind: F.struct(value.alias("value"), F.lit(kind).cast("string").alias("kind"))
 
         def cut(taken: Column) -> Column:
@@ -223,8 +243,9 @@ def _pseudonym(key: str, value: Column, kind: Column) -> Column:
     """The pseudonym of one found value; values without a valid format stay."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     n = F.length(digits)
-    # card: the first digit stays, the check digit is made anew
-    body = F.concat(F.substring(digits, 1, 1), permute_digits(key, "card", F.substring(digits, F.lit(2), n - 2)))
+    # card: what tells the issuer stays (a leading 4, or four digits), the check digit is made anew
+    issuer = F.when(digits.startswith("4"), 1).otherwise(4)
+    body = F.concat(F.substring(digits, F.lit(1), issuer), permute_digits(key, "card", F.substring(digits, issuer + 1, n - issuer - 1)))
     check = lambda b: F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10))
     card = let(body, lambda b: fill_digits(value, F.concat(b, check(b).cast("string"))))
     # phone: the country code stays, as far as a separator shows it, and the rest is permuted

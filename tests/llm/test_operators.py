@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from datetime import date, timedelta
@@ -174,6 +175,34 @@ def test_numbers_beside_a_value_stay(spark):
     assert rows[0].n_card >= 1 and "4994 2260 2090 0891" not in rows[0].text
 
 
+@pytest.mark.parametrize("low, high", [(10, 99), (100, 999), (1000, 9999)])
+def test_tables_of_numbers_hold_no_cards(spark, low, high):
+    pick = np.random.default_rng(low)
+    rows = [(k, sep.join(map(str, pick.integers(low, high + 1, 12).tolist()))) for k in range(1000) for sep in " -"]
+    out = feistel_pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").filter("n_card > 0").count()
+    assert out < 10
+
+
+def test_cards_are_told_by_issuer_length_and_separator(spark):
+    good = ["4222222222222", "5555555555554444", "2223003122003222", "378282246310005", "30569309025904", "6011000990139424", "3530111333300000", "5555 5555 5555 4444", "3782-822463-10005", "4994226020900891 8888888888888888 7777777777777777"]
+    bad = ["9656005089711094", "0810992847249404", "7317070581620867", "3417310086869215", "499422602090", "4994 2260-2090 0891", "4994 2260 2090 0891 2019 2020", "2019 2020 2021 4994 2260 2090 0891"]
+    rows = feistel_pii.pseudonymise(spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    for old, r in zip(good + bad, rows):
+        assert (r.n_card == 1 and r.text != old) if r.doc_id < len(good) else (r.n_card == 0 and r.text == old), (old, r.text)
+    again = feistel_pii.pseudonymise(spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [r.n_card for r in again] == [r.n_card for r in rows]  # a pseudonym is a card of the same issuer
+
+
+def test_long_unbroken_texts_take_linear_time(spark):
+    unbroken = ["x" * 1_000_000, "x." * 500_000, "a@" * 300_000, "a@" + "b" * 1_000_000, "data:image/png;base64," + "iVBORw0KGgo" * 90_000, "a@b" + ".c" * 100_000, "deadbeef" * 100_000]
+    began = time.monotonic()
+    rows = feistel_pii.pseudonymise(spark.createDataFrame(list(enumerate(unbroken)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert time.monotonic() - began < 60
+    assert [r.text for r in rows if r.doc_id != 5] == [t for k, t in enumerate(unbroken) if k != 5]
+    [r] = feistel_pii.pseudonymise(spark.createDataFrame([(1, "x" * 200_000 + " (826) 555-4081.ab@mail.example.com")], "doc_id long, text string"), "k").collect()
+    assert r.n_phone == 1 and r.n_email == 1 and ".ab@" not in r.text
+
+
 def feistel(key, label, pair, sizes):
     pair = list(pair)
     for k in range(feistel_pii.ROUNDS):
