@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(dot(unit(a), unit(b)), F.lit(0.0))))
 
 
+def refuse_bad_vectors(vectors: DataFrame) -> None:
+    """Raise ValueError if a ``vector`` is null, empty, zero or not finite, or if vectors of one ``model`` differ in length."""
+    v = F.col("vector")
+    bad = v.isNull() | (F.size(v) == 0) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall(v, lambda x: x == 0)
+    if vectors.filter(bad).limit(1).count():
+        raise ValueError("a vector is null, empty, zero or not finite")
+    lengths = vectors.groupBy("model").agg(F.min(F.size(v)).alias("least"), F.max(F.size(v)).alias("most")).filter("least <> most")
+    if lengths.limit(1).count():
+        raise ValueError("vectors of one model differ in length")
+
+
 def checked_cosine(a: Column, b: Column) -> Column:
     """``cosine``, which fails the job on vectors that are null, empty, of different lengths or not finite."""
     odd = lambda v: v.isNull() | (F.size(v) == 0) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

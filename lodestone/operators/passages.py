@@ -38,7 +38,7 @@ def chunk(documents: DataFrame, limit: int = 1000, leave_out: tuple[str, ...] =
     """Passages of documents (source_path, content_type, text), with their ids and that of the heading above them.
 
     Passages of the types ``leave_out`` (heading, code, table and so on) are not
-    returned.  One document is one row of work and nothing is shuffled.  Documents of a
+    returned; where headings are left out no passage has a parent.  One document is one row of work and nothing is shuffled.  Documents of a
     content type without a chunker give none; ``unsupported`` lists them.
     """
     known = dict(CHUNKERS)
@@ -70,6 +70,8 @@ def chunk(documents: DataFrame, limit: int = 1000, leave_out: tuple[str, ...] =
         parts = parts.filter(~F.col("chunk_type").isin(*leave_out))
     above = F.try_element_at("heading_path", F.when(F.col("chunk_type") == "heading", -2).otherwise(-1))
     parent = F.when(F.col("parent_line").isNotNull(), chunk_id(F.col("source_path"), F.col("parent_line"), F.col("parent_line"), F.lit("heading"), above))
+    if "heading" in leave_out:
+        parent = F.lit(None).cast("string")  # passages name no parent that is not there
     return parts.withColumns({"chunk_id": chunk_id(*map(F.col, ("source_path", "line_start", "line_end", "chunk_type", "content"))), "parent_id": parent})
 
 

@@ -21,19 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names, and read back.
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder that no other run uses, below the one that ``spark.checkpoint.dir`` names.
 
-    For tables that two steps must see alike.  Only where the setting is unset
-    and Spark runs in this process alone a folder of this machine is taken.
+    Only where the setting is unset and Spark runs in this process alone a folder
+    of this machine is taken; on a cluster that is refused.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a ``new_folder`` and read back, for tables that two steps must see alike."""
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import refuse_bad_vectors
+
 
 class GenerationStore:
     """Chunks and vectors below ``root``; a publish is the creation of one more pointer.
@@ -54,23 +56,21 @@ class GenerationStore:
         return self.spark.read.parquet(f"{self.root}/generations/{name}/{part}")
 
     def publish(self, chunks: DataFrame, vectors: DataFrame) -> str:
-        """Write a generation and make it current; both keep one row a key, and every vector needs its chunk.
+        """Write a generation and make it current; equal rows are one, and every vector needs its chunk.
 
-        Zero, non-finite and empty vectors, and vectors of different lengths for
-        one model, are refused before anything is published.
+        Null, zero, non-finite and empty vectors, vectors of different lengths
+        for one model, and different rows of one key are refused before anything
+        is published.
         """
         name = uuid.uuid4().hex
         folder = f"{self.root}/generations/{name}"
-        chunks.dropDuplicates(["chunk_id"]).write.parquet(f"{folder}/chunks")
-        vectors.dropDuplicates(["chunk_id", "model"]).write.parquet(f"{folder}/vectors")
+        chunks.distinct().write.parquet(f"{folder}/chunks")
+        vectors.distinct().write.parquet(f"{folder}/vectors")
         stored = self.spark.read.parquet(f"{folder}/vectors")
-        bad = F.size("vector") == 0
-        bad |= F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall("vector", lambda x: x == 0)
-        if stored.filter(bad).limit(1).count():
-            raise ValueError("a vector is empty, zero or not finite")
-        lengths = stored.groupBy("model").agg(F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most")).filter("least <> most")
-        if lengths.limit(1).count():
-            raise ValueError("vectors of one model differ in length")
+        refuse_bad_vectors(stored)
+        for part, key in (("chunks", ["chunk_id"]), ("vectors", ["chunk_id", "model"])):
+            if self.spark.read.parquet(f"{folder}/{part}").groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+                raise ValueError(f"{part} of one key differ")
         orphans = stored.join(self.spark.read.parquet(f"{folder}/chunks").select("chunk_id"), "chunk_id", "left_anti")
         if orphans.limit(1).count():
             raise ValueError("a vector has no chunk")

@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.passages import chunk, embed
+from ..operators.sync import refuse_conflicts
 from ..sources.generations import GenerationStore
 
 
 def apply_batch(store: GenerationStore, documents: DataFrame, model: str = "word-hash", limit: int = 1000) -> str | None:
-    """Chunk and embed a batch of documents and publish them in place of their older passages."""
+    """Chunk and embed a batch of documents and publish them in place of their older passages.
+
+    A path with several texts in one batch is refused: nothing says which is the
+    later one.  Streams of numbered versions are for ``ingest``.
+    """
     if documents.isEmpty():
         return None
     from pyspark.sql import functions as F
 
+    refuse_conflicts(documents, "source_path", "text")
     documents = documents.dropDuplicates(["source_path"])
     chunks = chunk(documents, limit)
     vectors = embed(chunks, "chunk_id", "content").withColumn("model", F.lit(model))
