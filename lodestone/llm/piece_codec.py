@@ -27,6 +27,9 @@ LINE = 64
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
+#: How a piece that stands for one byte is written.
+BYTE_PIECE = re.compile("<0x[0-9A-F]{2}>")
+
 
 def _merges(pieces: list[str], mergeable: list[int]) -> list[tuple[str, str]]:
     """Pairs of pieces that make a piece, in the order of the pieces' scores."""
@@ -95,8 +98,9 @@ class PieceCodec:
         self.by_word = self.tokenizer.pre_tokenizer is not None
         self.cache: dict[str, bytes] = {}
         self.leading = bool(self.truth.encode("a") and self.truth.id_to_piece(self.truth.encode("a")[0]).startswith(MARK))
-        pieces = [(self.truth.is_byte(i), self.truth.id_to_piece(i)) for i in range(self.truth.get_piece_size())]
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if is_byte else p.replace(MARK, " ").encode() for is_byte, p in pieces]
+        # the rebuilt tokenizer's decoder as a table: byte pieces are bytes, markers are spaces
+        pieces = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if BYTE_PIECE.fullmatch(p) else p.replace(MARK, " ").encode() for p in pieces]
         self.starts = np.array([self.tokenizer.id_to_token(i).startswith(MARK) for i in range(self.tokenizer.get_vocab_size())])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -128,7 +132,7 @@ class PieceCodec:
         return ids, [a == b for a, b in zip(ids, self.expected(texts))]
 
     def decode(self, ids: list[bytes]) -> list[str]:
-        """Texts of ids, whole: the pieces' bytes in a row.  What is no UTF-8 then is left to the library, which marks each odd byte."""
+        """Texts of ids, whole: the bytes of the rebuilt tokenizer's pieces in a row.  What is no UTF-8 then is left to its decoder, which marks each odd byte."""
         table, out = self.bytes_of.__getitem__, []
         for raw in ids:
             each = np.frombuffer(raw, dtype="<u4").tolist()

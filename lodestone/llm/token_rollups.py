@@ -5,22 +5,23 @@ of documents and tokens, against what the ledger says of each document so far.
 The rows of a batch are written once; totals by source, language and tokenizer
 version are sums of the batches' deltas.  A log of numbered entries says which
 batches are committed: an entry's number can be taken once, so a writer that
-another one overtook works its deltas out again.  A batch that is committed
-already is left alone, so replays change nothing.
+another one overtook works its deltas out again.  Entries are written beside the
+log and renamed into it, so one is there whole or not at all, whatever happens
+to its writer.  A batch that is committed already is left alone, so replays
+change nothing.
 """
 
 from __future__ import annotations
 
 import json
-import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import Files
 from .common import delete_path, text_chunks, worker_state
 from .token_frames import WordEncoder
 
@@ -87,40 +88,15 @@ class TokenRollups:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+        self.files = Files(spark, root)
 
     def _log(self) -> list[dict]:
         """The log's entries in order: each has batches, folder and full (whether it stands for all before it)."""
-        fs, at = self._fs()
-        folder = at(f"{self.root}/log")
-        names = sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
-        return [self._entry(fs, at(f"{self.root}/log/{n}")) for n in names if not n.startswith(".")]
-
-    def _entry(self, fs, path) -> dict:
-        for _ in range(50):
-            stream = fs.open(path)
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            stream.close()
-            if text.endswith("\n"):
-                return json.loads(text)
-            time.sleep(0.1)  # another writer has taken the number and is about to fill the entry
-        raise RuntimeError(f"{path.toString()} was left unfinished by a lost writer; remove it to go on")
+        return [json.loads(self.files.text(f"log/{x.name}")) for x in self.files.listed("log")]
 
     def _take(self, number: int, entry: dict) -> bool:
-        """Make ``entry`` the log's number ``number``; False if another writer has it."""
-        fs, at = self._fs()
-        try:
-            stream = fs.create(at(f"{self.root}/log/{number:08d}"), False)
-        except Py4JJavaError as error:
-            if "AlreadyExists" in error.java_exception.getClass().getName():
-                return False
-            raise
-        stream.write(bytearray((json.dumps(entry) + "\n").encode()))
-        stream.close()
-        return True
+        """Make ``entry`` the log's number ``number``, whole or not at all; False if another writer has it."""
+        return self.files.put_once(f"log/{number:08d}", json.dumps(entry) + "\n")
 
     def batches(self) -> list[str]:
         """Names of the committed batches."""
