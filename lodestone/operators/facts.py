@@ -225,30 +225,45 @@ def _accepts(rule: Rule, value: Column, kind: T.DataType) -> Column:
     return compile_schema(rule.schema, value, kind)
 
 
-def rule_findings(rule: Rule, facts: DataFrame) -> DataFrame:
-    """rule_id, severity, path, failing and message: a row for each subject that the rule rejects."""
+def _finding(rule: Rule, facts: DataFrame) -> Column:
+    """What a rule says of a row of ``facts``, as struct<rule_id, severity, path, failing, message>; null where it accepts it."""
+
+    def told(failing: Column) -> Column:
+        text = message_of(rule.message, facts, failing)
+        named = (("rule_id", F.lit(rule.id)), ("severity", F.lit(rule.severity)), ("path", F.col(rule.at).cast("string")), ("failing", F.nullif(failing, F.lit(""))), ("message", text))
+        return F.struct(*(c.alias(n) for n, c in named))
+
     if rule.each is None:
-        kind = facts.schema
-        bad = facts.filter(~compile_schema(rule.schema, F.struct(*facts.columns), kind))
-        failing = F.lit("")
-    else:
-        kind = facts.schema[rule.each].dataType
-        if isinstance(kind, T.ArrayType):
-            failed = F.filter(rule.each, lambda x: ~_accepts(rule, x, kind.elementType))
-            named = F.transform(failed, lambda x: x[rule.failing_field] if rule.failing_field else x)
-            inner = kind.elementType[rule.failing_field].dataType if rule.failing_field else kind.elementType
-            bad = facts.withColumn("__failing", F.array_distinct(F.transform(named, lambda x: shown(x, inner)))).filter(F.size("__failing") > 0)
-            failing = F.array_join("__failing", ", ")
-        else:
-            bad = facts.filter(~_accepts(rule, F.col(rule.each), kind))
-            failing = F.coalesce(shown(F.col(rule.each), kind), F.lit("null"))
-    text = message_of(rule.message, facts, failing)
-    return bad.select(F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.col(rule.at).cast("string").alias("path"), F.nullif(failing, F.lit("")).alias("failing"), text.alias("message"))
+        return F.when(~compile_schema(rule.schema, F.struct(*facts.columns), facts.schema), told(F.lit("")))
+    kind = facts.schema[rule.each].dataType
+    if not isinstance(kind, T.ArrayType):
+        return F.when(~_accepts(rule, F.col(rule.each), kind), told(F.coalesce(shown(F.col(rule.each), kind), F.lit("null"))))
+    failed = F.filter(rule.each, lambda x: ~_accepts(rule, x, kind.elementType))
+    inner = kind.elementType[rule.failing_field].dataType if rule.failing_field else kind.elementType
+    names = F.array_distinct(F.transform(failed, lambda x: shown(x[rule.failing_field] if rule.failing_field else x, inner)))
+    # the list of one element is worked out once, however often it is used
+    return F.element_at(F.transform(F.array(names), lambda n: F.when(F.size(n) > 0, told(F.array_join(n, ", ")))), 1)
+
+
+def subject_findings(rules: list[Rule], facts: DataFrame) -> DataFrame:
+    """rule_id, severity, path, failing and message of all that ``rules`` reject, in one pass over their subject's ``facts``.
+
+    Each row of facts gives an array with a place for every rule, of which the
+    findings are exploded; nothing is shuffled.
+    """
+    found = F.filter(F.array(*(_finding(r, facts) for r in rules)), lambda x: x.isNotNull())
+    return facts.select(F.explode(found).alias("finding")).select("finding.*")
+
+
+def rule_findings(rule: Rule, facts: DataFrame) -> DataFrame:
+    """``subject_findings`` of one rule."""
+    return subject_findings([rule], facts)
 
 
 def evaluate(rules: list[Rule], facts: dict[str, DataFrame], builtins: dict[str, Callable[[], DataFrame]] | None = None, links: bool = True) -> DataFrame:
     """All findings of a list of rules over fact tables by subject, and of builtin checks by rule id.
 
+    Each subject's table is read once, whatever the number of its rules.
     Without links, because they could not be read, rules that need them are
     left out.  Builtins give findings of the same columns.
     """
@@ -257,7 +272,11 @@ def evaluate(rules: list[Rule], facts: dict[str, DataFrame], builtins: dict[str,
             raise ValueError(f"rule {rule.id}: unknown severity or subject")
     if len({r.id for r in rules}) != len(rules):
         raise ValueError("two rules have one id")
-    found = [rule_findings(r, facts[r.subject]) for r in rules if links or not r.needs_links]
+    by_subject: dict[str, list[Rule]] = {}
+    for rule in rules:
+        if links or not rule.needs_links:
+            by_subject.setdefault(rule.subject, []).append(rule)
+    found = [subject_findings(own, facts[subject]) for subject, own in by_subject.items()]
     found += [make() for make in (builtins or {}).values()]
     if not found:
         return next(iter(facts.values())).sparkSession.createDataFrame([], FINDING)
