@@ -302,18 +302,20 @@ def symbol_parents(chunks: DataFrame) -> DataFrame:
     meets all parents of its symbol.
     """
     keys = ["source_path", "symbol"]
-    each = F.struct((F.col("line_end") - F.col("line_start")).alias("span"), F.col("chunk_id").alias("id"))
     # two of each start are enough: one may be the child itself
-    starts = chunks.filter("symbol is not null").groupBy(*keys, F.col("line_start").alias("at")).agg(F.collect_set(each).alias("every"))
-    starts = starts.withColumn("two", F.slice(F.array_sort("every"), 1, 2)).select(*keys, "at", F.transform("two", lambda x: F.struct(F.col("at").alias("ps"), x["span"].alias("span"), x["id"].alias("id"))).alias("near"))
+    named = chunks.filter("symbol is not null").select(*keys, F.col("line_start").alias("at"), (F.col("line_end") - F.col("line_start")).alias("span"), F.col("chunk_id").alias("id"))
+    place = F.row_number().over(Window.partitionBy(*keys, "at").orderBy("span", "id"))
+    two = named.distinct().withColumn("place", place).filter("place <= 2")
+    starts = two.groupBy(*keys, "at").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("ps"), "span", "id"))).alias("near"))
     order = Window.partitionBy(*keys).orderBy("at")
     none = F.array().cast(starts.schema["near"].dataType)
     beside = [F.coalesce(f("near", k).over(order), none) for f, k in ((F.lag, 1), (F.lead, 1), (F.lead, 2))]
     parents = starts.select(*keys, "at", F.concat("near", *beside).alias("near"), F.lit(None).cast(dict(chunks.dtypes)["chunk_id"]).alias("chunk_id"))
     children = chunks.filter("parent_symbol is not null").select("source_path", F.col("parent_symbol").alias("symbol"), F.col("line_start").alias("at"), F.lit(None).cast(parents.schema["near"].dataType).alias("near"), "chunk_id")
-    order = Window.partitionBy(*keys).orderBy("at", F.col("chunk_id").isNotNull())
-    before = F.last("near", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    behind = F.first("near", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    child = F.col("chunk_id").isNotNull()
+    so_far = lambda *order: F.last("near", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # both windows only look back, the second one in the opposite order: a frame that grows costs nothing a row
+    before, behind = so_far("at", child), so_far(F.desc("at"), child.desc())
     met = parents.unionByName(children).withColumn("near", F.coalesce(before, behind)).filter("chunk_id is not null and near is not null")
     rank = lambda x: F.struct((x["ps"] > F.col("at")).alias("behind"), F.abs(x["ps"] - F.col("at")).alias("far"), x["span"].alias("span"), x["id"].alias("id"))
     best = F.array_min(F.transform(F.filter("near", lambda x: x["id"] != F.col("chunk_id")), rank))

@@ -37,6 +37,11 @@ def q_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.backlinks(_supply(spark, sf_dir)).withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))
 
 
+def q_backlink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every linked pair as a row, however many sources a target has."""
+    return gr.backlink_rows(_supply(spark, sf_dir))
+
+
 def q_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.inbound_counts(_supply(spark, sf_dir))
 
@@ -81,7 +86,7 @@ def q_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (q_links, q_link_resolution, q_backlinks, q_inbound, q_induced_subgraph, q_merged_pairs, q_degrees, q_khop, q_file_tree, q_title_search, q_title_best, q_snippet)
+    for f in (q_links, q_link_resolution, q_backlinks, q_backlink_rows, q_inbound, q_induced_subgraph, q_merged_pairs, q_degrees, q_khop, q_file_tree, q_title_search, q_title_best, q_snippet)
 }
 
 _LINKS_SQL = """
@@ -113,6 +118,7 @@ SELECT page_id, ordinal, raw_target, CASE WHEN ordinal % 5 = 4 THEN 'external' W
   CASE WHEN ordinal % 5 < 3 THEN i.path END AS resolved_path
 FROM l LEFT JOIN inventory i ON l.path = i.path AND i.path <> ''""",
     "q_backlinks": f"SELECT target, count(*) AS n_links, count(DISTINCT source) AS n_sources, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM ({_SUPPLY_SQL}) WHERE source <> target GROUP BY 1",
+    "q_backlink_rows": f"SELECT target, source, count(*) AS n_links FROM ({_SUPPLY_SQL}) WHERE source <> target GROUP BY ALL",
     "q_inbound": f"SELECT target, count(*) AS n_links FROM ({_SUPPLY_SQL}) WHERE source <> target GROUP BY 1",
     "q_induced_subgraph": f"WITH n AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 4000) SELECT source, target, count(*) AS n FROM ({_SUPPLY_SQL}) WHERE source IN (SELECT * FROM n) AND target IN (SELECT * FROM n) GROUP BY ALL",
     "q_merged_pairs": f"SELECT least(source, target) AS a, greatest(source, target) AS b, bool_or(source <= target) AS forward, bool_or(source > target) AS backward, count(*) AS n_links FROM ({_SUPPLY_SQL}) WHERE source <> target GROUP BY ALL",

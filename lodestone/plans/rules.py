@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rules as ru
+from ..operators import variant_schema as vs
 from ..session import table
 from .common import FILES_SQL, PART_SQL, document_files, part_concepts
 
@@ -84,9 +85,31 @@ def q_generated_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ru.generated_differences(ru.directory_index(files.filter("doc_id % 9 <> 0")), ru.directory_index(files.filter("doc_id % 7 <> 0")))
 
 
+#: Fields of which each value has a type of its own; tags are nested.
+TYPED = {
+    "type": "object",
+    "required": ["size", "title"],
+    "properties": {
+        "size": {"type": "integer"},
+        "title": {"type": "string", "minLength": 11},
+        "tags": {"type": "array", "uniqueItems": True, "items": {"anyOf": [{"enum": ["a", ["b"], {"c": 1}]}, {"$ref": "#/properties/tags"}]}},
+    },
+}
+
+
+def q_typed_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts, as JSON whose sizes and tags differ in type from row to row, a schema accepts."""
+    n = F.col("p_size")
+    size = F.when(n % 5 == 0, F.concat(F.lit('"'), n.cast("string"), F.lit('"'))).when(n % 5 == 1, F.concat(n.cast("string"), F.lit(".0"))).when(n % 5 == 2, F.concat(n.cast("string"), F.lit(".5"))).otherwise(n.cast("string"))
+    tags = F.element_at(F.array(*map(F.lit, ('["a"]', '["a",["b"]]', '["a","a"]', '[{"c":1.0}]', '[["a",["a"]]]', '["d"]', "null"))), (n % 7 + 1).cast("int"))
+    title = F.when(F.col("p_partkey") % 11 != 0, F.concat(F.lit(',"title":"'), "p_name", F.lit('"'))).otherwise("")
+    text = F.concat(F.lit('{"size":'), size, F.lit(',"tags":'), tags, title, F.lit("}"))
+    return table(spark, sf_dir, "part").select("p_partkey", vs.accepts(TYPED, vs.typed(text), depth=3).alias("accepted"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (q_rule_required, q_rule_each, q_rule_enum, q_rule_logic, q_gate, q_findings_by_rule, q_findings_by_document, q_health, q_delta_gate, q_files_present, q_generated_diff)
+    for f in (q_rule_required, q_rule_each, q_rule_enum, q_rule_logic, q_gate, q_findings_by_rule, q_findings_by_document, q_health, q_delta_gate, q_files_present, q_generated_diff, q_typed_schema)
 }
 
 
@@ -108,6 +131,7 @@ _BRANCHES = "SELECT source || '/' || regexp_replace(path, '/[^/]*$', '/index.md'
 
 ORACLES = {
     **_RULES,
+    "q_typed_schema": "SELECT p_partkey, p_size % 5 NOT IN (0, 2) AND p_size % 7 IN (0, 1, 3, 4) AND p_partkey % 11 <> 0 AND length(p_name) >= 11 AS accepted FROM part",
     "q_gate": f"SELECT count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'suggestion') AS suggestions, CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 'FAIL' ELSE 'PASS' END AS gate FROM ({_ALL})",
     "q_findings_by_rule": f"SELECT rule_id AS key, ['error', 'warning', 'suggestion'][{_GROUP}] AS worst, count(*) AS size, count(DISTINCT path) AS documents FROM ({_ALL}) GROUP BY 1",
     "q_findings_by_document": f"SELECT path AS key, ['error', 'warning', 'suggestion'][{_GROUP}] AS worst, count(*) AS size, count(DISTINCT path) AS documents FROM ({_ALL}) GROUP BY 1",
