@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_kind
 from ..operators.sync import fingerprints
+from ..session import written
 
 CONCEPT_FIELDS = "struct<type:string,title:string,description:string,status:string,tags:array<string>,resource:string,stale_after:string>"
 
@@ -96,14 +97,18 @@ def log_entries(files: DataFrame) -> DataFrame:
 def within_budget(files: DataFrame, max_total: int) -> DataFrame:
     """Files with ``fits``: whether they are among the first, by path, that hold ``max_total`` bytes together.
 
-    Bytes are added up by directory first, so that no task orders all files.
+    Paths are ordered over range partitions; a file's bytes are added to those
+    before it in its partition and to the sums of the partitions before, one row
+    each, so that no task orders all files.  Null sizes count as 0.
     """
-    folder = F.regexp_extract("path", r"^(?:.*/)?", 0)
-    sizes = files.groupBy(folder.alias("__folder")).agg(F.sum("n_bytes").alias("bytes"))
-    before = F.coalesce(F.sum("bytes").over(Window.orderBy("__folder").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a directory
-    inside = F.sum("n_bytes").over(Window.partitionBy("__folder").orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
-    placed = files.withColumn("__folder", folder).join(sizes.select("__folder", before.alias("__before")), "__folder")
-    return placed.withColumn("fits", F.col("__before") + inside <= max_total).drop("__folder", "__before")
+    ordered = files.repartitionByRange("path").sortWithinPartitions("path").withColumn("__at", F.monotonically_increasing_id())
+    placed = written(ordered, "files-by-path").withColumn("__part", F.shiftright("__at", 33))  # the number of the partition; below it the place
+    size = F.coalesce("n_bytes", F.lit(0))
+    sums = placed.groupBy("__part").agg(F.sum(size).alias("__bytes"))
+    before = F.coalesce(F.sum("__bytes").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    inside = F.sum(size).over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    joined = placed.join(F.broadcast(sums.select("__part", before.alias("__before"))), "__part")
+    return joined.withColumn("fits", F.col("__before") + inside <= max_total).drop("__at", "__part", "__before")
 
 
 def reserved_file_faults(files: DataFrame) -> DataFrame:

@@ -48,6 +48,8 @@ def parse_package(raw: bytes) -> Package:
         if id_ in seen or severity not in SEVERITIES:
             raise ValueError(f"rule {id_!r} stands twice or has an unknown severity")
         seen.add(id_)
+        if ("builtin" in check) == ("schema" in check) or "schema" in check and "subject" not in check:
+            raise ValueError(f"rule {id_!r} needs either a builtin check or a subject with a schema")
         if "builtin" in check:
             builtins.append((id_, severity, item["message"], check["builtin"], check.get("params", {})))
             continue

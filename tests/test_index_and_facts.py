@@ -198,7 +198,7 @@ def test_rule_packages(spark):
     facts = {"concept": spark.createDataFrame([("a", "T", ["type", "odd", "odd"]), ("b", " ", ["title"]), ("c", None, [])], "path string, type string, keys array<string>")}
     found = sorted((r.rule_id, r.path, r.message) for r in fa.evaluate(read.rules, facts, links=False).collect())
     assert found == [("keys", "a", "only known keys; found odd"), ("typed", "b", "b has no type"), ("typed", "c", "c has no type")]
-    for change in ({"format": 2}, {"rules": [{"id": "x"}]}, {"rules": [package["rules"][0]] * 2}, {"rules": [{**package["rules"][0], "severity": "fatal"}]}):
+    for change in ({"format": 2}, {"rules": [{"id": "x"}]}, {"rules": [{"id": "x", "message": "m", "check": {"subject": "concept"}}]}, {"rules": [{"id": "x", "message": "m", "check": {"schema": True}}]}, {"rules": [package["rules"][0]] * 2}, {"rules": [{**package["rules"][0], "severity": "fatal"}]}):
         with pytest.raises(ValueError):
             rule_packages.parse_package(json.dumps({**package, **change}).encode())
 

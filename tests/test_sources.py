@@ -34,3 +34,21 @@ def test_pages_as_text(spark):
     assert table.split("\n")[2] == "| b | x | x.md | A\\|B \\u{7} | t, u | stable |"
     page = json.loads(saved_queries.page_json(md.page(df, query), md.page_summary(df, query)))
     assert (page["schema_version"], page["total"], page["returned"], page["has_more"], page["rows"][0]["tags"]) == (1, 1, 1, False, ["t", "u"])
+
+
+def test_a_budget_is_filled_by_path(spark):
+    import itertools
+    import random
+
+    from lodestone.sources import bundles
+
+    two = spark.createDataFrame([("z.md", 10), ("a/x.md", 10)], "path string, n_bytes long")
+    assert {r.path: r.fits for r in bundles.within_budget(two, 10).collect()} == {"a/x.md": True, "z.md": False}
+    pick = random.Random(2)
+    paths = sorted({"/".join(pick.choice(["a", "a.md", "b", "a-b", "ä", "B"]) for _ in range(pick.randrange(1, 4))) for _ in range(120)}, key=lambda p: p.encode())
+    sizes = [pick.choice([0, 1, 7, None]) for _ in paths]
+    df = spark.createDataFrame(list(zip(paths, sizes)), "path string, n_bytes long").repartition(5)
+    sums = dict(zip(paths, itertools.accumulate(x or 0 for x in sizes)))
+    for budget in (0, 50, 10**6):
+        assert {r.path: r.fits for r in bundles.within_budget(df, budget).collect()} == {p: n <= budget for p, n in sums.items()}
+    assert bundles.within_budget(df.limit(0), 5).collect() == []
