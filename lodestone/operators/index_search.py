@@ -78,7 +78,7 @@ def search_index(passages: DataFrame, vectors: DataFrame, documents: DataFrame,
     if gaps:
         raise ValueError(f"eligible passages without a vector, synchronise the index: {[r.id for r in gaps]}")
     scored = eligible.select("id", "source_path").join(vectors, "id")
-    best = nearest_per_document(scored, queries, "source_path", skip_self=False)
+    best = nearest_per_document(scored, queries, "source_path", skip_self=False, limit=max(1, limit))
     order = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "source_path", "id")
     matches = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     return context_for(matches.select("query_id", "rank", "source_path", "id", "sim"), eligible, documents, policy, limit if context_limit is None else context_limit, edges)

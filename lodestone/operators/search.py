@@ -99,20 +99,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = Tr
     return top_k(_scored_blocks(vectors.select("id", "vector"), queries, best, f"query_id long, id {named}, sim double", block), k)
 
 
-def nearest_per_document(vectors: DataFrame, queries: DataFrame, document: str, skip_self: bool = True, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+def nearest_per_document(vectors: DataFrame, queries: DataFrame, document: str, skip_self: bool = True, digits: int = 6, block: int = QUERY_BLOCK, limit: int | None = None) -> DataFrame:
     """query_id, ``document``, id and sim: the most similar passage of every document to each query, then the smallest id.
 
     Every passage is scored before any is dropped, so no document is missing
     whose best passage ranks low.  Passages may have ids of any type that can
     be ordered; ``skip_self`` needs numbers.  Each batch passes on its best of each
     document; the rest is a combined aggregate.
+
+    With ``limit`` the documents that are not among a query's best ``limit``, by
+    similarity, may be missing, and others are not.  Then a batch passes on its
+    own best ``limit`` documents of each query, and those that tie with the last
+    of them: one of the best has its best passage in some batch, in which fewer
+    than ``limit`` documents beat it.
     """
     kind, named = dict(vectors.dtypes)[document], dict(vectors.dtypes)["id"]
 
     def best(q_ids: np.ndarray, q: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, ROW_TILE):
-                yield from _best_of_documents(q_ids, q, skip_self, digits, batch.slice(start, ROW_TILE))
+                yield from _best_of_documents(q_ids, q, skip_self, digits, batch.slice(start, ROW_TILE), limit)
 
     rows = vectors.select("id", "vector", F.col(document).alias("document"))
     found = _scored_blocks(rows, queries, best, f"query_id long, document {kind}, id {named}, sim double", block)
@@ -157,7 +163,7 @@ def _unit_matrix(vectors: pa.Array, n: int) -> np.ndarray:
     return unit_rows(np.asarray(vectors.flatten(), dtype=np.float64).reshape(n, -1))
 
 
-def _best_of_documents(q_ids: np.ndarray, q: np.ndarray, skip_self: bool, digits: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _best_of_documents(q_ids: np.ndarray, q: np.ndarray, skip_self: bool, digits: int, batch: pa.RecordBatch, limit: int | None = None) -> Iterator[pa.RecordBatch]:
     coded = batch.column(2).dictionary_encode("encode")
     order = pc.sort_indices(pa.table({"code": coded.indices, "id": batch.column(0)}), sort_keys=[("code", "ascending"), ("id", "ascending")])
     ids, codes = batch.column(0).take(order), coded.indices.take(order).to_numpy()
@@ -169,7 +175,10 @@ def _best_of_documents(q_ids: np.ndarray, q: np.ndarray, skip_self: bool, digits
     lengths = np.diff(np.r_[starts, len(codes)])
     at = np.where(sims == np.repeat(top, lengths, axis=0), np.arange(len(codes))[:, None], len(codes))
     first = np.minimum.reduceat(at, starts, axis=0)
-    doc, query = np.nonzero(top > -np.inf)
+    keep = top > -np.inf
+    if limit is not None and len(top) > limit:
+        keep &= top >= np.partition(top, len(top) - limit, axis=0)[len(top) - limit]
+    doc, query = np.nonzero(keep)
     documents = coded.dictionary.take(pa.array(codes[starts][doc]))
     yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), documents, ids.take(pa.array(first[doc, query])), pa.array(top[doc, query])], ["query_id", "document", "id", "sim"])
 

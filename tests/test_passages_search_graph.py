@@ -219,6 +219,11 @@ def test_search_in_blocks_matches_all_pairs(spark, block):
         for doc in {d for _, _, d in rows}:
             first = next(i for i in order if rows[i][2] == doc)
             assert best[q, doc] == (first, sims[q, first])
+    for limit in (1, 2, 5):  # what may be missing is not among the best
+        some = {(r.query_id, r.doc): (r.id, r.sim) for r in se.nearest_per_document(v, asked, "doc", block=block, limit=limit).collect()}
+        for q in range(0, len(rows), 3):
+            whole = sorted(x[1] for (query, _), x in best.items() if query == q)[-limit]
+            assert {k: x for k, x in some.items() if k[0] == q and x[1] >= whole} == {k: x for k, x in best.items() if k[0] == q and x[1] >= whole}
 
 
 def test_vectors_without_a_similarity_are_refused(spark):
