@@ -9,9 +9,10 @@ verified on whole sets.
 
 A bucket's members are first held against its smallest set, one pair a set, so
 that copies cost one verification each.  Buckets whose members are not all
-connected then are cut into blocks of bounded size, whose signatures are compared
-inside tasks; only sets with a surviving partner of another component are sent
-again, with their tokens.  No pairs are listed within a bucket.
+connected then are chained into families, whose signatures are compared in
+blocks inside tasks.  That tells which sets have a surviving partner in another
+component, and how survivors hang together; such sets alone are sent again, with
+their tokens, to be verified in blocks.  No pairs are listed within a bucket.
 """
 
 from __future__ import annotations
@@ -33,8 +34,12 @@ from .signature_join import BATCH_ROWS, ROW_KEY, _set_hashes, _signed, _slim, _t
 MISS = 1e-7
 #: Minima in a band, and minima compared in a step.
 BAND_ROWS, STEP = 5, 32
-#: Parts that the pairs of one set are dealt into.
-SALTS = 256
+#: Parts that the pairs of one set are dealt into, if it has more than so many.
+SALTS, PART_PAIRS = 256, 1024
+#: Keys broadcast at most.
+MAX_BROADCAST = 500_000
+#: Signatures in a block of a family, of which a task holds two (2 MB each).
+BLOCK_SIGNATURES = 4096
 
 
 @dataclass(frozen=True)
@@ -68,16 +73,16 @@ def plan(percent: int, miss: float = MISS, rows: int = BAND_ROWS) -> Plan:
     return Plan(bands, rows, minima, tuple(least))
 
 
-@lru_cache
-def _functions(minima: int) -> tuple[np.ndarray, np.ndarray]:
+def hash_functions(minima: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of ``minima`` hash functions, always the same."""
     random = np.random.Generator(np.random.PCG64(97))
     return random.integers(0, 1 << 63, minima, dtype=np.uint64) * np.uint64(2) + np.uint64(1), random.integers(0, 1 << 63, minima, dtype=np.uint64)
 
 
-def minhash(tokens: np.ndarray, minima: int) -> np.ndarray:
-    """The least value of each of ``minima`` hash functions over ``tokens`` (mixed 64-bit hashes, one at least)."""
-    a, b = _functions(minima)
-    out = np.full(minima, np.iinfo(np.uint64).max, dtype=np.uint64)
+def minhash(tokens: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least value of each of ``hash_functions`` over ``tokens`` (mixed 64-bit hashes, one at least)."""
+    a, b = functions
+    out = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
     for k in range(0, len(tokens), 256):
         x = tokens[k : k + 256] * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
@@ -102,8 +107,8 @@ def short(minima: np.ndarray) -> np.ndarray:
     return (minima >> np.uint64(48) ^ minima >> np.uint64(20)).astype(np.uint16)
 
 
-def surviving(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, percent: int, least: tuple[int, ...]) -> np.ndarray:
-    """Which rows of ``x`` and ``y`` (signatures; set sizes ``m`` and ``n``) no step of the verification drops."""
+def surviving(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, percent: int, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of ``x`` and ``y`` (signatures; set sizes ``m`` and ``n``) no step of the verification drops, and their equal minima."""
     alive = np.flatnonzero((100 * m >= percent * n) & (100 * n >= percent * m))
     hits, width = np.zeros(len(alive), dtype=np.int64), x.shape[1]
     for step, need in enumerate(least):
@@ -113,13 +118,14 @@ def surviving(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, percen
         hits += np.count_nonzero(x[alive, at] == y[alive, at], axis=1)
         keep = hits >= need
         alive, hits = alive[keep], hits[keep]
-    return alive
+    return alive, hits
 
 
 def surviving_pairs(n: np.ndarray, component: np.ndarray, side: np.ndarray, signatures: np.ndarray, percent: int, least: tuple[int, ...], cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of different components (``cross``: of different sides) that the verification keeps, some at a time.
 
-    Rows are compared in order of size, with those that are large enough.
+    Rows are compared in order of size, with those that are not too large; a
+    row's likeliest partners come first.
     """
     order = np.argsort(n, kind="stable")
     sizes, head = n[order], signatures[order][:, :STEP]
@@ -135,13 +141,15 @@ def surviving_pairs(n: np.ndarray, component: np.ndarray, side: np.ndarray, sign
             mates = mates[side[mates] != side[order[k]]]
         if len(mates):
             me = np.full(len(mates), order[k])
-            kept = surviving(signatures[me], signatures[mates], n[me], n[mates], percent, least)
+            kept, hits = surviving(signatures[me], signatures[mates], n[me], n[mates], percent, least)
             if len(kept):
+                kept = kept[np.argsort(-hits, kind="stable")]
                 yield me[kept], mates[kept]
 
 
 def document_signatures(documents: DataFrame, shingle: int, steps: Plan) -> DataFrame:
     """Row key, n, h1, h2 (hashes of the set), bands (array<long>) and sig (binary) of every row; n = 0 has none."""
+    functions = hash_functions(steps.minima)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker_state()
@@ -152,7 +160,7 @@ def document_signatures(documents: DataFrame, shingle: int, steps: Plan) -> Data
                 tokens = shingle_set(raw, shingle, hashes)
                 n.append(len(tokens))
                 ids.append(_set_hashes(tokens))
-                minima = minhash(tokens, steps.minima) if len(tokens) else None
+                minima = minhash(tokens, functions) if len(tokens) else None
                 bands.append([] if minima is None else _signed(band_keys(minima, steps.rows)))
                 sigs.append(b"" if minima is None else short(minima).tobytes())
             h1, h2 = zip(*ids) if ids else ((), ())
@@ -174,11 +182,16 @@ def distinct_signatures(docs: DataFrame) -> DataFrame:
 def star_pairs(pairs: DataFrame, sets: DataFrame, payload: str, test: Callable[[list, list, list], np.ndarray], columns: str = "n long") -> DataFrame:
     """The pairs (a, b) that ``test`` keeps, given the payloads of the sets at their ends.
 
-    Pairs of one ``a`` are dealt into up to ``SALTS`` parts, and each part gets
-    ``a``'s payload once, however many pairs it has.  ``test(head, members)``
-    says of each member's (n, payload) whether to keep it.
+    Pairs of an ``a`` with more than ``PART_PAIRS`` are dealt into ``SALTS``
+    parts, and each part gets ``a``'s payload once, however many pairs it has.
+    ``test(head, n, payloads)`` says of each member whether to keep it.
     """
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
+    large = pairs.groupBy("a").agg(F.count("*").alias("pairs")).filter(F.col("pairs") > PART_PAIRS).select("a", F.lit(True).alias("large"))
+    if large.count() <= MAX_BROADCAST:  # one for PART_PAIRS pairs at most
+        salted = pairs.select("a", "b").join(F.broadcast(large), "a", "left").select("a", "b", F.when(F.col("large"), salt).otherwise(F.lit(0)).alias("salt"))
+    else:
+        salted = pairs.select("a", "b", salt.alias("salt"))
     heads = salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("set_id"))
     ends = salted.select("a", "salt", "b", F.col("b").alias("set_id")).unionByName(heads)
     rows = ends.join(sets.select("set_id", "n", F.col(payload).alias("payload")), "set_id").select("a", "salt", "b", "n", "payload")
@@ -207,7 +220,8 @@ def plausible_stars(pairs: DataFrame, sets: DataFrame, percent: int, steps: Plan
     def test(head: tuple, n: np.ndarray, payload: pa.Array) -> np.ndarray:
         members = np.frombuffer(b"".join(payload.to_pylist()), dtype=np.uint16).reshape(len(n), -1)
         keep = np.zeros(len(n), dtype=bool)
-        keep[surviving(np.broadcast_to(np.frombuffer(head[1], dtype=np.uint16), members.shape), members, np.full(len(n), head[0]), n, percent, steps.least)] = True
+        kept, _ = surviving(np.broadcast_to(np.frombuffer(head[1], dtype=np.uint16), members.shape), members, np.full(len(n), head[0]), n, percent, steps.least)
+        keep[kept] = True
         return keep
 
     return star_pairs(pairs, sets, "sig", test)
@@ -223,30 +237,41 @@ def verified_stars(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFra
     return star_pairs(pairs, tokens.withColumn("n", F.lit(0)), "tokens", test)
 
 
-def involved(placed: DataFrame, sets: DataFrame, percent: int, steps: Plan) -> DataFrame:
-    """The rows of ``placed`` (family, i, j, side, set_id, component) that have a surviving partner of another component in their block pair.
+def survivors(placed: DataFrame, sets: DataFrame, percent: int, steps: Plan) -> DataFrame:
+    """What the signatures of block pairs (``placed``: family, i, j, side, set_id, component) leave to verify, as (a, b).
 
-    Only signatures travel.
+    A row of a = b names a set with a surviving partner in another component.
+    The other rows connect all components of a block pair that have surviving
+    pairs between them, with fewer rows than components.
     """
 
     def work(group: pa.Table) -> pa.RecordBatch | None:
+        ids, n, component, side = (group.column(c).to_numpy() for c in ("set_id", "n", "component", "side"))
         signatures = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint16).reshape(group.num_rows, -1)
         cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-        found = np.zeros(group.num_rows, dtype=bool)
-        for i, j in surviving_pairs(*(group.column(c).to_numpy() for c in ("n", "component", "side")), signatures, percent, steps.least, cross):
+        _, root = np.unique(component, return_inverse=True)
+        found, left, right = np.zeros(group.num_rows, dtype=bool), [], []
+        for i, j in surviving_pairs(n, component, side, signatures, percent, steps.least, cross):
             found[i] = found[j] = True
+            while len(apart := np.flatnonzero(root[i] != root[j])):
+                x, y = i[apart[0]], j[apart[0]]
+                root[root == root[y]] = root[x]
+                left.append(x)
+                right.append(y)
         if not found.any():
             return None
-        return group.select(["family", "i", "j", "side", "set_id", "component", "n", "sig"]).filter(pa.array(found)).combine_chunks().to_batches()[0]
+        own = np.flatnonzero(found)
+        return pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate([own, x]).astype(np.int64)]) for x in (left, right)], ["a", "b"])
 
     rows = placed.join(sets.select("set_id", "n", "sig"), "set_id").select("family", "i", "j", "side", "set_id", "component", "n", "sig")
-    return by_group(rows, ["family", "i", "j"], work, "family long, i int, j int, side int, set_id long, component long, n long, sig binary")
+    return by_group(rows, ["family", "i", "j"], work, "a long, b long").distinct()
 
 
 def block_links(rows: DataFrame, percent: int, steps: Plan) -> DataFrame:
-    """Links (a, b) that connect what can be connected in each block pair: rows of ``involved`` with their tokens.
+    """Links (a, b) that connect what can be connected in each block pair: rows of ``placed`` with n, sig and tokens.
 
-    A pair whose sets earlier links of the task connect is not verified again.
+    A set is held against all its surviving partners at once, without those that
+    earlier links of the task connect it with.
     """
 
     def work(group: pa.Table) -> pa.RecordBatch | None:
@@ -256,10 +281,22 @@ def block_links(rows: DataFrame, percent: int, steps: Plan) -> DataFrame:
         cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         n, component, side = (group.column(c).to_numpy() for c in ("n", "component", "side"))
         _, root = np.unique(component, return_inverse=True)
+        _, codes = np.unique(np.concatenate(sets), return_inverse=True)  # the block's sets as rows of a sparse matrix
+        start = np.concatenate([[0], np.cumsum(n)])
+        mine = np.zeros(len(codes), dtype=bool)
         links = []
         for i, j in surviving_pairs(n, component, side, signatures, percent, steps.least, cross):
-            for x, y in zip(i.tolist(), j.tolist()):
-                if root[x] != root[y] and similar(sets[x], sets[y], percent):
+            x = int(i[0])  # the same set in all of them
+            mates = j[root[j] != root[x]]
+            if not len(mates):
+                continue
+            own, size = codes[start[x] : start[x + 1]], n[mates]
+            begin = np.cumsum(size) - size
+            mine[own] = True
+            both = np.add.reduceat(mine[codes[np.repeat(start[mates] - begin, size) + np.arange(int(size.sum()))]], begin, dtype=np.int64)
+            mine[own] = False
+            for y in mates[100 * both >= percent * (n[x] + size - both)].tolist():
+                if root[x] != root[y]:
                     root[root == root[y]] = root[x]
                     links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"]) if links else None
@@ -267,29 +304,48 @@ def block_links(rows: DataFrame, percent: int, steps: Plan) -> DataFrame:
     return by_group(rows, ["family", "i", "j"], work, "a long, b long")
 
 
-def _links(documents: DataFrame, sets: DataFrame, shingle: int, percent: int, steps: Plan, work: Scratch) -> DataFrame:
-    """Links (a, b) of set ids that connect all sets which links at the threshold connect."""
+def _buckets(sets: DataFrame, work: Scratch) -> DataFrame:
+    """token, set_id, hub and weight of the members of buckets that different sets share, as ``shared_groups`` names them."""
     rows = sets.select("set_id", F.explode("bands").alias("token"))
-    groups = work(shared_groups(rows), "buckets")
-    members = work(rows.join(groups, "token"), "members")  # buckets of the very same sets are one
+    shared = rows.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
+    rows = work(rows.join(shared, "token", "left_semi"), "shared-bands")  # most bands are one set's
+    return work(rows.join(work(shared_groups(rows), "buckets"), "token"), "members")
+
 
+def _links(documents: DataFrame, sets: DataFrame, shingle: int, percent: int, steps: Plan, work: Scratch) -> DataFrame:
+    """Links (a, b) of set ids that connect all sets which links at the threshold connect."""
+    members = _buckets(sets, work)
     # each set against the smallest of the bucket that it shares most bands with
     hubs = members.filter("hub <> set_id").groupBy("set_id", "hub").agg(F.sum("weight").alias("n")).groupBy("set_id").agg(F.max_by("hub", F.struct("n", F.negative("hub"))).alias("hub"))
-    pairs = work(plausible_stars(hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), sets, percent, steps), "hub-pairs")
+    pairs = work(hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), "hubs")
+    pairs = work(plausible_stars(pairs, sets, percent, steps), "hub-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     links = work(verified_stars(pairs, wanted_sets(documents, sets, ends, shingle, work), percent), "hub-links")
 
-    # buckets that are not all connected
-    first = work(components(links, work), "first-components")
-    known = members.select("token", "set_id").join(first, F.col("set_id") == F.col("node"), "left").select(F.col("token").alias("family"), "set_id", F.coalesce("component", "set_id").alias("component"))
+    # buckets that are not all connected, as families
+    first = work(components(links, work), "first-components").select(F.col("node").alias("set_id"), "component")
+    known = members.select("token", "hub", "set_id").join(first, "set_id", "left").select("token", "hub", "set_id", F.coalesce("component", "set_id").alias("component"))
     known = work(known, "known-sets")
-    apart = known.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("family")
-    if not apart.limit(1).count():
+    apart = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+    chosen = work(known.join(apart, "token", "left_semi"), "open-buckets")
+    if not chosen.limit(1).count():
         return links
-    chosen = work(known.join(apart, "family", "left_semi").join(sets.select("set_id", "n"), "set_id"), "open-buckets")
-    left = work(involved(family_blocks(chosen, percent), sets, percent, steps), "involved")
-    tokens = wanted_sets(documents, sets, left.select("set_id").distinct(), shingle, work)
-    return links.unionByName(work(block_links(left.join(tokens, "set_id"), percent, steps), "block-links"))
+    family = work(components(chosen.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), work), "families")
+    sizes = chosen.select("set_id", "component").distinct().join(sets.select("set_id", "n"), "set_id")
+    placed = family_blocks(work(_in_families(sizes, family), "family-members"), percent, BLOCK_SIGNATURES, 1 << 40)
+    left = work(survivors(work(placed, "family-blocks"), sets, percent, steps), "survivors")
+
+    # what signatures cannot tell apart: whole sets, in families of survivors
+    closer = work(components(left.filter("a <> b").unionByName(links), work), "survivor-families")
+    kept = sizes.join(left.filter("a = b").select(F.col("a").alias("set_id")), "set_id", "left_semi")
+    placed = work(family_blocks(work(_in_families(kept, closer), "survivor-members"), percent), "survivor-blocks")
+    tokens = wanted_sets(documents, sets, placed.select("set_id").distinct(), shingle, work)
+    rows = placed.join(sets.select("set_id", "n", "sig"), "set_id").join(tokens, "set_id")
+    return links.unionByName(work(block_links(rows, percent, steps), "block-links"))
+
+
+def _in_families(members: DataFrame, family: DataFrame) -> DataFrame:
+    return members.join(family.select(F.col("node").alias("set_id"), F.col("component").alias("family")), "set_id").select("family", "set_id", "component", "n")
 
 
 def minhash_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:

@@ -455,12 +455,12 @@ def tree_candidates(rows: DataFrame, percent: int) -> DataFrame:
     return by_group(rows, ["token"], work, "a long, b long").distinct()
 
 
-def family_blocks(members: DataFrame, percent: int) -> DataFrame:
+def family_blocks(members: DataFrame, percent: int, block: int = BLOCK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """family, i, j, side, set_id and component: the pairs of blocks of each family that may hold a link.
 
     ``members`` are family, set_id, n and component.  A block has members of
-    one band of set sizes, and sets that can link are of one band or of
-    neighbouring ones.  Components of ``PURE`` sets or more fill blocks of their
+    one band of set sizes, ``block`` sets and ``block_tokens`` of their tokens
+    at most, about; sets that can link are of one band or of neighbouring ones.  Components of ``PURE`` sets or more fill blocks of their
     own; two blocks of one component are no pair.
     """
     band = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
@@ -469,7 +469,7 @@ def family_blocks(members: DataFrame, percent: int) -> DataFrame:
     own = members.join(large.select("family", "component", F.col("component").alias("pure")), ["family", "component"], "left")
     own = own.select("family", "set_id", "component", "n", pure, band.cast("long").alias("band"))
     key = ["family", "pure", "band"]
-    sizes = own.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("parts"))
+    sizes = own.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_tokens)).cast("int").alias("parts"))
     number = F.row_number().over(Window.partitionBy("family").orderBy("band", "pure", "part"))
     blocks = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", number)
     left = blocks.select("family", F.col("pure").alias("p"), F.col("block").alias("i"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
