@@ -364,11 +364,12 @@ def minhash_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80
     if not 50 <= percent <= 100:
         raise ValueError("percent is 50 to 100: sets of one pair may differ in size by no more than half")
     steps = plan(percent, miss)
-    work = Scratch(documents.sparkSession, "minhash-duplicates")
+    work, early = Scratch(documents.sparkSession, "minhash-duplicates"), Scratch(documents.sparkSession, "document-signatures")
     with arrow_rows(documents.sparkSession, BATCH_ROWS):
-        docs = work(document_signatures(documents, shingle, steps), "document-signatures")
+        docs = early(document_signatures(documents, shingle, steps), "document-signatures")
         rows = materialise(docs.select("doc_id", "n", "h1", "h2"), "document-sets")
         sets = work(distinct_signatures(docs), "distinct-sets")
+        early.clear()  # copies' signatures are needed no more
         links = _links(documents, sets, shingle, percent, steps, work)
         joined = components(links.distinct(), work).withColumnRenamed("node", "set_id")
         groups = sets.select("set_id", "h1", "h2", "doc_id").join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
