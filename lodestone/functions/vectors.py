@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row: inside a lambda a plain expression is computed again for each entry."""
+    return F.transform(F.array(value), body)[0]
+
+
 def max_abs(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x.cast("double"))))
 
@@ -16,10 +23,10 @@ def unit(v: Column) -> Column:
 
     Scaling first keeps squares of very large and very small entries finite.
     """
-    top = max_abs(v)
-    scaled = F.transform(v, lambda x: x.cast("double") / top)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(top > 0, F.transform(scaled, lambda x: x / length))
+    length = lambda scaled: F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
+    by_length = lambda scaled: _bound(length(scaled), lambda n: F.transform(scaled, lambda x: x / n))
+    by_top = lambda top: F.when(top > 0, _bound(F.transform(v, lambda x: x.cast("double") / top), by_length))
+    return _bound(max_abs(v), by_top)
 
 
 def dot(a: Column, b: Column) -> Column:

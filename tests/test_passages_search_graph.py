@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -69,6 +70,13 @@ def test_cosine(spark, a, b, want):
     assert math.isclose(float(unit_rows(np.array([a], float))[0] @ unit_rows(np.array([b], float))[0]), want, abs_tol=1e-12)
 
 
+def test_cosine_of_long_vectors_takes_linear_time(spark):
+    start = time.monotonic()
+    v = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda x: F.sin(x.cast("double"))).alias("v")).localCheckpoint()
+    assert math.isclose(v.select(cosine(F.col("v"), F.transform("v", lambda x: -2 * x))).first()[0], -1, abs_tol=1e-9)
+    assert time.monotonic() - start < 60  # a norm computed again for each entry of each entry: 2000 ** 3 steps
+
+
 def test_distances(spark):
     rows = spark.createDataFrame([(0.0,), (0.25,), (1.0,), (2.0,), (-0.25,), (2.25,)], "d double").select(similarity_of_distance(F.col("d"))).collect()
     assert [r[0] for r in rows] == [1, 0.75, 0, -1, 1, -1]
