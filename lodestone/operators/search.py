@@ -306,29 +306,53 @@ def symbol_parents(chunks: DataFrame) -> DataFrame:
     """chunk_id and parent_id by symbol: same file, the child's ``parent_symbol`` is the parent's ``symbol``.
 
     Parents that start before the child come first, then the nearest start, the
-    smallest span and the smallest id.  Parents of one symbol are ordered by
-    their start, and a child looks at its neighbours in that order, so no child
-    meets all parents of its symbol.
+    smallest span and the smallest id.  Passages of a symbol are swept once in
+    order of their starts, behind the first parent of all.  What is remembered
+    are the last parent, the last one of another id, and one child that has met
+    only itself, so a task needs memory for its sort alone.
     """
-    keys = ["source_path", "symbol"]
-    # two of each start are enough: one may be the child itself
-    named = chunks.filter("symbol is not null").select(*keys, F.col("line_start").alias("at"), (F.col("line_end") - F.col("line_start")).alias("span"), F.col("chunk_id").alias("id"))
-    place = F.row_number().over(Window.partitionBy(*keys, "at").orderBy("span", "id"))
-    two = named.distinct().withColumn("place", place).filter("place <= 2")
-    starts = two.groupBy(*keys, "at").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("ps"), "span", "id"))).alias("near"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    none = F.array().cast(starts.schema["near"].dataType)
-    beside = [F.coalesce(f("near", k).over(order), none) for f, k in ((F.lag, 1), (F.lead, 1), (F.lead, 2))]
-    parents = starts.select(*keys, "at", F.concat("near", *beside).alias("near"), F.lit(None).cast(dict(chunks.dtypes)["chunk_id"]).alias("chunk_id"))
-    children = chunks.filter("parent_symbol is not null").select("source_path", F.col("parent_symbol").alias("symbol"), F.col("line_start").alias("at"), F.lit(None).cast(parents.schema["near"].dataType).alias("near"), "chunk_id")
-    child = F.col("chunk_id").isNotNull()
-    so_far = lambda *order: F.last("near", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    # both windows only look back, the second one in the opposite order: a frame that grows costs nothing a row
-    before, behind = so_far("at", child), so_far(F.desc("at"), child.desc())
-    met = parents.unionByName(children).withColumn("near", F.coalesce(before, behind)).filter("chunk_id is not null and near is not null")
-    rank = lambda x: F.struct((x["ps"] > F.col("at")).alias("behind"), F.abs(x["ps"] - F.col("at")).alias("far"), x["span"].alias("span"), x["id"].alias("id"))
-    best = F.array_min(F.transform(F.filter("near", lambda x: x["id"] != F.col("chunk_id")), rank))
-    return met.select("chunk_id", best.alias("b")).filter("b is not null").groupBy("chunk_id").agg(F.min("b").alias("b")).select("chunk_id", F.col("b.id").alias("parent_id"))
+    keys, kind = ["source_path", "symbol"], dict(chunks.dtypes)["chunk_id"]
+    head, parent, child = 0, 1, 2
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = first = last = other = waiting = None
+        for batch in batches:
+            found = []
+            meet = lambda key, at, behind, x: found.append((key, behind, None if at is None or x[0] is None else abs(x[0] - at), x[1], x[2]))  # noqa: B023, E731
+            for path, symbol, what, at, span, key in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != (path, symbol):
+                    group, first, last, other, waiting = (path, symbol), None, None, None, None
+                if what == head:
+                    first = (at, span, key)
+                elif what == parent:
+                    if waiting and key != waiting[0]:
+                        _, place, start = waiting
+                        waiting = (waiting[0], place, at) if start in (None, at) else None
+                        if waiting:
+                            meet(waiting[0], place, True, (at, span, key))
+                    if last and last[2] != key:
+                        other = last
+                    last = (at, span, key)
+                elif last and (last[2] != key or other):
+                    meet(key, at, False, last if last[2] != key else other)
+                elif first and first[2] != key:
+                    meet(key, at, True, first)
+                elif first:
+                    waiting = (key, at, None)  # of several places the last one is nearest to what follows
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), shape.types)], schema=shape)
+
+    start, span = F.col("line_start").cast("long").alias("at"), (F.col("line_end") - F.col("line_start")).cast("long").alias("span")
+    parents = chunks.filter("symbol is not null and chunk_id is not null").select(*keys, F.lit(parent).alias("what"), start, span, F.col("chunk_id").alias("id"))
+    firsts = parents.groupBy(*keys).agg(F.min(F.struct("at", "span", "id")).alias("f")).select(*keys, F.lit(head).alias("what"), "f.at", "f.span", "f.id")
+    children = chunks.filter("parent_symbol is not null and chunk_id is not null").select("source_path", F.col("parent_symbol").alias("symbol"), F.lit(child).alias("what"), start, F.lit(None).cast("long").alias("span"), F.col("chunk_id").alias("id"))
+    # of one start the best parent comes last, and children behind it
+    order = [*keys, F.col("what") != head, "at", "what", F.desc("span"), F.desc("id")]
+    swept = firsts.unionByName(parents).unionByName(children).repartition(*keys).sortWithinPartitions(*order)
+    schema = f"chunk_id {kind}, behind boolean, far long, span long, parent_id {kind}"
+    shape = to_arrow_schema(chunks.sparkSession.createDataFrame([], schema).schema)
+    met = swept.mapInArrow(sweep, schema).groupBy("chunk_id").agg(F.min(F.struct("behind", "far", "span", "parent_id")).alias("b"))  # an id may stand in several rows
+    return met.select("chunk_id", F.col("b.parent_id").alias("parent_id"))
 
 
 def expand_to_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def q_parent_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("source_path"), F.col("o_orderkey"))
     parents = o.select("source_path", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("chunk_id"), (F.col("o_orderkey") % 9).cast("string").alias("symbol"), F.lit(None).cast("string").alias("parent_symbol"), F.col("o_orderkey").alias("line_start"), (F.col("o_orderkey") + F.col("o_orderkey") % 5).alias("line_end"))
     items = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    children = items.select("source_path", F.concat_ws("-", F.lit("l"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("chunk_id"), F.lit("").alias("symbol"), (F.col("l_partkey") % 9).cast("string").alias("parent_symbol"), F.col("l_orderkey").alias("line_start"), F.col("l_orderkey").alias("line_end")).distinct()
+    children = items.select("source_path", F.concat_ws("-", F.lit("l"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("chunk_id"), F.lit("").alias("symbol"), (F.col("l_partkey") % 9).cast("string").alias("parent_symbol"), F.col("l_orderkey").alias("line_start"), F.col("l_orderkey").alias("line_end"))
     return se.symbol_parents(parents.unionByName(children))
 
 

@@ -261,6 +261,17 @@ def test_spans_of_many_lines(spark):
     assert {r.chunk_id: r.parent_id for r in se.symbol_parents(df).collect()} == {c[1]: min(rank(c))[3] for c in rows if c[3] is not None and rank(c)}
 
 
+def test_symbol_parents_behind_nameless_and_repeated_passages(spark):
+    rows = [
+        ("f", None, "S", None, 5, 5), ("f", None, "S", None, 5, 6), ("f", "far", "S", None, 1, 2), ("f", "p", "S", None, 5, 9), ("f", "c", None, "S", 7, 7),  # rows without an id are no parents
+        ("g", "x", "S", "S", 5, 5), ("g", "x", "S", "S", 5, 6), ("g", "y", "S", None, 5, 9), ("g", "z", "S", None, 4, 4),  # x stands twice before y, which has its start
+        ("h", "a", "S", "S", 3, 3), ("h", "a", "S", "S", 4, 4), ("h", "late", "S", None, 8, 8), ("h", "b", "S", None, 6, 7), ("h", "b2", "S", None, 6, 6),  # a meets itself only, then what follows
+        (None, "q", "S", None, 1, 1), (None, "d", None, "S", 1, 1), ("i", "alone", "S", "S", 1, 1), ("i", "lost", None, "T", 1, 1),
+    ]
+    df = spark.createDataFrame(rows, "source_path string, chunk_id string, symbol string, parent_symbol string, line_start int, line_end int")
+    assert {r.chunk_id: r.parent_id for r in se.symbol_parents(df).collect()} == {"c": "p", "x": "y", "a": "b2", "d": "q"}
+
+
 def test_stores_keep_what_may_be_read(spark, tmp_path):
     store = GenerationStore(spark, f"file://{tmp_path}/s/one")
     chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, content string")
