@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .graph import outside_path
 
@@ -234,7 +238,31 @@ def broken_links(resolved: DataFrame, outside: DataFrame | None = None) -> DataF
     return bad.select(F.lit("path-targets-exist").alias("rule_id"), F.lit("error").alias("severity"), F.col("source").alias("path"), F.col("raw_target").alias("failing"))
 
 
-def repeated_elements(facts: DataFrame, fact: str) -> DataFrame:
-    """path, value and n of elements that a list fact holds more than once."""
-    each = facts.select("path", F.explode(fact).alias("value"))
-    return each.groupBy("path", "value").agg(F.count("*").alias("n")).filter("n > 1")
+def repeated_elements(facts: DataFrame, fact: str | Column) -> DataFrame:
+    """path, value and n of elements that a list fact of plain values (a column's name or an expression) holds more than once.
+
+    Rows are dealt and sorted by path before lists are unfolded, and counted path
+    by path, so what is shuffled is each list once, and a task counts one path
+    at a time.
+    """
+    fact = F.col(fact) if isinstance(fact, str) else fact
+    value = facts.select(fact.alias("f")).schema["f"].dataType.elementType
+    schema = T.StructType([T.StructField("path", facts.schema["path"].dataType), T.StructField("value", value), T.StructField("n", T.LongType(), False)])
+    shape = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, found = None, Counter(), []
+        for batch in batches:
+            for path, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if path != at:
+                    found += [(at, v, k) for v, k in n.items() if k > 1]
+                    at, n = path, Counter()
+                n.update(values or ())
+            yield told(found)
+            found = []
+        yield told([(at, v, k) for v, k in n.items() if k > 1])
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(shape.types)], schema=shape)
+
+    return facts.repartition("path").sortWithinPartitions("path").select("path", fact.alias("f")).mapInArrow(run, schema)

@@ -134,3 +134,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_repeated_elements_shuffle_lists_and_not_elements(spark):
+    rows = [("a", ["x", "y", "x"]), ("b", ["x"]), ("a", ["y", None]), ("a", [None]), (None, ["z", "z"]), ("c", None), ("d", [])]
+    found = ru.repeated_elements(spark.createDataFrame(rows, "path string, tags array<string>"), "tags")
+    assert {(r.path, r.value, r.n) for r in found.collect()} == {("a", "x", 2), ("a", "y", 2), ("a", None, 2), (None, "z", 2)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Generate" not in plan and "HashAggregate" not in plan
