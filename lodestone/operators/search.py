@@ -22,6 +22,8 @@ from ..functions.vectors import unit_rows
 QUERY_BLOCK = 4096
 #: Rows of a block where queries come in blocks, and rows that are multiplied at once.
 ROW_BLOCK, ROW_TILE = 50_000, 2048
+#: Queries that such a tile of rows is multiplied with at once; a task holds so many similarities.
+QUERY_TILE = 256
 
 
 @dataclass(frozen=True)
@@ -167,20 +169,23 @@ def _best_of_documents(q_ids: np.ndarray, q: np.ndarray, skip_self: bool, digits
     coded = batch.column(2).dictionary_encode("encode")
     order = pc.sort_indices(pa.table({"code": coded.indices, "id": batch.column(0)}), sort_keys=[("code", "ascending"), ("id", "ascending")])
     ids, codes = batch.column(0).take(order), coded.indices.take(order).to_numpy()
-    sims = np.round(np.clip(_unit_matrix(batch.column(1), batch.num_rows)[order.to_numpy()] @ q.T, -1.0, 1.0), digits) + 0.0
-    if skip_self:
-        sims[ids.to_numpy()[:, None] == q_ids[None, :]] = -np.inf
+    x = _unit_matrix(batch.column(1), batch.num_rows)[order.to_numpy()]
     starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-    top = np.maximum.reduceat(sims, starts, axis=0)
     lengths = np.diff(np.r_[starts, len(codes)])
-    at = np.where(sims == np.repeat(top, lengths, axis=0), np.arange(len(codes))[:, None], len(codes))
-    first = np.minimum.reduceat(at, starts, axis=0)
-    keep = top > -np.inf
-    if limit is not None and len(top) > limit:
-        keep &= top >= np.partition(top, len(top) - limit, axis=0)[len(top) - limit]
-    doc, query = np.nonzero(keep)
-    documents = coded.dictionary.take(pa.array(codes[starts][doc]))
-    yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), documents, ids.take(pa.array(first[doc, query])), pa.array(top[doc, query])], ["query_id", "document", "id", "sim"])
+    for begin in range(0, len(q_ids), QUERY_TILE):
+        asked = q_ids[begin : begin + QUERY_TILE]
+        sims = np.round(np.clip(x @ q[begin : begin + QUERY_TILE].T, -1.0, 1.0), digits) + 0.0
+        if skip_self:
+            sims[ids.to_numpy()[:, None] == asked[None, :]] = -np.inf
+        top = np.maximum.reduceat(sims, starts, axis=0)
+        at = np.where(sims == np.repeat(top, lengths, axis=0), np.arange(len(codes))[:, None], len(codes))
+        first = np.minimum.reduceat(at, starts, axis=0)
+        keep = top > -np.inf
+        if limit is not None and len(top) > limit:
+            keep &= top >= np.partition(top, len(top) - limit, axis=0)[len(top) - limit]
+        doc, query = np.nonzero(keep)
+        documents = coded.dictionary.take(pa.array(codes[starts][doc]))
+        yield pa.RecordBatch.from_arrays([pa.array(asked[query]), documents, ids.take(pa.array(first[doc, query])), pa.array(top[doc, query])], ["query_id", "document", "id", "sim"])
 
 
 def _best_of_batches(q_ids: np.ndarray, q: np.ndarray, k: int, skip_self: bool, digits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +195,11 @@ def _best_of_batches(q_ids: np.ndarray, q: np.ndarray, k: int, skip_self: bool,
             batch = whole.slice(start, ROW_TILE)
             column = batch.column(0)
             ids = np.array(column.to_pylist(), dtype=str) if pa.types.is_string(column.type) else column.to_numpy()
-            sims = np.round(np.clip(_unit_matrix(batch.column(1), batch.num_rows) @ q.T, -1.0, 1.0), digits) + 0.0
+            x = _unit_matrix(batch.column(1), batch.num_rows)
             for at, query in enumerate(q_ids):
-                s, i = sims[:, at], ids
+                if at % QUERY_TILE == 0:
+                    sims = np.round(np.clip(x @ q[at : at + QUERY_TILE].T, -1.0, 1.0), digits) + 0.0
+                s, i = sims[:, at % QUERY_TILE], ids
                 if skip_self:
                     keep = ids != query
                     s, i = s[keep], ids[keep]

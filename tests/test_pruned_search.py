@@ -1,6 +1,9 @@
 """Search by cells against brute force over all rows."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,3 +71,17 @@ def test_no_row_beats_its_cells_bound(seed, size):
     radius = ps.angles(x, centre).max() + ps.SLACK
     bound = np.cos(np.maximum(0.0, ps.angles(q, centre)[:, 0] - radius))
     assert ((q @ x.T).max(axis=1) <= bound + 1e-9).all()
+
+
+@pytest.mark.parametrize("by_document", [False, True])
+def test_a_task_holds_few_similarities_at_once(by_document):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4096, 16)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4096)), pa.array(list(x), pa.list_(pa.float32())), pa.array(np.arange(4096) % 7)], ["id", "vector", "document"])
+    unit, ids = se.unit_rows(x), np.arange(4096)
+    tracemalloc.start()
+    found = list(se._best_of_documents(ids, unit, True, 6, batch.slice(0, 2048), 2) if by_document else se._best_of_batches(ids, unit, 2, True, 6, iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 4096 queries with 2048 rows are 67 MB a matrix
+    assert {i for b in found for i in b.column(0).to_pylist()} == set(range(4096))
