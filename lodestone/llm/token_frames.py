@@ -22,6 +22,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -36,10 +37,12 @@ SEEK_MAGIC, SKIPPABLE, INDEX_SKIPPABLE = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 FRAME_IDS = 65_536
 #: Documents that a reader hands on at once.
 READ_ROWS = 2_000
+#: Bytes of text whose distinct words are looked up at once.
+CHUNK_BYTES = 8_000_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 250_000
-#: A full stop or comma between a letter and white space.
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+CACHE_WORDS = 350_000
+#: ASCII punctuation other than apostrophes between a letter and white space; the sign comes first, so that the search is one for signs.
+_STOP = re.compile(rb"([!-&(-/:-@\[-`{-~])(?<=[a-z].)([!-&(-/:-@\[-`{-~]*)(?=[ \n])", re.S)
 
 
 class FrameWriter:
@@ -157,15 +160,15 @@ class WordEncoder:
 
     Where ``word_rules`` allow it the tokenizer never looks across white space,
     so the library encodes each distinct word once and documents are joined
-    from the words' ids; where it lower-cases, a full stop or comma behind a
-    letter is a word of its own.  Other tokenizers encode whole texts.
+    from the words' ids; where it lower-cases, punctuation between a letter and
+    white space is a word of its own.  Other tokenizers encode whole texts.
     Words are remembered in two generations: when the younger is full, the
     older, whose words were not met since, is forgotten.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word, self.lower_case = word_rules(path)
@@ -175,47 +178,72 @@ class WordEncoder:
         self.word_ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool) if suffix else None
         for piece, i in vocabulary.items():
             self.word_ends[i] = piece.endswith(suffix)
+        # letters a to z come out of every step of ``word_rules`` as they went in, so the model alone is asked
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _words(self, raw: bytes) -> list[bytes]:
-        if self.lower_case and b"<|" not in raw:  # markers of special tokens are case-sensitive
-            raw = _STOP.sub(rb" \1", raw.lower())
-        return raw.split()
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word.  Words of letters alone go to the library in lines of 50, cut up again behind each word's last piece."""
-        found = {}
-        plain = [w for w in words if self.word_ends is not None and w.isalpha()]
-        lines = [plain[k : k + 50] for k in range(0, len(plain), 50)]
-        for line, coded in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
-            ids = np.array(coded.ids, dtype="<u4")
-            ends = (np.flatnonzero(self.word_ends[ids]) + 1).tolist()
-            if len(ends) == len(line):
-                raw = ids.tobytes()
-                found.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(line, [0, *ends], ends))
-        rest = [w for w in words if w not in found]
-        coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        found.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, coded))
-        return [found[w] for w in words]
+    def _words(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct words of texts, the place of each word among them, and where each text's words begin and the last one's end."""
+        if self.lower_case:  # markers of special tokens are case-sensitive
+            texts = [t if b"<|" in t else _STOP.sub(rb" \1\2", t.lower()) for t in texts]
+        rows = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_utf8(), safe=False))
+        coded = rows.flatten().dictionary_encode()
+        return coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), rows.offsets.to_numpy()
+
+    def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words and their ids.  Words of letters alone go to the library in lines of 50, cut up again behind each word's last piece."""
+        rest = []
+        plain: dict[bool, list[tuple[bytes, str]]] = {True: [], False: []}
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            if self.word_ends is not None and text.isalpha():
+                plain[text.isascii() and text.islower()].append((word, text))
+            else:
+                rest.append((word, text))
+        for letters, found in plain.items():
+            lines = [found[k : k + 50] for k in range(0, len(found), 50)]
+            encoder = self.letters if letters else self.tokenizer
+            for line, coded in zip(lines, encoder.encode_batch_fast([" ".join([t for _, t in x]) for x in lines], add_special_tokens=False)):
+                ids = np.array(coded.ids, dtype="<u4")
+                ends = (4 * np.flatnonzero(self.word_ends[ids]) + 4).tolist()
+                if len(ends) == len(line):
+                    raw, at = ids.tobytes(), 0
+                    for (word, _), end in zip(line, ends):
+                        yield word, raw[at:end]
+                        at = end
+                else:
+                    rest += line
+        coded = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+        yield from ((word, array("I", e.ids).tobytes()) for (word, _), e in zip(rest, coded))
 
     def encode(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
         """Ids as little-endian bytes of each text (UTF-8), and ``end`` behind each."""
         if not self.by_word:
             coded = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [array("I", e.ids).tobytes() + end for e in coded]
-        split = [self._words(t) for t in texts]
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        met = set().union(*split).difference(self.young) if split else set()
-        again = met.intersection(self.old)
-        self.young.update(zip(again, map(self.old.__getitem__, again)))
-        new = list(met.difference(again))
-        for start in range(0, len(new), 5_000):
-            part = new[start : start + 5_000]
-            self.young.update(zip(part, self._encode_words([w.decode("utf-8", "replace") for w in part])))
-        get = self.young.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+        words, places, starts = self._words(texts)
+        known = list(map(self.young.get, words))
+        missing = [w for w, x in zip(words, known) if x is None]
+        if missing:
+            again = {w: x for w, x in zip(missing, map(self.old.get, missing)) if x is not None}
+            new = [w for w in missing if w not in again]
+            self.young.update(again)
+            for start in range(0, len(new), 5_000):
+                self.young.update(self._encode_words(new[start : start + 5_000]))
+            known = list(map(self.young.__getitem__, words))
+        ids = np.frombuffer(b"".join(known), dtype="<u4")
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        n = sizes[places]
+        ends = np.cumsum(n)
+        # the id at each place of the output is the k-th of its word, at the word's place among the distinct ones
+        at = np.repeat((np.cumsum(sizes) - sizes)[places] - (ends - n), n)
+        at += np.arange(len(at))
+        raw, cuts = ids[at].tobytes(), (4 * np.concatenate([[0], ends])[starts]).tolist()
+        return [raw[a:b] + end for a, b in zip(cuts, cuts[1:])]
 
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -248,7 +276,7 @@ def write_token_frames(documents: DataFrame, path: str, tokenizer: str, end_id:
         with store.open_output_stream(draft) as sink:
             writer = FrameWriter(sink)
             for batch in batches:
-                for doc_ids, texts in text_chunks(batch):
+                for doc_ids, texts in text_chunks(batch, CHUNK_BYTES):
                     for doc_id, raw in zip(doc_ids, encoder.encode(texts, end)):
                         writer.add(doc_id, raw)
                         docs, ids = docs + 1, ids + len(raw) // 4

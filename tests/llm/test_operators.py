@@ -685,6 +685,19 @@ def test_word_encoder_is_the_library(sf):
         assert encoder.encode([t.encode() for t in part]) == [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(part, add_special_tokens=False)]
 
 
+def test_punctuation_behind_words_makes_no_new_words():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), token_frames.WordEncoder(path)
+    rows = ["word!! word### Word&&&. word", "", " \t\x0b", "a_ b-' c's! d!'s e!s f.<g> h..é i!\u0301 x", "É! é!! (w) [w]\n{w}~ w`\nw\x85! \x1c."]
+    assert encoder.encode([t.encode() for t in rows], b"end.") == [np.array(e.ids, dtype="<u4").tobytes() + b"end." for e in tokenizer.encode_batch(rows, add_special_tokens=False)]
+    assert encoder.encode([]) == [] and encoder.encode([b"a\xffb \xe9"]) == [np.array(tokenizer.encode("a\ufffdb \ufffd", add_special_tokens=False).ids, dtype="<u4").tobytes()]
+    encoder = token_frames.WordEncoder(path)
+    encoder.encode([rows[0].encode()])
+    assert set(encoder.young) == {b"word", b"!!", b"###", b"&&&."}
+
+
 # decontamination
 
 
