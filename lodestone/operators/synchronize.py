@@ -14,6 +14,10 @@ from .passages import Embedder, embed
 from .sync import changed_paths, input_hash, refuse_repeats
 
 
+#: Bits of the bitmap by which rows are sifted before they are shuffled: 8 MB, whatever the number of keys.
+SIFT_BITS = 1 << 26
+
+
 @dataclass(frozen=True)
 class Synchronized:
     """What a synchronization did.
@@ -59,6 +63,26 @@ def planned(new: DataFrame, old: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
+def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among ``keys``; an exact join must follow.
+
+    A bitmap of the keys' hashes, whose size is fixed, is broadcast, so that wide
+    rows that no key wants are not shuffled.
+    """
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(SIFT_BITS))
+    position = F.bitmap_bit_position(place)
+    marks = keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(marks), F.bitmap_bucket_number(place) == F.col("__bucket"))
+    return found.filter(F.bit_get(byte, (position % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def one_of_each(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """chunk_id and input_hash of the first of ``rows`` with each input_hash of ``wanted``."""
+    slim = sifted(rows.select("chunk_id", "input_hash"), wanted, "input_hash")
+    return slim.join(wanted, "input_hash", "left_semi").groupBy("input_hash").agg(F.min("chunk_id").alias("chunk_id"))
+
+
 def synchronize(
     store: BucketStore, snapshot: DataFrame, bundle: str, embedder: Embedder | None = None, model: str = "word-hash",
     files: DataFrame | None = None, batch: tuple[str, int] | None = None, only_paths: DataFrame | None = None, attempts: int = 3,
@@ -105,15 +129,24 @@ def _once(store: BucketStore, snapshot: DataFrame, bundle: str, embedder: Embedd
         raise ValueError("a passage belongs to another bundle")
     actions = written(planned(new, own, vectors), "actions")
 
-    # vectors: those of the same input under other ids, and what the encoder makes of the rest
+    # vectors: those of the same input under other ids, and what the encoder makes of the rest; hashes and ids
+    # choose the rows first, then a text or vector that is wanted is shuffled once, without a sort, and no other
     pending = actions.filter("embeds").select("chunk_id", "input_hash")
-    wanted = pending.select("input_hash").distinct()
-    known = written(vectors.join(wanted, "input_hash", "left_semi").groupBy("input_hash").agg(F.min_by("vector", "chunk_id").alias("vector")), "known-vectors")
-    fresh_ids = pending.join(known, "input_hash", "left_anti")
-    texts = snapshot.select("chunk_id", F.coalesce("input", F.lit("")).alias("input")).join(fresh_ids, "chunk_id").groupBy("input_hash").agg(F.min("input").alias("input"))
-    fresh = written(embed(texts, "input_hash", "input", embedder.documents), "fresh-vectors")
-    both = known.unionByName(fresh)
-    new_vectors = pending.join(both, "input_hash").select("chunk_id", F.lit(model).alias("model"), "input_hash", "vector")
+    if pending.limit(1).count():
+        wanted = pending.select("input_hash").distinct()
+        sources = written(one_of_each(vectors, wanted), "known-sources")
+        known = written(sifted(vectors.select("chunk_id", "vector"), sources, "chunk_id").join(sources.hint("shuffle_hash"), "chunk_id").select("input_hash", "vector"), "known-vectors")
+        firsts = written(pending.join(sources, "input_hash", "left_anti").groupBy("input_hash").agg(F.min("chunk_id").alias("chunk_id")), "fresh-ids")
+        inputs = sifted(snapshot.select("chunk_id", F.coalesce("input", F.lit("")).alias("input")), firsts, "chunk_id")
+        texts = inputs.join(firsts.hint("shuffle_hash"), "chunk_id").select(F.struct("chunk_id", "input_hash").alias("key"), "input")
+        fresh = written(embed(texts, "key", "input", embedder.documents).select("key.*", "vector"), "fresh-vectors")
+        rest = pending.join(firsts.select("chunk_id"), "chunk_id", "left_anti")
+        both = known.unionByName(sifted(fresh.drop("chunk_id"), rest, "input_hash"))
+        new_vectors = rest.join(both, "input_hash").select("chunk_id", "input_hash", "vector").unionByName(fresh)
+        new_vectors = new_vectors.select("chunk_id", F.lit(model).alias("model"), "input_hash", "vector")
+        encoded = fresh.count()
+    else:
+        new_vectors, sources, encoded = None, pending.limit(0), 0
 
     rows = new.join(actions.filter("writes").select("chunk_id"), "chunk_id", "left_semi")
     gone = actions.filter("removes").select("chunk_id")
@@ -123,10 +156,10 @@ def _once(store: BucketStore, snapshot: DataFrame, bundle: str, embedder: Embedd
     entry = store.commit(changes, base, batch)
     fresh_flag = F.col("embeds") & F.col("is_known").isNull()
     n = lambda c: F.count(F.when(c, 1))
-    marked = actions.join(known.select("input_hash", F.lit(True).alias("is_known")), "input_hash", "left")
+    marked = actions.join(sources.select("input_hash", F.lit(True).alias("is_known")), "input_hash", "left")
     counts = marked.agg(n(fresh_flag).alias("embedded"), n(F.col("embeds") & F.col("is_known")).alias("reused"), n(F.col("writes")).alias("written"), n(F.col("removes")).alias("removed")).first()
     buckets = (store.rewritten(part, base, entry) for part in ("chunks", "vectors"))
-    return Synchronized(counts.embedded, fresh.count(), counts.reused, counts.written, counts.removed, *buckets, entry)
+    return Synchronized(counts.embedded, encoded, counts.reused, counts.written, counts.removed, *buckets, entry)
 
 
 def _file_change(store: BucketStore, base: Entry, files: DataFrame) -> Change:

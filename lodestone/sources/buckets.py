@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,10 +158,15 @@ class BucketStore:
         there = {k for k in base.buckets.get(part, {}) if k in touched}
         if part in base.schemas:
             kept = self.read(part, base, there)
-            if change.removed is not None:
-                kept = kept.join(change.removed.select(key[0]).distinct(), key[0], "left_anti")
-            if rows is not None:
-                kept = kept.join(rows.select(*key), key, "left_anti")
+            # one join by the first column, so that rows are shuffled once, against hashed keys, so that they are not sorted
+            names = [f"__gone_{k}" for k in key]
+            removed = [] if change.removed is None else [change.removed.select(F.col(key[0]).alias(names[0]), F.lit(True).alias("__all"))]
+            replaced = [] if rows is None else [rows.select(*(F.col(k).alias(n) for k, n in zip(key, names)), F.lit(False).alias("__all"))]
+            gone = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), replaced + removed)
+            same = F.col(key[0]) == F.col(names[0])
+            if len(key) > 1 and replaced:
+                same &= F.col("__all") | reduce(Column.__and__, (F.col(k) == F.col(n) for k, n in zip(key[1:], names[1:])))
+            kept = kept.join(gone.hint("shuffle_hash"), same, "left_anti")
             new = kept if rows is None else kept.unionByName(rows, allowMissingColumns=True)
         elif rows is None:
             return None

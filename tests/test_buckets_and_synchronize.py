@@ -237,3 +237,34 @@ def test_tombstones_are_cleared_in_time(spark, store, tmp_path):
     time.sleep(1)
     assert feed(3, ("k", 2, "y", False)) == {"k"}  # the timer runs in this batch
     assert feed(4, ("a", 1, "older, but nothing remembers", False)) == {"a", "k"}
+
+
+def test_texts_are_shuffled_once_and_only_where_embedded(spark, store):
+    import random
+
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        executors = context.statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    made = random.Random(3)
+    rows = [(f"c{k}", "b", f"p{k}", made.randbytes(10_000).hex()) for k in range(150)]
+    rows += [("copy", "b", "p", rows[0][3]), ("empty", "b", "p", None)]
+    docs = sn.written(spark.createDataFrame(rows, "chunk_id string, bundle_id string, source_path string, input string"), "snapshot")
+    size, before = sum(len(r[3] or "") for r in rows), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps = []
+        for _ in range(2):
+            start = shuffled()
+            done = sn.synchronize(store, docs, "b")
+            steps.append((shuffled() - start, done.embedded, done.encoded, done.reused, done.written))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert steps[0][1:] == (152, 151, 0, 152) and steps[1][1:] == (0, 0, 0, 0)
+    assert steps[0][0] < 1.5 * size and steps[1][0] < 0.1 * size, (steps, size)
+    assert {r.chunk_id for r in store.read("vectors").collect()} == {r[0] for r in rows}
+    keys = spark.range(7, 150, 9).selectExpr("concat('c', id) as chunk_id")
+    left = {r.chunk_id for r in sn.sifted(docs, keys, "chunk_id").collect()}
+    assert left >= {r.chunk_id for r in keys.collect()} and len(left) < 20
