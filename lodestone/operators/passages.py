@@ -19,6 +19,8 @@ SCHEMA = (
     "source_path string, line_start int, line_end int, chunk_type string, content string, heading_path array<string>, "
     "parent_line int, heading_level int, code_language string, table_header string, symbol string, parent_symbol string, truncated boolean"
 )
+#: Rows that are Python objects at once, and passages that are handed on at once.
+SLICE_ROWS, OUT_ROWS = 250, 2_000
 #: Chunker by content type; ``register`` adds to it.
 CHUNKERS: dict[str, Callable[..., Iterator[chunking.Passage]]] = {
     "text": chunking.paragraphs,
@@ -34,6 +36,13 @@ def register(content_type: str, chunker: Callable[[str, int], Iterator[chunking.
     CHUNKERS[content_type.lower()] = chunker
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that few rows at once are Python objects, however many Spark hands over."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def chunk(documents: DataFrame, limit: int = 1000, leave_out: tuple[str, ...] = ()) -> DataFrame:
     """Passages of documents (source_path, content_type, text), with their ids and that of the heading above them.
 
@@ -49,7 +58,7 @@ def chunk(documents: DataFrame, limit: int = 1000, leave_out: tuple[str, ...] =
             "source_path": text, "line_start": number, "line_end": number, "chunk_type": text, "content": text, "heading_path": pa.list_(text), "parent_line": number,
             "heading_level": number, "code_language": text, "table_header": text, "symbol": text, "parent_symbol": text, "truncated": pa.bool_(),
         })
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for path, kind, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 above: list[tuple[int, int]] = []  # levels and lines of the headings around
@@ -59,7 +68,7 @@ def chunk(documents: DataFrame, limit: int = 1000, leave_out: tuple[str, ...] =
                     rows.append({"source_path": path, "line_start": start, "line_end": end, "chunk_type": what, "content": content, "parent_line": above[-1][1] if above else None, **more})
                     if level is not None:
                         above.append((level, start))
-                if len(rows) > 20_000:
+                if len(rows) > OUT_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
                     rows = []
             yield pa.RecordBatch.from_pylist(rows, kinds)
@@ -102,7 +111,7 @@ def fit_inputs(passages: DataFrame, limit: int, count: Callable[[str], int] = wo
     """Parts of passages (chunk_id, content) that fit ``limit`` tokens: chunk_id, part, n_parts, content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = split_to_fit(content or "", limit, count)

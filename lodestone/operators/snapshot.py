@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fragment_id, scoped_id
-from .passages import chunk, words
+from .passages import chunk, slices, words
 
 #: A type whose documents are no source of passages, and the types of passages that are a document's apparatus.
 EXCLUDED_TYPE = "Attested Computation"
@@ -129,7 +129,7 @@ def fit_snapshot(passages: DataFrame, limit: int, count: Callable[[str], int] =
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for p in batch.to_pylist():
                 found = fitted(p["prefix"], p["content"], p["chunk_type"])

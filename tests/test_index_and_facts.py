@@ -343,3 +343,43 @@ def test_typescript_headers():
     assert {h: chunking.declaration(h, kinds) for h in told} == told
     members = {"private static async run(a, b): Promise<void>": ("method", "run"), "readonly cb = (x: A): B =>": ("method", "cb"), "name: string": None, "count = 3": None, "constructor(private a: A)": ("method", "constructor")}
     assert {h: chunking.member(h) for h in members} == members and chunking.member("run(a)", False) is None
+
+
+def test_few_rows_are_python_objects_at_once(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lodestone.operators import passages as pg
+
+    class Taken:
+        """Stands for a DataFrame and keeps the function that its rows are handed to."""
+
+        def __getattr__(self, name):
+            return lambda *args: self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    def peak(run, batch):
+        tracemalloc.start()
+        try:
+            rows = sum(out.num_rows for out in run(iter([batch])))
+            return rows, tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    n = 3_000
+    text = ["\n\n".join(f"## turn {t}\n\n> word {i} and more words of a turn" for t in range(6)) for i in range(n)]
+    passages = [f"word {i} " * 60 for i in range(n)]
+    snapshot = {"id": passages, "source_path": ["p"] * n, "chunk_type": ["text"] * n, "line_start": [1] * n, "line_end": [1] * n, "content": passages, "prefix": ["Passage:\n\n"] * n}
+    taken = Taken()
+    for call, columns in (
+        (lambda: pg.chunk(taken), {"source_path": [f"p{i}" for i in range(n)], "content_type": ["markdown"] * n, "text": text}),
+        (lambda: sn.fit_snapshot(taken, 40), snapshot),
+        (lambda: pg.fit_inputs(taken, 40), {"chunk_id": passages, "content": passages}),
+    ):
+        call()
+        rows, mb = peak(taken.run, pa.RecordBatch.from_pydict(columns))
+        assert rows >= n and mb < 6
